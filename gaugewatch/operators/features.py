@@ -8,10 +8,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gaugewatch.constants import WIDE_ID_COLUMNS
-from gaugewatch.functions.columns import epoch_seconds, parse_values, tile_embedding
+from gaugewatch.functions.columns import epoch_seconds, parse_values, shuffled_number, tile_embedding
 from gaugewatch.operators.clean import numeric_columns
 from gaugewatch.operators.scale import rank_in_groups
-from gaugewatch.functions.columns import shuffled_number
 
 
 def wide_features(df: DataFrame, id_cols: list[str] = WIDE_ID_COLUMNS) -> DataFrame:

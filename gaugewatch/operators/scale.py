@@ -13,7 +13,7 @@ import math
 from collections.abc import Callable, Sequence
 
 from pyspark.ml.feature import Bucketizer
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, GroupedData, Window
 from pyspark.sql import functions as F
 
 BROADCAST_ROWS = 200_000
@@ -174,9 +174,11 @@ def pair_blocks(
 
     left = left.withColumn("_lb", block(left_id, "_lefts")).withColumn("_rb", every("_rights"))
     right = right.withColumn("_rb", block(right_id, "_rights")).withColumn("_lb", every("_lefts"))
-    keys = by + ["_lb", "_rb"]
-    return (
-        left.drop("_lefts", "_rights").groupBy(*keys)
-        .cogroup(right.drop("_lefts", "_rights").groupBy(*keys))
-        .applyInArrow(work, schema)
-    )
+    keys = [f"_on_{c}" for c in by] + ["_lb", "_rb"]
+
+    def grouped(side: DataFrame) -> GroupedData:
+        # Fresh names on both sides: they may come from one and the same table.
+        rest = [F.col(c).alias(c) for c in side.columns if c not in ("_lefts", "_rights")]
+        return side.select(*[F.col(c).alias(f"_on_{c}") for c in by], *rest).groupBy(*keys)
+
+    return grouped(left).cogroup(grouped(right)).applyInArrow(work, schema)
