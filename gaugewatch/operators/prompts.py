@@ -84,8 +84,8 @@ def reading_text(df: DataFrame, sensors: DataFrame) -> DataFrame:
     return told.withColumn("sample_text", parts)
 
 
-def _nested_hits(hits: DataFrame, n: int) -> DataFrame:
-    """The first ``n`` hits by distance as an ordered array, and the number of all."""
+def _nested_hits(hits: DataFrame, n: int | None = None) -> DataFrame:
+    """The first ``n`` hits (else all) by distance as an ordered array, and their number."""
     hit = F.struct(
         "distance", "pattern_id", "is_anomaly", "activity", "anomaly_type",
         "description", "explanation", "readings",
@@ -97,7 +97,7 @@ def _nested_hits(hits: DataFrame, n: int) -> DataFrame:
         .when(a["pattern_id"] < b["pattern_id"], -1).otherwise(1),
     )
     return hits.groupBy("query_id").agg(
-        F.slice(order, 1, n).alias("_hits"), F.count(F.lit(1)).alias("_found")
+        (F.slice(order, 1, n) if n else order).alias("_hits"), F.count(F.lit(1)).alias("_found")
     )
 
 
@@ -338,8 +338,7 @@ def anomaly_prompts(
         return hit
 
     key_sensors = F.array_join(F.slice(F.filter(names, is_key), 1, 10), ", ")
-    found = hits.groupBy("query_id").agg(F.max("rank").alias("_found"))
-    listed = _nested_hits(hits, 1_000_000).select("query_id", F.to_json("_hits").alias("_json")).join(found, "query_id")
+    listed = _nested_hits(hits).select("query_id", F.to_json("_hits").alias("_json"))
     df = samples.join(listed, "query_id", "left").select(
         "query_id",
         sample.alias("sample_json"),
