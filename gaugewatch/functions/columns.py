@@ -84,7 +84,7 @@ def shuffled_number(c: Column | str, seed: int) -> Column:
 
 def value_parts(c: Column | str) -> Column:
     """A number or a comma list as doubles; a part that is no number is NULL."""
-    parts = F.transform(F.split(_col(c), ","), F.trim)
+    parts = F.transform(F.split(_col(c), ","), lambda p: F.trim(p))
     return F.transform(F.filter(parts, lambda p: p != ""), lambda p: p.try_cast("double"))
 
 
