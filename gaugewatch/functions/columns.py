@@ -150,7 +150,7 @@ def fixed_text(x: Column | str, digits: int) -> Column:
     whole = F.floor(scaled / scale).cast("string")
     part = F.lpad(F.pmod(scaled, F.lit(scale)).cast("string"), digits, "0")
     text = F.concat(F.when(x < 0, "-").otherwise(""), whole, F.lit("."), part)
-    return F.when(F.abs(x) < 1e13, text).otherwise(F.format_string(f"%.{digits}f", x))
+    return F.when(F.abs(x) < 1e13, text).when(x.isNotNull(), F.format_string(f"%.{digits}f", x))
 
 
 def lines(items: Iterable[Column]) -> Column:

@@ -11,7 +11,7 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gaugewatch.operators.patterns import anomaly_patterns, normal_patterns
+from gaugewatch.operators.patterns import labelled_patterns
 
 # Notes for entries without any.
 ANOMALY_NOTE = "Anomaly identified through user feedback"
@@ -79,9 +79,9 @@ def process_feedback(feedback: DataFrame, ledger: DataFrame) -> Processed:
     truth = F.col("user_feedback.actual_anomaly")
     note = F.col("user_feedback.notes")
     kind = F.coalesce("user_feedback.anomaly_type", F.lit("unknown"))
-    anomalies = anomaly_patterns(ready.filter(truth), kind, F.coalesce(note, F.lit(ANOMALY_NOTE)))
-    normals = normal_patterns(ready.filter(~truth), F.coalesce(note, F.lit(NORMAL_NOTE)))
-    patterns = anomalies.unionByName(normals).drop("user_feedback")
+    patterns = labelled_patterns(
+        ready, truth, kind, F.coalesce(note, F.lit(ANOMALY_NOTE)), F.coalesce(note, F.lit(NORMAL_NOTE))
+    ).drop("user_feedback")
     counts = waiting.agg(
         F.count(F.lit(1)).alias("total"),
         F.count_if(usable).alias("processed"),

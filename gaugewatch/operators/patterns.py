@@ -19,14 +19,14 @@ def _text(c: Column | str | None) -> Column:
     return F.lit(c) if isinstance(c, str) else c
 
 
-def _pattern(df: DataFrame, is_anomaly: bool, **texts: Column) -> DataFrame:
+def _pattern(df: DataFrame, is_anomaly: Column, **texts: Column) -> DataFrame:
     """Samples (host_id, activity, ts, readings, embedding) as pattern rows; other columns stay."""
     return df.withColumns(
         {
             "host_id": F.coalesce(F.col("host_id").cast("string"), F.lit("unknown")),
             "activity": F.coalesce(F.col("activity").cast("string"), F.lit("unknown")),
             "ts": F.coalesce(F.col("ts").cast("string"), F.lit("")),
-            "is_anomaly": F.lit(is_anomaly),
+            "is_anomaly": is_anomaly,
             **texts,
         }
     )
@@ -34,12 +34,30 @@ def _pattern(df: DataFrame, is_anomaly: bool, **texts: Column) -> DataFrame:
 
 def normal_patterns(df: DataFrame, description: Column | str | None = None) -> DataFrame:
     text = F.coalesce(_text(description), F.lit("Normal sensor pattern"))
-    return _pattern(df, False, anomaly_type=_text(None), description=text, explanation=_text(None))
+    return _pattern(df, F.lit(False), anomaly_type=_text(None), description=text, explanation=_text(None))
 
 
 def anomaly_patterns(df: DataFrame, anomaly_type: Column | str, explanation: Column | str) -> DataFrame:
     return _pattern(
-        df, True, anomaly_type=_text(anomaly_type), description=_text(None), explanation=_text(explanation)
+        df, F.lit(True), anomaly_type=_text(anomaly_type), description=_text(None), explanation=_text(explanation)
+    )
+
+
+def labelled_patterns(
+    df: DataFrame,
+    is_anomaly: Column,
+    anomaly_type: Column | str,
+    explanation: Column | str,
+    description: Column | str | None = None,
+) -> DataFrame:
+    """Normal and anomaly patterns in one pass; ``is_anomaly`` tells them apart row by row."""
+    text = F.coalesce(_text(description), F.lit("Normal sensor pattern"))
+    return _pattern(
+        df,
+        is_anomaly,
+        anomaly_type=F.when(is_anomaly, _text(anomaly_type)),
+        description=F.when(~is_anomaly, text),
+        explanation=F.when(is_anomaly, _text(explanation)),
     )
 
 

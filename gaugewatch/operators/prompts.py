@@ -41,12 +41,11 @@ def _bullets(entries: Column) -> Column:
 
 
 def _grouped(entries: Column, rules: dict[str, list[str]], ending: str) -> Column:
-    blocks = []
-    for group in [*rules, "other"]:
-        mine = F.filter(entries, lambda e, g=group: sensor_group(e["key"], rules) == g)
-        head = F.lit(f"\n{group.upper()}{ending}:\n")
-        blocks.append(F.when(F.size(mine) > 0, F.concat(head, _bullets(mine))))
-    return F.concat_ws("", *blocks)
+    def block(group: str) -> Column:
+        mine = F.filter(entries, lambda e: sensor_group(e["key"], rules) == group)
+        return F.when(F.size(mine) > 0, F.concat(F.lit(f"\n{group.upper()}{ending}:\n"), _bullets(mine)))
+
+    return F.concat_ws("", *[block(group) for group in [*rules, "other"]])
 
 
 # --- samples and hits as text ----------------------------------------------------

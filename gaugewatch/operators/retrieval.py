@@ -158,9 +158,30 @@ def _search_blocks(
     )
 
 
-def _ranked(hits: DataFrame, k: int, order: Sequence[str] = ("distance", "pattern_id")) -> DataFrame:
+def _candidates(
+    queries: DataFrame,
+    patterns: DataFrame,
+    k: int,
+    by: str | None = None,
+    exclude_self: bool = False,
+    max_broadcast_bytes: int = BROADCAST_VECTOR_BYTES,
+    rows_per_block: int = 20_000,
+) -> DataFrame:
+    """The best ``k`` patterns of every query and block, still unranked."""
+    keys = [by] if by else []
+    q = queries.select(F.col("query_id").cast("bigint"), *keys, "embedding")
+    p = patterns.select(F.col("pattern_id").cast("bigint"), *keys, "embedding")
+    for c in ["embedding", *keys]:
+        q, p = q.filter(F.col(c).isNotNull()), p.filter(F.col(c).isNotNull())
+    size = p.agg(F.coalesce(F.sum(F.size("embedding")), F.lit(0)).alias("cells")).first()
+    if size["cells"] * 8 <= max_broadcast_bytes:
+        return _search_broadcast(q, p, keys, k, exclude_self)
+    return _search_blocks(q, p, keys, k, exclude_self, rows_per_block)
+
+
+def _ranked(hits: DataFrame, k: int, group: Sequence[str] = ("query_id",)) -> DataFrame:
     """Merge the parts of all blocks; at most ``k`` rows per query and block arrive here."""
-    best = Window.partitionBy("query_id").orderBy(*order)
+    best = Window.partitionBy(*group).orderBy("distance", "pattern_id")
     return hits.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)
 
 
@@ -206,17 +227,7 @@ def knn(
 
     if where is not None:
         patterns = patterns.filter(where)
-    keys = [by] if by else []
-    present = [F.col(c).isNotNull() for c in ["embedding", *keys]]
-    q = queries.select(F.col("query_id").cast("bigint"), *keys, "embedding")
-    p = patterns.select(F.col("pattern_id").cast("bigint"), *keys, "embedding")
-    for condition in present:
-        q, p = q.filter(condition), p.filter(condition)
-    size = p.agg(F.coalesce(F.sum(F.size("embedding")), F.lit(0)).alias("cells")).first()
-    if size["cells"] * 8 <= max_broadcast_bytes:
-        hits = _search_broadcast(q, p, keys, k, exclude_self)
-    else:
-        hits = _search_blocks(q, p, keys, k, exclude_self, rows_per_block)
+    hits = _candidates(queries, patterns, k, by, exclude_self, max_broadcast_bytes, rows_per_block)
     ranked = _ranked(hits, k)
     if metric == "l2":
         ranked = ranked.withColumn("distance", F.sqrt("distance"))
@@ -276,9 +287,10 @@ def retrieve(
     short = F.coalesce(F.col("_patterns"), F.lit(0)) < need
     lacking = counted.filter(short | F.col("host_id").isNull()).select(queries.columns)
 
-    first = knn_same_host(queries, patterns, k, **options).drop("rank").withColumn("_general", F.lit(False))
-    fill = knn(lacking, patterns, k, **options).drop("rank").withColumn("_general", F.lit(True))
-    hits = with_patterns(first.unionByName(fill), patterns)
+    first = _candidates(queries, patterns, k, "host_id", **options).withColumn("_general", F.lit(False))
+    fill = _candidates(lacking, patterns, k, **options).withColumn("_general", F.lit(True))
+    both = _ranked(first.unionByName(fill), k, ["query_id", "_general"]).drop("rank")
+    hits = with_patterns(both, patterns)
     others = hits.join(own, "query_id").filter(
         ~F.col("_general") | F.col("_own").isNull() | (F.col("host_id") != F.col("_own"))
     )

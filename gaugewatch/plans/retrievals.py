@@ -14,6 +14,8 @@ from gaugewatch.session import fresh_path
 from gaugewatch.sources import store
 
 K = 5
+# Wide readings have five decimals, so their squares have ten: no rounding ties.
+WIDE_DIGITS = 10
 
 # --- the pattern table -----------------------------------------------------------------
 
@@ -31,11 +33,8 @@ def wide_patterns(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Finished orders as patterns; urgent ones are known anomalies."""
     done = wide_samples(spark, sf_dir).filter(F.col("status") == "F").withColumnRenamed("query_id", "pattern_id")
     urgent = F.col("activity") == "1-URGENT"
-    normal = patterns.normal_patterns(done.filter(~urgent))
-    anomaly = patterns.anomaly_patterns(
-        done.filter(urgent), "behavioral", F.concat(F.lit("Urgent order of "), F.col("host_id"))
-    )
-    return normal.unionByName(anomaly).drop("status")
+    told = F.concat(F.lit("Urgent order of "), F.col("host_id"))
+    return patterns.labelled_patterns(done, urgent, "behavioral", told).drop("status")
 
 
 def normal_patterns(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -112,9 +111,9 @@ def city_patterns(spark: SparkSession, sf_dir: str) -> DataFrame:
     def told(what: str) -> Column:
         return F.concat(F.lit(f"{what} for node "), F.col("host_id"), F.lit(" with "), F.col("activity"))
 
-    normal = patterns.normal_patterns(rows.filter(~F.col("is_holdout")), told("Normal pattern"))
-    anomaly = patterns.anomaly_patterns(rows.filter("is_holdout"), "sensor reading", told("Simulated anomaly"))
-    return normal.unionByName(anomaly).drop("is_holdout")
+    return patterns.labelled_patterns(
+        rows, F.col("is_holdout"), "sensor reading", told("Simulated anomaly"), told("Normal pattern")
+    ).drop("is_holdout")
 
 
 ADD_PATTERNS = f"""WITH {HELD}, ids AS (
@@ -180,7 +179,7 @@ knn_same_host = _search(lambda q, p: retrieval.knn_same_host(q, p, K, exclude_se
 def knn_wide_host(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Open orders against the finished ones of the same customer."""
     open_orders = wide_samples(spark, sf_dir).filter(F.col("status") != "F")
-    return t.tidy(retrieval.knn_same_host(open_orders, wide_patterns(spark, sf_dir), K))
+    return t.tidy(retrieval.knn_same_host(open_orders, wide_patterns(spark, sf_dir), K), WIDE_DIGITS)
 
 
 _SQ = "list_sum(list_transform(list_zip({a}, {b}), lambda z: (z[1] - z[2]) * (z[1] - z[2])))"
@@ -188,7 +187,7 @@ KNN_WIDE_HOST = f"""WITH {t.WIDE_EMBEDDED}, pairs AS (
   SELECT q.uuid AS query_id, p.uuid AS pattern_id, {_SQ.format(a='q.embedding', b='p.embedding')} AS distance
   FROM embedded q JOIN embedded p ON q.hostID = p.hostID WHERE q.status <> 'F' AND p.status = 'F')
 SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY distance, pattern_id) AS rank, pattern_id,
-       {r('distance')} AS distance
+       {r('distance', WIDE_DIGITS)} AS distance
 FROM pairs QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY distance, pattern_id) <= {K}"""
 
 
