@@ -1,8 +1,10 @@
 """Verdicts per query: distance rules, model answers, the ensemble of both.
 
-Samples carry ``query_id, embedding, host_id, activity, ts, readings``; hits
-come from ``retrieve``. Every step is keyed by ``query_id`` and a query has at
-most ``k`` hits, so each aggregate stays small and reuses one partitioning.
+Samples carry ``query_id, embedding, host_id, activity, ts, readings``;
+``retrieve`` adds their ``hits`` as an array. From there on the rules are plain
+projections: no shuffle, no join. Only model answers, a table of their own, are
+joined on ``query_id``. Functions that take ``(queries, hits)`` also accept
+hits as rows.
 """
 
 from __future__ import annotations
@@ -17,7 +19,7 @@ from gaugewatch.constants import (
     SEMANTIC_THRESHOLD,
 )
 from gaugewatch.functions.columns import clamp, fixed_text
-from gaugewatch.operators.retrieval import retrieve
+from gaugewatch.operators.retrieval import attach_hits, retrieve
 
 # Texts of verdicts and the titles of explanation sections.
 NO_PATTERNS_REASON = "No similar patterns found"
@@ -32,76 +34,73 @@ SECTIONS = {
     "recommended_actions": "Recommended actions:",
 }
 
-RESULT_COLUMNS = [
-    "query_id", "is_anomaly", "confidence", "anomaly_type", "explanation",
-    "user_friendly_message", "notable_deviations", "recommended_actions", "similar_patterns", "method",
-]
-
 
 # --- distance rules -----------------------------------------------------------
 
 
-def _described(prefix: str = "") -> Column:
+def _story(h: Column) -> Column:
     """A hit's description, or its explanation where that is missing or empty."""
-    description = F.col(f"{prefix}description")
-    return F.coalesce(
-        F.when(description != "", description), F.col(f"{prefix}explanation"), F.lit("")
-    )
+    description = h["description"]
+    return F.coalesce(F.when(description != "", description), h["explanation"], F.lit(""))
 
 
 def _similar(n: int) -> Column:
-    hit = F.struct(
-        "rank", "distance", "is_anomaly",
-        F.coalesce("activity", F.lit("unknown")).alias("activity"), _described().alias("description"),
-    )
-    first = F.slice(F.array_sort(F.collect_list(hit)), 1, n)
     return F.transform(
-        first,
+        F.slice("hits", 1, n),
         lambda h: F.struct(
             h["distance"].alias("distance"), h["is_anomaly"].alias("is_anomaly"),
-            h["activity"].alias("activity"), h["description"].alias("description"),
+            F.coalesce(h["activity"], F.lit("unknown")).alias("activity"), _story(h).alias("description"),
         ),
     )
 
 
-def similar_patterns(hits: DataFrame, n: int = 3) -> DataFrame:
-    return hits.groupBy("query_id").agg(_similar(n).alias("similar_patterns"))
+def _closest(is_anomaly: bool) -> Column:
+    """The hit with the least (distance, pattern_id) among normal ones or anomalies."""
+    mine = F.filter("hits", lambda h: h["is_anomaly"] if is_anomaly else ~h["is_anomaly"])
+    least = F.array_min(F.transform(mine, lambda h: F.struct(h["distance"], h["pattern_id"])))
+    return F.get(F.filter("hits", lambda h: h["pattern_id"] == least["pattern_id"]), F.lit(0))
+
+
+def _found(queries: DataFrame, hits: DataFrame | None) -> DataFrame:
+    return queries if hits is None else attach_hits(queries, hits)
 
 
-def hit_summary(hits: DataFrame) -> DataFrame:
-    return hits.groupBy("query_id").agg(
-        F.count(F.lit(1)).alias("hits"),
-        F.count_if(~F.col("is_anomaly")).alias("normal_hits"),
-        F.count_if(F.col("is_anomaly")).alias("anomaly_hits"),
+def similar_patterns(queries: DataFrame, hits: DataFrame | None = None, n: int = 3) -> DataFrame:
+    return _found(queries, hits).withColumn("similar_patterns", _similar(n))
+
+
+def hit_summary(queries: DataFrame, hits: DataFrame | None = None) -> DataFrame:
+    """Add the numbers of hits, of normal ones and of anomalies."""
+    anomalies = F.size(F.filter("hits", lambda h: h["is_anomaly"]))
+    return _found(queries, hits).withColumns(
+        {
+            "n_hits": F.size("hits"),
+            "normal_hits": F.size("hits") - anomalies,
+            "anomaly_hits": anomalies,
+        }
     )
 
 
-def closest_hits(hits: DataFrame, similar: int = 3) -> DataFrame:
-    """Counts, the closest normal and the closest anomaly of every query with hits."""
-    carried = ["pattern_id", "distance", "activity", "anomaly_type", "description", "explanation"]
-    carried += [c for c in ("readings", "ts") if c in hits.columns]
-    hit = F.struct(*carried)
-    by_distance = F.struct("distance", "pattern_id")
-    normal, anomaly = ~F.col("is_anomaly"), F.col("is_anomaly")
-    return hits.groupBy("query_id").agg(
-        F.count(F.lit(1)).alias("hits"),
-        F.count_if(normal).alias("normal_hits"),
-        F.count_if(anomaly).alias("anomaly_hits"),
-        F.min(F.when(normal, F.col("distance"))).alias("min_normal_distance"),
-        F.min(F.when(anomaly, F.col("distance"))).alias("min_anomaly_distance"),
-        F.min_by(hit, F.when(normal, by_distance)).alias("closest_normal"),
-        F.min_by(hit, F.when(anomaly, by_distance)).alias("closest_anomaly"),
-        _similar(similar).alias("similar_patterns"),
+def closest_hits(queries: DataFrame, hits: DataFrame | None = None) -> DataFrame:
+    """Add the counts, the closest normal pattern and the closest anomaly with their distances."""
+    named = hit_summary(queries, hits).withColumns(
+        {"closest_normal": _closest(False), "closest_anomaly": _closest(True)}
+    )
+    return named.withColumns(
+        {
+            "min_normal_distance": F.col("closest_normal.distance"),
+            "min_anomaly_distance": F.col("closest_anomaly.distance"),
+        }
     )
 
 
-def semantic_match(queries: DataFrame, hits: DataFrame, threshold: float = SEMANTIC_THRESHOLD) -> DataFrame:
-    """One row per query: is it far from every normal pattern or nearer to an anomaly?"""
-    facts = queries.select("query_id").join(closest_hits(hits), "query_id", "left")
-    for count in ("hits", "normal_hits", "anomaly_hits"):
-        facts = facts.withColumn(count, F.coalesce(count, F.lit(0)))
+def semantic_match(
+    queries: DataFrame, hits: DataFrame | None = None, threshold: float = SEMANTIC_THRESHOLD
+) -> DataFrame:
+    """Is a query far from every normal pattern, or nearer to an anomaly?"""
+    facts = closest_hits(queries, hits)
     normal, anomaly = F.col("min_normal_distance"), F.col("min_anomaly_distance")
-    none = F.col("hits") == 0
+    none = F.col("n_hits") == 0
     far = normal.isNull() | (normal > threshold)
     nearer = anomaly < normal
     far_text = F.concat(
@@ -120,23 +119,13 @@ def semantic_match(queries: DataFrame, hits: DataFrame, threshold: float = SEMAN
         {
             "semantic_anomaly": none | far | F.coalesce(nearer, F.lit(False)),
             "anomaly_reason": reason,
-            "similar_patterns": F.coalesce(
-                "similar_patterns",
-                F.array().cast(facts.schema["similar_patterns"].dataType),
-            ),
+            "similar_patterns": _similar(3),
         }
     )
 
 
-def rule_verdict(
-    semantic: DataFrame, threshold: float = SEMANTIC_THRESHOLD, strict: bool = False
-) -> DataFrame:
-    """The verdict without a model.
-
-    A retrieved anomaly alone makes the verdict an anomaly, even behind a
-    closer normal pattern; ``strict=True`` leaves that to the distance test.
-    """
-    none, far = F.col("hits") == 0, F.col("semantic_anomaly")
+def _rule_columns(threshold: float, strict: bool = False) -> dict[str, Column]:
+    none, far = F.col("n_hits") == 0, F.col("semantic_anomaly")
     known = F.lit(False) if strict else F.col("anomaly_hits") > 0
     normal, anomaly = F.col("min_normal_distance"), F.col("min_anomaly_distance")
     confidence = (
@@ -154,14 +143,24 @@ def rule_verdict(
     kind = F.when(none, "unknown").when(
         ~far & known, F.coalesce("closest_anomaly.anomaly_type", F.lit("unknown"))
     )
-    return semantic.select(
-        "query_id",
-        (far | known).alias("is_anomaly"),
-        clamp(confidence, 0.1, 0.9).alias("confidence"),
-        kind.alias("anomaly_type"),
-        text.alias("explanation"),
-        "similar_patterns",
-    )
+    return {
+        "is_anomaly": far | known,
+        "confidence": clamp(confidence, 0.1, 0.9),
+        "anomaly_type": kind,
+        "explanation": text,
+    }
+
+
+def rule_verdict(
+    semantic: DataFrame, threshold: float = SEMANTIC_THRESHOLD, strict: bool = False
+) -> DataFrame:
+    """The verdict without a model.
+
+    A retrieved anomaly alone makes the verdict an anomaly, even behind a
+    closer normal pattern; ``strict=True`` leaves that to the distance test.
+    """
+    rules = _rule_columns(threshold, strict)
+    return semantic.select("query_id", *[c.alias(name) for name, c in rules.items()], "similar_patterns")
 
 
 # --- model answers ---------------------------------------------------------------
@@ -181,20 +180,21 @@ def _has(parsed: Column, field: str) -> Column:
     return F.try_variant_get(parsed, f"$.{field}", "variant").isNotNull()
 
 
-def parsed_answers(answers: DataFrame) -> DataFrame:
-    """The fields of a JSON answer, or what a plain text answer lets one tell.
+def parsed_answers(answers: DataFrame, column: str = "answer") -> DataFrame:
+    """Add the fields of a JSON answer, or what a plain text answer lets one tell.
 
     ``answer_kind`` is json, text (no JSON object with a usable confidence) or
     missing (NULL); only a missing answer sends the query back to the rules.
     """
-    parsed = answers.withColumn("_json", F.try_parse_json("answer"))
+    parsed = answers.withColumn("_json", F.try_parse_json(column))
     json = F.col("_json")
     number = F.try_variant_get(json, "$.confidence", "double")
     confidence = F.when(_has(json, "confidence"), number).otherwise(0.5)
     usable = _is_object(json) & confidence.isNotNull()
-    kind = F.when(F.col("answer").isNull(), "missing").when(usable, "json").otherwise("text")
-    mentions = F.lower("answer").contains("anomaly")
-    head = F.substring("answer", 1, 500)
+    parsed = parsed.withColumn(
+        "answer_kind", F.when(F.col(column).isNull(), "missing").when(usable, "json").otherwise("text")
+    )
+    by_json, by_text = F.col("answer_kind") == "json", F.col("answer_kind") == "text"
 
     def listed(field: str) -> Column:
         return F.try_variant_get(json, f"$.{field}", "array<string>")
@@ -202,35 +202,36 @@ def parsed_answers(answers: DataFrame) -> DataFrame:
     def plain(field: str) -> Column:
         return F.try_variant_get(json, f"$.{field}", "string")
 
-    return parsed.withColumn("answer_kind", kind).select(
-        *answers.columns,
-        "answer_kind",
-        F.when(kind == "json", _truthy(json, "is_anomaly")).when(kind == "text", mentions)
-        .alias("answer_anomaly"),
-        F.when(kind == "json", confidence).when(kind == "text", 0.5).alias("answer_confidence"),
-        F.when(kind == "json", F.coalesce(plain("explanation"), F.lit(NO_EXPLANATION)))
-        .when(kind == "text", head).alias("answer_explanation"),
-        F.when(kind == "json", F.coalesce(plain("user_friendly_message"), F.lit(""))).alias("answer_message"),
-        *[
-            F.when(kind == "json", listed(f)).alias(f"answer_{f}")
-            for f in ("notable_deviations", "recommended_actions")
-        ],
-        *[
-            F.when((kind == "json") & listed(f).isNull(), plain(f)).alias(f"answer_{f}_text")
-            for f in ("notable_deviations", "recommended_actions")
-        ],
-    )
+    fields = {
+        "answer_anomaly": F.when(by_json, _truthy(json, "is_anomaly")).when(
+            by_text, F.lower(column).contains("anomaly")
+        ),
+        "answer_confidence": F.when(by_json, confidence).when(by_text, 0.5),
+        "answer_explanation": F.when(by_json, F.coalesce(plain("explanation"), F.lit(NO_EXPLANATION))).when(
+            by_text, F.substring(column, 1, 500)
+        ),
+        "answer_message": F.when(by_json, F.coalesce(plain("user_friendly_message"), F.lit(""))),
+    }
+    for f in ("notable_deviations", "recommended_actions"):
+        fields[f"answer_{f}"] = F.when(by_json, listed(f))
+        fields[f"answer_{f}_text"] = F.when(by_json & listed(f).isNull(), plain(f))
+    return parsed.withColumns(fields).drop("_json")
+
 
+def _without_answer(df: DataFrame) -> DataFrame:
+    return df.drop(*[c for c in df.columns if c.startswith("answer_")])
 
-def contextual_score(answers: DataFrame) -> DataFrame:
-    """The model's confidence in an anomaly, 0 when it sees none; plain text gives 0.5 or 0."""
-    parsed = parsed_answers(answers)
+
+def contextual_score(answers: DataFrame, column: str = "answer") -> DataFrame:
+    """Add the model's confidence in an anomaly, 0 when it sees none; plain text gives 0.5 or 0."""
     score = F.when(F.col("answer_anomaly"), F.col("answer_confidence")).otherwise(0.0)
-    return parsed.select(
-        "query_id",
-        F.when(F.col("answer_kind") != "missing", clamp(score, 0.0, 1.0)).alias("contextual_score"),
-        F.col("answer_explanation").alias("contextual_explanation"),
+    parsed = parsed_answers(answers, column).withColumns(
+        {
+            "contextual_score": F.when(F.col("answer_kind") != "missing", clamp(score, 0.0, 1.0)),
+            "contextual_explanation": F.col("answer_explanation"),
+        }
     )
+    return _without_answer(parsed)
 
 
 def coherence_parts(text: Column, names: Column, values: Column) -> dict[str, Column]:
@@ -279,24 +280,22 @@ def assembled_explanation(parsed: DataFrame) -> Column:
 
 
 def explanation_verdict(
-    answers: DataFrame, samples: DataFrame, threshold: float = COHERENCE_THRESHOLD
+    answers: DataFrame, threshold: float = COHERENCE_THRESHOLD, column: str = "answer"
 ) -> DataFrame:
-    """The model's verdict, turned down when its explanation does not fit the readings."""
-    parsed = parsed_answers(answers)
-    told = parsed.withColumn("explanation", assembled_explanation(parsed)).select(
-        "query_id", "answer_kind", "answer_anomaly", "answer_confidence", "explanation"
-    )
-    scored = coherence(told.join(samples.select("query_id", "readings"), "query_id"))
+    """Add the model's verdict, turned down when its explanation does not fit the ``readings``."""
+    parsed = parsed_answers(answers, column)
+    scored = coherence(parsed.withColumn("explanation", assembled_explanation(parsed)))
     held = F.col("coherence") >= threshold
     answered = F.col("answer_kind") != "missing"
-    return scored.select(
-        "query_id",
-        F.when(answered, held & F.col("answer_anomaly")).alias("explanation_anomaly"),
-        F.when(held, F.col("answer_confidence"))
-        .otherwise(F.col("answer_confidence") * F.col("coherence")).alias("explanation_confidence"),
-        F.when(answered, F.col("coherence")).alias("coherence"),
-        "explanation",
+    judged = scored.withColumns(
+        {
+            "explanation_anomaly": F.when(answered, held & F.col("answer_anomaly")),
+            "explanation_confidence": F.when(held, F.col("answer_confidence")).otherwise(
+                F.col("answer_confidence") * F.col("coherence")
+            ),
+        }
     )
+    return _without_answer(judged.withColumn("coherence", F.when(answered, F.col("coherence"))))
 
 
 def explanation_sections(df: DataFrame, column: str = "explanation") -> DataFrame:
@@ -325,14 +324,15 @@ def explanation_sections(df: DataFrame, column: str = "explanation") -> DataFram
 
 
 def ensemble(
-    semantic: DataFrame,
-    contextual: DataFrame,
-    explained: DataFrame,
+    joined: DataFrame,
     threshold: float = SEMANTIC_THRESHOLD,
     weights: dict[str, float] = ENSEMBLE_WEIGHTS,
 ) -> DataFrame:
-    """Weigh the three detectors; scores are NULL where an answer is missing."""
-    joined = semantic.join(contextual, "query_id", "left").join(explained, "query_id", "left")
+    """Weigh the three detectors; scores are NULL where an answer is missing.
+
+    ``joined`` has the columns of ``semantic_match``, ``contextual_score`` and
+    ``explanation_verdict``.
+    """
     near = F.col("semantic_anomaly")
     deviates = F.col("contextual_score") > 0.5
     told = F.col("explanation_anomaly")
@@ -361,6 +361,25 @@ def ensemble(
     )
 
 
+def answers_by_query(answers: DataFrame) -> DataFrame:
+    """(query_id, prompt_kind, answer) rows as one row per query."""
+    kinds = {"contextual": "contextual_answer", "explanation": "explanation_answer"}
+    return answers.groupBy("query_id").agg(
+        *[F.max(F.when(F.col("prompt_kind") == kind, F.col("answer"))).alias(name) for kind, name in kinds.items()]
+    )
+
+
+def _weighed(
+    found: DataFrame, answers: DataFrame, threshold: float, coherence_threshold: float
+) -> DataFrame:
+    """Semantic match, both model answers and their ensemble in one row per query."""
+    semantic = semantic_match(found, threshold=threshold)
+    asked = semantic.join(answers_by_query(answers), "query_id", "left")
+    scored = contextual_score(asked, "contextual_answer")
+    told = explanation_verdict(scored, coherence_threshold, "explanation_answer")
+    return ensemble(told, threshold)
+
+
 def detect(
     samples: DataFrame,
     patterns: DataFrame,
@@ -368,7 +387,6 @@ def detect(
     k: int = 5,
     threshold: float = SEMANTIC_THRESHOLD,
     coherence_threshold: float = COHERENCE_THRESHOLD,
-    hits: DataFrame | None = None,
     **options,
 ) -> DataFrame:
     """The whole detection for every sample.
@@ -377,41 +395,29 @@ def detect(
     ``contextual`` and ``explanation``. Without it, or where one of the two is
     missing, the distance rules decide; ``method`` says which way it went.
     """
-    hits = retrieve(samples, patterns, k, **options) if hits is None else hits
-    semantic = semantic_match(samples, hits, threshold)
-    rules = rule_verdict(semantic, threshold)
+    found = samples if "hits" in samples.columns else retrieve(samples, patterns, k, **options)
+    rules = _rule_columns(threshold)
     no_items = F.array().cast("array<string>")
     if answers is None:
-        return rules.select(
-            "query_id", "is_anomaly", "confidence", "anomaly_type", "explanation",
+        return semantic_match(found, threshold=threshold).select(
+            "query_id", *[c.alias(name) for name, c in rules.items()],
             F.lit("").alias("user_friendly_message"), no_items.alias("notable_deviations"),
             no_items.alias("recommended_actions"), "similar_patterns", F.lit("rules").alias("method"),
         )
-    contextual = contextual_score(answers.filter(F.col("prompt_kind") == "contextual"))
-    explained = explanation_verdict(
-        answers.filter(F.col("prompt_kind") == "explanation"), samples, coherence_threshold
-    )
-    both = explanation_sections(ensemble(semantic, contextual, explained, threshold))
+    both = explanation_sections(_weighed(found, answers, threshold, coherence_threshold))
     by_model = F.col("contextual_score").isNotNull() & F.col("explanation_anomaly").isNotNull()
-    fallback = rules.select(
-        "query_id",
-        *[F.col(c).alias(f"_{c}") for c in ("is_anomaly", "confidence", "anomaly_type", "explanation")],
-    )
-    merged = both.withColumn("_model", by_model).join(fallback, "query_id")
 
-    def choose(name: str) -> Column:
-        return F.when(F.col("_model"), F.col(name)).otherwise(F.col(f"_{name}")).alias(name)
+    def choose(name: str, otherwise: Column) -> Column:
+        return F.when(by_model, F.col(name)).otherwise(otherwise).alias(name)
 
-    return merged.select(
+    return both.select(
         "query_id",
-        *[choose(c) for c in ("is_anomaly", "confidence", "anomaly_type", "explanation")],
-        F.when(F.col("_model"), F.col("user_friendly_message")).otherwise("").alias("user_friendly_message"),
-        *[
-            F.when(F.col("_model"), F.col(c)).otherwise(no_items).alias(c)
-            for c in ("notable_deviations", "recommended_actions")
-        ],
+        *[choose(name, c) for name, c in rules.items()],
+        choose("user_friendly_message", F.lit("")),
+        choose("notable_deviations", no_items),
+        choose("recommended_actions", no_items),
         "similar_patterns",
-        F.when(F.col("_model"), "ensemble").otherwise("rules").alias("method"),
+        F.when(by_model, "ensemble").otherwise("rules").alias("method"),
     )
 
 
@@ -419,19 +425,15 @@ def detect_detail(
     samples: DataFrame,
     patterns: DataFrame,
     answers: DataFrame,
+    k: int = 5,
     threshold: float = SEMANTIC_THRESHOLD,
     coherence_threshold: float = COHERENCE_THRESHOLD,
     **options,
 ) -> DataFrame:
     """The intermediate results of ``detect``, one row per sample; filter it for a report."""
-    hits = retrieve(samples, patterns, **options)
-    semantic = semantic_match(samples, hits, threshold)
-    contextual = contextual_score(answers.filter(F.col("prompt_kind") == "contextual"))
-    explained = explanation_verdict(
-        answers.filter(F.col("prompt_kind") == "explanation"), samples, coherence_threshold
-    )
-    return ensemble(semantic, contextual, explained, threshold).select(
-        "query_id", "hits", "normal_hits", "anomaly_hits", "min_normal_distance", "min_anomaly_distance",
+    found = retrieve(samples, patterns, k, **options)
+    return _weighed(found, answers, threshold, coherence_threshold).select(
+        "query_id", "n_hits", "normal_hits", "anomaly_hits", "min_normal_distance", "min_anomaly_distance",
         "semantic_anomaly", "anomaly_reason", "contextual_score", "multi_modal",
         "explanation_anomaly", "explanation_confidence", "coherence",
         "anomaly_score", "is_anomaly", "confidence", "anomaly_type",

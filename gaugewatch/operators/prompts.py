@@ -1,7 +1,8 @@
 """Texts and prompts for a language model, made as columns.
 
-Samples carry ``query_id, host_id, activity, ts, readings``. A query has at
-most ``k`` hits, so the per-query lists collected here stay short.
+Samples carry ``query_id, host_id, activity, ts, readings`` and, from
+``retrieve``, ``hits``; each text is a projection over that one row. Functions
+that take ``(samples, hits)`` also accept hits as rows.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ from gaugewatch.constants import (
 from gaugewatch.functions import texts
 from gaugewatch.functions.columns import fixed_text, sensor_group
 from gaugewatch.operators.clean import describe_readings, flag_range
-from gaugewatch.operators.detect import closest_hits
+from gaugewatch.operators.detect import _found, _story, closest_hits, hit_summary
 
 
 def _or(c: Column | str, default: str) -> Column:
@@ -83,61 +84,59 @@ def reading_text(df: DataFrame, sensors: DataFrame) -> DataFrame:
     return told.withColumn("sample_text", parts)
 
 
-def _nested_hits(hits: DataFrame, n: int | None = None) -> DataFrame:
-    """The first ``n`` hits (else all) by distance as an ordered array, and their number."""
-    hit = F.struct(
-        "distance", "pattern_id", "is_anomaly", "activity", "anomaly_type",
-        "description", "explanation", "readings",
-    )
-    # Maps cannot be compared, so the order is fixed on (distance, pattern_id) alone.
-    order = F.array_sort(
-        F.collect_list(hit),
-        lambda a, b: F.when(a["distance"] < b["distance"], -1).when(a["distance"] > b["distance"], 1)
-        .when(a["pattern_id"] < b["pattern_id"], -1).otherwise(1),
-    )
-    return hits.groupBy("query_id").agg(
-        (F.slice(order, 1, n) if n else order).alias("_hits"), F.count(F.lit(1)).alias("_found")
-    )
+def _by_distance() -> Column:
+    """The hits ordered by (distance, pattern_id); host-first ranks may differ from that."""
 
+    def compare(a: Column, b: Column) -> Column:
+        return (
+            F.when(a["distance"] < b["distance"], -1).when(a["distance"] > b["distance"], 1)
+            .when(a["pattern_id"] < b["pattern_id"], -1).when(a["pattern_id"] > b["pattern_id"], 1).otherwise(0)
+        )
 
-def _story(h: Column) -> Column:
-    described = F.coalesce(F.when(h["description"] != "", h["description"]), h["explanation"], F.lit(""))
-    return F.when(described != "", F.concat(F.lit("- Description: "), described, F.lit("\n"))).otherwise("")
+    return F.array_sort("hits", compare)
 
 
 def _yes_no(flag: Column) -> Column:
     return F.when(flag, "Yes").otherwise("No")
 
 
+def _labelled(label: str, text: Column) -> Column:
+    return F.when(text != "", F.concat(F.lit(f"- {label}: "), text, F.lit("\n"))).otherwise("")
+
+
 def _hit_block(h: Column, i: Column, word: str, with_readings: bool) -> Column:
     return F.concat(
         F.lit(f"{word} "), (i + 1).cast("string"), F.lit(" (Distance: "), fixed_text(h["distance"], 4), F.lit("):\n"),
         F.lit("- Activity: "), F.coalesce(h["activity"], F.lit("unknown")),
         F.lit("\n- Is Anomaly: "), _yes_no(h["is_anomaly"]), F.lit("\n"),
         _bullets(_entries(h["readings"])) if with_readings else F.lit(""),
-        _story(h), F.lit("\n"),
+        _labelled("Description", _story(h)), F.lit("\n"),
     )
 
 
-def hits_text(queries: DataFrame, hits: DataFrame, style: str = "augmented") -> DataFrame:
-    """Retrieved patterns in words, one text per query; a fixed sentence when there are none."""
+def hits_text(samples: DataFrame, hits: DataFrame | None = None, style: str = "augmented") -> DataFrame:
+    """Add the retrieved patterns in words; a fixed sentence where there are none.
+
+    ``style`` is augmented (five hits), contextual (three, with readings) or
+    explanation (the closest normal pattern and the closest anomaly).
+    """
+    found = _found(samples, hits)
+    none = F.size("hits") == 0
     if style == "explanation":
-        return _closest_text(queries, hits)
+        facts = closest_hits(found)
+        text = F.when(none, texts.EMPTY_HITS).otherwise(_closest_text())
+        return facts.withColumn("hits_text", text).select(*found.columns, "hits_text")
     n, word, full = {"augmented": (5, "PATTERN", False), "contextual": (3, "Pattern", True)}[style]
-    nested = _nested_hits(hits, n)
-    blocks = F.array_join(F.transform("_hits", lambda h, i: _hit_block(h, i, word, full)), "")
+    first = F.slice(_by_distance(), 1, n)
+    blocks = F.array_join(F.transform(first, lambda h, i: _hit_block(h, i, word, full)), "")
     if style == "augmented":
         head = F.lit(texts.HITS_HEAD)
     else:
-        head = F.concat(F.lit("Retrieved "), F.col("_found").cast("string"), F.lit(" similar patterns:\n\n"))
-    told = nested.select("query_id", F.concat(head, blocks).alias("hits_text"))
-    joined = queries.select("query_id").join(told, "query_id", "left")
-    return joined.withColumn("hits_text", _or("hits_text", texts.EMPTY_HITS))
+        head = F.concat(F.lit("Retrieved "), F.size("hits").cast("string"), F.lit(" similar patterns:\n\n"))
+    return found.withColumn("hits_text", F.when(none, texts.EMPTY_HITS).otherwise(F.concat(head, blocks)))
 
 
-def _closest_text(queries: DataFrame, hits: DataFrame) -> DataFrame:
-    facts = closest_hits(hits)
-
+def _closest_text() -> Column:
     def block(name: str, title: str, extra: Column, story: Column) -> Column:
         h = F.col(name)
         motion = F.filter(_entries(h["readings"]), lambda e: e["key"].isin(MOTION_READINGS))
@@ -150,45 +149,36 @@ def _closest_text(queries: DataFrame, hits: DataFrame) -> DataFrame:
             ),
         )
 
-    def told(label: str, text: Column) -> Column:
-        return F.when(text != "", F.concat(F.lit(f"- {label}: "), text, F.lit("\n"))).otherwise("")
-
     head = F.concat(
-        F.lit("Retrieved "), F.col("hits").cast("string"), F.lit(" similar patterns from the database:\n\nSummary: "),
+        F.lit("Retrieved "), F.col("n_hits").cast("string"),
+        F.lit(" similar patterns from the database:\n\nSummary: "),
         F.col("normal_hits").cast("string"), F.lit(" normal patterns, "),
         F.col("anomaly_hits").cast("string"), F.lit(" anomaly patterns\n\n"),
     )
     normal = block(
         "closest_normal", "CLOSEST NORMAL PATTERN", F.lit(""),
-        F.concat(told("Description", F.col("closest_normal.description")), F.lit("\n")),
+        F.concat(_labelled("Description", F.col("closest_normal.description")), F.lit("\n")),
     )
     kind = F.concat(F.lit("- Anomaly Type: "), _or("closest_anomaly.anomaly_type", "unknown"), F.lit("\n"))
     anomaly = block(
         "closest_anomaly", "CLOSEST ANOMALY PATTERN", kind,
-        told("Explanation", F.col("closest_anomaly.explanation")),
+        _labelled("Explanation", F.col("closest_anomaly.explanation")),
     )
-    text = facts.select("query_id", F.concat_ws("", head, normal, anomaly).alias("hits_text"))
-    joined = queries.select("query_id").join(text, "query_id", "left")
-    return joined.withColumn("hits_text", _or("hits_text", texts.EMPTY_HITS))
+    return F.concat_ws("", head, normal, anomaly)
 
 
 # --- guidance and deviations ---------------------------------------------------------
 
 
-def _anomaly_counts(queries: DataFrame, hits: DataFrame) -> DataFrame:
-    counts = hits.groupBy("query_id").agg(F.count_if("is_anomaly").alias("_anomalies"))
-    return queries.join(counts, "query_id", "left").withColumn("_anomalies", F.coalesce("_anomalies", F.lit(0)))
-
-
 def _anomaly_advice() -> Column:
     return F.when(
-        F.col("_anomalies") > 0, F.format_string(texts.SOME_ANOMALIES, F.col("_anomalies").cast("string"))
+        F.col("anomaly_hits") > 0, F.format_string(texts.SOME_ANOMALIES, F.col("anomaly_hits").cast("string"))
     ).otherwise(texts.NO_ANOMALIES)
 
 
-def guidance_text(samples: DataFrame, hits: DataFrame) -> DataFrame:
-    """Advice for wide samples: activity, known anomalies, kinds of sensors present."""
-    counted = _anomaly_counts(samples.select("query_id", "activity", "readings"), hits)
+def guidance_text(samples: DataFrame, hits: DataFrame | None = None) -> DataFrame:
+    """Add advice for wide samples: activity, known anomalies, kinds of sensors present."""
+    found = _found(samples, hits)
     names = F.map_keys(F.coalesce("readings", F.create_map().cast("map<string,double>")))
 
     def advice(kind: str, text: str) -> Column:
@@ -200,12 +190,13 @@ def guidance_text(samples: DataFrame, hits: DataFrame) -> DataFrame:
         _or("activity", "unknown activity"), F.lit("'.\n"), _anomaly_advice(),
         advice("acc", texts.ACCELEROMETER_ADVICE), advice("gyro", texts.GYROSCOPE_ADVICE),
     )
-    return counted.select("query_id", text.alias("guidance_text"))
+    return hit_summary(found).withColumn("guidance_text", text).select(*found.columns, "guidance_text")
 
 
-def reading_guidance(readings: DataFrame, hits: DataFrame, sensors: DataFrame) -> DataFrame:
-    """Advice for city readings: place, known anomalies, possible range, parameter."""
-    known = flag_range(_anomaly_counts(readings, hits), sensors)
+def reading_guidance(readings: DataFrame, sensors: DataFrame, hits: DataFrame | None = None) -> DataFrame:
+    """Add advice for city readings: place, known anomalies, possible range, parameter."""
+    found = _found(readings, hits)
+    known = flag_range(hit_summary(found), sensors)
     labels = F.array_join(F.array(_or("parameter", "unknown"), _or("sensor", "unknown"), _or("subsystem", "unknown")), ", ")
     span = F.when(
         F.col("hrf_minval").isNotNull() & F.col("hrf_maxval").isNotNull(),
@@ -219,49 +210,57 @@ def reading_guidance(readings: DataFrame, hits: DataFrame, sensors: DataFrame) -
         F.lit(" is defined by the following labels: "), labels, F.lit(".\n"), _anomaly_advice(),
         F.lit(texts.PLACE_ADVICE), span, special,
     )
-    return known.select("query_id", text.alias("guidance_text"))
+    return known.withColumn("guidance_text", text).select(*found.columns, "guidance_text")
 
 
-def deviations(samples: DataFrame, hits: DataFrame, hi: float = 50.0, mid: float = 20.0) -> DataFrame:
-    """Readings that differ from the closest normal pattern by more than ``mid`` percent.
+def _compared(hi: float, mid: float) -> Column:
+    """Readings beside those of the closest normal pattern, in the sample's order.
 
-    Both sides are unpivoted and joined on (query, reading name). A normal
-    reading of 0 has no percentage and counts as significant.
+    Both sides are maps in one row, so no join is needed. A normal reading of 0
+    has no percentage and counts as significant.
     """
-    normal = closest_hits(hits).select("query_id", F.explode("closest_normal.readings").alias("name", "normal"))
-    current = samples.select("query_id", F.explode("readings").alias("name", "current"))
-    change = F.try_divide(F.col("current") - F.col("normal"), F.col("normal")) * 100
-    away = F.coalesce(F.abs(change), F.lit(float("inf")))
-    level = F.when(away > hi, "SIGNIFICANT").when(away > mid, "MODERATE")
-    return (
-        current.join(normal, ["query_id", "name"])
-        .select("query_id", "name", "current", "normal", change.alias("change_pct"), level.alias("level"))
-        .filter(F.col("level").isNotNull())
-    )
+    normal = F.col("closest_normal.readings")
+
+    def one(e: Column) -> Column:
+        usual = F.try_element_at(normal, e["key"])
+        change = F.try_divide(e["value"] - usual, usual) * 100
+        away = F.coalesce(F.abs(change), F.lit(float("inf")))
+        level = F.when(usual.isNotNull() & (away > hi), "SIGNIFICANT").when(
+            usual.isNotNull() & (away > mid), "MODERATE"
+        )
+        return F.struct(
+            e["key"].alias("name"), e["value"].alias("current"), usual.alias("normal"),
+            change.alias("change_pct"), level.alias("level"),
+        )
 
+    return F.filter(F.transform(_entries("readings"), one), lambda d: d["level"].isNotNull())
+
+
+def deviations(
+    samples: DataFrame, hits: DataFrame | None = None, hi: float = 50.0, mid: float = 20.0
+) -> DataFrame:
+    """One row per reading that differs from the closest normal pattern by more than ``mid`` percent."""
+    facts = closest_hits(samples, hits)
+    return facts.select("query_id", F.inline(_compared(hi, mid)))
+
+
+def deviation_text(
+    samples: DataFrame, hits: DataFrame | None = None, hi: float = 50.0, mid: float = 20.0
+) -> DataFrame:
+    """Add the highlights paragraph: deviations, then the closest anomaly."""
+    found = _found(samples, hits)
+
+    def line(d: Column) -> Column:
+        signed = F.concat(F.when(d["change_pct"] >= 0, "+").otherwise(""), fixed_text(d["change_pct"], 1))
+        return F.concat(
+            F.lit("- "), d["name"], F.lit(": Current "), fixed_text(d["current"], 4), F.lit(" vs Normal "),
+            fixed_text(d["normal"], 4), F.lit(" ("), F.coalesce(signed, F.lit("+inf")), F.lit("%) ["), d["level"],
+            F.lit(" DEVIATION]\n"),
+        )
 
-def deviation_text(samples: DataFrame, hits: DataFrame) -> DataFrame:
-    """The highlights paragraph: deviations in the order of the sample, then the closest anomaly."""
-    facts = closest_hits(hits)
-    signed = F.coalesce(
-        F.concat(F.when(F.col("change_pct") >= 0, "+").otherwise(""), fixed_text("change_pct", 1)), F.lit("+inf")
-    )
-    line = F.concat(
-        F.lit("- "), F.col("name"), F.lit(": Current "), fixed_text("current", 4), F.lit(" vs Normal "),
-        fixed_text("normal", 4), F.lit(" ("), signed, F.lit("%) ["), F.col("level"), F.lit(" DEVIATION]\n"),
-    )
-    listed = deviations(samples, hits).select("query_id", "name", line.alias("line")).groupBy("query_id").agg(
-        F.map_from_entries(F.collect_list(F.struct("name", "line"))).alias("_lines")
-    )
-    joined = (
-        samples.select("query_id", "readings")
-        .join(facts.select("query_id", "closest_normal", "closest_anomaly"), "query_id", "left")
-        .join(listed, "query_id", "left")
-    )
-    ordered = F.transform(F.map_keys("readings"), lambda n: F.coalesce(F.try_element_at("_lines", n), F.lit("")))
     compared = F.when(
         F.col("closest_normal").isNotNull(),
-        F.concat(F.lit(texts.COMPARISON_HEAD), F.coalesce(F.array_join(ordered, ""), F.lit(""))),
+        F.concat(F.lit(texts.COMPARISON_HEAD), F.array_join(F.transform(_compared(hi, mid), line), "")),
     ).otherwise(texts.NO_COMPARISON)
     a = F.col("closest_anomaly")
     story = F.coalesce(F.when(a["explanation"] != "", a["explanation"]), a["description"], F.lit(""))
@@ -270,10 +269,11 @@ def deviation_text(samples: DataFrame, hits: DataFrame) -> DataFrame:
         F.concat(
             F.lit(texts.KNOWN_ANOMALY_HEAD + "- Distance: "), fixed_text(a["distance"], 4),
             F.lit("\n- Type: "), F.coalesce(a["anomaly_type"], F.lit("unknown")), F.lit("\n"),
-            F.when(story != "", F.concat(F.lit("- Description: "), story, F.lit("\n"))).otherwise(""),
+            _labelled("Description", story),
         ),
     ).otherwise("")
-    return joined.select("query_id", F.concat(F.lit(texts.HIGHLIGHTS_HEAD), compared, known).alias("deviation_text"))
+    told = closest_hits(found).withColumn("deviation_text", F.concat(F.lit(texts.HIGHLIGHTS_HEAD), compared, known))
+    return told.select(*found.columns, "deviation_text")
 
 
 # --- prompts ---------------------------------------------------------------------------
@@ -285,49 +285,47 @@ def _prompt(df: DataFrame, kind: str, task: str, sections: dict[str, str]) -> Da
     return df.select("query_id", F.lit(kind).alias("prompt_kind"), text.alias("prompt"))
 
 
-def augmented_prompts(samples: DataFrame, hits: DataFrame, task: str = texts.AUGMENTED_TASK) -> DataFrame:
-    df = (
-        sample_text(samples).select("query_id", "sample_text")
-        .join(hits_text(samples, hits), "query_id")
-        .join(guidance_text(samples, hits), "query_id")
-        .join(deviation_text(samples, hits), "query_id")
-    )
+def augmented_prompts(
+    samples: DataFrame, hits: DataFrame | None = None, task: str = texts.AUGMENTED_TASK
+) -> DataFrame:
+    df = deviation_text(guidance_text(hits_text(sample_text(_found(samples, hits)))))
     sections = {
         "sample_text": "SENSOR DATA", "hits_text": "RETRIEVED CONTEXT", "guidance_text": "", "deviation_text": "",
     }
     return _prompt(df, "augmented", task, sections)
 
 
-def contextual_prompts(samples: DataFrame, hits: DataFrame, task: str = texts.CONTEXTUAL_TASK) -> DataFrame:
+def contextual_prompts(
+    samples: DataFrame, hits: DataFrame | None = None, task: str = texts.CONTEXTUAL_TASK
+) -> DataFrame:
     context = F.concat(
         F.lit("Context: Host "), _or("host_id", "unknown"), F.lit(" performing "), _or("activity", "unknown"),
         F.lit("\n"),
     )
-    df = (
-        sample_text(samples, "contextual").select("query_id", "sample_text", context.alias("context_text"))
-        .join(hits_text(samples, hits, "contextual"), "query_id")
-    )
+    df = hits_text(sample_text(_found(samples, hits), "contextual"), style="contextual")
     sections = {
         "sample_text": "CURRENT PATTERN", "context_text": "CONTEXT INFORMATION",
         "hits_text": "SIMILAR PATTERNS FROM DATABASE",
     }
-    return _prompt(df, "contextual", task, sections)
+    return _prompt(df.withColumn("context_text", context), "contextual", task, sections)
 
 
-def explanation_prompts(samples: DataFrame, hits: DataFrame, task: str = texts.EXPLANATION_TASK) -> DataFrame:
-    df = sample_text(samples, "explanation").select("query_id", "sample_text").join(
-        hits_text(samples, hits, "explanation"), "query_id"
-    )
+def explanation_prompts(
+    samples: DataFrame, hits: DataFrame | None = None, task: str = texts.EXPLANATION_TASK
+) -> DataFrame:
+    df = hits_text(sample_text(_found(samples, hits), "explanation"), style="explanation")
     return _prompt(
         df, "explanation", task, {"sample_text": "CURRENT PATTERN", "hits_text": "CONTEXT FROM DATABASE"}
     )
 
 
 def anomaly_prompts(
-    samples: DataFrame, hits: DataFrame, threshold: float = SEMANTIC_THRESHOLD, task: str = texts.ONE_SHOT_TASK
+    samples: DataFrame,
+    hits: DataFrame | None = None,
+    threshold: float = SEMANTIC_THRESHOLD,
+    task: str = texts.ONE_SHOT_TASK,
 ) -> DataFrame:
     """One prompt with sample and hits as JSON, the first ten motion sensors and the threshold."""
-    sample = F.to_json(F.struct("host_id", "activity", "ts", "readings"))
     names = F.map_keys(F.coalesce("readings", F.create_map().cast("map<string,double>")))
 
     def is_key(n: Column) -> Column:
@@ -337,11 +335,10 @@ def anomaly_prompts(
         return hit
 
     key_sensors = F.array_join(F.slice(F.filter(names, is_key), 1, 10), ", ")
-    listed = _nested_hits(hits).select("query_id", F.to_json("_hits").alias("_json"))
-    df = samples.join(listed, "query_id", "left").select(
+    df = _found(samples, hits).select(
         "query_id",
-        sample.alias("sample_json"),
-        F.coalesce("_json", F.lit("[]")).alias("hits_json"),
+        F.to_json(F.struct("host_id", "activity", "ts", "readings")).alias("sample_json"),
+        F.to_json("hits").alias("hits_json"),
         F.concat(
             F.lit('The readings are from "'), _or("host_id", "unknown user"), F.lit('" doing "'),
             _or("activity", "unknown activity"), F.lit('".\nKey sensors: '), key_sensors,

@@ -1,18 +1,20 @@
 """Nearest patterns per query: exact, filtered, host-first and approximate.
 
-A pattern table below a measured size is broadcast once and every query batch
-is searched where it lies, without a shuffle. A larger one meets the queries in
-blocks of bounded size (``pair_blocks``). Either way a task only emits the best
-``k`` patterns per query and block; query-pattern pairs never become rows.
+A pattern table below a measured size is broadcast once; every query is then
+searched and ranked where it lies, and its hits travel with it as an array, so
+nothing is shuffled. A larger table meets the queries in blocks of bounded size
+(``pair_blocks``). Either way a task only emits the best ``k`` patterns per
+query and block; query-pattern pairs never become rows.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterable, Sequence
+from collections.abc import Iterable, Sequence
 from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame, Window
@@ -62,19 +64,29 @@ def _best(rows: np.ndarray, ids: np.ndarray, distances: np.ndarray, k: int) -> n
     return order[np.arange(len(order)) - starts < k]
 
 
+Found = tuple[np.ndarray, np.ndarray, np.ndarray]
+
+
+def _joined(parts: list[Found]) -> Found:
+    if not parts:
+        return np.empty(0, "int64"), np.empty(0, "int64"), np.empty(0)
+    return tuple(np.concatenate(part) for part in zip(*parts))
+
+
 def nearest(
     query_ids: np.ndarray, queries: np.ndarray, ids: np.ndarray, vectors: np.ndarray, k: int, exclude_self: bool
-) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Exact top ``k``: a matrix product narrows down, the difference form decides.
+) -> Found:
+    """Exact top ``k`` as (query place, pattern place, squared distance).
 
-    The product form is off by at most ``slack``, so every true hit lies
-    within twice that of its k-th smallest value.
+    A matrix product narrows down, the difference form decides: the product is
+    off by at most ``slack``, so every true hit lies within twice that of its
+    k-th smallest value.
     """
-    out: list[tuple] = []
     if not len(ids) or not len(query_ids):
-        return (np.empty(0, "int64"), np.empty(0, "int64"), np.empty(0))
+        return _joined([])
     if queries.shape[1] != vectors.shape[1]:
         raise ValueError(f"query size {queries.shape[1]} differs from pattern size {vectors.shape[1]}")
+    out = []
     norms = (vectors * vectors).sum(1)
     step = max(1, CHUNK_CELLS // len(ids))
     for at in range(0, len(query_ids), step):
@@ -91,18 +103,16 @@ def nearest(
             r, c = rows[p : p + (1 << 18)], cols[p : p + (1 << 18)]
             exact[p : p + (1 << 18)] = _squared(q[r], vectors[c])
         keep = _best(rows, ids[cols], exact, k)
-        out.append((qid[rows[keep]], ids[cols[keep]], exact[keep]))
-    return tuple(np.concatenate(part) for part in zip(*out))
+        out.append((at + rows[keep], cols[keep], exact[keep]))
+    return _joined(out)
 
 
-def _hits(parts: Iterable[tuple]) -> pa.Table:
-    parts = list(parts)
-    cols = [np.concatenate(p) for p in zip(*parts)] if parts else [[], [], []]
+def _hits(query_ids: np.ndarray, pattern_ids: np.ndarray, distances: np.ndarray) -> pa.Table:
     return pa.table(
         {
-            "query_id": pa.array(cols[0], pa.int64()),
-            "pattern_id": pa.array(cols[1], pa.int64()),
-            "distance": pa.array(cols[2], pa.float64()),
+            "query_id": pa.array(query_ids, pa.int64()),
+            "pattern_id": pa.array(pattern_ids, pa.int64()),
+            "distance": pa.array(distances, pa.float64()),
         }
     )
 
@@ -110,62 +120,102 @@ def _hits(parts: Iterable[tuple]) -> pa.Table:
 def _rows_by_key(keys: list) -> dict:
     groups: dict = {}
     for i, key in enumerate(keys):
-        groups.setdefault(key, []).append(i)
+        if key is not None:
+            groups.setdefault(key, []).append(i)
     return {key: np.array(rows) for key, rows in groups.items()}
 
 
-# --- exact search -----------------------------------------------------------------
+class _Store(NamedTuple):
+    """A pattern table small enough to be everywhere."""
 
+    ids: np.ndarray
+    vectors: np.ndarray
+    keys: list
+    groups: dict
+    meta: pa.Table
 
-def _search_broadcast(q: DataFrame, p: DataFrame, by: list[str], k: int, exclude_self: bool) -> DataFrame:
-    table = p.toArrow()
-    ids = table["pattern_id"].to_numpy()
-    vectors = _vectors(table["embedding"])
-    keys = table.column(by[0]).to_pylist() if by else [None] * len(ids)
-    groups = _rows_by_key(keys) if by else {None: np.arange(len(ids))}
-    shared = q.sparkSession.sparkContext.broadcast((ids, vectors, groups))
+    def everywhere(self, qid: np.ndarray, q: np.ndarray, rows: np.ndarray, k: int, exclude_self: bool) -> Found:
+        row, col, far = nearest(qid[rows], q[rows], self.ids, self.vectors, k, exclude_self)
+        return rows[row], col, far
 
-    def search(batches: Iterable[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
-        ids, vectors, groups = shared.value
-        for batch in batches:
-            qid = batch.column("query_id").to_numpy(zero_copy_only=False)
-            q = _vectors(batch.column("embedding"))
-            wanted = _rows_by_key(batch.column(by[0]).to_pylist()) if by else {None: np.arange(len(qid))}
-            parts = [
-                nearest(qid[rows], q[rows], ids[groups[key]], vectors[groups[key]], k, exclude_self)
-                for key, rows in wanted.items()
-                if key in groups and len(rows)
-            ]
-            yield from _hits(parts).to_batches()
+    def within_key(self, qid: np.ndarray, q: np.ndarray, keys: list, k: int, exclude_self: bool) -> Found:
+        parts = []
+        for key, rows in _rows_by_key(keys).items():
+            mine = self.groups.get(key)
+            if mine is not None:
+                row, col, far = nearest(qid[rows], q[rows], self.ids[mine], self.vectors[mine], k, exclude_self)
+                parts.append((rows[row], mine[col], far))
+        return _joined(parts)
+
+    def host_first(self, qid: np.ndarray, q: np.ndarray, keys: list, k: int, exclude_self: bool, post: bool) -> Found:
+        """Own hits, then hits of other hosts where own ones are fewer than ``k // 2``."""
+        every = np.arange(len(qid))
+        if post:
+            near = self.everywhere(qid, q, every, k, exclude_self)
+        else:
+            near = self.within_key(qid, q, keys, k, exclude_self)
+        owned = np.array([keys[r] is not None and self.keys[c] == keys[r] for r, c in zip(near[0], near[1])], bool)
+        first = tuple(part[owned] for part in near)
+        counts = np.bincount(first[0], minlength=len(qid))
+        homeless = np.array([key is None for key in keys], bool)
+        lacking = np.flatnonzero((counts < k // 2) | homeless)
+        if post:
+            fill = tuple(part[~owned & np.isin(near[0], lacking)] for part in near)
+        else:
+            fill = self.everywhere(qid, q, lacking, k, exclude_self)
+            other = np.array([keys[r] is None or self.keys[c] != keys[r] for r, c in zip(fill[0], fill[1])], bool)
+            fill = tuple(part[other] for part in fill)
+        row, col, far = _joined([first, fill])
+        general = np.repeat([0, 1], [len(first[0]), len(fill[0])])
+        order = np.lexsort((self.ids[col], far, general, row))
+        place = np.arange(len(order)) - np.searchsorted(row[order], row[order], side="left")
+        keep = order[place < k]
+        return row[keep], col[keep], far[keep]
+
+
+def _places(rows: np.ndarray) -> np.ndarray:
+    """Rank within each run of equal row numbers, from 1."""
+    return np.arange(len(rows)) - np.searchsorted(rows, rows, side="left") + 1
+
+
+# --- small or large store ---------------------------------------------------------------
+
+
+def _meta_columns(patterns: DataFrame) -> list[Column]:
+    """The carried columns, NULL where the pattern table lacks one."""
+    types = dict(zip(HIT_COLUMNS, ["string", "string", "string", "boolean", *["string"] * 3, "map<string,double>"]))
+    return [
+        (F.col(c) if c in patterns.columns else F.lit(None)).cast(types[c]).alias(c) for c in HIT_COLUMNS
+    ]
 
-    return q.mapInArrow(search, HIT_SCHEMA)
 
+def _stored_size(patterns: DataFrame, columns: list[str]) -> int:
+    vectors = F.sum(F.size("embedding")) * 8
+    others = F.sum(F.octet_length(F.to_json(F.struct(*columns)))) if columns else F.lit(0)
+    size = patterns.agg(F.coalesce(vectors, F.lit(0)).alias("v"), F.coalesce(others, F.lit(0)).alias("o")).first()
+    return size["v"] + size["o"]
 
-def _search_blocks(
-    q: DataFrame, p: DataFrame, by: list[str], k: int, exclude_self: bool, rows_per_block: int
-) -> DataFrame:
-    def search(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
-        if not left.num_rows or not right.num_rows:
-            return _hits([])
-        found = nearest(
-            left["query_id"].to_numpy(), _vectors(left["embedding"]),
-            right["pattern_id"].to_numpy(), _vectors(right["embedding"]), k, exclude_self,
-        )
-        return _hits([found])
 
-    return pair_blocks(
-        q, p, by, "query_id", "pattern_id", search, HIT_SCHEMA, rows_per_block, rows_per_block
+def _shared_store(patterns: DataFrame, key: str | None, meta: bool, max_bytes: int) -> Broadcast | None:
+    """The patterns as a broadcast, or None when they are too large for one."""
+    columns = [F.col("pattern_id").cast("bigint").alias("pattern_id"), "embedding"]
+    if key:
+        columns.append(F.col(key).alias("_key"))
+    known = patterns.filter(F.col("embedding").isNotNull())
+    carried = [c for c in HIT_COLUMNS if c in patterns.columns] if meta else [key] if key else []
+    if _stored_size(known, carried) > max_bytes:
+        return None
+    table = known.select(*columns, *(_meta_columns(patterns) if meta else [])).toArrow()
+    keys = table["_key"].to_pylist() if key else []
+    store = _Store(
+        table["pattern_id"].to_numpy(), _vectors(table["embedding"]), keys, _rows_by_key(keys),
+        table.select(HIT_COLUMNS).combine_chunks() if meta else table.select([]),
     )
+    return patterns.sparkSession.sparkContext.broadcast(store)
 
 
-def _candidates(
-    queries: DataFrame,
-    patterns: DataFrame,
-    k: int,
-    by: str | None = None,
-    exclude_self: bool = False,
-    max_broadcast_bytes: int = BROADCAST_VECTOR_BYTES,
-    rows_per_block: int = 20_000,
+def _search_blocks(
+    queries: DataFrame, patterns: DataFrame, k: int, by: str | None, exclude_self: bool, rows_per_block: int
 ) -> DataFrame:
     """The best ``k`` patterns of every query and block, still unranked."""
     keys = [by] if by else []
@@ -173,10 +223,17 @@ def _candidates(
     p = patterns.select(F.col("pattern_id").cast("bigint"), *keys, "embedding")
     for c in ["embedding", *keys]:
         q, p = q.filter(F.col(c).isNotNull()), p.filter(F.col(c).isNotNull())
-    size = p.agg(F.coalesce(F.sum(F.size("embedding")), F.lit(0)).alias("cells")).first()
-    if size["cells"] * 8 <= max_broadcast_bytes:
-        return _search_broadcast(q, p, keys, k, exclude_self)
-    return _search_blocks(q, p, keys, k, exclude_self, rows_per_block)
+
+    def search(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
+        if not left.num_rows or not right.num_rows:
+            return _hits([], [], [])
+        qid, ids = left["query_id"].to_numpy(), right["pattern_id"].to_numpy()
+        row, col, far = nearest(
+            qid, _vectors(left["embedding"]), ids, _vectors(right["embedding"]), k, exclude_self
+        )
+        return _hits(qid[row], ids[col], far)
+
+    return pair_blocks(q, p, keys, "query_id", "pattern_id", search, HIT_SCHEMA, rows_per_block, rows_per_block)
 
 
 def _ranked(hits: DataFrame, k: int, group: Sequence[str] = ("query_id",)) -> DataFrame:
@@ -191,6 +248,9 @@ def with_patterns(hits: DataFrame, patterns: DataFrame) -> DataFrame:
     return dimension_join(hits, patterns.select("pattern_id", *meta), ["pattern_id"])
 
 
+# --- exact search -----------------------------------------------------------------
+
+
 def knn(
     queries: DataFrame,
     patterns: DataFrame,
@@ -227,13 +287,38 @@ def knn(
 
     if where is not None:
         patterns = patterns.filter(where)
-    hits = _candidates(queries, patterns, k, by, exclude_self, max_broadcast_bytes, rows_per_block)
-    ranked = _ranked(hits, k)
+    shared = _shared_store(patterns, by, False, max_broadcast_bytes)
+    if shared is None:
+        ranked = _ranked(_search_blocks(queries, patterns, k, by, exclude_self, rows_per_block), k)
+    else:
+        ranked = _knn_shared(queries, shared, k, by, exclude_self)
     if metric == "l2":
         ranked = ranked.withColumn("distance", F.sqrt("distance"))
     return ranked.select("query_id", "rank", "pattern_id", "distance")
 
 
+def _knn_shared(queries: DataFrame, shared: Broadcast, k: int, by: str | None, exclude_self: bool) -> DataFrame:
+    """Every task ranks its own queries completely, so nothing is shuffled."""
+    keys = [by] if by else []
+
+    def search(batches: Iterable[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
+        store = shared.value
+        for batch in batches:
+            qid = batch.column("query_id").to_numpy(zero_copy_only=False)
+            q = _vectors(batch.column("embedding"))
+            if by:
+                row, col, far = store.within_key(qid, q, batch.column(by).to_pylist(), k, exclude_self)
+                order = np.argsort(row, kind="stable")
+                row, col, far = row[order], col[order], far[order]
+            else:
+                row, col, far = store.everywhere(qid, q, np.arange(len(qid)), k, exclude_self)
+            table = _hits(qid[row], store.ids[col], far)
+            yield from table.append_column("rank", pa.array(_places(row), pa.int32())).to_batches()
+
+    q = queries.filter(F.col("embedding").isNotNull())
+    return q.select(F.col("query_id").cast("bigint"), *keys, "embedding").mapInArrow(search, HIT_SCHEMA + ", rank int")
+
+
 def knn_same_host(queries: DataFrame, patterns: DataFrame, k: int = 5, **options) -> DataFrame:
     return knn(queries, patterns, k, by="host_id", **options)
 
@@ -249,52 +334,160 @@ def knn_anomalies(queries: DataFrame, patterns: DataFrame, k: int = 5, **options
 # --- host-first retrieval -----------------------------------------------------------
 
 
-def _merge_host_first(hits: DataFrame, k: int) -> DataFrame:
-    order = Window.partitionBy("query_id").orderBy("_general", "distance", "pattern_id")
-    return hits.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
-
-
 def retrieve(
-    queries: DataFrame, patterns: DataFrame, k: int = 5, mode: str = "pre", **options
+    queries: DataFrame,
+    patterns: DataFrame,
+    k: int = 5,
+    mode: str = "pre",
+    exclude_self: bool = False,
+    max_broadcast_bytes: int = BROADCAST_VECTOR_BYTES,
+    rows_per_block: int = 20_000,
 ) -> DataFrame:
+    """The queries with a column ``hits``: what ``retrieve_rows`` gives, as an array by rank.
+
+    With a small pattern table this is one pass over the queries without a
+    shuffle. Pass a stored pattern table: it is read more than once.
+    """
+    shared = _shared_store(patterns, "host_id", True, max_broadcast_bytes)
+    if shared is None:
+        return attach_hits(
+            queries, _host_first_blocks(queries, patterns, k, mode, exclude_self, rows_per_block)
+        )
+    return _host_first_shared(queries, shared, k, mode, exclude_self)
+
+
+def retrieve_rows(queries: DataFrame, patterns: DataFrame, k: int = 5, **options) -> DataFrame:
     """Hits of the query's own host first; below ``k // 2`` of them other hosts fill up.
 
     The fill comes from the unrestricted top ``k``. A query without a host gets
-    that top ``k`` as it is. The general search only runs for queries that need
-    it: the number of own hits follows from the patterns per host.
+    that top ``k`` as it is. With ``mode="post"`` the host's hits are those
+    among the unrestricted top ``k``. One row per hit.
+    """
+    return retrieve(queries, patterns, k, **options).select("query_id", F.inline("hits"))
+
+
+def _host_first_shared(
+    queries: DataFrame, shared: Broadcast, k: int, mode: str, exclude_self: bool
+) -> DataFrame:
+    names = [c for c in queries.columns if c != "hits"]
+    rows = queries.select(*names)
+    schema = T.StructType([*rows.schema.fields, T.StructField("hits", T.ArrayType(_hit_type()))])
+    dim_type = pa.list_(pa.float64())
+
+    def search(batches: Iterable[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
+        store = shared.value
+        for batch in batches:
+            n = batch.num_rows
+            column = batch.column("embedding")
+            known = np.flatnonzero(column.is_valid().to_numpy(zero_copy_only=False))
+            ids = batch.column("query_id").to_numpy(zero_copy_only=False)
+            q = _vectors(column.take(pa.array(known)).cast(dim_type)) if len(known) else np.empty((0, 0))
+            keys = batch.column("host_id").take(pa.array(known)).to_pylist()
+            row, col, far = store.host_first(ids[known], q, keys, k, exclude_self, mode == "post")
+            row = known[row] if len(row) else row
+            taken = store.meta.take(pa.array(col, pa.int64())).combine_chunks()
+            hit = pa.StructArray.from_arrays(
+                [
+                    pa.array(_places(row), pa.int32()), pa.array(store.ids[col], pa.int64()), pa.array(far),
+                    *[_plain(taken[c]) for c in HIT_COLUMNS],
+                ],
+                names=["rank", "pattern_id", "distance", *HIT_COLUMNS],
+            )
+            ends = np.concatenate([[0], np.cumsum(np.bincount(row, minlength=n))])
+            hits = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), hit)
+            yield pa.RecordBatch.from_arrays([*batch.columns, hits], names=[*names, "hits"])
+
+    return rows.mapInArrow(search, schema)
+
+
+def _plain(column: pa.ChunkedArray | pa.Array) -> pa.Array:
+    if isinstance(column, pa.ChunkedArray):
+        return column.chunk(0) if column.num_chunks == 1 else pa.concat_arrays(column.chunks) if column.num_chunks else pa.array([], column.type)
+    return column
+
+
+def _hit_type() -> T.StructType:
+    text = T.StringType()
+    return T.StructType(
+        [
+            T.StructField("rank", T.IntegerType()),
+            T.StructField("pattern_id", T.LongType()),
+            T.StructField("distance", T.DoubleType()),
+            T.StructField("host_id", text),
+            T.StructField("activity", text),
+            T.StructField("ts", text),
+            T.StructField("is_anomaly", T.BooleanType()),
+            T.StructField("anomaly_type", text),
+            T.StructField("description", text),
+            T.StructField("explanation", text),
+            T.StructField("readings", T.MapType(text, T.DoubleType())),
+        ]
+    )
+
+
+def _host_first_blocks(
+    queries: DataFrame, patterns: DataFrame, k: int, mode: str, exclude_self: bool, rows_per_block: int
+) -> DataFrame:
+    """Host-first retrieval from a large store, one row per hit.
+
+    The general search only runs for queries that need it: how many own hits
+    there will be follows from the patterns per host.
     """
     own = queries.select(F.col("query_id").cast("bigint").alias("query_id"), F.col("host_id").alias("_own"))
     need = k // 2
     if mode == "post":
-        general = with_patterns(knn(queries, patterns, k, **options).drop("rank"), patterns)
-        marked = general.join(own, "query_id").withColumn(
+        near = _ranked(_search_blocks(queries, patterns, k, None, exclude_self, rows_per_block), k).drop("rank")
+        marked = with_patterns(near, patterns).join(own, "query_id").withColumn(
             "_general", F.coalesce(F.col("host_id") != F.col("_own"), F.lit(True))
         )
         hosts = F.count_if(~F.col("_general")).over(Window.partitionBy("query_id"))
         fill = F.col("_own").isNull() | (hosts < need)
-        kept = marked.withColumn("_fill", fill).filter(~F.col("_general") | F.col("_fill")).drop("_fill")
-        return _merge_host_first(kept, k).drop("_general", "_own")
-
-    per_host = patterns.filter(F.col("embedding").isNotNull()).groupBy("host_id").agg(
-        F.count(F.lit(1)).alias("_patterns")
-    )
-    counted = dimension_join(queries, per_host, ["host_id"])
-    if options.get("exclude_self"):
-        itself = patterns.select(F.col("pattern_id").alias("query_id"), "host_id", F.lit(1).alias("_itself"))
-        counted = counted.join(itself, ["query_id", "host_id"], "left").withColumn(
-            "_patterns", F.col("_patterns") - F.coalesce("_itself", F.lit(0))
+        kept = marked.withColumn("_fill", fill).filter(~F.col("_general") | F.col("_fill"))
+    else:
+        per_host = patterns.filter(F.col("embedding").isNotNull()).groupBy("host_id").agg(
+            F.count(F.lit(1)).alias("_patterns")
         )
-    short = F.coalesce(F.col("_patterns"), F.lit(0)) < need
-    lacking = counted.filter(short | F.col("host_id").isNull()).select(queries.columns)
-
-    first = _candidates(queries, patterns, k, "host_id", **options).withColumn("_general", F.lit(False))
-    fill = _candidates(lacking, patterns, k, **options).withColumn("_general", F.lit(True))
-    both = _ranked(first.unionByName(fill), k, ["query_id", "_general"]).drop("rank")
-    hits = with_patterns(both, patterns)
-    others = hits.join(own, "query_id").filter(
-        ~F.col("_general") | F.col("_own").isNull() | (F.col("host_id") != F.col("_own"))
-    )
-    return _merge_host_first(others, k).drop("_general", "_own")
+        counted = dimension_join(queries.select("query_id", "host_id", "embedding"), per_host, ["host_id"])
+        if exclude_self:
+            itself = patterns.select(F.col("pattern_id").alias("query_id"), "host_id", F.lit(1).alias("_itself"))
+            counted = counted.join(itself, ["query_id", "host_id"], "left").withColumn(
+                "_patterns", F.col("_patterns") - F.coalesce("_itself", F.lit(0))
+            )
+        short = F.coalesce(F.col("_patterns"), F.lit(0)) < need
+        lacking = counted.filter(short | F.col("host_id").isNull()).select("query_id", "host_id", "embedding")
+        first = _search_blocks(queries, patterns, k, "host_id", exclude_self, rows_per_block)
+        fill = _search_blocks(lacking, patterns, k, None, exclude_self, rows_per_block)
+        both = first.withColumn("_general", F.lit(False)).unionByName(fill.withColumn("_general", F.lit(True)))
+        best = _ranked(both, k, ["query_id", "_general"]).drop("rank")
+        kept = with_patterns(best, patterns).join(own, "query_id").filter(
+            ~F.col("_general") | F.col("_own").isNull() | (F.col("host_id") != F.col("_own"))
+        )
+    order = Window.partitionBy("query_id").orderBy("_general", "distance", "pattern_id")
+    ranked = kept.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+    return ranked.select("query_id", "rank", "pattern_id", "distance", *_meta_columns(ranked))
+
+
+def attach_hits(queries: DataFrame, hits: DataFrame) -> DataFrame:
+    """One row per hit gathered into a ``hits`` array per query; a query has few hits."""
+    if "hits" in queries.columns:
+        return queries
+    rank = F.col("rank") if "rank" in hits.columns else F.lit(0)
+    hit = F.struct(rank.cast("int").alias("rank"), "pattern_id", "distance", *_meta_columns(hits))
+
+    def earlier(a: Column, b: Column) -> Column:
+        def less(x: Column, y: Column) -> Column:
+            return (
+                (x["rank"] < y["rank"])
+                | ((x["rank"] == y["rank"]) & (x["distance"] < y["distance"]))
+                | ((x["rank"] == y["rank"]) & (x["distance"] == y["distance"]) & (x["pattern_id"] < y["pattern_id"]))
+            )
+
+        return F.when(less(a, b), -1).when(less(b, a), 1).otherwise(0)
+
+    nested = hits.groupBy("query_id").agg(F.array_sort(F.collect_list(hit), earlier).alias("hits"))
+    joined = queries.join(nested, "query_id", "left")
+    empty = F.array().cast(nested.schema["hits"].dataType)
+    return joined.withColumn("hits", F.coalesce("hits", empty))
 
 
 def top_hits(hits: DataFrame, n: int) -> DataFrame:
@@ -394,7 +587,7 @@ def ivfpq_search(
 
     def search(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
         if not left.num_rows or not right.num_rows:
-            return _hits([])
+            return _hits([], [], [])
         qid, rest = left["query_id"].to_numpy(), _vectors(left["rest"])
         ids = right["pattern_id"].to_numpy()
         codes = _vectors(right["codes"]).astype("int64")
@@ -409,7 +602,7 @@ def ivfpq_search(
             rows, cols = np.nonzero(far <= kth[:, None])
             keep = _best(rows, ids[cols], far[rows, cols], k)
             parts.append((qid[at + rows[keep]], ids[cols[keep]], far[rows[keep], cols[keep]]))
-        return _hits(parts)
+        return _hits(*_joined(parts))
 
     hits = pair_blocks(
         probes, index.codes, ["cell"], "query_id", "pattern_id", search, HIT_SCHEMA, rows_per_block, rows_per_block

@@ -10,7 +10,7 @@ from gaugewatch.operators import clean, features, patterns, profiling, retrieval
 from gaugewatch.plans import tables as t
 from gaugewatch.plans.profiles import HELD
 from gaugewatch.plans.tables import r
-from gaugewatch.session import fresh_path
+from gaugewatch.session import cut, fresh_path
 from gaugewatch.sources import store
 
 K = 5
@@ -179,7 +179,8 @@ knn_same_host = _search(lambda q, p: retrieval.knn_same_host(q, p, K, exclude_se
 def knn_wide_host(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Open orders against the finished ones of the same customer."""
     open_orders = wide_samples(spark, sf_dir).filter(F.col("status") != "F")
-    return t.tidy(retrieval.knn_same_host(open_orders, wide_patterns(spark, sf_dir), K), WIDE_DIGITS)
+    known = cut(wide_patterns(spark, sf_dir))
+    return t.tidy(retrieval.knn_same_host(open_orders, known, K), WIDE_DIGITS)
 
 
 _SQ = "list_sum(list_transform(list_zip({a}, {b}), lambda z: (z[1] - z[2]) * (z[1] - z[2])))"
@@ -192,18 +193,27 @@ FROM pairs QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY distance, p
 
 
 def retrieve(spark: SparkSession, sf_dir: str) -> DataFrame:
-    hits = retrieval.retrieve(
+    hits = retrieval.retrieve_rows(
         t.vector_queries(spark, sf_dir), t.vector_patterns(spark, sf_dir), K, exclude_self=True
     )
     return t.tidy(hits.select("query_id", "rank", "pattern_id", "distance", "host_id", "is_anomaly"))
 
 
+def retrieve_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same as ``retrieve`` for a store that is too large to be everywhere."""
+    hits = retrieval.retrieve_rows(
+        t.vector_queries(spark, sf_dir), t.vector_patterns(spark, sf_dir), K,
+        exclude_self=True, max_broadcast_bytes=0, rows_per_block=300,
+    )
+    return t.tidy(hits.select("query_id", "rank", "pattern_id", "distance", "host_id", "is_anomaly"))
+
+
 RETRIEVE = f"""WITH {t.HOST_FIRST}
 SELECT query_id, rank, pattern_id, {r('distance')} AS distance, host_id, is_anomaly FROM hits"""
 
 
 def retrieve_post(spark: SparkSession, sf_dir: str) -> DataFrame:
-    hits = retrieval.retrieve(
+    hits = retrieval.retrieve_rows(
         t.vector_queries(spark, sf_dir), t.vector_patterns(spark, sf_dir), K, mode="post", exclude_self=True
     )
     return t.tidy(hits.select("query_id", "rank", "pattern_id", "distance"))
@@ -217,7 +227,7 @@ SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY general, dist
 
 
 def top_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    hits = retrieval.retrieve(
+    hits = retrieval.retrieve_rows(
         t.vector_queries(spark, sf_dir), t.vector_patterns(spark, sf_dir), K, exclude_self=True
     )
     return t.tidy(retrieval.top_hits(hits, 3).select("query_id", "place", "pattern_id", "activity"))
@@ -266,6 +276,7 @@ QUERIES = {
     "knn_same_host": (knn_same_host, _search_sql("host_id = own_host")),
     "knn_wide_host": (knn_wide_host, KNN_WIDE_HOST),
     "retrieve": (retrieve, RETRIEVE),
+    "retrieve_blocks": (retrieve_blocks, RETRIEVE),
     "retrieve_post": (retrieve_post, RETRIEVE_POST),
     "top_hits": (top_hits, TOP_HITS),
     "ivfpq_search": (ivfpq_search, None),

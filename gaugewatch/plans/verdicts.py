@@ -25,9 +25,11 @@ from gaugewatch.sources import store
 THRESHOLD = t.EMBEDDING_THRESHOLD
 
 
-def _hits(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    queries = t.vector_queries(spark, sf_dir)
-    return queries, retrieval.retrieve(queries, t.vector_patterns(spark, sf_dir), K, exclude_self=True)
+def _found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every vector with its hits."""
+    return retrieval.retrieve(
+        t.vector_queries(spark, sf_dir), t.vector_patterns(spark, sf_dir), K, exclude_self=True
+    )
 
 
 # --- distance rules -------------------------------------------------------------------
@@ -71,17 +73,19 @@ SEMANTIC_CTE = f"{t.HOST_FIRST}, {_semantic_cte(THRESHOLD)}"
 
 
 def hit_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return detect.hit_summary(_hits(spark, sf_dir)[1])
+    counted = detect.hit_summary(_found(spark, sf_dir))
+    return t.tidy(counted.select("query_id", F.col("n_hits").alias("hits"), "normal_hits", "anomaly_hits"))
 
 
 HIT_SUMMARY = f"WITH {SEMANTIC_CTE} SELECT query_id, hits, normal_hits, anomaly_hits FROM facts"
 
 
 def semantic_match(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = detect.semantic_match(*_hits(spark, sf_dir), THRESHOLD)
+    found = detect.semantic_match(_found(spark, sf_dir), threshold=THRESHOLD)
     return t.tidy(
         found.select(
-            "query_id", "hits", "min_normal_distance", "min_anomaly_distance", "semantic_anomaly", "anomaly_reason",
+            "query_id", F.col("n_hits").alias("hits"), "min_normal_distance", "min_anomaly_distance",
+            "semantic_anomaly", "anomaly_reason",
             F.coalesce("closest_normal.pattern_id", F.lit(-1)).alias("normal_id"),
             F.coalesce("closest_anomaly.pattern_id", F.lit(-1)).alias("anomaly_id"),
         )
@@ -96,7 +100,7 @@ FROM semantic"""
 
 def rule_verdict(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The flagship: retrieve, compare distances, decide by rules."""
-    verdict = detect.rule_verdict(detect.semantic_match(*_hits(spark, sf_dir), THRESHOLD), THRESHOLD)
+    verdict = detect.rule_verdict(detect.semantic_match(_found(spark, sf_dir), threshold=THRESHOLD), THRESHOLD)
     return t.tidy(verdict.select("query_id", "is_anomaly", "confidence", "anomaly_type", "explanation"))
 
 
@@ -105,7 +109,8 @@ SELECT query_id, is_anomaly, {r('confidence')} AS confidence, anomaly_type, expl
 
 
 def rule_verdict_strict(spark: SparkSession, sf_dir: str) -> DataFrame:
-    verdict = detect.rule_verdict(detect.semantic_match(*_hits(spark, sf_dir), THRESHOLD), THRESHOLD, strict=True)
+    near = detect.semantic_match(_found(spark, sf_dir), threshold=THRESHOLD)
+    verdict = detect.rule_verdict(near, THRESHOLD, strict=True)
     return t.tidy(verdict.select("query_id", "is_anomaly", "confidence", "anomaly_type"))
 
 
@@ -116,7 +121,7 @@ SELECT query_id, semantic_anomaly AS is_anomaly,
 
 
 def similar_patterns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    similar = detect.similar_patterns(_hits(spark, sf_dir)[1])
+    similar = detect.similar_patterns(_found(spark, sf_dir))
     one = similar.select("query_id", F.posexplode("similar_patterns").alias("place", "p"))
     return t.tidy(one.select("query_id", "place", "p.distance", "p.is_anomaly", "p.activity", "p.description"))
 
@@ -128,7 +133,7 @@ SELECT query_id, rank - 1 AS place, {r('distance')} AS distance, is_anomaly, act
 
 def detect_city(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Readings of all nodes against the stored patterns of their own node, by rules."""
-    known = city_patterns(spark, sf_dir)
+    known = cut(city_patterns(spark, sf_dir))
     verdict = detect.detect(city_samples(spark, sf_dir), known)
     return t.tidy(
         verdict.select("query_id", "is_anomaly", "confidence", "anomaly_type", F.size("similar_patterns").alias("similar")), 4
@@ -164,6 +169,12 @@ def _half(spark: SparkSession, sf_dir: str, kind: str) -> DataFrame:
     return t.answers(spark, sf_dir).filter(F.col("prompt_kind") == kind)
 
 
+def _asked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The explanation answers beside the readings they are about."""
+    samples = t.vector_queries(spark, sf_dir).select("query_id", "readings")
+    return _half(spark, sf_dir, "explanation").join(samples, "query_id")
+
+
 _PARSED_CTE = f"""{t.ANSWERS},
 read_answers AS (
   SELECT *, coalesce(json_extract_string(j, '$.is_anomaly') = 'true', false) AS j_anomaly,
@@ -202,7 +213,8 @@ explained AS (
 
 
 def contextual_score(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return t.tidy(detect.contextual_score(_half(spark, sf_dir, "contextual")).select("query_id", "contextual_score"))
+    scored = detect.contextual_score(_half(spark, sf_dir, "contextual"))
+    return t.tidy(scored.select("query_id", "contextual_score"))
 
 
 _CONTEXTUAL = "CASE WHEN said THEN greatest(0.0::double, least(1.0::double, conf)) WHEN NOT said THEN 0.0::double END"
@@ -246,7 +258,7 @@ SELECT query_id, CASE WHEN bare THEN 0.0::double ELSE {r(f'least(1.0::double, ({
 
 
 def explanation_verdict(spark: SparkSession, sf_dir: str) -> DataFrame:
-    told = detect.explanation_verdict(_half(spark, sf_dir, "explanation"), t.vector_queries(spark, sf_dir))
+    told = detect.explanation_verdict(_asked(spark, sf_dir))
     verdict = F.coalesce(F.col("explanation_anomaly").cast("string"), F.lit("none"))
     return t.tidy(
         told.select("query_id", verdict.alias("verdict"), "explanation_confidence", "explanation")
@@ -264,7 +276,7 @@ SELECT query_id, coalesce(exp_anomaly::varchar, 'none') AS verdict, {r('exp_conf
 
 
 def explanation_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
-    told = detect.explanation_verdict(_half(spark, sf_dir, "explanation"), t.vector_queries(spark, sf_dir))
+    told = detect.explanation_verdict(_asked(spark, sf_dir))
     cut_up = detect.explanation_sections(told)
     return cut_up.select(
         "query_id", "user_friendly_message",
@@ -282,13 +294,12 @@ SELECT query_id, coalesce(json_extract_string(j, '$.user_friendly_message'), '')
 
 
 def ensemble(spark: SparkSession, sf_dir: str) -> DataFrame:
-    queries, hits = _hits(spark, sf_dir)
-    both = detect.ensemble(
-        detect.semantic_match(queries, hits, THRESHOLD),
-        detect.contextual_score(_half(spark, sf_dir, "contextual")),
-        detect.explanation_verdict(_half(spark, sf_dir, "explanation"), queries),
-        THRESHOLD,
+    near = detect.semantic_match(_found(spark, sf_dir), threshold=THRESHOLD)
+    asked = near.join(detect.answers_by_query(t.answers(spark, sf_dir)), "query_id")
+    told = detect.explanation_verdict(
+        detect.contextual_score(asked, "contextual_answer"), column="explanation_answer"
     )
+    both = detect.ensemble(told, THRESHOLD)
     verdict = F.coalesce(F.col("is_anomaly").cast("string"), F.lit("none"))
     return t.tidy(both.select("query_id", "anomaly_score", verdict.alias("verdict"), "confidence", "anomaly_type"))
 
@@ -338,11 +349,11 @@ FROM ensembled e JOIN rules x USING (query_id)"""
 def detect_detail(spark: SparkSession, sf_dir: str) -> DataFrame:
     detail = detect.detect_detail(
         t.vector_queries(spark, sf_dir), t.vector_patterns(spark, sf_dir), t.answers(spark, sf_dir),
-        THRESHOLD, k=K, exclude_self=True,
+        k=K, threshold=THRESHOLD, exclude_self=True,
     )
     return t.tidy(
         detail.select(
-            "query_id", "hits", "normal_hits", "anomaly_hits", "min_normal_distance", "semantic_anomaly",
+            "query_id", F.col("n_hits").alias("hits"), "normal_hits", "anomaly_hits", "min_normal_distance", "semantic_anomaly",
             "contextual_score", "explanation_confidence", "coherence", "anomaly_score",
         )
     )
@@ -395,11 +406,10 @@ def _wide_lines(rules: dict | None, ending: str) -> str:
 
 def sample_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = wide_samples(spark, sf_dir)
-    out = rows.select("query_id")
-    for style in ("augmented", "contextual", "explanation"):
-        told = prompts.sample_text(rows, style).select("query_id", F.col("sample_text").alias(style))
-        out = out.join(told, "query_id")
-    return out
+    styles = ["augmented", "contextual", "explanation"]
+    for style in styles:
+        rows = prompts.sample_text(rows, style).withColumnRenamed("sample_text", style)
+    return rows.select("query_id", *styles)
 
 
 _WHERE = "'Host ' || hostID || ' performing ' || activity || ' at ' || timestamp"
@@ -428,13 +438,11 @@ FROM parsed p LEFT JOIN sensors s USING (subsystem, sensor, parameter) WHERE len
 
 
 def hits_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    queries, hits = _hits(spark, sf_dir)
-    hits = cut(hits)
-    out = queries.select("query_id")
-    for style in ("augmented", "contextual", "explanation"):
-        told = prompts.hits_text(queries, hits, style).select("query_id", F.col("hits_text").alias(style))
-        out = out.join(told, "query_id")
-    return out
+    out = _found(spark, sf_dir)
+    styles = ["augmented", "contextual", "explanation"]
+    for style in styles:
+        out = prompts.hits_text(out, style=style).withColumnRenamed("hits_text", style)
+    return out.select("query_id", *styles)
 
 
 _NL = "chr(10)"
@@ -468,7 +476,7 @@ SELECT query_id, augmented, contextual, explanation FROM listed JOIN nearest_tex
 
 
 def guidance_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return prompts.guidance_text(*_hits(spark, sf_dir))
+    return prompts.guidance_text(_found(spark, sf_dir)).select("query_id", "guidance_text")
 
 
 def _lit(text: str) -> str:
@@ -490,9 +498,9 @@ def reading_guidance(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("ingest_id").alias("query_id"), "node_id", "subsystem", "sensor", "parameter",
         F.col("value_hrf").alias("value"),
     )
-    hits = retrieval.knn_same_host(city_samples(spark, sf_dir), city_patterns(spark, sf_dir), K)
-    known = retrieval.with_patterns(hits, city_patterns(spark, sf_dir))
-    told = prompts.reading_guidance(rows, known, t.sensors(spark))
+    known = cut(city_patterns(spark, sf_dir))
+    hits = retrieval.knn_same_host(city_samples(spark, sf_dir), known, K)
+    told = prompts.reading_guidance(rows, t.sensors(spark), retrieval.with_patterns(hits, known))
     return told.select("query_id", F.md5("guidance_text").alias("digest"), F.length("guidance_text").cast("bigint").alias("n"))
 
 
@@ -515,7 +523,7 @@ SELECT query_id, md5(text) AS digest, length(text) AS n FROM texts"""
 
 
 def deviations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return t.tidy(prompts.deviations(*_hits(spark, sf_dir)), 4)
+    return t.tidy(prompts.deviations(_found(spark, sf_dir)), 4)
 
 
 _DEVIATION_CTE = f"""{SEMANTIC_CTE},
@@ -533,8 +541,7 @@ FROM deviated WHERE level IS NOT NULL"""
 
 
 def deviation_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    queries, hits = _hits(spark, sf_dir)
-    return prompts.deviation_text(queries, cut(hits))
+    return prompts.deviation_text(_found(spark, sf_dir)).select("query_id", "deviation_text")
 
 
 _DEVIATION_TEXT_CTE = f"""{_DEVIATION_CTE},
@@ -554,8 +561,7 @@ DEVIATION_TEXT = f"WITH {_DEVIATION_TEXT_CTE} SELECT query_id, deviation_text FR
 
 
 def augmented_prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    queries, hits = _hits(spark, sf_dir)
-    return prompts.augmented_prompts(queries, cut(hits))
+    return prompts.augmented_prompts(_found(spark, sf_dir))
 
 
 _VEC_WHERE = "'Host ' || v.host_id || ' performing ' || v.activity || ' at '"
@@ -574,8 +580,7 @@ FROM facts f JOIN vectors v ON f.query_id = v.vec_id JOIN listed USING (query_id
 
 
 def contextual_prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    queries, hits = _hits(spark, sf_dir)
-    return prompts.contextual_prompts(queries, cut(hits))
+    return prompts.contextual_prompts(_found(spark, sf_dir))
 
 
 _VEC_LIST = _VECTOR_LINES.replace("vals", "v.vals")
@@ -589,8 +594,7 @@ FROM listed l JOIN vectors v ON l.query_id = v.vec_id"""
 
 
 def explanation_prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    queries, hits = _hits(spark, sf_dir)
-    return prompts.explanation_prompts(queries, cut(hits))
+    return prompts.explanation_prompts(_found(spark, sf_dir))
 
 
 EXPLANATION_PROMPTS = f"""WITH {_HIT_TEXT_CTE}
@@ -603,8 +607,7 @@ FROM nearest_text x JOIN vectors v ON x.query_id = v.vec_id"""
 
 def anomaly_prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The one-shot prompt; compared without its JSON numbers."""
-    queries, hits = _hits(spark, sf_dir)
-    made = prompts.anomaly_prompts(queries, cut(hits), THRESHOLD)
+    made = prompts.anomaly_prompts(_found(spark, sf_dir), threshold=THRESHOLD)
     after = F.regexp_extract("prompt", r"(?s)(CONTEXT:\n.*)$", 1)
     hosts = F.size(F.regexp_extract_all("prompt", F.lit(r'("pattern_id":\d+)'), 1))
     return t.tidy(made.select("query_id", "prompt_kind", after.alias("ending"), hosts.alias("listed")))
@@ -736,7 +739,7 @@ CLEAR_FEEDBACK = """SELECT count(*) AS in_backup, max(strftime(ts, '%Y-%m-%dT%H:
 def detect_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Open orders against finished orders of the same customer, with fill-up from all others."""
     samples = wide_samples(spark, sf_dir).filter(F.col("status") != "F").drop("status")
-    verdict = detect.detect(samples, wide_patterns(spark, sf_dir), threshold=500.0)
+    verdict = detect.detect(samples, cut(wide_patterns(spark, sf_dir)), threshold=500.0)
     return t.tidy(
         verdict.select("query_id", "is_anomaly", "confidence", "anomaly_type", F.size("similar_patterns").alias("similar"))
     )
