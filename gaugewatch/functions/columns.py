@@ -82,16 +82,18 @@ def shuffled_number(c: Column | str, seed: int) -> Column:
 # --- values -----------------------------------------------------------------
 
 
-def value_parts(c: Column | str) -> Column:
-    """A number or a comma list as doubles; a part that is no number is NULL."""
-    parts = F.transform(F.split(_col(c), ","), lambda p: F.trim(p))
-    return F.transform(F.filter(parts, lambda p: p != ""), lambda p: p.try_cast("double"))
-
-
 def parse_values(c: Column | str) -> Column:
-    """``value_parts`` when every part is a number, else NULL."""
-    parts = value_parts(c)
-    return F.when(~F.exists(parts, lambda p: p.isNull()), parts)
+    """A number or a comma list of numbers as doubles; NULL when a part is no number.
+
+    Plain numbers, the usual case, never reach the list functions. The list is
+    bound to a lambda so that it is worked out once.
+    """
+    text = _col(c)
+    number = text.try_cast("double")
+    parts = F.transform(F.split(text, ","), lambda p: F.trim(p))
+    numbers = F.transform(F.filter(parts, lambda p: p != ""), lambda p: p.try_cast("double"))
+    whole = F.transform(F.array(numbers), lambda n: F.when(~F.exists(n, lambda v: v.isNull()), n))
+    return F.when(number.isNotNull(), F.array(number)).when(text.contains(","), F.get(whole, F.lit(0)))
 
 
 def sensor_group(c: Column | str, rules: dict[str, list[str]]) -> Column:

@@ -30,6 +30,7 @@ from gaugewatch.functions.columns import (
 from gaugewatch.operators.scale import dimension_join, rank_in_groups
 
 SENSOR_KEYS = ["subsystem", "sensor", "parameter"]
+YEAR_ONE = -62135596800
 
 
 def drop_sensors(
@@ -277,9 +278,13 @@ def slice_by_time(df: DataFrame, slices: DataFrame, inclusive: bool = False) ->
     months = F.sequence(month_number("_start"), month_number("_end"))
     listed = bounds.withColumn("_month", F.explode(months))
     timed = df if "unix_time" in df.columns else with_epoch(df)
-    met = dimension_join(timed.withColumn("_month", month_number("unix_time")), listed, ["_month"], "inner")
-    before_end = F.col("unix_time") <= F.col("_end") if inclusive else F.col("unix_time") < F.col("_end")
-    return met.filter((F.col("unix_time") >= F.col("_start")) & before_end).drop("_month", "_start", "_end")
+    # A missing time becomes the year 1, which no slice covers. Join keys that cannot be
+    # NULL spare Spark a filter that would work the time out once more.
+    keyed = timed.withColumn("_at", F.coalesce("unix_time", F.lit(YEAR_ONE)))
+    keyed = keyed.withColumn("_month", F.coalesce(month_number("_at"), F.lit(0)))
+    met = dimension_join(keyed, listed, ["_month"], "inner")
+    before_end = F.col("_at") <= F.col("_end") if inclusive else F.col("_at") < F.col("_end")
+    return met.filter((F.col("_at") >= F.col("_start")) & before_end).drop("_at", "_month", "_start", "_end")
 
 
 # --- weather --------------------------------------------------------------------

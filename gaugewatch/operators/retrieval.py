@@ -130,7 +130,8 @@ class _Store(NamedTuple):
 
     ids: np.ndarray
     vectors: np.ndarray
-    keys: list
+    keys: dict
+    key_of: np.ndarray
     groups: dict
     meta: pa.Table
 
@@ -149,21 +150,21 @@ class _Store(NamedTuple):
 
     def host_first(self, qid: np.ndarray, q: np.ndarray, keys: list, k: int, exclude_self: bool, post: bool) -> Found:
         """Own hits, then hits of other hosts where own ones are fewer than ``k // 2``."""
-        every = np.arange(len(qid))
+        # Hosts as numbers: no host is -1 for a query and -2 for a pattern.
+        own = np.array([self.keys.get(key, -3) if key is not None else -1 for key in keys], "int64")
         if post:
-            near = self.everywhere(qid, q, every, k, exclude_self)
+            near = self.everywhere(qid, q, np.arange(len(qid)), k, exclude_self)
         else:
             near = self.within_key(qid, q, keys, k, exclude_self)
-        owned = np.array([keys[r] is not None and self.keys[c] == keys[r] for r, c in zip(near[0], near[1])], bool)
+        owned = self.key_of[near[1]] == own[near[0]]
         first = tuple(part[owned] for part in near)
         counts = np.bincount(first[0], minlength=len(qid))
-        homeless = np.array([key is None for key in keys], bool)
-        lacking = np.flatnonzero((counts < k // 2) | homeless)
+        lacking = np.flatnonzero((counts < k // 2) | (own == -1))
         if post:
             fill = tuple(part[~owned & np.isin(near[0], lacking)] for part in near)
         else:
             fill = self.everywhere(qid, q, lacking, k, exclude_self)
-            other = np.array([keys[r] is None or self.keys[c] != keys[r] for r, c in zip(fill[0], fill[1])], bool)
+            other = self.key_of[fill[1]] != own[fill[0]]
             fill = tuple(part[other] for part in fill)
         row, col, far = _joined([first, fill])
         general = np.repeat([0, 1], [len(first[0]), len(fill[0])])
@@ -206,9 +207,13 @@ def _shared_store(patterns: DataFrame, key: str | None, meta: bool, max_bytes: i
     if _stored_size(known, carried) > max_bytes:
         return None
     table = known.select(*columns, *(_meta_columns(patterns) if meta else [])).toArrow()
-    keys = table["_key"].to_pylist() if key else []
+    groups = _rows_by_key(table["_key"].to_pylist()) if key else {}
+    key_of = np.full(table.num_rows, -2, "int64")
+    for number, rows in enumerate(groups.values()):
+        key_of[rows] = number
     store = _Store(
-        table["pattern_id"].to_numpy(), _vectors(table["embedding"]), keys, _rows_by_key(keys),
+        table["pattern_id"].to_numpy(), _vectors(table["embedding"]),
+        {key: number for number, key in enumerate(groups)}, key_of, groups,
         table.select(HIT_COLUMNS).combine_chunks() if meta else table.select([]),
     )
     return patterns.sparkSession.sparkContext.broadcast(store)

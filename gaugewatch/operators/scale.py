@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 BROADCAST_ROWS = 200_000
 BROADCAST_BYTES = 32 << 20
 JOIN_SALTS = 64
+SPLIT_BYTES = 128 << 20
 # Above this row limit Spark does not push row_number() <= n below the shuffle.
 GROUP_LIMIT_PUSHDOWN = 1000
 
@@ -36,6 +37,23 @@ def is_small(df: DataFrame, max_rows: int = BROADCAST_ROWS, max_bytes: int = BRO
     return size["rows"] <= max_rows and (size["bytes"] or 0) <= max_bytes
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Rows of a few small files over all cores, ahead of work that is heavy per row.
+
+    One file is read by one task. Inputs with enough files or bytes for every
+    core already are left alone, so a large job gets no extra shuffle.
+    """
+    spark = df.sparkSession
+    cores = spark.sparkContext.defaultParallelism
+    files = df.inputFiles()
+    if not files or len(files) >= cores:
+        return df
+    conf = spark._jsc.hadoopConfiguration()
+    paths = [spark._jvm.org.apache.hadoop.fs.Path(f) for f in files]
+    size = sum(p.getFileSystem(conf).getFileStatus(p).getLen() for p in paths)
+    return df if size >= cores * SPLIT_BYTES else df.repartition(cores)
+
+
 def dimension_join(
     facts: DataFrame,
     dim: DataFrame,

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from gaugewatch.functions.columns import seconds_since
 from gaugewatch.operators import clean, features, patterns, profiling, retrieval, sampling
+from gaugewatch.operators.scale import spread
 from gaugewatch.plans import tables as t
 from gaugewatch.plans.profiles import HELD
 from gaugewatch.plans.tables import r
@@ -22,7 +23,7 @@ WIDE_DIGITS = 10
 
 def wide_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Wide rows as samples with readings and tiled embedding."""
-    rows = clean.sparse_samples(features.wide_features(t.wide(spark, sf_dir)), t.WIDE_SENSORS)
+    rows = clean.sparse_samples(features.wide_features(spread(t.wide(spark, sf_dir))), t.WIDE_SENSORS)
     return features.with_embedding(rows, t.WIDE_DIM).select(
         F.col("uuid").alias("query_id"), F.col("hostID").alias("host_id"), "activity",
         F.col("timestamp").alias("ts"), "status", "readings", "embedding",
@@ -86,7 +87,7 @@ CITY_DIM = 6
 
 def city_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Usable readings as samples: seconds of the year and values, tiled."""
-    usable = clean.reject_unparsed(t.readings(spark, sf_dir), "value_hrf")
+    usable = clean.reject_unparsed(spread(t.readings(spark, sf_dir)), "value_hrf")
     timed = usable.withColumn("unix_time", seconds_since("timestamp", None))
     vectors = features.reading_features(timed, column="value_hrf")
     return features.with_embedding(vectors, CITY_DIM).select(
