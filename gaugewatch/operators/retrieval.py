@@ -42,7 +42,9 @@ def _vectors(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
         column = column.combine_chunks()
     flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
     rows = len(column)
-    if rows and len(flat) % rows:
+    if not rows:
+        return np.empty((0, 0))
+    if len(flat) % rows:
         raise ValueError("embeddings differ in size")
     return flat.reshape(rows, -1)
 

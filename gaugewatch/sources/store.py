@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 PATTERN_SCHEMA = """
     pattern_id bigint, embedding array<double>, host_id string, activity string, ts string,
@@ -47,16 +48,11 @@ def read_feedback(spark: SparkSession, path: str) -> DataFrame:
 
 
 def import_feedback(spark: SparkSession, path: str) -> DataFrame:
-    """A JSON list of entries; entries that cannot be read are left out."""
-    schema = FEEDBACK_SCHEMA + ", _bad string"
-    df = (
-        spark.read.schema(schema)
-        .option("multiLine", True)
-        .option("mode", "PERMISSIVE")
-        .option("columnNameOfCorruptRecord", "_bad")
-        .json(path)
-    )
-    return df.filter(F.col("_bad").isNull()).drop("_bad")
+    """Entries of JSON list files; a file that cannot be read gives none."""
+    files = spark.read.option("wholetext", True).text(path)
+    entry = spark.createDataFrame([], FEEDBACK_SCHEMA).schema
+    entries = F.from_json("value", T.ArrayType(entry), {"mode": "PERMISSIVE"})
+    return files.select(F.inline(entries)).filter(F.col("feedback_id").isNotNull())
 
 
 def clear_feedback(spark: SparkSession, path: str, stamp: str, backup: bool = True) -> str | None:
