@@ -443,7 +443,7 @@ def _host_first_blocks(
     own = queries.select(F.col("query_id").cast("bigint").alias("query_id"), F.col("host_id").alias("_own"))
     need = k // 2
     if mode == "post":
-        near = _ranked(_search_blocks(queries, patterns, k, None, exclude_self, rows_per_block), k).drop("rank")
+        near = cut(_ranked(_search_blocks(queries, patterns, k, None, exclude_self, rows_per_block), k).drop("rank"))
         marked = with_patterns(near, patterns).join(own, "query_id").withColumn(
             "_general", F.coalesce(F.col("host_id") != F.col("_own"), F.lit(True))
         )
@@ -465,7 +465,8 @@ def _host_first_blocks(
         first = _search_blocks(queries, patterns, k, "host_id", exclude_self, rows_per_block)
         fill = _search_blocks(lacking, patterns, k, None, exclude_self, rows_per_block)
         both = first.withColumn("_general", F.lit(False)).unionByName(fill.withColumn("_general", F.lit(True)))
-        best = _ranked(both, k, ["query_id", "_general"]).drop("rank")
+        # Found hits are slim and dear to find: keep them before they meet the patterns again.
+        best = cut(_ranked(both, k, ["query_id", "_general"]).drop("rank"))
         kept = with_patterns(best, patterns).join(own, "query_id").filter(
             ~F.col("_general") | F.col("_own").isNull() | (F.col("host_id") != F.col("_own"))
         )

@@ -1,7 +1,7 @@
 """Joins, ranks and pairings that hold when one key carries a third of all rows.
 
 * ``dimension_join`` broadcasts a side only after measuring it; beyond the bound
-  the dimension is repeated over salts so that a hot key spreads over tasks.
+  hot keys are cut into parts, and only their dimension rows are repeated.
 * ``first_n`` and ``rank_in_groups`` never put a whole hot group into one task.
 * ``pair_blocks`` hands two sides to Arrow tasks in blocks of bounded size and
   lets the task keep what it needs; pairs are never written out as rows.
@@ -11,6 +11,8 @@ from __future__ import annotations
 
 import math
 from collections.abc import Callable, Sequence
+from functools import reduce
+from operator import or_
 
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, GroupedData, Window
@@ -19,6 +21,8 @@ from pyspark.sql import functions as F
 BROADCAST_ROWS = 200_000
 BROADCAST_BYTES = 32 << 20
 JOIN_SALTS = 64
+HOT_ROWS = 1_000_000
+MAX_HOT_KEYS = 1000
 SPLIT_BYTES = 128 << 20
 # Above this row limit Spark does not push row_number() <= n below the shuffle.
 GROUP_LIMIT_PUSHDOWN = 1000
@@ -54,22 +58,51 @@ def spread(df: DataFrame) -> DataFrame:
     return df if size >= cores * SPLIT_BYTES else df.repartition(cores)
 
 
+def _hot_keys(facts: DataFrame, on: list[str], hot_rows: int) -> DataFrame | None:
+    """Keys with more than ``hot_rows`` rows and the parts to cut them into.
+
+    Only the largest ``MAX_HOT_KEYS`` are looked at; any key beyond them holds
+    less than one part in ``MAX_HOT_KEYS`` of all rows.
+    """
+    counts = facts.na.drop(subset=on).groupBy(*on).agg(F.count(F.lit(1)).alias("_rows"))
+    largest = counts.orderBy(F.desc("_rows")).limit(MAX_HOT_KEYS).filter(F.col("_rows") > hot_rows)
+    rows = largest.withColumn("_parts", F.ceil(F.col("_rows") / F.lit(hot_rows)).cast("int")).drop("_rows")
+    found = rows.collect()
+    return facts.sparkSession.createDataFrame(found, rows.schema) if found else None
+
+
 def dimension_join(
     facts: DataFrame,
     dim: DataFrame,
     on: Sequence[str],
     how: str = "left",
-    salts: int = JOIN_SALTS,
     max_rows: int = BROADCAST_ROWS,
+    hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
-    """Join facts with a dimension on equal keys; ``how`` is left or inner."""
+    """Join facts with a dimension on equal keys; ``how`` is left or inner.
+
+    A measured small dimension is broadcast. Otherwise the hot keys of the
+    facts are cut into parts and only their dimension rows are repeated. Facts
+    without a key match nothing and are spread evenly.
+    """
     on = list(on)
     if is_small(dim, max_rows):
         return facts.join(F.broadcast(dim), on, how)
     rest = [c for c in facts.columns if c not in on] + [c for c in dim.columns if c not in on]
-    spread = facts.withColumn("_salt", F.pmod(F.monotonically_increasing_id(), F.lit(salts)))
-    repeated = dim.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)).cast("array<bigint>")))
-    return spread.join(repeated, on + ["_salt"], how).select(*on, *rest)
+    hot = _hot_keys(facts, on, hot_rows)
+    missing = reduce(or_, [F.col(c).isNull() for c in on])
+    place = F.monotonically_increasing_id()
+    if hot is None:
+        facts, dim = facts.withColumn("_parts", F.lit(1)), dim.withColumn("_part", F.lit(0).cast("bigint"))
+    else:
+        facts = facts.join(F.broadcast(hot), on, "left")
+        parts = F.sequence(F.lit(0), F.coalesce("_parts", F.lit(1)) - 1).cast("array<bigint>")
+        dim = dim.join(F.broadcast(hot), on, "left").withColumn("_part", F.explode(parts)).drop("_parts")
+    part = F.when(missing, F.pmod(place, F.lit(JOIN_SALTS))).otherwise(
+        F.pmod(place, F.coalesce("_parts", F.lit(1)))
+    )
+    spread_facts = facts.withColumn("_part", part).drop("_parts")
+    return spread_facts.join(dim, on + ["_part"], how).select(*on, *rest)
 
 
 def first_n(

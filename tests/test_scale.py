@@ -36,14 +36,15 @@ def test_rank_over_everything(skewed):
     assert ranked.position.tolist() == list(range(30_000))
 
 
+@pytest.mark.parametrize("hot_rows", [1_000, 1_000_000])
 @pytest.mark.parametrize("how", ["left", "inner"])
-def test_dimension_join_beyond_the_broadcast_bound(spark, skewed, how):
+def test_dimension_join_beyond_the_broadcast_bound(spark, skewed, how, hot_rows):
     keys = ["hot"] + [f"k{i}" for i in range(0, 200, 2)] + ["k0"]
     dim = spark.createDataFrame([(k, i) for i, k in enumerate(keys)], "key string, extra int")
     small = scale.dimension_join(skewed, dim, ["key"], how)
-    large = scale.dimension_join(skewed, dim, ["key"], how, max_rows=10)
+    large = scale.dimension_join(skewed, dim, ["key"], how, max_rows=10, hot_rows=hot_rows)
     assert "Broadcast" in small._jdf.queryExecution().executedPlan().toString()
-    assert "_salt" in large._jdf.queryExecution().optimizedPlan().toString()
+    assert "_part" in large._jdf.queryExecution().optimizedPlan().toString()
     a = small.select("row_id", "key", "value", "extra").toPandas().sort_values(["row_id", "extra"])
     b = large.select("row_id", "key", "value", "extra").toPandas().sort_values(["row_id", "extra"])
     pd.testing.assert_frame_equal(a.reset_index(drop=True), b.reset_index(drop=True))
@@ -57,6 +58,11 @@ def test_first_n_of_a_hot_group(skewed, n):
     assert got["rank"].max() == n
 
 
+def test_hot_keys_are_found_and_split(skewed):
+    hot = {r.key: r._parts for r in scale._hot_keys(skewed, ["key"], 1_000).collect()}
+    assert hot == {"hot": 10}
+
+
 def test_group_limit_runs_before_the_shuffle(skewed):
     plan = scale.first_n(skewed, ["key"], ["value", "row_id"], 7)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("WindowGroupLimit") == 2
