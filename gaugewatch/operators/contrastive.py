@@ -18,12 +18,22 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from gaugewatch.functions.columns import fit_dim
+from gaugewatch.functions.network import (
+    EPS,
+    Weights,
+    batch_gradient,
+    flat,
+    forward,
+    initial_weights,
+    mini_batches,
+    pair_sums,
+    unflat,
+)
+from gaugewatch.functions.vectors import matrix
 from gaugewatch.operators.features import assign_batches
-from gaugewatch.operators.retrieval import _vectors
 from gaugewatch.operators.scale import pair_blocks
 from gaugewatch.session import cut
 
-EPS = 1e-8
 GRADIENT_BLOCK = 8192
 TASKS_PER_SUM = 256
 LOSS_SCHEMA = "batch_id bigint, pos_sum double, pos_weight double, neg_sum double, neg_weight double"
@@ -32,28 +42,6 @@ LOSS_SCHEMA = "batch_id bigint, pos_sum double, pos_weight double, neg_sum doubl
 # --- loss over a table ------------------------------------------------------------
 
 
-def _pair_sums(
-    a: np.ndarray, b: np.ndarray, la: np.ndarray, lb: np.ndarray, same_row: np.ndarray,
-    weights: list[float], margin: float,
-) -> list[float]:
-    """Summed pulls and pushes of all pairs, and the weights they count with."""
-    far = np.zeros((len(a), len(b)))
-    for d in range(a.shape[1]):
-        diff = a[:, d][:, None] - b[:, d][None, :]
-        far += diff * diff
-    far = np.sqrt(far)
-    pull = push = 0.0
-    pulls = pushes = 0.0
-    for j, w in enumerate(weights):
-        same = la[:, j][:, None] == lb[:, j][None, :]
-        pos, neg = same & ~same_row, ~same
-        pull += w * far[pos].sum()
-        pulls += w * pos.sum()
-        push += w * np.maximum(margin - far, 0.0)[neg].sum()
-        pushes += w * neg.sum()
-    return [pull, pulls, push, pushes]
-
-
 def contrastive_loss(
     df: DataFrame,
     labels: list[str],
@@ -77,9 +65,9 @@ def contrastive_loss(
         sums = [0.0] * 4
         if left.num_rows and right.num_rows:
             same_row = left["_id"].to_numpy()[:, None] == right["_id"].to_numpy()[None, :]
-            sums = _pair_sums(
-                _vectors(left["embedding"]), _vectors(right["embedding"]),
-                _vectors(left["_labels"]), _vectors(right["_labels"]), same_row, weights, margin,
+            sums = pair_sums(
+                matrix(left["embedding"]), matrix(right["embedding"]),
+                matrix(left["_labels"]), matrix(right["_labels"]), same_row, weights, margin,
             )
         columns = [pa.array([key[0].as_py()], pa.int64()), *[pa.array([float(s)]) for s in sums]]
         return pa.Table.from_arrays(columns, names=["batch_id", "pos_sum", "pos_weight", "neg_sum", "neg_weight"])
@@ -92,90 +80,6 @@ def contrastive_loss(
     return totals.withColumn("loss", pos + lambda_neg * neg)
 
 
-# --- the network -------------------------------------------------------------------
-
-
-class Weights(NamedTuple):
-    """Three linear layers and the final layer norm."""
-
-    w1: np.ndarray
-    b1: np.ndarray
-    w2: np.ndarray
-    b2: np.ndarray
-    w3: np.ndarray
-    b3: np.ndarray
-    gain: np.ndarray
-    shift: np.ndarray
-
-
-def initial_weights(inputs: int, dim: int, hidden: tuple[int, int], seed: int) -> Weights:
-    draw = np.random.default_rng(seed)
-
-    def layer(n_in: int, n_out: int) -> tuple[np.ndarray, np.ndarray]:
-        bound = 1.0 / np.sqrt(n_in)
-        return draw.uniform(-bound, bound, (n_in, n_out)), draw.uniform(-bound, bound, n_out)
-
-    w1, b1 = layer(inputs, hidden[0])
-    w2, b2 = layer(hidden[0], hidden[1])
-    w3, b3 = layer(hidden[1], dim)
-    return Weights(w1, b1, w2, b2, w3, b3, np.ones(dim), np.zeros(dim))
-
-
-def forward(w: Weights, x: np.ndarray, masks: tuple | None = None) -> tuple[np.ndarray, tuple]:
-    """Embeddings, and what the backward pass needs; ``masks`` are dropout factors."""
-    h1 = np.maximum(x @ w.w1 + w.b1, 0.0)
-    d1 = h1 * masks[0] if masks else h1
-    h2 = np.maximum(d1 @ w.w2 + w.b2, 0.0)
-    d2 = h2 * masks[1] if masks else h2
-    z = d2 @ w.w3 + w.b3
-    spread = np.sqrt(z.var(1, keepdims=True) + 1e-5)
-    unit = (z - z.mean(1, keepdims=True)) / spread
-    return unit * w.gain + w.shift, (x, h1, d1, h2, d2, unit, spread)
-
-
-def batch_gradient(
-    w: Weights, x: np.ndarray, labels: np.ndarray, weights: list[float],
-    margin: float, lambda_neg: float, masks: tuple | None = None,
-) -> tuple[float, Weights]:
-    """Loss of one mini-batch and its gradient for every weight."""
-    out, (x, h1, d1, h2, d2, unit, spread) = forward(w, x, masks)
-    diff = out[:, None, :] - out[None, :, :]
-    far = np.sqrt((diff * diff).sum(2))
-    pos, neg = np.zeros_like(far), np.zeros_like(far)
-    for j, weight in enumerate(weights):
-        same = labels[:, j][:, None] == labels[:, j][None, :]
-        pos += weight * same
-        neg += weight * ~same
-    np.fill_diagonal(pos, 0.0)
-    pos /= pos.sum() + EPS
-    neg /= neg.sum() + EPS
-    loss = (far * pos).sum() + lambda_neg * (np.maximum(margin - far, 0.0) * neg).sum()
-
-    pull = pos - lambda_neg * neg * (far < margin)
-    pull = np.divide(pull + pull.T, far, out=np.zeros_like(far), where=far > 0)
-    g_out = pull.sum(1)[:, None] * out - pull @ out
-    g_unit = g_out * w.gain
-    g_z = (g_unit - g_unit.mean(1, keepdims=True) - unit * (g_unit * unit).mean(1, keepdims=True)) / spread
-    g_h2 = (g_z @ w.w3.T) * (masks[1] if masks else 1.0) * (h2 > 0)
-    g_h1 = (g_h2 @ w.w2.T) * (masks[0] if masks else 1.0) * (h1 > 0)
-    return loss, Weights(
-        x.T @ g_h1, g_h1.sum(0), d1.T @ g_h2, g_h2.sum(0), d2.T @ g_z, g_z.sum(0),
-        (g_out * unit).sum(0), g_out.sum(0),
-    )
-
-
-def _flat(w: Weights) -> np.ndarray:
-    return np.concatenate([part.ravel() for part in w])
-
-
-def _unflat(values: np.ndarray, like: Weights) -> Weights:
-    parts, at = [], 0
-    for part in like:
-        parts.append(values[at : at + part.size].reshape(part.shape))
-        at += part.size
-    return Weights(*parts)
-
-
 # --- training -------------------------------------------------------------------------
 
 
@@ -214,7 +118,7 @@ def fit_contrastive(
     batched = cut(assign_batches(rows, batch, seed=seed).repartition("batch_id").sortWithinPartitions("batch_id", "row_id"))
     tasks = batched.rdd.getNumPartitions()
     w = initial_weights(batched.select(F.size("features")).first()[0], dim, hidden, seed)
-    theta, mean, square = _flat(w), 0.0, 0.0
+    theta, mean, square = flat(w), 0.0, 0.0
     losses: list[float] = []
     step = 0
     for epoch in range(epochs):
@@ -222,7 +126,7 @@ def fit_contrastive(
         for share in range(steps_per_epoch):
             mine = batched.filter(F.pmod("batch_id", F.lit(steps_per_epoch)) == share)
             gradient, loss, batches = _summed_gradient(
-                mine, _unflat(theta, w), weights, margin, lambda_neg, dropout, (seed, epoch), tasks
+                mine, unflat(theta, w), weights, margin, lambda_neg, dropout, (seed, epoch), tasks
             )
             if not batches:
                 continue
@@ -234,7 +138,7 @@ def fit_contrastive(
             theta = theta - lr * (mean / (1 - 0.9**step)) / corrected
             epoch_loss, epoch_batches = epoch_loss + loss, epoch_batches + batches
         losses.append(epoch_loss / max(epoch_batches, 1.0))
-    return Trained(_unflat(theta, w), losses)
+    return Trained(unflat(theta, w), losses)
 
 
 def _summed_gradient(
@@ -250,7 +154,7 @@ def _summed_gradient(
     def run(parts: Iterable[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
         w = shared.value
         total = None
-        for batch_id, x, y in _mini_batches(parts):
+        for batch_id, x, y in mini_batches(parts):
             masks = None
             if dropout:
                 draw = np.random.default_rng([*seed, batch_id])
@@ -258,8 +162,8 @@ def _summed_gradient(
                     (draw.random((len(x), part.shape[1])) >= dropout) / (1.0 - dropout) for part in (w.w1, w.w2)
                 )
             one, gradient = batch_gradient(w, x, y, weights, margin, lambda_neg, masks)
-            flat = np.append(_flat(gradient), [one, 1.0])
-            total = flat if total is None else total + flat
+            row = np.append(flat(gradient), [one, 1.0])
+            total = row if total is None else total + row
         if total is not None:
             blocks = np.array_split(total, range(GRADIENT_BLOCK, len(total), GRADIENT_BLOCK))
             yield pa.RecordBatch.from_arrays(
@@ -272,7 +176,7 @@ def _summed_gradient(
             )
 
     def add(table: pa.Table) -> pa.Table:
-        total = _vectors(table["part"]).sum(0)
+        total = matrix(table["part"]).sum(0)
         return table.slice(0, 1).set_column(2, "part", pa.array([total], pa.list_(pa.float64())))
 
     schema = "lane int, block int, part array<double>"
@@ -283,32 +187,11 @@ def _summed_gradient(
     shared.unpersist()
     parts = dict(zip(sums["block"].to_pylist(), sums["part"].to_pylist()))
     if not parts:
-        return np.zeros(_flat(w).size), 0.0, 0.0
+        return np.zeros(flat(w).size), 0.0, 0.0
     total = np.concatenate([np.array(parts[i]) for i in range(len(parts))])
     return total[:-2], float(total[-2]), float(total[-1])
 
 
-def _mini_batches(parts: Iterable[pa.RecordBatch]) -> Iterable[tuple[int, np.ndarray, np.ndarray]]:
-    """Rows arrive sorted by batch; a mini-batch may span two Arrow batches."""
-    held = None
-    for part in parts:
-        table = pa.Table.from_batches([part])
-        held = table if held is None else pa.concat_tables([held, table])
-        ids = held["batch_id"].to_numpy()
-        if not len(ids):
-            continue
-        ends = np.append(np.flatnonzero(np.diff(ids)) + 1, len(ids))
-        for start, end in zip(np.append(0, ends[:-2]), ends[:-1]):
-            yield _mini_batch(held.slice(start, end - start))
-        held = held.slice(ends[-2] if len(ends) > 1 else 0)
-    if held is not None and held.num_rows:
-        yield _mini_batch(held)
-
-
-def _mini_batch(rows: pa.Table) -> tuple[int, np.ndarray, np.ndarray]:
-    return int(rows["batch_id"][0].as_py()), _vectors(rows["features"]), _vectors(rows["_labels"])
-
-
 def embed(df: DataFrame, weights: Weights, dim: int | None = None) -> DataFrame:
     """Add ``embedding`` to rows with ``features``, one forward pass per Arrow batch."""
     shared = df.sparkSession.sparkContext.broadcast(weights)
@@ -319,7 +202,7 @@ def embed(df: DataFrame, weights: Weights, dim: int | None = None) -> DataFrame:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            out, _ = forward(shared.value, _vectors(batch.column("features")))
+            out, _ = forward(shared.value, matrix(batch.column("features")))
             yield pa.RecordBatch.from_arrays(
                 [*batch.columns, pa.array(list(out), pa.list_(pa.float64()))], names=[*names, "embedding"]
             )

@@ -22,165 +22,27 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from gaugewatch.functions.columns import shuffled_number
+from gaugewatch.functions.vectors import (
+    CHUNK_CELLS,
+    Store,
+    best_places,
+    hit_table,
+    joined,
+    matrix,
+    nearest,
+    ranks,
+    rows_by_key,
+)
 from gaugewatch.operators.scale import dimension_join, pair_blocks
 from gaugewatch.session import cut
 
 BROADCAST_VECTOR_BYTES = 64 << 20
-CHUNK_CELLS = 1 << 22
 HIT_SCHEMA = "query_id bigint, pattern_id bigint, distance double"
 HIT_COLUMNS = [
     "host_id", "activity", "ts", "is_anomaly", "anomaly_type", "description", "explanation", "readings",
 ]
 
 
-# --- inside a task --------------------------------------------------------------
-
-
-def _vectors(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
-    """Equal-length lists as a float64 matrix."""
-    if isinstance(column, pa.ChunkedArray):
-        column = column.combine_chunks()
-    flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
-    rows = len(column)
-    if not rows:
-        return np.empty((0, 0))
-    if len(flat) % rows:
-        raise ValueError("embeddings differ in size")
-    return flat.reshape(rows, -1)
-
-
-def _squared(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Row-wise squared distance, summed from the first dimension to the last."""
-    total = np.zeros(len(a))
-    for d in range(a.shape[1]):
-        diff = a[:, d] - b[:, d]
-        total += diff * diff
-    return total
-
-
-def _best(rows: np.ndarray, ids: np.ndarray, distances: np.ndarray, k: int) -> np.ndarray:
-    """Places of the ``k`` smallest (distance, id) within each row number."""
-    order = np.lexsort((ids, distances, rows))
-    sorted_rows = rows[order]
-    starts = np.searchsorted(sorted_rows, sorted_rows, side="left")
-    return order[np.arange(len(order)) - starts < k]
-
-
-Found = tuple[np.ndarray, np.ndarray, np.ndarray]
-
-
-def _joined(parts: list[Found]) -> Found:
-    if not parts:
-        return np.empty(0, "int64"), np.empty(0, "int64"), np.empty(0)
-    return tuple(np.concatenate(part) for part in zip(*parts))
-
-
-def nearest(
-    query_ids: np.ndarray, queries: np.ndarray, ids: np.ndarray, vectors: np.ndarray, k: int, exclude_self: bool
-) -> Found:
-    """Exact top ``k`` as (query place, pattern place, squared distance).
-
-    A matrix product narrows down, the difference form decides: the product is
-    off by at most ``slack``, so every true hit lies within twice that of its
-    k-th smallest value.
-    """
-    if not len(ids) or not len(query_ids):
-        return _joined([])
-    if queries.shape[1] != vectors.shape[1]:
-        raise ValueError(f"query size {queries.shape[1]} differs from pattern size {vectors.shape[1]}")
-    out = []
-    norms = (vectors * vectors).sum(1)
-    step = max(1, CHUNK_CELLS // len(ids))
-    for at in range(0, len(query_ids), step):
-        q, qid = queries[at : at + step], query_ids[at : at + step]
-        own = (q * q).sum(1)
-        rough = own[:, None] + norms[None, :] - 2.0 * (q @ vectors.T)
-        if exclude_self:
-            rough[qid[:, None] == ids[None, :]] = np.inf
-        slack = 4.0 * (q.shape[1] + 8) * np.finfo(float).eps * (own + norms.max())
-        kth = np.partition(rough, k - 1, axis=1)[:, k - 1] if k < len(ids) else np.full(len(q), np.inf)
-        rows, cols = np.nonzero((rough <= (kth + 2.0 * slack)[:, None]) & np.isfinite(rough))
-        exact = np.empty(len(rows))
-        for p in range(0, len(rows), 1 << 18):
-            r, c = rows[p : p + (1 << 18)], cols[p : p + (1 << 18)]
-            exact[p : p + (1 << 18)] = _squared(q[r], vectors[c])
-        keep = _best(rows, ids[cols], exact, k)
-        out.append((at + rows[keep], cols[keep], exact[keep]))
-    return _joined(out)
-
-
-def _hits(query_ids: np.ndarray, pattern_ids: np.ndarray, distances: np.ndarray) -> pa.Table:
-    return pa.table(
-        {
-            "query_id": pa.array(query_ids, pa.int64()),
-            "pattern_id": pa.array(pattern_ids, pa.int64()),
-            "distance": pa.array(distances, pa.float64()),
-        }
-    )
-
-
-def _rows_by_key(keys: list) -> dict:
-    groups: dict = {}
-    for i, key in enumerate(keys):
-        if key is not None:
-            groups.setdefault(key, []).append(i)
-    return {key: np.array(rows) for key, rows in groups.items()}
-
-
-class _Store(NamedTuple):
-    """A pattern table small enough to be everywhere."""
-
-    ids: np.ndarray
-    vectors: np.ndarray
-    keys: dict
-    key_of: np.ndarray
-    groups: dict
-    meta: pa.Table
-
-    def everywhere(self, qid: np.ndarray, q: np.ndarray, rows: np.ndarray, k: int, exclude_self: bool) -> Found:
-        row, col, far = nearest(qid[rows], q[rows], self.ids, self.vectors, k, exclude_self)
-        return rows[row], col, far
-
-    def within_key(self, qid: np.ndarray, q: np.ndarray, keys: list, k: int, exclude_self: bool) -> Found:
-        parts = []
-        for key, rows in _rows_by_key(keys).items():
-            mine = self.groups.get(key)
-            if mine is not None:
-                row, col, far = nearest(qid[rows], q[rows], self.ids[mine], self.vectors[mine], k, exclude_self)
-                parts.append((rows[row], mine[col], far))
-        return _joined(parts)
-
-    def host_first(self, qid: np.ndarray, q: np.ndarray, keys: list, k: int, exclude_self: bool, post: bool) -> Found:
-        """Own hits, then hits of other hosts where own ones are fewer than ``k // 2``."""
-        # Hosts as numbers: no host is -1 for a query and -2 for a pattern.
-        own = np.array([self.keys.get(key, -3) if key is not None else -1 for key in keys], "int64")
-        if post:
-            near = self.everywhere(qid, q, np.arange(len(qid)), k, exclude_self)
-        else:
-            near = self.within_key(qid, q, keys, k, exclude_self)
-        owned = self.key_of[near[1]] == own[near[0]]
-        first = tuple(part[owned] for part in near)
-        counts = np.bincount(first[0], minlength=len(qid))
-        lacking = np.flatnonzero((counts < k // 2) | (own == -1))
-        if post:
-            fill = tuple(part[~owned & np.isin(near[0], lacking)] for part in near)
-        else:
-            fill = self.everywhere(qid, q, lacking, k, exclude_self)
-            other = self.key_of[fill[1]] != own[fill[0]]
-            fill = tuple(part[other] for part in fill)
-        row, col, far = _joined([first, fill])
-        general = np.repeat([0, 1], [len(first[0]), len(fill[0])])
-        order = np.lexsort((self.ids[col], far, general, row))
-        place = np.arange(len(order)) - np.searchsorted(row[order], row[order], side="left")
-        keep = order[place < k]
-        return row[keep], col[keep], far[keep]
-
-
-def _places(rows: np.ndarray) -> np.ndarray:
-    """Rank within each run of equal row numbers, from 1."""
-    return np.arange(len(rows)) - np.searchsorted(rows, rows, side="left") + 1
-
-
 # --- small or large store ---------------------------------------------------------------
 
 
@@ -209,12 +71,12 @@ def _shared_store(patterns: DataFrame, key: str | None, meta: bool, max_bytes: i
     if _stored_size(known, carried) > max_bytes:
         return None
     table = known.select(*columns, *(_meta_columns(patterns) if meta else [])).toArrow()
-    groups = _rows_by_key(table["_key"].to_pylist()) if key else {}
+    groups = rows_by_key(table["_key"].to_pylist()) if key else {}
     key_of = np.full(table.num_rows, -2, "int64")
     for number, rows in enumerate(groups.values()):
         key_of[rows] = number
-    store = _Store(
-        table["pattern_id"].to_numpy(), _vectors(table["embedding"]),
+    store = Store(
+        table["pattern_id"].to_numpy(), matrix(table["embedding"]),
         {key: number for number, key in enumerate(groups)}, key_of, groups,
         table.select(HIT_COLUMNS).combine_chunks() if meta else table.select([]),
     )
@@ -233,12 +95,12 @@ def _search_blocks(
 
     def search(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
         if not left.num_rows or not right.num_rows:
-            return _hits([], [], [])
+            return hit_table([], [], [])
         qid, ids = left["query_id"].to_numpy(), right["pattern_id"].to_numpy()
         row, col, far = nearest(
-            qid, _vectors(left["embedding"]), ids, _vectors(right["embedding"]), k, exclude_self
+            qid, matrix(left["embedding"]), ids, matrix(right["embedding"]), k, exclude_self
         )
-        return _hits(qid[row], ids[col], far)
+        return hit_table(qid[row], ids[col], far)
 
     return pair_blocks(q, p, keys, "query_id", "pattern_id", search, HIT_SCHEMA, rows_per_block, rows_per_block)
 
@@ -312,15 +174,15 @@ def _knn_shared(queries: DataFrame, shared: Broadcast, k: int, by: str | None, e
         store = shared.value
         for batch in batches:
             qid = batch.column("query_id").to_numpy(zero_copy_only=False)
-            q = _vectors(batch.column("embedding"))
+            q = matrix(batch.column("embedding"))
             if by:
                 row, col, far = store.within_key(qid, q, batch.column(by).to_pylist(), k, exclude_self)
                 order = np.argsort(row, kind="stable")
                 row, col, far = row[order], col[order], far[order]
             else:
                 row, col, far = store.everywhere(qid, q, np.arange(len(qid)), k, exclude_self)
-            table = _hits(qid[row], store.ids[col], far)
-            yield from table.append_column("rank", pa.array(_places(row), pa.int32())).to_batches()
+            table = hit_table(qid[row], store.ids[col], far)
+            yield from table.append_column("rank", pa.array(ranks(row), pa.int32())).to_batches()
 
     q = queries.filter(F.col("embedding").isNotNull())
     return q.select(F.col("query_id").cast("bigint"), *keys, "embedding").mapInArrow(search, HIT_SCHEMA + ", rank int")
@@ -388,14 +250,14 @@ def _host_first_shared(
             column = batch.column("embedding")
             known = np.flatnonzero(column.is_valid().to_numpy(zero_copy_only=False))
             ids = batch.column("query_id").to_numpy(zero_copy_only=False)
-            q = _vectors(column.take(pa.array(known)).cast(dim_type)) if len(known) else np.empty((0, 0))
+            q = matrix(column.take(pa.array(known)).cast(dim_type)) if len(known) else np.empty((0, 0))
             keys = batch.column("host_id").take(pa.array(known)).to_pylist()
             row, col, far = store.host_first(ids[known], q, keys, k, exclude_self, mode == "post")
             row = known[row] if len(row) else row
             taken = store.meta.take(pa.array(col, pa.int64())).combine_chunks()
             hit = pa.StructArray.from_arrays(
                 [
-                    pa.array(_places(row), pa.int32()), pa.array(store.ids[col], pa.int64()), pa.array(far),
+                    pa.array(ranks(row), pa.int32()), pa.array(store.ids[col], pa.int64()), pa.array(far),
                     *[_plain(taken[c]) for c in HIT_COLUMNS],
                 ],
                 names=["rank", "pattern_id", "distance", *HIT_COLUMNS],
@@ -521,7 +383,7 @@ def _to_cells(df: DataFrame, centres: np.ndarray, id_col: str, probes: int) -> D
         for batch in batches:
             if not batch.num_rows:
                 continue
-            v = _vectors(batch.column("embedding"))
+            v = matrix(batch.column("embedding"))
             far = (v * v).sum(1)[:, None] + (centres * centres).sum(1)[None, :] - 2.0 * (v @ centres.T)
             cells = np.argsort(far, axis=1, kind="stable")[:, :probes]
             ids = np.repeat(batch.column(id_col).to_numpy(zero_copy_only=False), cells.shape[1])
@@ -567,7 +429,7 @@ def ivfpq_fit(
         for batch in batches:
             if not batch.num_rows:
                 continue
-            rest = _vectors(batch.column("rest"))
+            rest = matrix(batch.column("rest"))
             codes = np.empty((len(rest), m), "int32")
             for j, book in enumerate(books):
                 part = rest[:, j * width : (j + 1) * width]
@@ -595,10 +457,10 @@ def ivfpq_search(
 
     def search(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
         if not left.num_rows or not right.num_rows:
-            return _hits([], [], [])
-        qid, rest = left["query_id"].to_numpy(), _vectors(left["rest"])
+            return hit_table([], [], [])
+        qid, rest = left["query_id"].to_numpy(), matrix(left["rest"])
         ids = right["pattern_id"].to_numpy()
-        codes = _vectors(right["codes"]).astype("int64")
+        codes = matrix(right["codes"]).astype("int64")
         parts = []
         step = max(1, CHUNK_CELLS // len(ids))
         for at in range(0, len(qid), step):
@@ -608,9 +470,9 @@ def ivfpq_search(
                 far += (diff * diff).sum(2)[:, codes[:, j]]
             kth = np.partition(far, k - 1, axis=1)[:, k - 1] if k < len(ids) else np.full(len(far), np.inf)
             rows, cols = np.nonzero(far <= kth[:, None])
-            keep = _best(rows, ids[cols], far[rows, cols], k)
+            keep = best_places(rows, ids[cols], far[rows, cols], k)
             parts.append((qid[at + rows[keep]], ids[cols[keep]], far[rows[keep], cols[keep]]))
-        return _hits(*_joined(parts))
+        return hit_table(*joined(parts))
 
     hits = pair_blocks(
         probes, index.codes, ["cell"], "query_id", "pattern_id", search, HIT_SCHEMA, rows_per_block, rows_per_block

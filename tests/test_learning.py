@@ -4,21 +4,22 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from gaugewatch.functions import network as net
 from gaugewatch.operators import contrastive as con
 from gaugewatch.operators import features
 
 
 def test_gradient_by_finite_differences():
     draw = np.random.default_rng(0)
-    w = con.initial_weights(5, 4, (7, 6), 1)
+    w = net.initial_weights(5, 4, (7, 6), 1)
     x, y = draw.normal(size=(9, 5)), draw.integers(0, 3, (9, 2))
     masks = tuple((draw.random((9, n)) >= 0.2) / 0.8 for n in (7, 6))
 
     def loss(values):
-        return con.batch_gradient(con._unflat(values, w), x, y, [1.0, 2.0], 3.0, 0.5, masks)[0]
+        return net.batch_gradient(net.unflat(values, w), x, y, [1.0, 2.0], 3.0, 0.5, masks)[0]
 
-    theta = con._flat(w)
-    gradient = con._flat(con.batch_gradient(w, x, y, [1.0, 2.0], 3.0, 0.5, masks)[1])
+    theta = net.flat(w)
+    gradient = net.flat(net.batch_gradient(w, x, y, [1.0, 2.0], 3.0, 0.5, masks)[1])
     for i in range(0, len(theta), 3):
         step = np.zeros_like(theta)
         step[i] = 1e-6
@@ -63,7 +64,7 @@ def test_training_separates_the_clouds(rows):
     trained = con.fit_contrastive(rows, ["label"], **options)
     assert trained.losses[-1] < 0.6 * trained.losses[0]
     again = con.fit_contrastive(rows, ["label"], **options)
-    np.testing.assert_allclose(con._flat(trained.weights), con._flat(again.weights), rtol=1e-6)
+    np.testing.assert_allclose(net.flat(trained.weights), net.flat(again.weights), rtol=1e-6)
     out = con.embed(rows, trained.weights, 12).toPandas()
     assert len(out) == 192 and out.embedding.map(len).eq(12).all() and out.embedding.map(lambda v: v[-1]).eq(0).all()
 
