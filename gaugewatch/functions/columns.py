@@ -20,7 +20,8 @@ def _col(c: Column | str) -> Column:
 def epoch_seconds(c: Column | str, zone: str = "UTC", fmt: str = READING_TIME) -> Column:
     """Epoch seconds of a local time text; NULL when the text is no valid time.
 
-    The zone is parsed with the text, so the session zone does not matter.
+    The zone is parsed with the text, so the session zone does not matter. The
+    hour that occurs twice in autumn is taken as its first occurrence.
     """
     zoned = F.concat_ws(" ", _col(c), F.when(_col(c).isNotNull(), F.lit(zone)))
     return F.unix_timestamp(F.try_to_timestamp(zoned, F.lit(f"{fmt} VV")))

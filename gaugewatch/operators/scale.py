@@ -17,6 +17,7 @@ from operator import or_
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, GroupedData, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 BROADCAST_ROWS = 200_000
 BROADCAST_BYTES = 32 << 20
@@ -49,11 +50,11 @@ def spread(df: DataFrame) -> DataFrame:
     """
     spark = df.sparkSession
     cores = spark.sparkContext.defaultParallelism
-    files = df.inputFiles()
-    if not files or len(files) >= cores:
+    files = df._jdf.inputFiles()  # stays on the JVM: a large table has many names
+    if not len(files) or len(files) >= cores:
         return df
     conf = spark._jsc.hadoopConfiguration()
-    paths = [spark._jvm.org.apache.hadoop.fs.Path(f) for f in files]
+    paths = [spark._jvm.org.apache.hadoop.fs.Path(files[i]) for i in range(len(files))]
     size = sum(p.getFileSystem(conf).getFileStatus(p).getLen() for p in paths)
     return df if size >= cores * SPLIT_BYTES else df.repartition(cores)
 
@@ -71,6 +72,19 @@ def _hot_keys(facts: DataFrame, on: list[str], hot_rows: int) -> DataFrame | Non
     return facts.sparkSession.createDataFrame(found, rows.schema) if found else None
 
 
+def _has_map(kind: T.DataType) -> bool:
+    if isinstance(kind, T.StructType):
+        return any(_has_map(f.dataType) for f in kind.fields)
+    if isinstance(kind, T.ArrayType):
+        return _has_map(kind.elementType)
+    return isinstance(kind, T.MapType)
+
+
+def _content_hash(df: DataFrame) -> Column:
+    """A number from a row's own values: the same again when a lost task is repeated."""
+    return F.xxhash64(*[F.col(f.name) for f in df.schema.fields if not _has_map(f.dataType)])
+
+
 def dimension_join(
     facts: DataFrame,
     dim: DataFrame,
@@ -91,7 +105,7 @@ def dimension_join(
     rest = [c for c in facts.columns if c not in on] + [c for c in dim.columns if c not in on]
     hot = _hot_keys(facts, on, hot_rows)
     missing = reduce(or_, [F.col(c).isNull() for c in on])
-    place = F.monotonically_increasing_id()
+    place = _content_hash(facts)
     if hot is None:
         facts, dim = facts.withColumn("_parts", F.lit(1)), dim.withColumn("_part", F.lit(0).cast("bigint"))
     else:
@@ -156,7 +170,7 @@ def rank_in_groups(
     keyed = df.withColumn("_key", F.col(order[0]).cast("double"))
     cuts = sorted(set(keyed.stat.approxQuantile("_key", steps, 0.1 / ranges)))
     splits = [-math.inf, *cuts, math.inf]
-    cutter = Bucketizer(splits=splits, inputCol="_key", outputCol="_range")
+    cutter = Bucketizer(splits=splits, inputCol="_key", outputCol="_range", handleInvalid="keep")
     ranged = cutter.transform(keyed).drop("_key")
 
     group = Window.partitionBy(*by)
