@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gaugewatch.operators.clean import SENSOR_KEYS
+from gaugewatch.operators.scale import dimension_join
+from gaugewatch.session import cut
 
 
 def distinct_values(df: DataFrame, *columns: str) -> DataFrame:
@@ -40,32 +42,40 @@ def sensor_profile(df: DataFrame, order: str = "ingest_id") -> DataFrame:
     """Minimum, maximum, mean and population deviation per sensor.
 
     A group with a value that is no number has no statistics; it shows its
-    first value as text and NA for the rest.
+    first value as text and NA for the rest. The large aggregate only holds
+    numbers, so it runs hashed without a sort; the few first values are looked
+    up by their ids afterwards, and only if there is a textual group.
     """
 
     def side(column: str, suffix: str) -> list:
         number = F.col(column).try_cast("double")
         textual = F.max(F.col(column).isNotNull() & number.isNull())
         return [
-            F.min(number).alias(f"_min{suffix}"),
-            F.max(number).alias(f"_max{suffix}"),
-            F.avg(number).alias(f"_mean{suffix}"),
-            F.stddev_pop(number).alias(f"_std{suffix}"),
+            F.min(number).alias(f"min_value{suffix}"),
+            F.max(number).alias(f"max_value{suffix}"),
+            F.avg(number).alias(f"mean_value{suffix}"),
+            F.stddev_pop(number).alias(f"std_value{suffix}"),
             F.coalesce(textual, F.lit(False)).alias(f"_text{suffix}"),
-            F.min_by(column, order).alias(f"_first{suffix}"),
         ]
 
-    grouped = df.groupBy(*SENSOR_KEYS).agg(
-        F.count(F.lit(1)).alias("readings"), *side("value_hrf", ""), *side("value_raw", "_raw")
+    grouped = cut(
+        df.groupBy(*SENSOR_KEYS).agg(
+            F.count(F.lit(1)).alias("readings"), F.min(order).alias("_first"),
+            *side("value_hrf", ""), *side("value_raw", "_raw"),
+        )
+    ).withColumn("textual", F.col("_text") | F.col("_text_raw"))
+    wanted = grouped.filter("textual").select(F.col("_first").alias(order))
+    firsts = dimension_join(df.select(order, "value_hrf", "value_raw"), wanted, [order], "inner").select(
+        F.col(order).alias("_first"),
+        F.col("value_hrf").alias("first_value"), F.col("value_raw").alias("first_value_raw"),
     )
-    textual = F.col("_text") | F.col("_text_raw")
-    out = [F.concat_ws("_", *SENSOR_KEYS).alias("id"), *SENSOR_KEYS, "readings", textual.alias("textual")]
+    out = [F.concat_ws("_", *SENSOR_KEYS).alias("id"), *SENSOR_KEYS, "readings", "textual"]
     for suffix in ("", "_raw"):
         for stat in ("min", "max", "mean", "std"):
-            out.append(F.when(~textual, F.col(f"_{stat}{suffix}")).alias(f"{stat}_value{suffix}"))
-        shown = F.when(textual, F.col(f"_first{suffix}"))
-        out.append(shown.alias(f"first_value{suffix}"))
-    return grouped.select(*out)
+            name = f"{stat}_value{suffix}"
+            out.append(F.when(~F.col("textual"), F.col(name)).alias(name))
+        out.append(f"first_value{suffix}")
+    return grouped.join(firsts, "_first", "left").select(*out)
 
 
 def template_stats(df: DataFrame, cols: list[str]) -> DataFrame:

@@ -119,6 +119,18 @@ def test_profile_falls_back_to_the_first_text(spark):
     assert (got["m"].min_value, got["m"].max_value, got["m"].mean_value, got["m"].std_value) == (4.0, 6.0, 5.0, 1.0)
 
 
+def test_profile_of_numbers_runs_hashed(spark):
+    df = spark.range(20).selectExpr(
+        "id as ingest_id", "'s' as subsystem", "'n' as sensor", "'p' as parameter",
+        "cast(id as string) as value_hrf", "'1' as value_raw",
+    )
+    keys = [f.name for f in df.schema.fields if f.name in clean.SENSOR_KEYS]
+    plan = df.groupBy(*keys).agg(F.min(F.col("value_hrf").try_cast("double")))._jdf.queryExecution()
+    assert "SortAggregate" not in plan.executedPlan().toString()
+    row = profiling.sensor_profile(df).first()
+    assert (row.min_value, row.max_value, row.mean_value, row.textual, row.first_value) == (0.0, 19.0, 9.5, False, None)
+
+
 def test_sampling_returns_what_there_is(spark):
     df = spark.range(5).select(F.lit("n").alias("node_id"), F.col("id").alias("ingest_id"))
     assert sampling.sample_per_node(df, 50).count() == 5
