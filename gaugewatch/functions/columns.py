@@ -20,11 +20,22 @@ def _col(c: Column | str) -> Column:
 def epoch_seconds(c: Column | str, zone: str = "UTC", fmt: str = READING_TIME) -> Column:
     """Epoch seconds of a local time text; NULL when the text is no valid time.
 
-    The zone is parsed with the text, so the session zone does not matter. The
-    hour that occurs twice in autumn is taken as its first occurrence.
+    The zone is parsed with the text, so the session zone does not matter. A
+    time in the hour that occurs twice in autumn is taken as winter time.
     """
     zoned = F.concat_ws(" ", _col(c), F.when(_col(c).isNotNull(), F.lit(zone)))
-    return F.unix_timestamp(F.try_to_timestamp(zoned, F.lit(f"{fmt} VV")))
+    first = F.unix_timestamp(F.try_to_timestamp(zoned, F.lit(f"{fmt} VV")))
+    if zone == "UTC":
+        return first
+
+    def on_the_clock(seconds: Column) -> Column:
+        start = F.expr("TIMESTAMP_NTZ'1970-01-01 00:00:00'")
+        return F.convert_timezone(F.lit("UTC"), F.lit(zone), F.timestamp_add("SECOND", seconds, start))
+
+    # Clocks only go back between midnight and four; other rows skip the comparison.
+    early = F.substring(_col(c), 12, 2) < "04" if fmt == READING_TIME else F.lit(True)
+    doubled = early & (on_the_clock(first) == on_the_clock(first + 3600))
+    return F.when(doubled, first + 3600).otherwise(first)
 
 
 def seconds_since(

@@ -165,6 +165,7 @@ def describe_readings(df: DataFrame, sensors: DataFrame) -> DataFrame:
     """One sentence about host, device and unit of every reading."""
     known = with_units(df, sensors)
     words = {c: F.coalesce(F.col(c), F.lit("unknown")) for c in [*SENSOR_KEYS, "node_id", "hrf_unit"]}
+    # The sentence that city prompts start with.
     text = F.format_string(
         "Host %s with make %s, model %s, and sensor type %s. The units of the sensor that is measured"
         " are %s.  This measurement was at time %s \n\n",

@@ -104,6 +104,7 @@ def _labelled(label: str, text: Column) -> Column:
     return F.when(text != "", F.concat(F.lit(f"- {label}: "), text, F.lit("\n"))).otherwise("")
 
 
+# Fixed values below: the labels of hit lines.
 def _hit_block(h: Column, i: Column, word: str, with_readings: bool) -> Column:
     return F.concat(
         F.lit(f"{word} "), (i + 1).cast("string"), F.lit(" (Distance: "), fixed_text(h["distance"], 4), F.lit("):\n"),
@@ -137,6 +138,7 @@ def hits_text(samples: DataFrame, hits: DataFrame | None = None, style: str = "a
 
 
 def _closest_text() -> Column:
+    # Titles and labels of the two blocks.
     def block(name: str, title: str, extra: Column, story: Column) -> Column:
         h = F.col(name)
         motion = F.filter(_entries(h["readings"]), lambda e: e["key"].isin(MOTION_READINGS))

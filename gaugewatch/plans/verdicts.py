@@ -728,9 +728,13 @@ def clear_feedback(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = fresh_path(spark, "feedback")
     store.append_feedback(feedback_rows(spark, sf_dir), path)
     copy = store.clear_feedback(spark, path, "20240201000000")
-    kept = store.read_feedback(spark, copy).agg(F.count(F.lit(1)).alias("in_backup"), F.max("timestamp").alias("last"))
-    left = store.read_feedback(spark, path).agg(F.count(F.lit(1)).alias("in_log"))
-    return kept.join(left)
+    kept = store.read_feedback(spark, copy).select("timestamp", F.lit(True).alias("backup"))
+    left = store.read_feedback(spark, path).select("timestamp", F.lit(False).alias("backup"))
+    return kept.unionByName(left).agg(
+        F.count_if("backup").alias("in_backup"),
+        F.max(F.when(F.col("backup"), F.col("timestamp"))).alias("last"),
+        F.count_if(~F.col("backup")).alias("in_log"),
+    )
 
 
 CLEAR_FEEDBACK = """SELECT count(*) AS in_backup, max(strftime(ts, '%Y-%m-%dT%H:%M:%S')) AS last, 0::bigint AS in_log FROM events"""

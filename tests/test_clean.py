@@ -33,6 +33,18 @@ def test_epoch_does_not_depend_on_the_session_zone(spark, zone, seconds):
         spark.conf.set("spark.sql.session.timeZone", "UTC")
 
 
+@pytest.mark.parametrize(
+    "text, seconds",
+    [
+        ("2024/11/03 00:30:00", 1730611800), ("2024/11/03 01:30:00", 1730619000), ("2024/11/03 02:30:00", 1730622600),
+        ("2024/03/10 01:30:00", 1710055800), ("2024/03/10 02:30:00", 1710059400), ("2024/07/01 12:00:00", 1719853200),
+    ],
+)
+def test_clock_changes(spark, text, seconds):
+    """The doubled hour counts as winter time; a time in the skipped hour moves on."""
+    assert one(spark, text, c.epoch_seconds("x", "America/Chicago")) == seconds
+
+
 def test_seconds_since(spark):
     assert one(spark, "2025/07/01 00:00:00", c.seconds_since("x")) == 181 * 86400 - 3600
     assert one(spark, "2020/02/01 00:00:01", c.seconds_since("x", None)) == 31 * 86400 + 1
