@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gaugewatch.llm import compression_quality, packing, token_counts
+from gaugewatch.llm import compression_quality, packing, suffix_dedup, token_counts
 from gaugewatch.llm.common import table
 
 
@@ -12,6 +12,10 @@ def op9_compression_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return compression_quality.quality_query(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op1_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.digest(table(spark, sf_dir, "documents"))
+
+
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tokens of every line of every document."""
     return token_counts.attribute(table(spark, sf_dir, "documents"))
@@ -21,6 +25,6 @@ def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op3_token_counts, op5_best_fit_packing, op9_compression_quality)}
+QUERIES = {f.__name__: f for f in (op1_suffix_array_dedup, op3_token_counts, op5_best_fit_packing, op9_compression_quality)}
 
 SQL: dict[str, str] = {}
