@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gaugewatch.llm import compression_quality, packing, suffix_dedup, token_counts
+from gaugewatch.llm import compression_quality, jaccard_join, packing, suffix_dedup, token_counts
 from gaugewatch.llm.common import table
 
 
@@ -25,6 +25,10 @@ def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_suffix_array_dedup, op3_token_counts, op5_best_fit_packing, op9_compression_quality)}
+def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.components(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_suffix_array_dedup, op3_token_counts, op5_best_fit_packing, op9_compression_quality, op10_jaccard_join)}
 
 SQL: dict[str, str] = {}
