@@ -49,8 +49,8 @@ def compare(ours: pd.DataFrame, theirs: pd.DataFrame) -> str:
         wrong = [(x, y) for x, y in zip(a, b) if x != y]
         return f"{len(wrong)} rows differ, first {wrong[0]}"
     ka, kb = kinds(ours), kinds(theirs)
-    # A column with NULLs may arrive as objects on one side only.
-    same = all(ka[c] == kb[c] or "O" in (ka[c], kb[c]) for c in ka)
+    # A column with NULLs may arrive as objects, or integers as floats, on one side only.
+    same = all(ka[c] == kb[c] or "O" in (ka[c], kb[c]) or ours[c].isna().any() for c in ka)
     return "" if same else f"types {[(c, ka[c], kb[c]) for c in ka if ka[c] != kb[c]]}"
 
 
