@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gaugewatch.llm import compression_quality, jaccard_join, packing, suffix_dedup, token_counts
+from gaugewatch.llm import (
+    compression_quality, decontaminate, jaccard_join, license_scan, packing, suffix_dedup, token_counts,
+)
 from gaugewatch.llm.common import table
 
 
@@ -29,6 +31,21 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.components(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_suffix_array_dedup, op3_token_counts, op5_best_fit_packing, op9_compression_quality, op10_jaccard_join)}
+def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan(table(spark, sf_dir, "documents"))
 
-SQL: dict[str, str] = {}
+
+def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row for each benchmark item that a document contains; clean documents have none."""
+    return decontaminate.matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_suffix_array_dedup, op3_token_counts, op5_best_fit_packing, op7_license_scan, op8_decontamination,
+        op9_compression_quality, op10_jaccard_join,
+    )
+}
+
+SQL = {"op7_license_scan": license_scan.SQL}
