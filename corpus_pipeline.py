@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gaugewatch.llm import compression_quality
+from gaugewatch.llm import compression_quality, decontaminate, jaccard_join, packing, suffix_dedup
 from gaugewatch.llm.common import table
 from gaugewatch.session import fresh_path
 
@@ -19,7 +19,33 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return compression_quality.keep_good(docs, model)
 
 
-STAGES: list[tuple[str, Stage]] = [("quality_classifier", quality)]
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of documents linked by word shingles, the one with the smallest id stays."""
+    return jaccard_join.representatives(docs)
+
+
+def repeated_strings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Bytes that repeat 50 bytes of an earlier document go; all documents stay, with what is left."""
+    return suffix_dedup.cleaned(docs)
+
+
+def benchmark_items(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that contain a benchmark item, also with small edits, go."""
+    return decontaminate.clean(docs, table(spark, sf_dir, "benchmark"))
+
+
+def sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The remaining documents as pieces packed into sequences of 2048 tokens."""
+    return packing.pack(docs)
+
+
+STAGES: list[tuple[str, Stage]] = [
+    ("quality_classifier", quality),
+    ("ngram_jaccard_join", near_duplicates),
+    ("suffix_array_dedup", repeated_strings),
+    ("benchmark_decontamination", benchmark_items),
+    ("best_fit_packing", sequences),
+]
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from gaugewatch.llm import (
     compression_quality, decontaminate, jaccard_join, license_scan, packing, suffix_dedup, token_counts,
+    topk_search,
 )
 from gaugewatch.llm.common import table
 
@@ -23,6 +24,10 @@ def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.attribute(table(spark, sf_dir, "documents"))
 
 
+def op4_pivot_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk_search.top_k(table(spark, sf_dir, "embeddings"))
+
+
 def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
@@ -43,9 +48,9 @@ def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        op1_suffix_array_dedup, op3_token_counts, op5_best_fit_packing, op7_license_scan, op8_decontamination,
+        op1_suffix_array_dedup, op3_token_counts, op4_pivot_topk, op5_best_fit_packing, op7_license_scan, op8_decontamination,
         op9_compression_quality, op10_jaccard_join,
     )
 }
 
-SQL = {"op7_license_scan": license_scan.SQL}
+SQL = {"op4_pivot_topk": topk_search.SQL, "op7_license_scan": license_scan.SQL}
