@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from gaugewatch.llm import (
     compression_quality, decontaminate, jaccard_join, license_scan, packing, suffix_dedup, token_counts,
-    topk_search,
+    topk_search, toxicity,
 )
 from gaugewatch.llm.common import table
 
@@ -19,6 +19,10 @@ def op1_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.digest(table(spark, sf_dir, "documents"))
 
 
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity_query(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tokens of every line of every document."""
     return token_counts.attribute(table(spark, sf_dir, "documents"))
@@ -48,7 +52,7 @@ def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        op1_suffix_array_dedup, op3_token_counts, op4_pivot_topk, op5_best_fit_packing, op7_license_scan, op8_decontamination,
+        op1_suffix_array_dedup, op2_toxicity, op3_token_counts, op4_pivot_topk, op5_best_fit_packing, op7_license_scan, op8_decontamination,
         op9_compression_quality, op10_jaccard_join,
     )
 }
