@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from gaugewatch.llm import (
-    compression_quality, decontaminate, jaccard_join, license_scan, packing, suffix_dedup, token_counts,
+    compression_quality, decontaminate, html_text, jaccard_join, license_scan, packing, suffix_dedup, token_counts,
     topk_search, toxicity,
 )
 from gaugewatch.llm.common import table
@@ -40,6 +40,10 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.components(table(spark, sf_dir, "documents"))
 
 
+def op6_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.main_texts(table(spark, sf_dir, "pages"))
+
+
 def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.scan(table(spark, sf_dir, "documents"))
 
@@ -52,7 +56,7 @@ def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        op1_suffix_array_dedup, op2_toxicity, op3_token_counts, op4_pivot_topk, op5_best_fit_packing, op7_license_scan, op8_decontamination,
+        op1_suffix_array_dedup, op2_toxicity, op3_token_counts, op4_pivot_topk, op5_best_fit_packing, op6_html_extraction, op7_license_scan, op8_decontamination,
         op9_compression_quality, op10_jaccard_join,
     )
 }
