@@ -208,7 +208,7 @@ def parsed_answers(answers: DataFrame, column: str = "answer") -> DataFrame:
         ),
         "answer_confidence": F.when(by_json, confidence).when(by_text, 0.5),
         "answer_explanation": F.when(by_json, F.coalesce(plain("explanation"), F.lit(NO_EXPLANATION))).when(
-            by_text, F.substring(column, 1, 500)
+            by_text, F.col(column)
         ),
         "answer_message": F.when(by_json, F.coalesce(plain("user_friendly_message"), F.lit(""))),
     }
@@ -443,17 +443,30 @@ def detect_detail(
 def ask_model(prompts: DataFrame, generate) -> DataFrame:
     """Answers from ``generate(list of prompts) -> list of texts``, batch by batch.
 
-    A batch whose call fails gets NULL answers, which the rules then decide.
+    If the call fails, or gives another number of texts, its prompts are asked
+    one by one. A prompt that fails on its own gets a NULL answer, which the
+    rules then decide, and the reason in ``error``.
     """
 
+    def one(prompt: str) -> tuple[str | None, str | None]:
+        try:
+            (text,) = generate([prompt])
+        except Exception as error:  # noqa: BLE001 - any failure of the service means no answer
+            return None, f"{type(error).__name__}: {error}"
+        return text, None
+
     def run(batches):
         for batch in batches:
+            asked = batch["prompt"].tolist()
             try:
-                batch["answer"] = generate(batch["prompt"].tolist())
-            except Exception:  # noqa: BLE001 - any failure of the service means no answer
-                batch["answer"] = None
-            yield batch[["query_id", "prompt_kind", "answer"]]
+                texts = list(generate(asked))
+            except Exception:  # noqa: BLE001
+                texts = []
+            told = [(text, None) for text in texts] if len(texts) == len(asked) else [one(prompt) for prompt in asked]
+            batch["answer"] = [text for text, _ in told]
+            batch["error"] = [error for _, error in told]
+            yield batch[["query_id", "prompt_kind", "answer", "error"]]
 
     return prompts.select("query_id", "prompt_kind", "prompt").mapInPandas(
-        run, "query_id bigint, prompt_kind string, answer string"
+        run, "query_id bigint, prompt_kind string, answer string, error string"
     )

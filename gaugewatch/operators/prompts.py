@@ -326,8 +326,9 @@ def anomaly_prompts(
     hits: DataFrame | None = None,
     threshold: float = SEMANTIC_THRESHOLD,
     task: str = texts.ONE_SHOT_TASK,
+    max_sensors: int | None = None,
 ) -> DataFrame:
-    """One prompt with sample and hits as JSON, the first ten motion sensors and the threshold."""
+    """One prompt with sample and hits as JSON, the motion sensors (at most ``max_sensors``) and the threshold."""
     names = F.map_keys(F.coalesce("readings", F.create_map().cast("map<string,double>")))
 
     def is_key(n: Column) -> Column:
@@ -336,7 +337,8 @@ def anomaly_prompts(
             hit = hit | F.contains(F.lower(n), F.lit(term))
         return hit
 
-    key_sensors = F.array_join(F.slice(F.filter(names, is_key), 1, 10), ", ")
+    found = F.filter(names, is_key)
+    key_sensors = F.array_join(found if max_sensors is None else F.slice(found, 1, max_sensors), ", ")
     df = _found(samples, hits).select(
         "query_id",
         F.to_json(F.struct("host_id", "activity", "ts", "readings")).alias("sample_json"),
@@ -358,9 +360,11 @@ INCOMPLETE_ANSWER = "Failed to parse LLM response properly. Raw response: "
 UNREADABLE_ANSWER = "Failed to parse LLM response as JSON. Raw response: "
 
 
-def parse_answers(answers: DataFrame) -> DataFrame:
+def parse_answers(answers: DataFrame, max_chars: int | None = None) -> DataFrame:
     """One-shot answers as columns.
 
+    An unreadable answer is quoted whole, or cut after ``max_chars`` with dots.
+
     A JSON object without one of is_anomaly, confidence, explanation gives a
     default record; text that is no JSON is searched for the word anomaly.
     """
@@ -372,6 +376,10 @@ def parse_answers(answers: DataFrame) -> DataFrame:
         # JSON null counts as present.
         return F.try_variant_get(j, f"$.{name}", "variant").isNotNull()
 
+    def quoted(note: str) -> Column:
+        cut_off = F.when(F.length("answer") > max_chars, F.concat(F.substring("answer", 1, max_chars), F.lit("..."))) if max_chars else F.lit(None)
+        return F.concat(F.lit(note), F.coalesce(cut_off, F.col("answer")))
+
     complete = has("is_anomaly") & has("confidence") & has("explanation")
     text = F.col("answer")
     is_json = j.isNotNull()
@@ -383,7 +391,7 @@ def parse_answers(answers: DataFrame) -> DataFrame:
         "anomaly_type": F.when(complete, F.try_variant_get(j, "$.anomaly_type", "string"))
         .when(~is_json, "unknown"),
         "explanation": F.when(complete, F.try_variant_get(j, "$.explanation", "string"))
-        .when(is_json, F.concat(F.lit(INCOMPLETE_ANSWER), F.substring(text, 1, 100), F.lit("...")))
-        .otherwise(F.concat(F.lit(UNREADABLE_ANSWER), F.substring(text, 1, 200), F.lit("..."))),
+        .when(is_json, quoted(INCOMPLETE_ANSWER))
+        .otherwise(quoted(UNREADABLE_ANSWER)),
     }
     return parsed.select("query_id", *[c.alias(name) for name, c in out.items()])

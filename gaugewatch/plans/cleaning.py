@@ -450,6 +450,53 @@ WRITE_AND_COMPACT = f"""WITH {t.READINGS}
 SELECT node_id, count(*) AS n, min(timestamp) AS first, max(timestamp) AS last
 FROM readings WHERE value_hrf IS NOT NULL GROUP BY 1"""
 
+
+
+def write_resumed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A folder that a failed run left without its marker is written again, a finished one is not."""
+    path = fresh_path(spark, "resumed")
+    pruned = clean.prune_values(t.readings(spark, sf_dir))
+    pruned.limit(5).write.option("header", True).option("mapreduce.fileoutputcommitter.marksuccessfuljobs", "false").csv(path)
+    src.write_bounded(pruned, path, rows_per_file=1000)
+    src.write_bounded(pruned.limit(5), path, rows_per_file=1000)
+    back = src.read_readings(spark, path)
+    return back.groupBy("sensor").agg(F.count(F.lit(1)).alias("n"), F.min("timestamp").alias("first"))
+
+
+WRITE_RESUMED = f"""WITH {t.READINGS}
+SELECT sensor, count(*) AS n, min(timestamp) AS first FROM readings WHERE value_hrf IS NOT NULL GROUP BY 1"""
+
+
+def scan_mixed_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Raw, pruned and reordered files in one folder, each read under its own header."""
+    path = fresh_path(spark, "mixed")
+    raw = t.readings(spark, sf_dir)
+    third = F.pmod("ingest_id", F.lit(3))
+    for number, columns in enumerate((src.RAW_COLUMNS, [c for c in src.RAW_COLUMNS if c != "value_raw"], src.RAW_COLUMNS[::-1])):
+        raw.where(third == number).select(*columns).write.mode("append").option("header", True).csv(path)
+    back = src.read_readings(spark, path)
+    return back.groupBy("node_id", "sensor").agg(
+        F.count(F.lit(1)).alias("n"), F.count("value_raw").alias("raw"), F.count("value_hrf").alias("valued"),
+        F.min("timestamp").alias("first"), F.max("value_hrf").alias("top"),
+    )
+
+
+SCAN_MIXED_FILES = f"""WITH {t.READINGS}
+SELECT node_id, sensor, count(*) AS n, count(value_raw) FILTER (WHERE ingest_id % 3 <> 1) AS raw, count(value_hrf) AS valued,
+       min(timestamp) AS first, max(value_hrf) AS top
+FROM readings GROUP BY ALL"""
+
+
+def scan_weather_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The yearly weather tables through CSV files, read back and put together."""
+    paths = []
+    for year in _weather(spark, sf_dir):
+        paths.append(fresh_path(spark, "weather"))
+        year.write.option("header", True).csv(paths[-1])
+    both = clean.weather_union(*src.read_weather(spark, *paths))
+    return t.tidy(both.select(F.col("event_id").cast("long").alias("event_id"), F.unix_timestamp("date").alias("epoch"), F.col("AirTemp").cast("double").alias("AirTemp")))
+
+
 QUERIES = {
     "drop_sensors": (drop_sensors, DROP_SENSORS),
     "drop_sensors_strict": (drop_sensors_strict, DROP_SENSORS_STRICT),
@@ -482,4 +529,7 @@ QUERIES = {
     "scan_wide_files": (scan_wide_files, SCAN_WIDE_FILES),
     "write_slices": (write_slices, WRITE_SLICES),
     "write_and_compact": (write_and_compact, WRITE_AND_COMPACT),
+    "write_resumed": (write_resumed, WRITE_RESUMED),
+    "scan_mixed_files": (scan_mixed_files, SCAN_MIXED_FILES),
+    "scan_weather_files": (scan_weather_files, WEATHER_UNION),
 }

@@ -184,7 +184,7 @@ read_answers AS (
 parsed_answers AS (
   SELECT *, CASE WHEN answer IS NULL THEN NULL WHEN j IS NULL THEN contains(lower(answer), 'anomaly') ELSE j_anomaly END AS said,
          CASE WHEN answer IS NULL THEN NULL WHEN j IS NULL THEN 0.5::double ELSE j_confidence END AS conf,
-         CASE WHEN answer IS NULL THEN NULL WHEN j IS NULL THEN left(answer, 500)
+         CASE WHEN answer IS NULL THEN NULL WHEN j IS NULL THEN answer
               ELSE concat_ws(chr(10) || chr(10), json_extract_string(j, '$.explanation'),
                 'User-friendly explanation: ' || json_extract_string(j, '$.user_friendly_message'),
                 CASE json_type(j, '$.notable_deviations')
@@ -380,8 +380,8 @@ SELECT query_id, CASE WHEN complete THEN json_extract_string(j, '$.is_anomaly'):
          ELSE 0.5::double END''')} AS confidence,
        CASE WHEN complete THEN json_extract_string(j, '$.anomaly_type') WHEN j IS NULL THEN 'unknown' END AS anomaly_type,
        CASE WHEN complete THEN json_extract_string(j, '$.explanation')
-         WHEN j IS NOT NULL THEN 'Failed to parse LLM response properly. Raw response: ' || left(answer, 100) || '...'
-         ELSE 'Failed to parse LLM response as JSON. Raw response: ' || left(answer, 200) || '...' END AS explanation
+         WHEN j IS NOT NULL THEN 'Failed to parse LLM response properly. Raw response: ' || answer
+         ELSE 'Failed to parse LLM response as JSON. Raw response: ' || answer END AS explanation
 FROM c"""
 
 # --- texts and prompts ------------------------------------------------------------------------

@@ -16,9 +16,41 @@ NODE_COLUMNS = ["node_id", "lat", "lon"]
 SENSOR_COLUMNS = ["subsystem", "sensor", "parameter", "hrf_unit", "hrf_minval", "hrf_maxval", "datasheet"]
 
 
+def _by_header(spark: SparkSession, path: str | list[str]) -> dict[str, list[str]]:
+    """Files under ``path`` by their first line.
+
+    Only the first line of each file is read. Spark itself takes the header of
+    one file and applies it to all others by position.
+    """
+    hadoop, io = spark._jvm.org.apache.hadoop, spark._jvm.java.io
+    conf = spark._jsc.hadoopConfiguration()
+    codecs = hadoop.io.compress.CompressionCodecFactory(conf)
+    found: dict[str, list[str]] = {}
+    for name in spark.read.text(path).inputFiles():
+        file = hadoop.fs.Path(spark._jvm.java.net.URI(name))
+        stream = file.getFileSystem(conf).open(file)
+        codec = codecs.getCodec(file)
+        lines = io.BufferedReader(io.InputStreamReader(codec.createInputStream(stream) if codec else stream, "UTF-8"))
+        found.setdefault(lines.readLine() or "", []).append(name)
+        lines.close()
+    found.pop("", None)
+    return found
+
+
+def read_by_header(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """CSV files as strings, each under its own header; a column that a file lacks is NULL."""
+    files = _by_header(spark, path)
+    if not files:
+        return spark.read.option("header", True).csv(path)
+    # A file name may hold what Spark takes for a pattern, so one header reads the path as given.
+    groups = [path] if len(files) == 1 else [sorted(names) for _, names in sorted(files.items())]
+    parts = [spark.read.option("header", True).csv(names) for names in groups]
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
+
+
 def _csv_texts(spark: SparkSession, path: str | list[str], columns: list[str]) -> DataFrame:
-    """Read the named columns as strings, whatever their order in the file."""
-    df = spark.read.option("header", True).csv(path)
+    """Read the named columns as strings, whatever their order in each file."""
+    df = read_by_header(spark, path)
     return df.select(
         *[F.col(c) if c in df.columns else F.lit(None).cast("string").alias(c) for c in columns]
     )
@@ -43,12 +75,20 @@ def read_sensors(spark: SparkSession, path: str) -> DataFrame:
 def read_wide(spark: SparkSession, path: str, schema: T.StructType | None = None) -> DataFrame:
     """Wide sensor rows. Give a schema for large files: inference reads them twice.
 
-    A missing path gives a warning and an empty table.
+    A schema's columns are taken by name from each file; one that a file lacks
+    is NULL, and a value that does not parse is too. A missing path gives a
+    warning and an empty table.
     """
-    reader = spark.read.option("header", True)
-    reader = reader.schema(schema) if schema else reader.option("inferSchema", True)
     try:
-        return reader.csv(path)
+        if schema is None:
+            return spark.read.option("header", True).option("inferSchema", True).csv(path)
+        texts = read_by_header(spark, path)
+        return texts.select(
+            *[
+                (F.col(f.name).try_cast(f.dataType) if f.name in texts.columns else F.lit(None).cast(f.dataType)).alias(f.name)
+                for f in schema.fields
+            ]
+        )
     except AnalysisException as error:
         if "PATH_NOT_FOUND" not in str(error):
             raise
@@ -79,9 +119,19 @@ def write_slices(df: DataFrame, path: str, mode: str = "overwrite") -> None:
     df.hint("rebalance", F.col("title")).write.mode(mode).partitionBy("title").parquet(path)
 
 
-def write_bounded(df: DataFrame, path: str, rows_per_file: int, mode: str = "ignore") -> None:
-    """Files of at most ``rows_per_file`` rows; a rerun leaves finished output alone."""
-    df.write.mode(mode).option("maxRecordsPerFile", rows_per_file).option("header", True).csv(path)
+def is_finished(spark: SparkSession, path: str) -> bool:
+    """Whether a write to ``path`` came to its end: it leaves a marker file there."""
+    marker = spark._jvm.org.apache.hadoop.fs.Path(path, "_SUCCESS")
+    return marker.getFileSystem(spark._jsc.hadoopConfiguration()).exists(marker)
+
+
+def write_bounded(df: DataFrame, path: str, rows_per_file: int) -> None:
+    """Files of at most ``rows_per_file`` rows.
+
+    A rerun leaves finished output alone and replaces what a failed run left.
+    """
+    if not is_finished(df.sparkSession, path):
+        df.write.mode("overwrite").option("maxRecordsPerFile", rows_per_file).option("header", True).csv(path)
 
 
 def stored_bytes(spark: SparkSession, path: str) -> int:
@@ -100,12 +150,15 @@ def compact(
 ) -> None:
     """Gather many small files into time-ordered ones of about ``max_bytes``.
 
-    The range covers more than the time, so rows of one busy second can be split.
+    The range covers more than the time, so rows of one busy second can be
+    split. Finished output is left alone, unfinished output replaced.
     """
+    if is_finished(spark, dst):
+        return
     files = max(1, math.ceil(stored_bytes(spark, src) / max_bytes))
-    df = spark.read.option("header", True).csv(src)
+    df = read_by_header(spark, src)
     keys = [c for c in order if c in df.columns]
-    df.repartitionByRange(files, *keys).sortWithinPartitions(*keys).write.mode("ignore").option(
+    df.repartitionByRange(files, *keys).sortWithinPartitions(*keys).write.mode("overwrite").option(
         "header", True
     ).csv(dst)
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,13 +13,21 @@ from gaugewatch.operators.detect import detect
 from gaugewatch.sources.readings import RAW_COLUMNS
 
 
-def stream_readings(spark: SparkSession, path: str, max_files: int = 1000) -> DataFrame:
-    """New reading files of a folder, without repeats of a reading within an hour."""
+def stream_readings(
+    spark: SparkSession, path: str, max_files: int = 1000, unique: Sequence[str] | None = None
+) -> DataFrame:
+    """New reading files of a folder, every row of them, however late it comes.
+
+    With ``unique``, rows that repeat these columns are left out; name all that
+    identify a reading. The seen keys are then state for as long as the stream
+    lives: nothing is dropped for being late. Files must have the columns of
+    raw readings in their order; another header is an error.
+    """
     schema = ", ".join(f"{c} string" for c in RAW_COLUMNS)
-    raw = spark.readStream.schema(schema).option("header", True).option("maxFilesPerTrigger", max_files).csv(path)
+    reader = spark.readStream.schema(schema).option("header", True).option("enforceSchema", False)
+    raw = reader.option("maxFilesPerTrigger", max_files).csv(path)
     timed = raw.withColumn("seen_at", F.timestamp_seconds(epoch_seconds("timestamp")))
-    keys = ["node_id", "seen_at", "sensor", "parameter"]
-    return timed.withWatermark("seen_at", "1 hour").dropDuplicatesWithinWatermark(keys)
+    return timed.dropDuplicates(list(unique)) if unique else timed
 
 
 def score_stream(

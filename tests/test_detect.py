@@ -228,8 +228,8 @@ def test_sample_text(samples):
     "answer, want",
     [
         (json.dumps(ANSWER), (True, 0.85, None, ANSWER["explanation"])),
-        ('{"is_anomaly": true}', (False, 0.0, None, 'Failed to parse LLM response properly. Raw response: {"is_anomaly": true}...')),
-        ("an Anomaly", (True, 0.5, "unknown", "Failed to parse LLM response as JSON. Raw response: an Anomaly...")),
+        ('{"is_anomaly": true}', (False, 0.0, None, 'Failed to parse LLM response properly. Raw response: {"is_anomaly": true}')),
+        ("an Anomaly", (True, 0.5, "unknown", "Failed to parse LLM response as JSON. Raw response: an Anomaly")),
     ],
 )
 def test_one_shot_answers(spark, answer, want):

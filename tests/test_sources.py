@@ -5,6 +5,7 @@ from types import SimpleNamespace
 
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from gaugewatch import session
 from gaugewatch.operators import clean, feedback, patterns, retrieval
@@ -130,6 +131,32 @@ def test_stream_scores_like_batch(spark, tmp_path):
     stream = score.stream_readings(spark, str(tmp_path / "in"))
     score.score_stream(stream, to_samples, lambda: known, out, str(tmp_path / "cp")).awaitTermination(120)
     verdicts = spark.read.parquet(out)
-    assert verdicts.count() == 6
-    assert verdicts.filter(~F.col("is_anomaly")).count() == 1
+    assert verdicts.count() == 7
+    assert verdicts.filter(~F.col("is_anomaly")).count() == 2
     assert retrieval.retrieve(to_samples(src.read_readings(spark, str(tmp_path / "in"))), known).count() == 7
+
+
+def test_stream_leaves_out_named_repeats(spark, tmp_path):
+    header = "timestamp,node_id,subsystem,sensor,parameter,value_raw,value_hrf"
+    row = "2024/01/01 00:00:00,n0,{},bmp180,temperature,1,{}"
+    folder = tmp_path / "in"
+    folder.mkdir()
+    rows = [row.format("metsense", 1), row.format("metsense", 1), row.format("lightsense", 1), row.format("metsense", 2)]
+    late = row.replace("2024", "2020").format("metsense", 1)
+    (folder / "a.csv").write_text("\n".join([header, *rows]) + "\n")
+    (folder / "b.csv").write_text("\n".join([header, late]) + "\n")
+    counts = {}
+    for name, unique in (("all", None), ("unique", src.RAW_COLUMNS)):
+        stream = score.stream_readings(spark, str(folder), max_files=1, unique=unique)
+        out = str(tmp_path / name)
+        query = stream.writeStream.format("parquet").option("checkpointLocation", out + "-cp").trigger(availableNow=True).start(out)
+        query.awaitTermination(120)
+        counts[name] = spark.read.parquet(out).count()
+    assert counts == {"all": 5, "unique": 4}
+
+
+def test_wide_schema_goes_by_name(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("hostID,acc_x,acc_y\nh1,1,2\n")
+    (tmp_path / "b.csv").write_text("acc_y,hostID\n3,h2\n")
+    got = src.read_wide(spark, str(tmp_path), T.StructType.fromDDL("hostID string, acc_x double, acc_y double"))
+    assert sorted(map(tuple, got.collect())) == [("h1", 1.0, 2.0), ("h2", None, 3.0)]
