@@ -49,6 +49,7 @@ BLOCK_BYTES = 8 << 20
 BUCKET_ANCHORS = 1 << 21
 CHUNK = 1 << 20
 LAST = np.iinfo(np.int64).max
+PARTS = 64  # of a bucket, sorted one after the other
 SEPARATOR = 0xFF  # no byte of UTF-8
 
 RESULTS = ("n_bytes", "n_removed", "n_spans", "kept_sha256", "kept_")
@@ -58,7 +59,7 @@ KINDS = {
 }
 SKETCH = "block_ long, bucket_ long, n_ long, keys_ binary, counts_ binary"
 ANSWER = "block_ long, bucket_ long, kind_ int, a_ binary, b_ binary"
-FRAGMENTS = "block_ long, bucket_ long, sizes_ binary, docs_ binary, bytes_ binary"
+FRAGMENTS = "block_ long, bucket_ long, parts_ binary, sizes_ binary, docs_ binary, bytes_ binary"
 
 
 def _mix(a: np.ndarray, b: np.ndarray | int) -> np.ndarray:
@@ -259,13 +260,12 @@ def _cut(buckets: int):
         number = docs.column("block_")[0].as_py()
         block = Block(docs)
         _, _, (key, size, least, texts) = block.fragments(*_masks(block, answers, buckets))
-        return _rows(
-            [
-                (number, b, size[a:e].astype(np.uint8).tobytes(), least[a:e].tobytes(), b"".join(texts[a:e]))
-                for b, a, e in _slices(_bucket(key, buckets))
-            ],
-            FRAGMENTS,
-        )
+        part = _bucket(key, buckets * PARTS)
+        rows = []
+        for b, a, e in _slices(part // PARTS):
+            counts = np.bincount(part[a:e] - b * PARTS, minlength=PARTS).astype(np.uint32)
+            rows.append((number, b, counts.tobytes(), size[a:e].astype(np.uint8).tobytes(), least[a:e].tobytes(), b"".join(texts[a:e])))
+        return _rows(rows, FRAGMENTS)
 
     return run
 
@@ -292,37 +292,58 @@ def earliest(texts: list[bytes], docs: np.ndarray) -> np.ndarray:
 
 
 def _suffixes(rows: pa.Table) -> pa.Table:
+    """Parts of the bucket one after the other: strings of different parts have different anchors."""
     bucket = rows.column("bucket_")[0].as_py()
-    blocks, parts = rows.column("block_").to_pylist(), []
-    seen: dict[bytes, int] = {}
-    least: list[int] = []
-    for sizes, docs, raw in zip(*(rows.column(c).to_pylist() for c in ("sizes_", "docs_", "bytes_")), strict=True):
-        which, at = [], 0
-        for n, doc in zip(np.frombuffer(sizes, np.uint8).tolist(), np.frombuffer(docs, np.int64).tolist(), strict=True):
-            text = raw[at : at + n + LENGTH - 1]
-            at += n + LENGTH - 1
-            k = seen.setdefault(text, len(seen))
-            if k == len(least):
-                least.append(doc)
-            elif doc < least[k]:
-                least[k] = doc
-            which.append(k)
-        parts.append(np.array(which, np.int64))
-    texts = list(seen)
-    found = earliest(texts, np.array(least, np.int64))
-    count = np.array([len(t) - LENGTH + 1 for t in texts], np.int64)
-    base = np.cumsum(count) - count
+    blocks = rows.column("block_").to_pylist()
+    sent = [_Sent(*row) for row in zip(*(rows.column(c).to_pylist() for c in ("parts_", "sizes_", "docs_", "bytes_")), strict=True)]
+    answers: list[list[np.ndarray]] = [[] for _ in sent]
+    for part in range(PARTS):
+        seen: dict[bytes, int] = {}
+        least: list[int] = []
+        which = []
+        for block in sent:
+            own = []
+            for text, doc in block.fragments(part):
+                k = seen.setdefault(text, len(seen))
+                if k == len(least):
+                    least.append(doc)
+                elif doc < least[k]:
+                    least[k] = doc
+                own.append(k)
+            which.append(np.array(own, np.int64))
+        if not seen:
+            continue
+        found = earliest(list(seen), np.array(least, np.int64))
+        count = np.array([len(t) - LENGTH + 1 for t in seen], np.int64)
+        base = np.cumsum(count) - count
+        for answer, own in zip(answers, which, strict=True):
+            size = count[own]
+            at = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size) + np.repeat(base[own], size)
+            answer.append(found[at])
     out = []
-    for block, which in zip(blocks, parts, strict=True):
-        size = count[which]
-        at = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size) + np.repeat(base[which], size)
-        values = found[at]
+    for block, answer in zip(blocks, answers, strict=True):
+        values = np.concatenate(answer)
         first = np.flatnonzero(np.r_[True, values[1:] != values[:-1]])
         runs = np.diff(np.r_[first, len(values)]).astype(np.uint32)
         out.append((block, bucket, 1, values[first].tobytes(), runs.tobytes()))
     return _rows(out, ANSWER)
 
 
+class _Sent:
+    """What one block sent to a bucket."""
+
+    def __init__(self, parts: bytes, sizes: bytes, docs: bytes, raw: bytes):
+        size = np.frombuffer(sizes, np.uint8).astype(np.int64) + LENGTH - 1
+        self.ends, self.size = np.cumsum(size), size
+        self.docs, self.raw = np.frombuffer(docs, np.int64), raw
+        self.part = np.r_[0, np.cumsum(np.frombuffer(parts, np.uint32))]
+
+    def fragments(self, part: int) -> Iterator[tuple[bytes, int]]:
+        a, e = self.part[part], self.part[part + 1]
+        for end, n, doc in zip(self.ends[a:e].tolist(), self.size[a:e].tolist(), self.docs[a:e].tolist(), strict=True):
+            yield self.raw[end - n : end], doc
+
+
 def _remove(buckets: int, names: list[str], schema: pa.Schema):
     def run(docs: pa.Table, answers: pa.Table) -> pa.Table:
         if not docs.num_rows:
