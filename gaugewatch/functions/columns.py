@@ -139,11 +139,11 @@ def fit_dim(c: Column | str, dim: int) -> Column:
     return F.concat(F.slice(v, 1, dim), F.array_repeat(F.lit(0.0), missing))
 
 
-def unit_vector(c: Column | str) -> Column:
-    """Divide by the Euclidean length; an all-zero vector stays as it is."""
+def is_usable(c: Column | str) -> Column:
+    """True for a list of finite values, not for NULL, an empty list or one with NULL, NaN or infinity."""
     v = _col(c)
-    length = F.sqrt(F.aggregate(v, F.lit(0.0), lambda acc, x: acc + x * x))
-    return F.when(length > 0, F.transform(v, lambda x: x / length)).otherwise(v)
+    finite = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x.cast("double")) & (F.abs(x.cast("double")) < float("inf")))
+    return F.coalesce((F.size(v) > 0) & finite, F.lit(False))
 
 
 def squared_distance(a: Column | str, b: Column | str) -> Column:
@@ -167,9 +167,5 @@ def fixed_text(x: Column | str, digits: int) -> Column:
     return F.when(F.abs(x) < 1e13, text).when(x.isNotNull(), F.format_string(f"%.{digits}f", x))
 
 
-def lines(items: Iterable[Column]) -> Column:
-    return F.concat(*items)
-
-
 def clamp(c: Column, low: float, high: float) -> Column:
     return F.greatest(F.lit(low), F.least(F.lit(high), c))

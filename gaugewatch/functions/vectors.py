@@ -6,6 +6,7 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 CHUNK_CELLS = 1 << 22
 SMALL_PAIRS = 1 << 14
@@ -13,16 +14,32 @@ DIRECT_PAIRS = 1 << 18
 
 
 def matrix(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
-    """Equal-length lists as a float64 matrix."""
+    """Lists as a float64 matrix; all must be there and of one length."""
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
-    flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
     rows = len(column)
     if not rows:
         return np.empty((0, 0))
-    if len(flat) % rows:
+    lengths = pc.list_value_length(column)
+    if column.null_count or pc.min(lengths).as_py() != pc.max(lengths).as_py():
         raise ValueError("embeddings differ in size")
-    return flat.reshape(rows, -1)
+    return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(rows, -1)
+
+
+def usable_rows(column: pa.ChunkedArray | pa.Array, size: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Numbers and matrix of the rows that are lists of ``size`` finite values.
+
+    Without a size, that of the first list that is not NULL or empty counts.
+    """
+    if isinstance(column, pa.ChunkedArray):
+        column = column.combine_chunks()
+    lengths = np.array(pc.fill_null(pc.list_value_length(column), -1), dtype="int64")
+    if size is None:
+        size = int(lengths[lengths > 0][0]) if (lengths > 0).any() else 0
+    fit = np.flatnonzero(lengths == size)
+    values = matrix(column.take(pa.array(fit))) if len(fit) and size else np.empty((len(fit), size))
+    finite = np.isfinite(values).all(1)
+    return fit[finite], values[finite]
 
 
 def squared_rows(a: np.ndarray, b: np.ndarray) -> np.ndarray:

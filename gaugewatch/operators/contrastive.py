@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from gaugewatch.functions.columns import fit_dim
+from gaugewatch.functions.columns import fit_dim, is_usable
 from gaugewatch.functions.network import (
     EPS,
     Weights,
@@ -29,8 +29,9 @@ from gaugewatch.functions.network import (
     pair_sums,
     unflat,
 )
-from gaugewatch.functions.vectors import matrix
-from gaugewatch.operators.features import assign_batches
+from gaugewatch.functions.vectors import matrix, usable_rows
+from gaugewatch.operators.features import near_equal_batches
+from gaugewatch.operators.retrieval import store_dim
 from gaugewatch.operators.scale import pair_blocks
 from gaugewatch.session import cut
 
@@ -95,7 +96,6 @@ def fit_contrastive(
     hidden: tuple[int, int] = (1024, 512),
     epochs: int = 30,
     batch: int = 64,
-    steps_per_epoch: int = 1,
     lr: float = 1e-3,
     margin: float = 1.0,
     lambda_neg: float = 0.5,
@@ -106,66 +106,75 @@ def fit_contrastive(
 ) -> Trained:
     """Train on (row_id, features, label columns).
 
-    Rows are put into equal mini-batches once. Each step averages the gradients
-    of its share of the mini-batches and takes one Adam step; more
-    ``steps_per_epoch`` come closer to one step per mini-batch.
+    Rows are put into mini-batches of nearly ``batch`` rows once, stored with
+    one part of them per task. In every epoch each task takes one Adam step
+    per mini-batch of its part, all starting from the same weights; then the
+    weights of all tasks are averaged. With one task this is plain Adam over
+    all mini-batches. Every epoch reads all rows once.
     """
     weights = label_weights or [1.0] * len(labels)
     rows = df.select(
         F.col(row_id).alias("row_id"), "features",
         F.array(*[F.col(c).cast("bigint") for c in labels]).alias("_labels"),
     )
-    batched = cut(assign_batches(rows, batch, seed=seed).repartition("batch_id").sortWithinPartitions("batch_id", "row_id"))
+    # Rows that are no vector of the usual size teach nothing.
+    dim_in = store_dim(rows.withColumnRenamed("features", "embedding"))
+    rows = rows.filter(is_usable("features") & (F.size("features") == F.lit(dim_in)))
+    batched = near_equal_batches(rows, batch, seed=seed)
+    batched = cut(batched.repartition("batch_id").sortWithinPartitions("batch_id", "row_id"))
     tasks = batched.rdd.getNumPartitions()
-    w = initial_weights(batched.select(F.size("features")).first()[0], dim, hidden, seed)
-    theta, mean, square = flat(w), 0.0, 0.0
+    w = initial_weights(dim_in, dim, hidden, seed)
+    state = _Adam(flat(w), np.zeros(flat(w).size), np.zeros(flat(w).size), 0.0)
     losses: list[float] = []
-    step = 0
     for epoch in range(epochs):
-        epoch_loss, epoch_batches = 0.0, 0.0
-        for share in range(steps_per_epoch):
-            mine = batched.filter(F.pmod("batch_id", F.lit(steps_per_epoch)) == share)
-            gradient, loss, batches = _summed_gradient(
-                mine, unflat(theta, w), weights, margin, lambda_neg, dropout, (seed, epoch), tasks
-            )
-            if not batches:
-                continue
-            step += 1
-            gradient /= batches
-            mean = 0.9 * mean + 0.1 * gradient
-            square = 0.999 * square + 0.001 * gradient * gradient
-            corrected = np.sqrt(square / (1 - 0.999**step)) + 1e-8
-            theta = theta - lr * (mean / (1 - 0.9**step)) / corrected
-            epoch_loss, epoch_batches = epoch_loss + loss, epoch_batches + batches
-        losses.append(epoch_loss / max(epoch_batches, 1.0))
-    return Trained(unflat(theta, w), losses)
-
-
-def _summed_gradient(
-    df: DataFrame, w: Weights, weights: list[float], margin: float, lambda_neg: float,
-    dropout: float, seed: tuple[int, int], tasks: int,
-) -> tuple[np.ndarray, float, float]:
-    """Sum of the mini-batch gradients, of the losses, and the number of batches.
-
-    With many tasks the sums are added up in lanes first.
+        state, loss = _one_epoch(batched, w, state, weights, margin, lambda_neg, dropout, lr, (seed, epoch), tasks)
+        losses.append(loss)
+    return Trained(unflat(state.theta, w), losses)
+
+
+class _Adam(NamedTuple):
+    theta: np.ndarray
+    mean: np.ndarray
+    square: np.ndarray
+    steps: float
+
+    def step(self, gradient: np.ndarray, lr: float) -> _Adam:
+        steps = self.steps + 1
+        mean = 0.9 * self.mean + 0.1 * gradient
+        square = 0.999 * self.square + 0.001 * gradient * gradient
+        moved = lr * (mean / (1 - 0.9**steps)) / (np.sqrt(square / (1 - 0.999**steps)) + 1e-8)
+        return _Adam(self.theta - moved, mean, square, steps)
+
+
+def _one_epoch(
+    df: DataFrame, shape: Weights, state: _Adam, weights: list[float], margin: float, lambda_neg: float,
+    dropout: float, lr: float, seed: tuple[int, int], tasks: int,
+) -> tuple[_Adam, float]:
+    """The averaged state of all tasks after their steps, and the mean loss.
+
+    A task counts by its number of steps. With many tasks the sums are added
+    up in lanes first; one state of the network's size reaches the driver.
     """
-    shared = df.sparkSession.sparkContext.broadcast(w)
+    shared = df.sparkSession.sparkContext.broadcast((shape, state))
 
     def run(parts: Iterable[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
-        w = shared.value
-        total = None
+        shape, own = shared.value
+        taken, lost = 0, 0.0
         for batch_id, x, y in mini_batches(parts):
+            w = unflat(own.theta, shape)
             masks = None
             if dropout:
                 draw = np.random.default_rng([*seed, batch_id])
                 masks = tuple(
                     (draw.random((len(x), part.shape[1])) >= dropout) / (1.0 - dropout) for part in (w.w1, w.w2)
                 )
-            one, gradient = batch_gradient(w, x, y, weights, margin, lambda_neg, masks)
-            row = np.append(flat(gradient), [one, 1.0])
-            total = row if total is None else total + row
-        if total is not None:
-            blocks = np.array_split(total, range(GRADIENT_BLOCK, len(total), GRADIENT_BLOCK))
+            loss, gradient = batch_gradient(w, x, y, weights, margin, lambda_neg, masks)
+            own = own.step(flat(gradient), lr)
+            taken, lost = taken + 1, lost + loss
+        if taken:
+            row = np.concatenate([own.theta, own.mean, own.square, [own.steps]]) * taken
+            row = np.append(row, [lost, taken])
+            blocks = np.array_split(row, range(GRADIENT_BLOCK, len(row), GRADIENT_BLOCK))
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array([TaskContext.get().partitionId() // TASKS_PER_SUM] * len(blocks), pa.int32()),
@@ -187,13 +196,17 @@ def _summed_gradient(
     shared.unpersist()
     parts = dict(zip(sums["block"].to_pylist(), sums["part"].to_pylist()))
     if not parts:
-        return np.zeros(flat(w).size), 0.0, 0.0
+        return state, 0.0
     total = np.concatenate([np.array(parts[i]) for i in range(len(parts))])
-    return total[:-2], float(total[-2]), float(total[-1])
+    theta, mean, square = np.split(total[:-3] / total[-1], 3)
+    return _Adam(theta, mean, square, total[-3] / total[-1]), float(total[-2] / total[-1])
 
 
 def embed(df: DataFrame, weights: Weights, dim: int | None = None) -> DataFrame:
-    """Add ``embedding`` to rows with ``features``, one forward pass per Arrow batch."""
+    """Add ``embedding`` to rows with ``features``, one forward pass per Arrow batch.
+
+    Rows whose features are NULL, of another length or not finite get NULL.
+    """
     shared = df.sparkSession.sparkContext.broadcast(weights)
     names = [c for c in df.columns if c != "embedding"]
     schema = df.select(*names).schema.add("embedding", T.ArrayType(T.DoubleType()))
@@ -202,9 +215,12 @@ def embed(df: DataFrame, weights: Weights, dim: int | None = None) -> DataFrame:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            out, _ = forward(shared.value, matrix(batch.column("features")))
+            good, x = usable_rows(batch.column("features"), len(shared.value.w1))
+            out = [None] * batch.num_rows
+            for row, values in zip(good.tolist(), forward(shared.value, x)[0] if len(good) else []):
+                out[row] = values
             yield pa.RecordBatch.from_arrays(
-                [*batch.columns, pa.array(list(out), pa.list_(pa.float64()))], names=[*names, "embedding"]
+                [*batch.columns, pa.array(out, pa.list_(pa.float64()))], names=[*names, "embedding"]
             )
 
     done = df.select(*names).mapInArrow(run, schema)

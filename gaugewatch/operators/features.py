@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import math
+from collections.abc import Callable
+
 from pyspark.ml.feature import Normalizer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gaugewatch.constants import WIDE_ID_COLUMNS
@@ -64,21 +67,39 @@ def closest_divisor(n: int, target: int, mode: str = "any") -> int | None:
     """The divisor of ``n`` nearest to ``target``; ``mode`` any, smaller or larger."""
     if n == 0 or target <= 0:
         raise ValueError("n must not be 0 and target must be positive")
-    n = abs(n)
-    wanted = {"any": lambda d: True, "smaller": lambda d: d <= target, "larger": lambda d: d >= target}
-    if mode not in wanted:
+    if mode not in ("any", "smaller", "larger"):
         raise ValueError("mode must be any, smaller or larger")
-    low = [d for d in range(1, int(n**0.5) + 1) if n % d == 0]
-    divisors = sorted({*low, *(n // d for d in low)})
-    return min(filter(wanted[mode], divisors), key=lambda d: abs(d - target), default=None)
+    n = abs(n)
+    root = math.isqrt(n)
+    below = next(d for d in range(min(n, target), 0, -1) if n % d == 0)
+    # Divisors beyond the root are those of small cofactors.
+    above = next((d for d in range(target, root + 1) if n % d == 0), None)
+    if above is None and target <= n:
+        above = next(n // c for c in range(min(n // target, root), 0, -1) if n % c == 0)
+    if mode == "smaller" or (mode == "any" and (above is None or target - below <= above - target)):
+        return below
+    return above
 
 
 def assign_batches(
     df: DataFrame, target: int = 64, mode: str = "any", seed: int = 42, row_id: str = "row_id"
 ) -> DataFrame:
-    """Equal batches over a seeded order of all rows."""
+    """Equal batches over a seeded order of all rows; their size divides the number of rows."""
     size = closest_divisor(df.count(), target, mode)
+    return _in_order(df, seed, row_id, lambda position, rows: F.floor(position / F.lit(size)))
+
+
+def near_equal_batches(df: DataFrame, target: int = 64, seed: int = 42, row_id: str = "row_id") -> DataFrame:
+    """Batches of about ``target`` rows over a seeded order, whatever the number of rows.
+
+    Sizes differ by one at most, so no batch is left with too few rows for pairs.
+    """
+    batches = F.greatest(F.lit(1), F.round(F.col("group_size") / target)).cast("bigint")
+    return _in_order(df, seed, row_id, lambda position, rows: F.floor(position * batches / rows))
+
+
+def _in_order(df: DataFrame, seed: int, row_id: str, batch: Callable[[Column, Column], Column]) -> DataFrame:
     keyed = df.withColumn("_order", shuffled_number(row_id, seed))
     ranked = rank_in_groups(keyed, [], ["_order", row_id])
-    batch = F.floor(F.col("position") / F.lit(size))
-    return ranked.withColumn("batch_id", batch).drop("_order", "position", "group_size")
+    numbered = ranked.withColumn("batch_id", batch(F.col("position"), F.col("group_size")).cast("bigint"))
+    return numbered.drop("_order", "position", "group_size")

@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from gaugewatch.functions.columns import shuffled_number
+from gaugewatch.functions.columns import is_usable, shuffled_number
 from gaugewatch.functions.vectors import (
     CHUNK_CELLS,
     Store,
@@ -32,6 +32,7 @@ from gaugewatch.functions.vectors import (
     nearest,
     ranks,
     rows_by_key,
+    usable_rows,
 )
 from gaugewatch.operators.scale import dimension_join, pair_blocks
 from gaugewatch.session import cut
@@ -49,9 +50,31 @@ HIT_COLUMNS = [
 def _meta_columns(patterns: DataFrame) -> list[Column]:
     """The carried columns, NULL where the pattern table lacks one."""
     types = dict(zip(HIT_COLUMNS, ["string", "string", "string", "boolean", *["string"] * 3, "map<string,double>"]))
-    return [
-        (F.col(c) if c in patterns.columns else F.lit(None)).cast(types[c]).alias(c) for c in HIT_COLUMNS
-    ]
+    found = {c: (F.col(c) if c in patterns.columns else F.lit(None)).cast(types[c]) for c in HIT_COLUMNS}
+    # A pattern without a flag is a normal one.
+    found["is_anomaly"] = F.coalesce(found["is_anomaly"], F.lit(False))
+    return [value.alias(c) for c, value in found.items()]
+
+
+def usable_vectors(df: DataFrame, size: int | None) -> DataFrame:
+    """Rows whose embedding has ``size`` finite values; the others can be neither searched nor found."""
+    return df.filter(is_usable("embedding") & (F.size("embedding") == F.lit(size)))
+
+
+def store_dim(patterns: DataFrame) -> int | None:
+    """The length that most usable vectors of the store have, the shorter of equals."""
+    sizes = patterns.filter(is_usable("embedding")).groupBy(F.size("embedding").alias("size")).count()
+    best = sizes.orderBy(F.desc("count"), "size").first()
+    return best["size"] if best else None
+
+
+def unusable_counts(df: DataFrame, size: int) -> DataFrame:
+    """How many vectors a search for ``size`` values leaves out, by reason."""
+    reason = (
+        F.when(F.col("embedding").isNull(), "missing").when(F.size("embedding") != size, "other size")
+        .when(~is_usable("embedding"), "not finite").otherwise("usable")
+    )
+    return df.groupBy(reason.alias("reason")).agg(F.count(F.lit(1)).alias("n"))
 
 
 def _stored_size(patterns: DataFrame, columns: list[str]) -> int:
@@ -66,7 +89,8 @@ def _shared_store(patterns: DataFrame, key: str | None, meta: bool, max_bytes: i
     columns = [F.col("pattern_id").cast("bigint").alias("pattern_id"), "embedding"]
     if key:
         columns.append(F.col(key).alias("_key"))
-    known = patterns.filter(F.col("embedding").isNotNull())
+    dim = store_dim(patterns)
+    known = usable_vectors(patterns, dim)
     carried = [c for c in HIT_COLUMNS if c in patterns.columns] if meta else [key] if key else []
     if _stored_size(known, carried) > max_bytes:
         return None
@@ -76,7 +100,7 @@ def _shared_store(patterns: DataFrame, key: str | None, meta: bool, max_bytes: i
     for number, rows in enumerate(groups.values()):
         key_of[rows] = number
     store = Store(
-        table["pattern_id"].to_numpy(), matrix(table["embedding"]),
+        table["pattern_id"].to_numpy(), matrix(table["embedding"]) if table.num_rows else np.empty((0, dim or 0)),
         {key: number for number, key in enumerate(groups)}, key_of, groups,
         table.select(HIT_COLUMNS).combine_chunks() if meta else table.select([]),
     )
@@ -90,7 +114,9 @@ def _search_blocks(
     keys = [by] if by else []
     q = queries.select(F.col("query_id").cast("bigint"), *keys, "embedding")
     p = patterns.select(F.col("pattern_id").cast("bigint"), *keys, "embedding")
-    for c in ["embedding", *keys]:
+    dim = store_dim(patterns)
+    q, p = usable_vectors(q, dim), usable_vectors(p, dim)
+    for c in keys:
         q, p = q.filter(F.col(c).isNotNull()), p.filter(F.col(c).isNotNull())
 
     def search(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
@@ -184,7 +210,7 @@ def _knn_shared(queries: DataFrame, shared: Broadcast, k: int, by: str | None, e
             table = hit_table(qid[row], store.ids[col], far)
             yield from table.append_column("rank", pa.array(ranks(row), pa.int32())).to_batches()
 
-    q = queries.filter(F.col("embedding").isNotNull())
+    q = usable_vectors(queries, shared.value.vectors.shape[1])
     return q.select(F.col("query_id").cast("bigint"), *keys, "embedding").mapInArrow(search, HIT_SCHEMA + ", rank int")
 
 
@@ -248,9 +274,8 @@ def _host_first_shared(
         for batch in batches:
             n = batch.num_rows
             column = batch.column("embedding")
-            known = np.flatnonzero(column.is_valid().to_numpy(zero_copy_only=False))
             ids = batch.column("query_id").to_numpy(zero_copy_only=False)
-            q = matrix(column.take(pa.array(known)).cast(dim_type)) if len(known) else np.empty((0, 0))
+            known, q = usable_rows(column.cast(dim_type), store.vectors.shape[1])
             keys = batch.column("host_id").take(pa.array(known)).to_pylist()
             row, col, far = store.host_first(ids[known], q, keys, k, exclude_self, mode == "post")
             row = known[row] if len(row) else row
@@ -313,7 +338,7 @@ def _host_first_blocks(
         fill = F.col("_own").isNull() | (hosts < need)
         kept = marked.withColumn("_fill", fill).filter(~F.col("_general") | F.col("_fill"))
     else:
-        per_host = patterns.filter(F.col("embedding").isNotNull()).groupBy("host_id").agg(
+        per_host = usable_vectors(patterns, store_dim(patterns)).groupBy("host_id").agg(
             F.count(F.lit(1)).alias("_patterns")
         )
         counted = dimension_join(queries.select("query_id", "host_id", "embedding"), per_host, ["host_id"])
@@ -414,8 +439,10 @@ def ivfpq_fit(
 
     The driver only holds centres and codebooks, whose size the parameters fix.
     """
-    known = patterns.filter(F.col("embedding").isNotNull())
-    dim = known.select(F.size("embedding")).first()[0]
+    dim = store_dim(patterns)
+    if dim is None:
+        raise ValueError("no pattern has a usable embedding")
+    known = usable_vectors(patterns, dim)
     if dim % m:
         raise ValueError(f"{dim} dimensions cannot be cut into {m} equal parts")
     width = dim // m
@@ -453,7 +480,7 @@ def ivfpq_search(
     """
     books = index.codebooks
     width = books[0].shape[1]
-    probes = _to_cells(queries.filter(F.col("embedding").isNotNull()), index.centres, "query_id", nprobe)
+    probes = _to_cells(usable_vectors(queries, index.centres.shape[1]), index.centres, "query_id", nprobe)
 
     def search(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
         if not left.num_rows or not right.num_rows:

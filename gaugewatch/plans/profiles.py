@@ -318,16 +318,21 @@ CONTRASTIVE_LOSS_LABELS = _loss_sql({"label_{0}": 1.0, "label_{0} % 2": 0.5, "la
 
 
 def fit_contrastive(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Train a small network on all vectors and embed them with it."""
+    """Train a small network on all vectors and embed them: rows by label, and whether the loss fell."""
     rows = _vectors(spark, sf_dir).withColumnRenamed("embedding", "features")
     trained = contrastive.fit_contrastive(
-        rows, ["label"], dim=16, hidden=(32, 16), epochs=3, lr=1e-2, margin=MARGIN
+        rows, ["label"], dim=16, hidden=(32, 16), epochs=4, lr=1e-2, margin=MARGIN
     )
-    return contrastive.embed(rows.select("row_id", "label", "features"), trained.weights, 16).select(
-        "row_id", "label", "embedding"
+    out = contrastive.embed(rows.select("row_id", "label", "features"), trained.weights, 16)
+    fell = trained.losses[-1] < trained.losses[0]
+    return out.groupBy("label").agg(
+        F.count("embedding").alias("n"), F.max(F.size("embedding")).alias("dim"), F.lit(fell).alias("loss_fell")
     )
 
 
+FIT_CONTRASTIVE = """SELECT label, count(*) AS n, 16::integer AS dim, true AS loss_fell FROM embeddings GROUP BY label"""
+
+
 def random_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The seeded order key behind samples, batches and splits."""
     return t.readings(spark, sf_dir).select("ingest_id", shuffled_number("ingest_id", 42).alias("order_key"))
@@ -357,5 +362,5 @@ QUERIES = {
     "assign_batches": (assign_batches, ASSIGN_BATCHES),
     "contrastive_loss": (contrastive_loss, CONTRASTIVE_LOSS),
     "contrastive_loss_labels": (contrastive_loss_labels, CONTRASTIVE_LOSS_LABELS),
-    "fit_contrastive": (fit_contrastive, None),
+    "fit_contrastive": (fit_contrastive, FIT_CONTRASTIVE),
 }

@@ -177,6 +177,40 @@ knn_same_activity = _search(lambda q, p: retrieval.knn_same_activity(q, p, K, ex
 knn_same_host = _search(lambda q, p: retrieval.knn_same_host(q, p, K, exclude_self=True))
 
 
+def _dirty(df: DataFrame, row_id: str) -> DataFrame:
+    """Some vectors with NaN, some NULL, some too short."""
+    seventh, v = F.pmod(row_id, F.lit(7)), F.col("embedding")
+    nan = F.concat(F.slice(v, 1, 5), F.array(F.lit(float("nan")).cast("float")), F.slice(v, 7, 100))
+    return df.withColumn(
+        "embedding", F.when(seventh == 1, nan).when(seventh == 3, F.slice(v, 1, 9)).when(seventh != 2, v)
+    )
+
+
+CLEAN_VECTORS = "FROM embeddings WHERE vec_id % 7 NOT IN (1, 2, 3)"
+
+
+def _search_dirty(**options) -> object:
+    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+        q, p = _dirty(t.vector_queries(spark, sf_dir), "query_id"), _dirty(t.vector_patterns(spark, sf_dir), "pattern_id")
+        return t.tidy(retrieval.knn(q, p, K, exclude_self=True, **options).select("query_id", "rank", "pattern_id", "distance"))
+
+    return query
+
+
+def _retrieve_dirty(**options) -> object:
+    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+        q, p = _dirty(t.vector_queries(spark, sf_dir), "query_id"), _dirty(t.vector_patterns(spark, sf_dir), "pattern_id")
+        hits = retrieval.retrieve_rows(q, p, K, exclude_self=True, **options)
+        return t.tidy(hits.select("query_id", "rank", "pattern_id", "distance", "host_id", "is_anomaly"))
+
+    return query
+
+
+BLOCKS = {"max_broadcast_bytes": 0, "rows_per_block": 300}
+knn_dirty, knn_dirty_blocks = _search_dirty(), _search_dirty(**BLOCKS)
+retrieve_dirty, retrieve_dirty_blocks = _retrieve_dirty(), _retrieve_dirty(**BLOCKS)
+
+
 def knn_wide_host(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Open orders against the finished ones of the same customer."""
     open_orders = wide_samples(spark, sf_dir).filter(F.col("status") != "F")
@@ -262,7 +296,14 @@ chosen AS (SELECT * FROM votes QUALIFY row_number() OVER (PARTITION BY query_id
 SELECT count(*) AS tested, count(*) FILTER (truth = label) AS correct,
        {r('count(*) FILTER (truth = label) / count(*)')} AS accuracy FROM chosen"""
 
+KNN_DIRTY = _search_sql().replace("FROM embeddings", CLEAN_VECTORS)
+RETRIEVE_DIRTY = RETRIEVE.replace("FROM embeddings", CLEAN_VECTORS)
+
 QUERIES = {
+    "knn_dirty": (knn_dirty, KNN_DIRTY),
+    "knn_dirty_blocks": (knn_dirty_blocks, KNN_DIRTY),
+    "retrieve_dirty": (retrieve_dirty, RETRIEVE_DIRTY),
+    "retrieve_dirty_blocks": (retrieve_dirty_blocks, RETRIEVE_DIRTY),
     "normal_patterns": (normal_patterns, NORMAL_PATTERNS),
     "anomaly_patterns": (anomaly_patterns, ANOMALY_PATTERNS),
     "add_patterns": (add_patterns, ADD_PATTERNS),

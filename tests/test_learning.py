@@ -60,7 +60,7 @@ def test_loss_equals_the_batch_loss(rows):
 
 
 def test_training_separates_the_clouds(rows):
-    options = dict(dim=8, hidden=(16, 8), epochs=6, lr=2e-2, margin=4.0, dropout=0.1, steps_per_epoch=3)
+    options = dict(dim=8, hidden=(16, 8), epochs=6, lr=2e-2, margin=4.0, dropout=0.1)
     trained = con.fit_contrastive(rows, ["label"], **options)
     assert trained.losses[-1] < 0.6 * trained.losses[0]
     again = con.fit_contrastive(rows, ["label"], **options)
@@ -72,3 +72,29 @@ def test_training_separates_the_clouds(rows):
 def test_batches_are_equal(rows):
     sizes = features.assign_batches(rows, 60).groupBy("batch_id").count().collect()
     assert {r["count"] for r in sizes} == {64} and len(sizes) == 3
+
+
+@pytest.mark.parametrize("count", [2, 251, 1009])
+def test_every_number_of_rows_trains(spark, count):
+    n = F.col("id")
+    rows = spark.range(count).select(
+        n.alias("row_id"), (n % 2).alias("label"), (n % 3).alias("kind"),
+        F.array(*[F.sin(n * (i + 1.0)) + (n % 2) * 3.0 for i in range(4)]).alias("features"),
+    )
+    batches = features.near_equal_batches(rows, 64).groupBy("batch_id").count().collect()
+    sizes = [r["count"] for r in batches]
+    assert sum(sizes) == count and max(sizes) - min(sizes) <= 1 and (count < 64 or min(sizes) > 40)
+    losses = con.fit_contrastive(rows, ["label", "kind"], dim=6, hidden=(16, 8), epochs=5, lr=2e-2, margin=4.0, dropout=0.0).losses
+    assert losses[0] > 0 and losses[-1] < losses[0]
+
+
+def test_odd_features(spark, rows):
+    odd = spark.createDataFrame(
+        [(1000, 0, None), (1001, 1, [1.0]), (1002, 2, [float("nan")] * 4), (1003, 0, [1.0, None, 2.0, 3.0])],
+        "row_id long, label long, features array<double>",
+    )
+    both = rows.unionByName(odd)
+    options = dict(dim=8, hidden=(16, 8), epochs=2, lr=1e-2, margin=4.0, dropout=0.0)
+    trained = con.fit_contrastive(both, ["label"], **options)
+    out = con.embed(both, trained.weights).collect()
+    assert len(out) == 196 and {r.row_id for r in out if r.embedding is None} == {1000, 1001, 1002, 1003}

@@ -143,10 +143,14 @@ def test_queries_without_vectors_keep_their_row(spark, vectors):
     assert len(sizes) == 150 and sizes[1] == 0 and sizes[0] == 5
 
 
-def test_sizes_must_agree(vectors):
+def test_other_sizes_are_left_out(vectors):
     q, p = vectors
-    with pytest.raises(Exception, match="differs from pattern size"):
-        retrieval.knn(q.withColumn("embedding", F.slice("embedding", 1, 3)), p).collect()
+    short = q.withColumn("embedding", F.when(F.col("query_id") == 3, F.slice("embedding", 1, 3)).otherwise(F.col("embedding")))
+    for options in ({}, {"max_broadcast_bytes": 0, "rows_per_block": 40}):
+        found = {r.query_id for r in retrieval.knn(short, p, **options).collect()}
+        assert 3 not in found and len(found) == 149
+    counts = dict(map(tuple, retrieval.unusable_counts(short, retrieval.store_dim(p)).collect()))
+    assert counts == {"usable": 149, "other size": 1}
 
 
 def test_ivfpq_with_a_hot_cell(spark, vectors):
