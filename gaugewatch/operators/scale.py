@@ -14,31 +14,30 @@ from collections.abc import Callable, Sequence
 from functools import reduce
 from operator import or_
 
-from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, GroupedData, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from gaugewatch.session import cut
+
 BROADCAST_ROWS = 200_000
 BROADCAST_BYTES = 32 << 20
-JOIN_SALTS = 64
 HOT_ROWS = 1_000_000
-MAX_HOT_KEYS = 1000
+MAX_HOT_BROADCAST = 100_000
 SPLIT_BYTES = 128 << 20
 # Above this row limit Spark does not push row_number() <= n below the shuffle.
 GROUP_LIMIT_PUSHDOWN = 1000
 
 
 def is_small(df: DataFrame, max_rows: int = BROADCAST_ROWS, max_bytes: int = BROADCAST_BYTES) -> bool:
-    """Measure at most ``max_rows`` rows; the text size bounds the binary size."""
-    size = (
-        df.limit(max_rows + 1)
-        .agg(
-            F.count(F.lit(1)).alias("rows"),
-            F.sum(F.octet_length(F.to_json(F.struct("*")))).alias("bytes"),
-        )
-        .first()
-    )
+    """Whether a table may be broadcast; its text size bounds the binary size.
+
+    Rows and bytes are added up where they lie: no rows meet in one task.
+    """
+    size = df.agg(
+        F.count(F.lit(1)).alias("rows"),
+        F.sum(F.octet_length(F.to_json(F.struct("*")))).alias("bytes"),
+    ).first()
     return size["rows"] <= max_rows and (size["bytes"] or 0) <= max_bytes
 
 
@@ -59,17 +58,13 @@ def spread(df: DataFrame) -> DataFrame:
     return df if size >= cores * SPLIT_BYTES else df.repartition(cores)
 
 
-def _hot_keys(facts: DataFrame, on: list[str], hot_rows: int) -> DataFrame | None:
-    """Keys with more than ``hot_rows`` rows and the parts to cut them into.
+def _hot_keys(facts: DataFrame, on: list[str], hot_rows: int) -> DataFrame:
+    """All keys with more than ``hot_rows`` rows and the parts to cut them into.
 
-    Only the largest ``MAX_HOT_KEYS`` are looked at; any key beyond them holds
-    less than one part in ``MAX_HOT_KEYS`` of all rows.
+    There are at most (rows / ``hot_rows``) of them.
     """
     counts = facts.na.drop(subset=on).groupBy(*on).agg(F.count(F.lit(1)).alias("_rows"))
-    largest = counts.orderBy(F.desc("_rows")).limit(MAX_HOT_KEYS).filter(F.col("_rows") > hot_rows)
-    rows = largest.withColumn("_parts", F.ceil(F.col("_rows") / F.lit(hot_rows)).cast("int")).drop("_rows")
-    found = rows.collect()
-    return facts.sparkSession.createDataFrame(found, rows.schema) if found else None
+    return counts.filter(F.col("_rows") > hot_rows).select(*on, F.ceil(F.col("_rows") / F.lit(hot_rows)).cast("int").alias("_parts"))
 
 
 def _has_map(kind: T.DataType) -> bool:
@@ -95,28 +90,33 @@ def dimension_join(
 ) -> DataFrame:
     """Join facts with a dimension on equal keys; ``how`` is left or inner.
 
-    A measured small dimension is broadcast. Otherwise the hot keys of the
-    facts are cut into parts and only their dimension rows are repeated. Facts
-    without a key match nothing and are spread evenly.
+    A measured small dimension is broadcast. Otherwise all keys of the facts
+    above ``hot_rows`` are cut into parts and only their dimension rows are
+    repeated. Facts without a key match nothing and take no part in the join.
     """
     on = list(on)
     if is_small(dim, max_rows):
         return facts.join(F.broadcast(dim), on, how)
     rest = [c for c in facts.columns if c not in on] + [c for c in dim.columns if c not in on]
-    hot = _hot_keys(facts, on, hot_rows)
-    missing = reduce(or_, [F.col(c).isNull() for c in on])
-    place = _content_hash(facts)
-    if hot is None:
-        facts, dim = facts.withColumn("_parts", F.lit(1)), dim.withColumn("_part", F.lit(0).cast("bigint"))
+    keyed = facts.na.drop(subset=on)
+    hot = cut(_hot_keys(facts, on, hot_rows))
+    hot_count = hot.count()
+    if not hot_count:
+        # No key needs parts: a plain shuffle holds at most ``hot_rows`` rows of a key.
+        met = keyed.join(dim, on, how)
     else:
-        facts = facts.join(F.broadcast(hot), on, "left")
+        hot = F.broadcast(hot) if hot_count <= MAX_HOT_BROADCAST else hot
         parts = F.sequence(F.lit(0), F.coalesce("_parts", F.lit(1)) - 1).cast("array<bigint>")
-        dim = dim.join(F.broadcast(hot), on, "left").withColumn("_part", F.explode(parts)).drop("_parts")
-    part = F.when(missing, F.pmod(place, F.lit(JOIN_SALTS))).otherwise(
-        F.pmod(place, F.coalesce("_parts", F.lit(1)))
-    )
-    spread_facts = facts.withColumn("_part", part).drop("_parts")
-    return spread_facts.join(dim, on + ["_part"], how).select(*on, *rest)
+        repeated = dim.join(hot, on, "left").withColumn("_part", F.explode(parts)).drop("_parts")
+        part = F.pmod(_content_hash(facts), F.coalesce("_parts", F.lit(1)))
+        met = keyed.join(hot, on, "left").withColumn("_part", part).drop("_parts").join(repeated, on + ["_part"], how)
+    met = met.select(*on, *rest)
+    if how != "left":
+        return met
+    # Rows without a key stay where they are; nothing of them is shuffled.
+    missing = facts.filter(reduce(or_, [F.col(c).isNull() for c in on]))
+    lacking = [F.lit(None).cast(f.dataType).alias(f.name) for f in dim.schema.fields if f.name not in on]
+    return met.unionByName(missing.select("*", *lacking).select(*on, *rest))
 
 
 def first_n(
@@ -131,13 +131,15 @@ def first_n(
 
     Small limits are cut per input partition by Spark before the shuffle. For
     larger limits the ``spread`` columns (a row id) cut each group into salted
-    parts first, so a hot group is reduced in parallel.
+    parts first, as many as the number of rows asks for, so a hot group is
+    reduced in parallel.
     """
     within = Window.partitionBy(*by).orderBy(*order)
     if n > GROUP_LIMIT_PUSHDOWN and spread:
         part = Window.partitionBy(*by, "_salt").orderBy(*order)
+        salts = max(1, math.ceil(df.count() / max(HOT_ROWS, 10 * n)))
         df = (
-            df.withColumn("_salt", F.pmod(F.xxhash64(*spread), F.lit(JOIN_SALTS)))
+            df.withColumn("_salt", F.pmod(F.xxhash64(*spread), F.lit(salts)))
             .withColumn("_part", F.row_number().over(part))
             .filter(F.col("_part") <= n)
             .drop("_salt", "_part")
@@ -150,28 +152,26 @@ def rank_in_groups(
     by: Sequence[str],
     order: Sequence[str],
     rows_per_range: int = 1_000_000,
-    max_ranges: int = 10_000,
 ) -> DataFrame:
     """Add ``position`` (0-based within the group) and ``group_size``.
 
-    ``order`` starts with a numeric column. Large inputs are cut into value
-    ranges of that column; each (group, range) is ranked on its own and shifted
-    by the counts of the ranges before it, so no task sees a whole hot group.
+    Large inputs are dealt into ranges of the whole key: group, ``order`` and,
+    for rows that are equal in these, their place in the input. Each range is
+    ranked on its own and shifted by the counts of the ranges before it, so no
+    task sees a whole hot group, nor all rows with one value.
     """
     by, order = list(by), list(order)
-    ranges = min(max_ranges, math.ceil(df.count() / rows_per_range))
+    ranges = math.ceil(df.count() / rows_per_range)
     if ranges <= 1:
         group = Window.partitionBy(*by)
         return df.withColumn(
             "position", (F.row_number().over(group.orderBy(*order)) - 1).cast("bigint")
         ).withColumn("group_size", F.count(F.lit(1)).over(group))
 
-    steps = [i / ranges for i in range(1, ranges)]
-    keyed = df.withColumn("_key", F.col(order[0]).cast("double"))
-    cuts = sorted(set(keyed.stat.approxQuantile("_key", steps, 0.1 / ranges)))
-    splits = [-math.inf, *cuts, math.inf]
-    cutter = Bucketizer(splits=splits, inputCol="_key", outputCol="_range", handleInvalid="keep")
-    ranged = cutter.transform(keyed).drop("_key")
+    placed = df.withColumn("_tie", F.monotonically_increasing_id())
+    dealt = placed.repartitionByRange(ranges, *by, *order, "_tie").withColumn("_range", F.spark_partition_id())
+    # Written once: a second run of the same plan may draw other borders.
+    ranged = cut(dealt)
 
     group = Window.partitionBy(*by)
     before = group.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
@@ -185,11 +185,11 @@ def rank_in_groups(
     keys = by + ["_range"]
     shifts = shifts.select(*[F.col(c).alias(f"_on_{c}") for c in keys], "_shift", "group_size")
     match = [F.col(c).eqNullSafe(F.col(f"_on_{c}")) for c in keys]
-    ranked = ranged.withColumn("_row", F.row_number().over(Window.partitionBy(*keys).orderBy(*order)) - 1)
+    ranked = ranged.withColumn("_row", F.row_number().over(Window.partitionBy(*keys).orderBy(*order, "_tie")) - 1)
     return (
         ranked.join(shifts, match)
         .withColumn("position", (F.col("_row") + F.col("_shift")).cast("bigint"))
-        .drop("_row", "_shift", "_range", *[f"_on_{c}" for c in keys])
+        .drop("_row", "_shift", "_range", "_tie", *[f"_on_{c}" for c in keys])
     )
 
 

@@ -36,6 +36,32 @@ def test_rank_over_everything(skewed):
     assert ranked.position.tolist() == list(range(30_000))
 
 
+def test_rank_by_a_text_key(skewed):
+    """Positions do not depend on how many ranges there are, also with a text first or one repeated value."""
+    few = skewed.filter("row_id % 100 = 0").withColumn("name", F.concat(F.lit("n"), F.col("row_id")))
+    few = few.withColumn("same", F.lit("x"))
+    for order in (["name"], ["same", "name"]):
+        whole = scale.rank_in_groups(few, ["key"], order).select("row_id", "position", "group_size")
+        cut_up = scale.rank_in_groups(few, ["key"], order, rows_per_range=3).select("row_id", "position", "group_size")
+        assert sorted(whole.collect()) == sorted(cut_up.collect())
+    tied = scale.rank_in_groups(few, [], ["same"], rows_per_range=7)
+    assert sorted(r.position for r in tied.collect()) == list(range(few.count()))
+    largest = tied.groupBy(F.spark_partition_id()).count().agg(F.max("count")).first()[0]
+    assert largest < few.count()
+
+
+def test_many_hot_keys_are_all_split(spark):
+    facts = spark.range(60_000).select(
+        F.when(F.col("id") % 2 == 0, F.col("id") % 4_000).alias("key"), F.col("id").alias("row_id")
+    )
+    dim = spark.range(4_000).select(F.col("id").alias("key"), (F.col("id") * 2).alias("extra"))
+    hot = scale._hot_keys(facts, ["key"], 10)
+    assert hot.count() == 2_000 and hot.agg(F.min("_parts"), F.max("_parts")).first() == (2, 2)
+    joined = scale.dimension_join(facts, dim, ["key"], max_rows=10, hot_rows=10)
+    assert joined.count() == 60_000 and joined.filter("extra = 2 * key").count() == 30_000
+    assert scale.dimension_join(facts, dim, ["key"], "inner", max_rows=10, hot_rows=10).count() == 30_000
+
+
 @pytest.mark.parametrize("hot_rows", [1_000, 1_000_000])
 @pytest.mark.parametrize("how", ["left", "inner"])
 def test_dimension_join_beyond_the_broadcast_bound(spark, skewed, how, hot_rows):
