@@ -7,6 +7,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -44,8 +45,9 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, per_class: i
     found = docs.select(F.col("doc_id").alias("id_"), F.col("text").cast("string").alias("text_")).join(
         F.broadcast(picked), "id_"
     )
-    got = found.where(F.col("text_").isNotNull()).select("id_", "text_", "label_").toPandas()
-    got = got.drop_duplicates("id_").sort_values("id_")
+    # Of rows that repeat an id, one text: at most 2 * per_class rows reach the driver.
+    got = found.where(F.col("text_").isNotNull()).groupBy("id_", "label_").agg(F.min("text_").alias("text_"))
+    got = got.toPandas().drop_duplicates("id_").sort_values("id_")
     return list(zip(got["text_"], got["label_"].astype(int), strict=True))
 
 
@@ -73,7 +75,7 @@ def batches(rows: Iterable[pa.RecordBatch], size: int, text: str = "text") -> It
     for batch in rows:
         if not batch.num_rows:
             continue
-        lengths = np.array([len(v) if v else 0 for v in batch.column(text).to_pylist()], np.int64)
+        lengths = pc.fill_null(pc.binary_length(batch.column(text)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
         part = (np.cumsum(lengths) - lengths) // size
         starts = np.flatnonzero(np.r_[True, part[1:] != part[:-1]])
         for a, b in zip(starts, np.r_[starts[1:], len(part)], strict=True):

@@ -24,13 +24,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from gaugewatch.llm.common import as_bytes, held_out, labelled_sample
+from gaugewatch.llm.common import as_bytes, batches, held_out, labelled_sample
 
 BLOCK = 2048
 DICT_BYTES = 112_640
 LEVEL = 3
 SAMPLE_PER_CLASS = 3000
 THRESHOLD = 0.3
+CHUNK = 2 << 20
 
 
 @dataclasses.dataclass(frozen=True)
@@ -144,7 +145,7 @@ def score(docs: DataFrame, model: QualityModel, text: str = "text", to: str = "s
     schema = T.StructType([*wide.schema.fields, T.StructField(to, T.DoubleType())])
 
     def run(rows: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in rows:
+        for batch in batches(rows, CHUNK, text):
             values = scores(shared.value, as_bytes(batch.column(text)))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(values, pa.float64())], [*batch.schema.names, to])
 

@@ -19,9 +19,10 @@ Documents are not shuffled. The index of the items is broadcast if it is below
 a bound in size; a larger benchmark is cut into groups below it, each of which
 meets all documents.
 
-Null and empty texts and items match nothing. Repeated rows and repeated ids
-give repeated matches; an empty table on either side gives an empty result.
-Columns other than ids and texts are not read; the ids may be null.
+Null and empty texts and items match nothing. Repeated documents give repeated
+matches, repeated items count once (with equal ids and texts); an empty table
+on either side gives an empty result. Columns other than ids and texts are not
+read; the ids may be null.
 """
 
 from __future__ import annotations
@@ -265,7 +266,7 @@ def find(index: Index, texts: list[str]) -> list[list[tuple]]:
 def _groups(benchmark: DataFrame, index_chars: int) -> Iterator[list[tuple]]:
     """Items in groups whose indexes are below the bound (an item of its own beyond it, if larger)."""
     rows = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text"))
-    rows = rows.where(F.length("text") > 0)
+    rows = rows.where(F.length("text") > 0).distinct()
     total = rows.agg(F.sum(F.length("text"))).first()[0] or 0
     parts = parts_for(total, index_chars, 1)
     part = F.pmod(F.xxhash64("item_id", "text"), F.lit(parts))

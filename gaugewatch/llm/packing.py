@@ -52,7 +52,7 @@ def pieces(docs: DataFrame, path: str, pattern: str, length: int = LENGTH, end:
 
     def run(source: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(path, pattern).encode
-        for batch in batches(source, 8 << 20):
+        for batch in batches(source, 2 << 20):
             out = []
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 ids = np.append(encode(text or ""), np.uint32(end)).astype("<u4")

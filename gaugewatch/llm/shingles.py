@@ -36,7 +36,8 @@ def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         return np.zeros(0, np.uint64), np.zeros(0, np.int64)
     up, down = powers(len(joined) + 1)
     sums = np.zeros(len(joined) + 1, np.uint64)
-    np.cumsum(_CODE[joined] * up[:-1], out=sums[1:])
+    np.multiply(_CODE[joined], up[:-1], out=sums[1:])
+    np.cumsum(sums, out=sums)
     value = mix((sums[end] - sums[begin]) * down[begin] + (end - begin).astype(np.uint64))
     ends = np.cumsum([len(t) + 1 for t in texts])
     return value, np.searchsorted(ends, begin, "right")

@@ -39,7 +39,7 @@ RATE = 0.01
 DECAY = 1e-4
 DROP = 0.3
 SAMPLE_PER_CLASS = 4000
-CHUNK = 2 << 20
+CHUNK = 1 << 20
 PAD = max(WIDTHS) - 1
 
 # Function words that tell the languages apart.
