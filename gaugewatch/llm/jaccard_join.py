@@ -1,29 +1,28 @@
 """Exact join of documents whose word shingles overlap by Jaccard 0.8 or more.
 
-Jaccard distance is a metric, which carries most of the work: a member of a
-region is compared with the region's pivot, not with every other member.
-Between unrelated texts all distances are 1, where the triangle inequality
-cannot tell anything apart, so the first regions are formed by rare shingles:
-
-1. Shingles that are frequent in any block of documents are counted, and the
-   most frequent ones (a fixed number) are ordered last, all others by hash.
-   Two documents that link share one of the first ``n - ceil(0.8 n) + 1``
-   shingles in any common order: their keys. Keys of a block go, distinct and
-   in 7 bytes, to buckets, which answer with one bit: does another set of
-   fitting size have this key?
-2. Documents with such keys are collapsed to their distinct sets. A key's
-   region gets the set with the smallest hash as its pivot. Every member is
-   compared with the pivots of its regions, exactly. Large regions are split
-   into bounded groups, each with a copy of its pivot's set.
-3. Links form components (alternating large and small stars). A region whose
-   members are all in one component is finished. In the others, members of
-   different components are joined recursively under new pivots: a member is
-   only compared with a pivot if, for every earlier pivot that both were
-   compared with, their distances to it differ by no more than 0.2. The
-   recursion ends when no two members of a region are undecided.
-
-No set is compared with all others, and a group of copies or near copies of
-any size is a star around its pivots. Sets are kept as sorted 64-bit hashes.
+Jaccard distance is a metric: members of a region have known distances to its
+pivot, and two that differ in them by more than 0.2 cannot link. Between
+unrelated texts all distances are 1, where the triangle inequality cannot tell
+anything apart, so regions are formed by shared shingles:
+
+1. Blocks of documents send their distinct sets' shingles, in 6 bytes, to
+   buckets, which answer with one bit: does another set have this shingle? A
+   set that shares less than 80 % of its shingles with all others together
+   links with none. Of the others, ordered by hash with the most frequent ones
+   (a fixed number, counted before) last, two that link share one of the first
+   ``shared - ceil(0.8 n) + 1`` shared shingles: their keys.
+2. The set with the smallest hash that has a key is the key's pivot. A pivot's
+   region holds every set that shares such a key with it, once, so each pair
+   that links meets in a region.
+3. A region of bounded size is joined in one task. A larger one is compared
+   with its pivot first and cut into rings by distance, and rings into blocks;
+   only blocks whose rings are within 0.2 of each other meet, and documents
+   are replicated to those meetings only.
+4. A meeting counts intersections exactly and returns a spanning forest of the
+   links it finds, never all of its pairs. The forests of all meetings form
+   the components (alternating large and small stars).
+
+Sets are kept as sorted 64-bit hashes; documents with equal sets are one.
 
 A document has the smallest id that it reaches by links as component; rows
 without an id never give one, and have none if all of their component lack
@@ -35,10 +34,11 @@ give repeated results, an empty table an empty one. Only ``doc_id`` and
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
+from string import ascii_lowercase, ascii_uppercase
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gaugewatch.llm.common import as_bytes, batches, least_parts, parts_for, total_bytes
@@ -47,23 +47,20 @@ from gaugewatch.session import fresh_path
 
 PERCENT = 80
 FREQUENT = 65_536
-CHUNK = 4 << 20
+CHUNK = 1 << 20
 BLOCK_BYTES = 8 << 20
-BUCKET_KEYS = 1 << 20
+BUCKET_KEYS = 1 << 21
 REGION = 1000
-PIVOTS = 8
+RINGS = 20
+DENSE = 32
+COLUMNS = 4096
 GROUP_BYTES = 8 << 20
 
-SKETCH = "block_ long, bucket_ long, keys_ binary, sizes_ binary, counts_ binary"
+SKETCH = "block_ long, bucket_ long, keys_ binary, counts_ binary"
 ANSWER = "block_ long, bucket_ long, bits_ binary"
 SETS = "doc_id long, n_shingles long, sig long, keys array<long>, shingles binary"
 
 
-def fits(n: np.ndarray) -> np.ndarray:
-    """Size class: two sets can only link if their classes differ by one at most."""
-    return np.floor(np.log(np.maximum(n, 1)) / np.log(1.2499)).astype(np.uint8)
-
-
 def frequent_shingles(docs: DataFrame, at_most: int = FREQUENT) -> np.ndarray:
     """The most frequent shingles, ascending; which ones they are decides speed, never results."""
 
@@ -71,7 +68,7 @@ def frequent_shingles(docs: DataFrame, at_most: int = FREQUENT) -> np.ndarray:
         for batch in batches(source, CHUNK):
             values, _ = shingle_sets(as_bytes(batch.column("text")))
             found, count = np.unique(values, return_counts=True)
-            some = count >= max(3, batch.num_rows // 500)
+            some = count >= 2
             yield pa.RecordBatch.from_arrays(
                 [pa.array(found[some].view(np.int64)), pa.array(count[some].astype(np.int64))], ["h", "n"]
             )
@@ -106,28 +103,31 @@ class Block:
         some = np.flatnonzero(sizes)
         # One document stands for all with the same set.
         self.classes = some[np.unique(self.sig[some], return_index=True)[1]] if len(some) else some
-        late = np.zeros(len(self.values), np.uint8)
+        late = np.zeros(len(self.values), np.uint64)
         if len(frequent):
             place = np.minimum(np.searchsorted(frequent, self.values), len(frequent) - 1)
-            late = (frequent[place] == self.values).astype(np.uint8)
-        order = np.lexsort((self.values, late, doc))
-        rank = np.empty(len(order), np.int64)
-        rank[order] = np.arange(len(order)) - self.offsets[doc]
-        prefix = sizes - (PERCENT * sizes + 99) // 100 + 1
+            late = (frequent[place] == self.values).astype(np.uint64)
         chosen = np.zeros(len(sizes), bool)
         chosen[self.classes] = True
-        pick = (rank < prefix[doc]) & chosen[doc]
-        self.key = mix(self.values[pick] + np.uint64(3)) >> np.uint64(16)
-        self.owner = doc[pick]
-        self.size = fits(sizes)[self.owner]
-        order = np.lexsort((self.size, self.key))
-        self.key, self.owner, self.size = self.key[order], self.owner[order], self.size[order]
-        new = np.ones(len(self.key), bool)
-        new[1:] = (self.key[1:] != self.key[:-1]) | (self.size[1:] != self.size[:-1])
-        self.entry = np.cumsum(new) - 1
-        first = np.flatnonzero(new)
-        self.entry_key, self.entry_size = self.key[first], self.size[first]
-        self.entry_count = np.minimum(np.diff(np.r_[first, len(self.key)]), 2).astype(np.uint8)
+        pick = chosen[doc]
+        # The common order of shingles: frequent ones last, else by key.
+        self.key, self.owner = mix(self.values[pick] + np.uint64(3)) >> np.uint64(16), doc[pick]
+        self.place = (late[pick] << np.uint64(48)) | self.key
+        self.entry_key, self.entry, count = np.unique(self.key, return_inverse=True, return_counts=True)
+        self.entry_many = count > 1
+
+    def region_keys(self, shared: np.ndarray) -> dict[int, list[int]]:
+        """Keys of each set that can link, from one bit per distinct key of the block."""
+        hits = shared[self.entry]
+        owner, place, key = self.owner[hits], self.place[hits], self.key[hits].astype(np.int64)
+        order = np.lexsort((place, owner))
+        owner, key = owner[order], key[order]
+        count = np.bincount(owner, minlength=len(self.n))
+        more = count - (PERCENT * self.n + 99) // 100 + 1
+        rank = np.arange(len(owner)) - (np.cumsum(count) - count)[owner]
+        keep = rank < more[owner]
+        owner, key = owner[keep], key[keep]
+        return {d: key[a:e].tolist() for d, a, e in _slices(owner)}
 
 
 def _bucket(key: np.ndarray, buckets: int) -> np.ndarray:
@@ -148,36 +148,34 @@ def _table(rows: list[tuple], schema: str) -> pa.Table:
     return pa.table({n: pa.array(c, kinds[k]) for (n, k), c in zip(names, columns, strict=True)})
 
 
-def _sketch(buckets: int, frequent):
+def _sketch(buckets: int):
     def run(docs: pa.Table) -> pa.Table:
         number = docs.column("block_")[0].as_py()
-        block = Block(docs, frequent.value)
+        block = Block(docs, np.zeros(0, np.uint64))
         rows = []
         for b, a, e in _slices(_bucket(block.entry_key, buckets)):
             keys = block.entry_key[a:e].astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6].T.tobytes()
-            rows.append((number, b, keys, block.entry_size[a:e].tobytes(), np.packbits(block.entry_count[a:e] > 1).tobytes()))
+            rows.append((number, b, keys, np.packbits(block.entry_many[a:e]).tobytes()))
         return _table(rows, SKETCH)
 
     return run
 
 
 def _shared(rows: pa.Table) -> pa.Table:
-    """For each entry: does another set have this key in a size class next to it?"""
+    """For each key of each block: does another set have it?"""
     blocks, bucket = rows.column("block_").to_pylist(), rows.column("bucket_")[0].as_py()
-    keys, sizes, many = [], [], []
-    for raw, size, bits in zip(*(rows.column(c).to_pylist() for c in ("keys_", "sizes_", "counts_")), strict=True):
-        full = np.zeros((len(size), 8), np.uint8)
+    keys, many = [], []
+    for raw, bits in zip(rows.column("keys_").to_pylist(), rows.column("counts_").to_pylist(), strict=True):
+        full = np.zeros((len(raw) // 6, 8), np.uint8)
         full[:, :6] = np.frombuffer(raw, np.uint8).reshape(6, -1).T
         keys.append(full.view("<u8").ravel())
-        sizes.append(np.frombuffer(size, np.uint8))
-        many.append(np.unpackbits(np.frombuffer(bits, np.uint8), count=len(size)).astype(bool))
-    both = (np.concatenate(keys) << np.uint64(8)) | np.concatenate(sizes).astype(np.uint64)
-    order = np.argsort(both, kind="stable")
-    ranked = both[order]
-    near = (ranked[1:] >> np.uint64(8) == ranked[:-1] >> np.uint64(8)) & (ranked[1:] - ranked[:-1] <= np.uint64(1))
-    shared = np.concatenate(many)
-    shared[order[1:][near]] = True
-    shared[order[:-1][near]] = True
+        many.append(np.unpackbits(np.frombuffer(bits, np.uint8), count=len(full)).astype(bool))
+    key, shared = np.concatenate(keys), np.concatenate(many)
+    order = np.argsort(key, kind="stable")
+    ranked = key[order]
+    same = ranked[1:] == ranked[:-1]
+    shared[order[1:][same]] = True
+    shared[order[:-1][same]] = True
     out, at = [], 0
     for block, k in zip(blocks, keys, strict=True):
         part = shared[at : at + len(k)]
@@ -197,10 +195,7 @@ def _sets(buckets: int, frequent):
         for row in answers.to_pylist():
             a, e = place[row["bucket_"]]
             shared[a:e] = np.unpackbits(np.frombuffer(row["bits_"], np.uint8), count=e - a)
-        keep = shared[block.entry]
-        order = np.argsort(block.owner[keep], kind="stable")
-        owner, key = block.owner[keep][order], block.key[keep][order].astype(np.int64)
-        keys = {d: key[a:e].tolist() for d, a, e in _slices(owner)}
+        keys = block.region_keys(shared)
         rows = []
         for k, (doc_id, n, sig) in enumerate(zip(block.ids, block.n.tolist(), block.sig.tolist(), strict=True)):
             raw = block.values[block.offsets[k] : block.offsets[k + 1]].tobytes() if k in keys else None
@@ -210,16 +205,24 @@ def _sets(buckets: int, frequent):
     return run
 
 
+def _groups(rows: pa.Table, names: list[str]) -> Iterator[tuple[int, int]]:
+    columns = [rows.column(c).to_numpy() for c in names]
+    new = np.zeros(rows.num_rows, bool)
+    new[:1] = True
+    for c in columns:
+        new[1:] |= c[1:] != c[:-1]
+    first = np.flatnonzero(new)
+    yield from zip(first.tolist(), np.r_[first[1:], rows.num_rows].tolist(), strict=True)
+
+
 def _compare(rows: pa.Table) -> pa.Table:
-    """Intersection of every member's set with its pivot's, region by region."""
+    """Intersection of every member's set with its pivot's, group by group."""
     rows = rows.sort_by([(c, "ascending") for c in ("pivot", "part", "sig")])
-    pivot, part, sig = (rows.column(c).to_numpy() for c in ("pivot", "part", "sig"))
+    pivot, sig = rows.column("pivot").to_numpy(), rows.column("sig").to_numpy()
     raw = rows.column("shingles").to_pylist()
-    new = np.flatnonzero(np.r_[True, (pivot[1:] != pivot[:-1]) | (part[1:] != part[:-1])])
     out: list[tuple] = []
-    for a, e in zip(new, np.r_[new[1:], len(pivot)], strict=True):
-        centre = a + int(np.flatnonzero(sig[a:e] == pivot[a])[0])
-        own = np.frombuffer(raw[centre], np.uint64)
+    for a, e in _groups(rows, ["pivot", "part"]):
+        own = np.frombuffer(raw[a + int(np.flatnonzero(sig[a:e] == pivot[a])[0])], np.uint64)
         for i in range(a, e):
             if sig[i] != pivot[i]:
                 other = np.frombuffer(raw[i], np.uint64)
@@ -229,36 +232,116 @@ def _compare(rows: pa.Table) -> pa.Table:
     return _table(out, VERDICT)
 
 
+def intersections(sets: list[np.ndarray]) -> np.ndarray:
+    """Sizes of all intersections. Frequent shingles by matrix products, rare ones by their few pairs."""
+    count = len(sets)
+    owner = np.repeat(np.arange(count), [len(s) for s in sets])
+    _, column, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    same = np.zeros((count, count), np.float32)
+    dense = times > DENSE
+    number = np.cumsum(dense) - 1
+    hit = dense[column]
+    rows, columns = owner[hit], number[column[hit]]
+    for a in range(0, int(dense.sum()), COLUMNS):
+        part = (columns >= a) & (columns < a + COLUMNS)
+        x = np.zeros((count, COLUMNS), np.float32)
+        x[rows[part], columns[part] - a] = 1
+        same += x @ x.T
+    hit = ~hit & (times[column] > 1)
+    order = np.argsort(column[hit], kind="stable")
+    rows, columns = owner[hit][order], column[hit][order]
+    for step in range(1, DENSE):
+        pair = columns[step:] == columns[:-step]
+        if not pair.any():
+            break
+        np.add.at(same, (rows[:-step][pair], rows[step:][pair]), 1)
+        np.add.at(same, (rows[step:][pair], rows[:-step][pair]), 1)
+    return same
+
+
+def _forest(rows: pa.Table) -> pa.Table:
+    """Spanning forest of the links in every meeting."""
+    rows = rows.sort_by([(c, "ascending") for c in ("pivot", "a", "b", "sig")])
+    sig, raw = rows.column("sig").to_numpy(), rows.column("shingles").to_pylist()
+    out: list[tuple] = []
+    for a, e in _groups(rows, ["pivot", "a", "b"]):
+        if e - a < 2:
+            continue
+        sets = [np.frombuffer(r, np.uint64) for r in raw[a:e]]
+        n = np.array([len(s) for s in sets], np.float64)
+        same = intersections(sets).astype(np.float64)
+        linked = 100 * same >= PERCENT * (n[:, None] + n[None, :] - same)
+        new = np.ones(e - a, bool)
+        for start in range(e - a):
+            if not new[start]:
+                continue
+            new[start], front = False, [start]
+            while front:
+                member = front.pop()
+                found = np.flatnonzero(linked[member] & new)
+                new[found] = False
+                front += found.tolist()
+                out += [(int(sig[a + member]), int(sig[a + f])) for f in found]
+    return _table(out, LINKS)
+
+
+LINKS = "sig long, pivot long"
 VERDICT = "sig long, pivot long, same long, either long"
+WIDE = 1 << 20
 
 
-class Stars:
-    """Tables of one join, each written once into a folder of its own."""
+class Regions:
+    """The steps of one join; each table is written once into a folder of its own."""
 
     def __init__(self, sets: DataFrame, at: str):
         self.spark, self.at, self.made = sets.sparkSession, at, 0
-        self.sets = sets
+        self.sets = sets.select("sig", "shingles")
 
     def keep(self, df: DataFrame) -> DataFrame:
         self.made += 1
         df.write.parquet(f"{self.at}/{self.made}")
         return self.spark.read.schema(df.schema).parquet(f"{self.at}/{self.made}")
 
-    def compare(self, pairs: DataFrame) -> DataFrame:
-        """Exact intersections of the pairs (sig, pivot); regions are cut into groups of REGION."""
-        regions = pairs.groupBy("pivot").agg(F.count("*").alias("count"))
-        split = regions.select("pivot", F.ceil(F.col("count") / REGION).cast("int").alias("parts"))
-        members = pairs.join(split, "pivot").select(
-            "sig", "pivot", F.pmod(F.xxhash64("sig"), F.col("parts")).cast("int").alias("part")
-        )
-        pivots = split.select(F.col("pivot").alias("sig"), "pivot", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
-        rows = members.unionByName(pivots)
-        size = max(1, pairs.count())
-        buckets = parts_for(size * 4096, GROUP_BYTES, least_parts(self.spark))
-        full = rows.join(self.sets.select("sig", "shingles"), "sig").withColumn(
-            "group_", F.pmod(F.xxhash64("pivot", "part"), F.lit(buckets))
+    def _in_groups(self, rows: DataFrame, by: list[str]) -> DataFrame:
+        """``rows`` with their sets, in groups of bounded size that never cut ``by``."""
+        groups = parts_for(max(1, rows.count()) * 4096, GROUP_BYTES, least_parts(self.spark))
+        full = rows.join(self.sets, "sig")
+        return full.withColumn("group_", F.pmod(F.xxhash64(*by), F.lit(groups))).groupBy("group_")
+
+    def meetings(self, members: DataFrame) -> DataFrame:
+        """(pivot, a, b, sig): who meets, from the members (pivot, sig) of all regions."""
+        sizes = self.keep(members.groupBy("pivot").agg(F.count("*").alias("count")))
+        small = members.join(sizes.where(F.col("count") <= REGION), "pivot")
+        met = small.select("pivot", F.lit(0).alias("a"), F.lit(0).alias("b"), "sig")
+        large = sizes.where(F.col("count") > REGION)
+        if large.isEmpty():
+            return met
+        split = large.select("pivot", F.ceil(F.col("count") / REGION).cast("int").alias("parts"))
+        part = F.pmod(F.xxhash64("sig"), F.col("parts")).cast("int").alias("part")
+        own = split.select("pivot", F.col("pivot").alias("sig"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
+        others = members.join(split, "pivot").where("sig != pivot").select("pivot", "sig", part)
+        told = self._in_groups(others.unionByName(own), ["pivot", "part"]).applyInArrow(_compare, VERDICT)
+        distance = F.when(F.col("either") > 0, 1 - F.col("same") / F.col("either")).otherwise(F.lit(1.0))
+        placed = self.keep(
+            told.select("pivot", "sig", F.floor(distance * RINGS).cast("int").alias("ring"))
+            .unionByName(split.select("pivot", F.col("pivot").alias("sig"), F.lit(0).alias("ring")))
         )
-        return self.keep(full.groupBy("group_").applyInArrow(_compare, VERDICT))
+        rings = placed.groupBy("pivot", "ring").agg(F.ceil(F.count("*") / REGION).cast("int").alias("parts"))
+        place = F.pmod(F.xxhash64("sig"), F.col("parts")).cast("int")
+        blocks = placed.join(rings, ["pivot", "ring"]).select("pivot", "sig", "ring", (F.col("ring") * WIDE + place).alias("block"))
+        listed = rings.select("pivot", "ring", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
+        listed = listed.select("pivot", "ring", (F.col("ring") * WIDE + F.col("part")).alias("block"))
+        right = listed.select("pivot", F.col("ring").alias("other_ring"), F.col("block").alias("other"))
+        # A ring more than the distance needs, against rounding.
+        reach = RINGS * (100 - PERCENT) // 100 + 1
+        pairs = listed.join(right, "pivot").where((F.col("block") <= F.col("other")) & (F.col("other_ring") - F.col("ring") <= reach))
+        pairs = self.keep(pairs.select("pivot", F.col("block").alias("a"), F.col("other").alias("b")))
+        ends = pairs.withColumn("block", F.explode(F.array_distinct(F.array("a", "b"))))
+        return met.unionByName(blocks.join(ends, ["pivot", "block"]).select("pivot", "a", "b", "sig"))
+
+    def links(self, members: DataFrame) -> DataFrame:
+        met = self.keep(self.meetings(members))
+        return self._in_groups(met, ["pivot", "a", "b"]).applyInArrow(_forest, LINKS)
 
     def components(self, links: DataFrame) -> DataFrame:
         """(sig, component) of all linked sets: alternating large and small stars until nothing changes."""
@@ -280,64 +363,25 @@ class Stars:
             state = now
 
 
-def _linked(verdicts: DataFrame) -> DataFrame:
-    return verdicts.where(F.col("same") * 100 >= F.col("either") * PERCENT)
-
-
-def _within_window(pairs: DataFrame, verdicts: DataFrame) -> DataFrame:
-    """Pairs that the triangle inequality cannot exclude by a pivot both were compared with."""
-    known = verdicts.select("sig", F.col("pivot").alias("base"), (1 - F.col("same") / F.col("either")).alias("d"))
-    known = known.unionByName(verdicts.select(F.col("pivot").alias("sig"), F.col("pivot").alias("base"), F.lit(0.0).alias("d")).distinct())
-    other = known.select(F.col("sig").alias("pivot"), "base", F.col("d").alias("e"))
-    # The slack keeps rounding from excluding a pair at the border.
-    apart = pairs.join(known, "sig").join(other, ["pivot", "base"]).where(F.abs(F.col("d") - F.col("e")) > 1 - PERCENT / 100 + 1e-9)
-    return pairs.join(apart.select("sig", "pivot").distinct(), ["sig", "pivot"], "left_anti")
-
-
 def set_components(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(documents with n_shingles and sig, components of linked sets)."""
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     frequent = spark.sparkContext.broadcast(frequent_shingles(docs))  # at most FREQUENT numbers
     size, least = total_bytes(docs), least_parts(spark)
-    blocks, buckets = parts_for(size, BLOCK_BYTES, least), parts_for(size // 30, BUCKET_KEYS, least)
+    blocks, buckets = parts_for(size, BLOCK_BYTES, least), parts_for(size // 6, BUCKET_KEYS, least)
     dealt = docs.withColumn("block_", F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)).cast("long")).repartition(blocks, "block_")
-    answers = dealt.groupBy("block_").applyInArrow(_sketch(buckets, frequent), SKETCH).groupBy("bucket_").applyInArrow(_shared, ANSWER)
+    answers = dealt.groupBy("block_").applyInArrow(_sketch(buckets), SKETCH).groupBy("bucket_").applyInArrow(_shared, ANSWER)
     at = fresh_path(spark, "jaccard")
     found = dealt.groupBy("block_").cogroup(answers.groupBy("block_")).applyInArrow(_sets(buckets, frequent), SETS)
     found.write.parquet(f"{at}/sets")
     rows = spark.read.schema(SETS).parquet(f"{at}/sets")
     sets = rows.where(F.col("keys").isNotNull())
-    join = Stars(sets.dropDuplicates(["sig"]), at)
-    # Members of the regions: a set may have lost keys in none but its own block.
-    members = join.keep(sets.select("sig", F.col("n_shingles").alias("n"), F.explode("keys").alias("key")).distinct())
-    first = members.groupBy("key").agg(F.min("sig").alias("pivot"), F.min_by("n", "sig").alias("m"), F.count("*").alias("c"))
-    members = members.join(first.where("c > 1"), "key")
-    pairs = members.where("sig != pivot").where(_sizes()).select("sig", "pivot").distinct()
-    verdicts = join.compare(join.keep(pairs))
-    open_members = join.keep(members.where("sig != pivot").select("key", "sig", "n"))
-    while True:
-        components = join.keep(join.components(_linked(verdicts)))
-        placed = open_members.join(components, "sig", "left").withColumn("component", F.coalesce("component", "sig"))
-        spread = placed.groupBy("key").agg(F.min("component").alias("a"), F.max("component").alias("b")).where("a != b")
-        open_members = join.keep(placed.join(spread.select("key"), "key"))
-        if open_members.isEmpty():
-            return rows, components
-        heads = open_members.groupBy("key", "component").agg(F.min("sig").alias("pivot"), F.min_by("n", "sig").alias("m"))
-        ranked = heads.withColumn("rank", F.row_number().over(Window.partitionBy("key").orderBy(F.xxhash64("pivot"), "pivot")))
-        heads = join.keep(ranked.where(F.col("rank") <= PIVOTS).select("key", "pivot", "m", F.col("component").alias("own")))
-        pairs = open_members.join(heads, "key").where("component != own").where(_sizes())
-        pairs = pairs.select(F.greatest("sig", "pivot").alias("sig"), F.least("sig", "pivot").alias("pivot")).distinct()
-        done = verdicts.select(F.greatest("sig", "pivot").alias("sig"), F.least("sig", "pivot").alias("pivot"))
-        pairs = _within_window(pairs.join(done, ["sig", "pivot"], "left_anti"), verdicts)
-        verdicts = join.keep(verdicts.unionByName(join.compare(join.keep(pairs))))
-        used = heads.select("key", F.col("pivot").alias("sig"))
-        open_members = join.keep(open_members.join(used, ["key", "sig"], "left_anti").select("key", "sig", "n"))
-
-
-def _sizes():
-    """Sets whose sizes differ by more cannot link."""
-    return (F.least("n", "m") * 100 >= F.greatest("n", "m") * PERCENT)
+    join = Regions(sets.dropDuplicates(["sig"]), at)
+    keyed = join.keep(sets.select("sig", F.explode("keys").alias("key")).distinct())
+    pivots = keyed.groupBy("key").agg(F.min("sig").alias("pivot"), F.count("*").alias("count")).where("count > 1")
+    members = join.keep(keyed.join(pivots.select("key", "pivot"), "key").select("pivot", "sig").distinct())
+    return rows, join.keep(join.components(join.links(members)))
 
 
 def components(docs: DataFrame) -> DataFrame:
@@ -361,3 +405,21 @@ def representatives(docs: DataFrame) -> DataFrame:
     named = docs.where(F.col("doc_id").isNotNull())
     named = named.join(kept, named["doc_id"] == kept["kept_"], "left_semi").dropDuplicates(["doc_id"])
     return named.unionByName(docs.where(F.col("doc_id").isNull()))
+
+
+SQL = f"""
+WITH RECURSIVE words AS (
+  SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), '{ascii_uppercase}', '{ascii_lowercase}'), '[^\\x20\\x09-\\x0D]+') AS w
+  FROM documents),
+sets AS (
+  SELECT r, doc_id, list_distinct(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+    ELSE [array_to_string(w[i:i + 4], ' ') for i in range(1, len(w) - 3)] END) AS s FROM words),
+e AS (SELECT r, len(s) AS n, unnest(s) AS h FROM sets),
+met AS (
+  SELECT a.r AS x, b.r AS y, a.n + b.n - count(*) AS total, count(*) AS common
+  FROM e a JOIN e b USING (h) WHERE a.r <> b.r GROUP BY a.r, b.r, a.n, b.n),
+links AS (SELECT x, y FROM met WHERE 100 * common >= 80 * total),
+reach AS (SELECT r AS a, r AS b FROM sets UNION SELECT reach.a, links.y FROM reach JOIN links ON reach.b = links.x)
+SELECT any_value(s.doc_id) AS doc_id, CAST(any_value(len(s.s)) AS BIGINT) AS n_shingles, min(t.doc_id) AS component_id
+FROM reach JOIN sets s ON s.r = reach.a JOIN sets t ON t.r = reach.b GROUP BY reach.a
+"""

@@ -61,4 +61,9 @@ QUERIES = {
     )
 }
 
-SQL = {"op4_pivot_topk": topk_search.SQL, "op7_license_scan": license_scan.SQL}
+SQL = {
+    "op1_suffix_array_dedup": suffix_dedup.SQL,
+    "op4_pivot_topk": topk_search.SQL,
+    "op7_license_scan": license_scan.SQL,
+    "op10_jaccard_join": jaccard_join.SQL,
+}

@@ -436,3 +436,27 @@ def cleaned(docs: DataFrame) -> DataFrame:
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
     return out.select(*docs.columns)
+
+
+SQL = """
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, hex(encode(coalesce(text, ''))) AS x FROM documents),
+windows AS (SELECT r, doc_id, unnest(range(0, greatest(len(x) // 2 - 49, 0))) AS p, x FROM d),
+strings AS (SELECT r, doc_id, p, substr(x, 2 * p + 1, 100) AS s FROM windows),
+firsts AS (SELECT s, min(doc_id) AS earliest FROM strings GROUP BY s),
+hits AS (SELECT r, p FROM strings JOIN firsts USING (s) WHERE earliest < doc_id),
+runs AS (
+  SELECT r, min(p) AS a, max(p) + 50 AS b FROM (
+    SELECT r, p, sum(new) OVER (PARTITION BY r ORDER BY p) AS run FROM (
+      SELECT r, p, CASE WHEN p - lag(p) OVER (PARTITION BY r ORDER BY p) <= 50 THEN 0 ELSE 1 END AS new FROM hits))
+  GROUP BY r, run),
+gaps AS (
+  SELECT r, b AS low, lead(a) OVER (PARTITION BY r ORDER BY a) AS high FROM (
+    SELECT r, a, b FROM runs UNION ALL SELECT r, -1, 0 FROM d)),
+kept AS (
+  SELECT r, string_agg(substr(x, 2 * low + 1, 2 * (coalesce(high, len(x) // 2) - low)), '' ORDER BY low) AS k
+  FROM gaps JOIN d USING (r) GROUP BY r),
+totals AS (SELECT r, sum(b - a) AS n_removed, count(*) AS n_spans FROM runs GROUP BY r)
+SELECT doc_id, CAST(len(x) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed,
+  CAST(coalesce(n_spans, 0) AS BIGINT) AS n_spans, sha256(unhex(k)) AS kept_sha256
+FROM d JOIN kept USING (r) LEFT JOIN totals USING (r)
+"""

@@ -3,6 +3,7 @@
 import random
 import re
 
+import numpy as np
 import pytest
 
 from gaugewatch.llm import jaccard_join
@@ -70,8 +71,8 @@ def test_set_sizes():
 @pytest.mark.parametrize("seed", [1, 2])
 def test_against_all_pairs(spark, seed, monkeypatch):
     if seed == 2:
-        monkeypatch.setattr(jaccard_join, "PIVOTS", 2)
         monkeypatch.setattr(jaccard_join, "REGION", 4)
+        monkeypatch.setattr(jaccard_join, "DENSE", 2)
     rows = corpus(seed)
     docs = spark.createDataFrame([(i, t, 1, 2) for i, t in rows], "doc_id long, text string, sig int, block_ int")
     got = jaccard_join.components(docs.repartition(4)).collect()
@@ -89,5 +90,17 @@ def test_representatives(spark):
     assert ids.count(None) == 2
 
 
+@pytest.mark.parametrize("dense", [1, 3, 32])
+def test_intersections(dense, monkeypatch):
+    monkeypatch.setattr(jaccard_join, "DENSE", dense)
+    monkeypatch.setattr(jaccard_join, "COLUMNS", 7)
+    rng = np.random.default_rng(dense)
+    sets = [np.unique(rng.integers(0, 60, rng.integers(1, 50))).astype(np.uint64) for _ in range(30)]
+    same = jaccard_join.intersections(sets)
+    for i in range(30):
+        for j in range(i):
+            assert same[i, j] == same[j, i] == len(set(sets[i].tolist()) & set(sets[j].tolist()))
+
+
 def test_empty_table(spark):
     assert jaccard_join.components(spark.createDataFrame([], "doc_id long, text string")).count() == 0
