@@ -23,6 +23,18 @@ def held_out(doc_id: str = "doc_id") -> Column:
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % FOLDS == 0, F.lit(True))
 
 
+def _training_labels(labels: DataFrame, label: str) -> DataFrame:
+    rows = labels.select(F.col("doc_id").alias("id_"), F.col(label).cast("int").alias("label_"))
+    return rows.where(F.col("label_").isin(0, 1) & ~held_out("id_"))
+
+
+def label_counts(labels: DataFrame, label: str) -> tuple[int, int]:
+    """Ids labelled 0 and ids labelled 1 outside the held-out fold: what labelled_sample takes from, all of it."""
+    rows = _training_labels(labels, label).distinct().groupBy("label_").count()
+    found = {r["label_"]: r["count"] for r in rows.collect()}
+    return found.get(0, 0), found.get(1, 0)
+
+
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, per_class: int) -> list[tuple[str, int]]:
     """At most ``per_class`` (text, label) pairs of each class, outside the held-out fold.
 
@@ -30,8 +42,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, per_class: i
     depend on how the table is laid out. This bound is the only one that
     learning has: statistics over the corpus are never taken from it.
     """
-    rows = labels.select(F.col("doc_id").alias("id_"), F.col(label).cast("int").alias("label_"))
-    rows = rows.where(F.col("label_").isin(0, 1) & ~held_out("id_"))
+    rows = _training_labels(labels, label)
     picked = None
     for value in (0, 1):
         part = (

@@ -6,10 +6,12 @@ text does not outgrow the dictionaries), each block is compressed with either
 dictionary, and the sizes are added up. The normalised difference of the two
 sizes, with the compression ratio that separates mere repetition from prose,
 is turned into a probability by a logistic calibration on labelled texts which
-no dictionary has seen.
+no dictionary has seen. Each of these counts for as many labels of its class as
+the bound of the sample left out, so the probability refers to the classes'
+shares among all labels and not to those of the sample.
 
 A null or empty text, or one of white space only, has no sizes; it gets the
-share of good texts among the labelled ones. Repeated rows get equal scores.
+share of good texts among all labelled ones. Repeated rows get equal scores.
 """
 
 from __future__ import annotations
@@ -24,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from gaugewatch.llm.common import as_bytes, batches, held_out, labelled_sample
+from gaugewatch.llm.common import as_bytes, batches, held_out, label_counts, labelled_sample
 
 BLOCK = 2048
 DICT_BYTES = 112_640
@@ -82,15 +84,15 @@ class Sizer:
         return (difference, good / n, bad / n, plain / n, difference * difference, (plain / n) ** 2, np.log1p(min(n, BLOCK)))
 
 
-def _fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> np.ndarray:
-    """Newton steps on the penalised likelihood; the intercept is not penalised."""
+def _fit_logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1.0) -> np.ndarray:
+    """Newton steps on the penalised, weighted likelihood; the intercept is not penalised."""
     x = np.c_[x, np.ones(len(x))]
     penalty = np.r_[np.full(x.shape[1] - 1, ridge), 1e-6]
     w = np.zeros(x.shape[1])
     for _ in range(50):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        gradient = x.T @ (p - y) + penalty * w
-        hessian = (x * (p * (1 - p))[:, None]).T @ x + np.diag(penalty)
+        gradient = x.T @ (weight * (p - y)) + penalty * w
+        hessian = (x * (weight * p * (1 - p))[:, None]).T @ x + np.diag(penalty)
         step = np.linalg.solve(hessian, gradient)
         w -= step
         if np.abs(step).max() < 1e-8:
@@ -98,10 +100,13 @@ def _fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> np.ndarra
     return w
 
 
-def train(sample: list[tuple[str, int]]) -> QualityModel:
-    """Dictionaries from two thirds of the sample, calibration on the rest."""
+def train(sample: list[tuple[str, int]], stands_for: tuple[float, float] = (1.0, 1.0)) -> QualityModel:
+    """Dictionaries from two thirds of the sample, calibration on the rest.
+
+    ``stands_for``: labels of the corpus for each sampled one, of the bad and of the good class.
+    """
     texts = [(t.encode(), y) for t, y in sample if t and t.strip()]
-    prior = (sum(y for _, y in texts) + 1) / (len(texts) + 2)
+    prior = (sum(stands_for[y] * y for _, y in texts) + 1) / (sum(stands_for[y] for _, y in texts) + 2)
     learn = [x for i, x in enumerate(texts) if i % 3]
     rest = [x for i, x in enumerate(texts) if not i % 3]
     good, bad = (_dictionary([t for t, y in learn if y == k]) for k in (1, 0))
@@ -112,14 +117,17 @@ def train(sample: list[tuple[str, int]]) -> QualityModel:
         return QualityModel(good, bad, (0.0,) * width, (1.0,) * width, (0.0,) * width + (bias,), prior)
     x = np.array([sizer.features(t) for t, _ in rest])
     y = np.array([y for _, y in rest], float)
+    # Mean 1, so that the penalty means the same at every size.
+    weight = np.where(y == 1, stands_for[1], stands_for[0])
     mean, scale = x.mean(0), x.std(0) + 1e-9
-    weights = _fit_logistic((x - mean) / scale, y)
+    weights = _fit_logistic((x - mean) / scale, y, weight / weight.mean())
     return QualityModel(good, bad, tuple(mean), tuple(scale), tuple(weights), prior)
 
 
 def fit(docs: DataFrame, labels: DataFrame, per_class: int = SAMPLE_PER_CLASS) -> QualityModel:
-    """Learn from at most ``per_class`` labelled texts of each class (see labelled_sample)."""
-    return train(labelled_sample(docs, labels, "quality", per_class))
+    """Learn from at most ``per_class`` labelled texts of each class (see labelled_sample); shares are of all labels."""
+    counts = label_counts(labels, "quality")
+    return train(labelled_sample(docs, labels, "quality", per_class), tuple(max(1.0, n / per_class) for n in counts))
 
 
 def scores(model: QualityModel, texts: list[bytes]) -> np.ndarray:

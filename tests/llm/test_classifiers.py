@@ -64,3 +64,15 @@ def test_training_is_repeatable():
     texts = [b"what an idiot clown", b"a good fine day", b""]
     assert a.scores(texts).tolist() == b.scores(texts).tolist()
     assert a.scores(texts)[0] > 0.5 > a.scores(texts)[1]
+
+
+def test_quality_does_not_depend_on_the_cap(spark):
+    """Calibrated to the share of all labels: a capped sample keeps what a whole one keeps."""
+    docs, labels = table(spark, SF_DIR, "documents"), table(spark, SF_DIR, "labels")
+    texts = [(r.text or "").encode() for r in docs.orderBy("doc_id").limit(2000).collect()]
+    whole, capped = (compression_quality.fit(docs, labels, n) for n in (3000, 450))
+    assert whole.prior == pytest.approx(capped.prior, abs=0.01)
+    a, b = (compression_quality.scores(m, texts) for m in (whole, capped))
+    least = compression_quality.THRESHOLD
+    assert abs(a.mean() - b.mean()) < 0.03
+    assert ((a >= least) == (b >= least)).mean() > 0.97
