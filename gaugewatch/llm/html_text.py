@@ -1,22 +1,24 @@
 """Main text of web pages by deducing the template of each host.
 
 1. Every page is walked once. Its tokens are the tags, named by the path of
-   elements they open in, and the texts outside of the article. A token's
+   elements they open in, and the texts, also those of an article. A token's
    occurrence vector holds its count on each page of the host; it travels as
    one number, the sum of ``count * hash(page)``, so that tokens of any host,
    however large, are added up by a partial aggregate.
 2. Tokens of a host with equal vectors are an equivalence class. Classes on
    enough different pages are valid; they are nested into a template from the
    document's root down, each token inside of the element that holds it.
-3. What the template does not cover are slots. Slots in an article (or main)
-   element are main text; on pages without one, all slots of the body are,
-   except texts that are tokens of the template. Nothing is main text below an
-   element that is a menu, a header, a footer, a sidebar, a notice, an advert,
-   a form, a script, a style or a place for reader comments, by its tag, role
-   or class.
-
-Pages of a host too small for a template are their own template. Copies of a
-page count once, so they do not make their text a part of the template.
+3. What the template does not cover are slots; all slots of a page are its
+   main text, in or outside of an article (or main) element, and texts that
+   are tokens of the template are not. Nothing is main text below an element
+   that is a menu, a header, a footer, a sidebar, a notice, an advert, a form,
+   a script, a style or a place for reader comments, by its tag, role or class.
+
+Pages of a host too small for a template are their own template; there, an
+article that holds at least half of the page's text is taken for the slot.
+The article is also taken if a template covers a whole page. Copies of a page
+count once, so they do not make their text a part of the template; for texts
+in an article, pages that share their longest text there are copies.
 
 Character references are decoded; a start or end tag of a block element, or a
 line break element, ends a block; white space in a block becomes one space;
@@ -29,6 +31,7 @@ Only ``page_id``, ``url`` and ``html`` are read.
 
 from __future__ import annotations
 
+import functools
 import re
 from collections import Counter
 from collections.abc import Iterable, Iterator
@@ -126,25 +129,28 @@ class Walk(HTMLParser):
         _, path, noise, content = self._top()
         self.texts.append((path, noise, content, data))
 
-    def tokens(self) -> Counter:
-        """Paths of elements, and texts outside of noise and content, which may be a template's."""
+    def tokens(self) -> tuple[Counter, Counter, str]:
+        """What may be a template's: paths of elements and texts outside of content; texts in content, and the longest."""
         found = Counter({f"<{path}": n for path, n in self.tags.items()})
-        for path, block in self.blocks(lambda noise, content: not noise and not content):
-            found[f"{path}>{block}"] += 1
-        return found
-
-    def blocks(self, wanted) -> Iterator[tuple[str, str]]:
-        """(path, text) of the blocks made of the wanted texts."""
-        path, parts = "", []
+        inside, longest = Counter(), ""
+        for path, content, block in self.blocks():
+            (inside if content else found)[f"{path}>{block}"] += 1
+            if content:
+                longest = max(longest, block, key=len)
+        return found, inside, longest
+
+    def blocks(self) -> Iterator[tuple[str, bool, str]]:
+        """(path, in content, text) of the blocks made of texts that are no noise."""
+        path, content, parts = "", False, []
         for item in [*self.texts, None]:
             if item is None:
                 text = " ".join("".join(parts).split())
                 if text:
-                    yield path, text
+                    yield path, content, text
                 parts = []
-            elif wanted(item[1], item[2]):
+            elif not item[1]:
                 if not parts:
-                    path = item[0]
+                    path, content = item[0], item[2]
                 parts.append(item[3])
 
 
@@ -163,14 +169,23 @@ def token_hash(token: str) -> int:
     return xxhash.xxh64_intdigest(token) - (1 << 63)
 
 
+@functools.lru_cache(65_536)
+def _path_hash(path: str) -> int:
+    """Of the tag token of a path; 0 is the document."""
+    return token_hash(f"<{path}") if path else 0
+
+
 def main_text(html: str, template: set[int] | None) -> str:
     """Text of the page's main slots; a page without a template is its own."""
     walk = Walk(html)
-    texts = [text for _, text in walk.blocks(lambda noise, content: content and not noise)]
-    if not texts:
-        known = template or set()
-        slots = walk.blocks(lambda noise, content: not noise)
-        texts = [text for path, text in slots if token_hash(f"{path}>{text}") not in known]
+    slots = list(walk.blocks())
+    article = [text for _, content, text in slots if content]
+    if template:
+        texts = [text for path, _, text in slots if token_hash(f"{path}>{text}") not in template] or article
+    elif 2 * sum(map(len, article)) >= sum(len(text) for _, _, text in slots):
+        texts = article
+    else:
+        texts = [text for _, _, text in slots]
     return "\n".join(texts)
 
 
@@ -188,11 +203,15 @@ def templates(pages: DataFrame) -> DataFrame:
         for batch in batches(source, CHUNK, "html"):
             out = []
             for host, html in zip(batch.column("host").to_pylist(), batch.column("html").to_pylist(), strict=True):
-                page = xxhash.xxh64_intdigest(html)
-                for token, count in Walk(html).tokens().items():
-                    parent = token[1:].rpartition("/")[0] if token[0] == "<" else token.partition(">")[0]
-                    vote = xxhash.xxh64_intdigest(str(count), page) >> 8
-                    out.append((host, vote, token_hash(token), token_hash(f"<{parent}") if parent else 0))
+                found, inside, longest = Walk(html).tokens()
+                for tokens, of in ((found, html), (inside, longest)):
+                    page = xxhash.xxh64_intdigest(of)
+                    votes = {count: xxhash.xxh64_intdigest(str(count), page) >> 8 for count in set(tokens.values())}
+                    for token, count in tokens.items():
+                        if token[0] == "<":
+                            out.append((host, votes[count], _path_hash(token[1:]), _path_hash(token[1:].rpartition("/")[0])))
+                        else:
+                            out.append((host, votes[count], token_hash(token), _path_hash(token.partition(">")[0])))
             if out:
                 types = (pa.string(), pa.int64(), pa.int64(), pa.int64())
                 yield pa.RecordBatch.from_arrays(

@@ -60,3 +60,22 @@ def test_template_of_hosts_without_article(spark):
 
 def test_empty_table(spark):
     assert html_text.main_texts(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
+
+
+def test_template_decides_pages_with_article(spark):
+    rng = random.Random(5)
+    prose = lambda n: " ".join("".join(rng.choice("abcdef") for _ in range(5)) for _ in range(n))
+    rows, want = [], {}
+    for i in range(12):
+        a, b, c = prose(6), prose(20), prose(20)
+        rows.append((i, f"http://teaser.example/{i}", f"<body><article><p>{a}</p></article><div><p>{b}</p><p>{c}</p></div></body>"))
+        want[i] = f"{a}\n{b}\n{c}"
+        rows.append((100 + i, f"http://main.example/{i}", f"<body><main><p>Read it every day</p><p>{b}</p><div>Printed on paper</div></main></body>"))
+        want[100 + i] = b
+        # Copies of one article under other titles: the text is not a template's.
+        rows.append((200 + i, f"http://copy.example/{i}", f"<head><title>{i}</title></head><body><article><p>one text</p><p>another of the same</p></article></body>"))
+        want[200 + i] = "one text\nanother of the same"
+    rows += [(300, "http://alone.example/", "<body><article><p>teaser</p></article><div><p>the body of the text</p></div></body>")]
+    want[300] = "teaser\nthe body of the text"
+    got = html_text.main_texts(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)).collect()
+    assert {r.page_id: r.text for r in got} == want
