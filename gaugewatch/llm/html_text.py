@@ -13,6 +13,11 @@
    are tokens of the template are not. Nothing is main text below an element
    that is a menu, a header, a footer, a sidebar, a notice, an advert, a form,
    a script, a style or a place for reader comments, by its tag, role or class.
+   A class or id says so as a whole token, alone or with words that name only
+   a place or a form (``site-footer``, ``ad-slot``; not ``has-sidebar``), and
+   never alone for an element that holds all articles of the page or, on a page
+   without an article elsewhere, most of its text; a header in an article is
+   its heading.
 
 Pages of a host too small for a template are their own template; there, an
 article that holds at least half of the page's text is taken for the slot.
@@ -68,6 +73,14 @@ NAMES = frozenset(
     "comments commentlist disqus replies respond notice notices cookie cookies consent gdpr popup modal overlay newsletter "
     "subscribe subscription signup login related share sharing social widget widgets pagination pager skip toolbar".split()
 )
+# Parts of a class that leave the meaning of the names beside them.
+PLAIN = frozenset(
+    "site main global top bottom left right upper lower inner outer bar box block container wrapper wrap inline area section zone slot "
+    "unit list links link items item buttons button icons form posts articles stories primary secondary mobile desktop js".split()
+)
+HEADERS = frozenset("header headers".split())
+COMMENTS = frozenset("comment comments commentlist disqus replies respond".split())
+RAW = frozenset({"title", "textarea"})
 CONTENT = frozenset({"article", "main"})
 CLOSES = {
     "p": frozenset({"p"}), "li": frozenset({"li"}), "dt": frozenset({"dt", "dd"}), "dd": frozenset({"dt", "dd"}),
@@ -75,22 +88,55 @@ CLOSES = {
 }
 SCOPES = frozenset("html body article main section div aside nav header footer form ul ol dl table blockquote".split())
 WORD = re.compile(r"[a-z0-9]+")
+CUT = re.compile(r"<!--|</?[A-Za-z!?][^>]*\Z")
+NO_NAME: tuple[int, ...] = ()
 HOST = r"^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//(?:[^/?#@]*@)?([^/?#:]*)"
 
 
 class Walk(HTMLParser):
-    """One page as a list of (path, noise, in content, text) for its texts, and counts of its tokens."""
+    """One page as a list of (path, noise, in content, text) for its texts, and counts of its tokens.
+
+    Noise by names is settled at the end of the page, when it is known what the named elements hold: until
+    then a text carries the numbers of those it lies in.
+    """
 
     def __init__(self, html: str):
         super().__init__(convert_charrefs=True)
-        self.stack: list[tuple[str, str, bool, bool]] = []
-        self.texts: list[tuple[str, bool, bool, str] | None] = []  # None: a block ends
+        self.stack: list[tuple[str, str, bool, bool, tuple[int, ...]]] = []
+        self.texts: list[tuple[str, bool, bool, str, tuple[int, ...]] | None] = []  # None: a block ends
         self.tags: Counter = Counter()
-        self.feed(_finished(html))
+        self.named: list[bool] = []  # of each named element: whether it is a place for comments
+        self.feed(html)
+        # What the parser holds back: a comment or a tag that the end of the page cuts off is no text.
+        if self.cdata_elem is None and CUT.match(self.rawdata):
+            self.rawdata = ""
         self.close()
-
-    def _top(self) -> tuple[str, str, bool, bool]:
-        return self.stack[-1] if self.stack else ("", "", False, False)
+        self.kept = self._not_by_name_alone() if self.named else frozenset()
+
+    def _not_by_name_alone(self) -> frozenset[int]:
+        """Named elements that are no noise, as the page has no article outside of them and they hold it or most text."""
+        held: Counter = Counter()
+        inside: set[tuple[int, ...]] = set()
+        total = 0
+        for item in self.texts:
+            if item and not item[1] and (size := len(item[3].strip())):
+                total += size
+                for k in item[4]:
+                    held[k] += size
+                if item[2]:
+                    inside.add(item[4])
+        if () in inside:
+            return frozenset()
+        kept = {k for k, size in held.items() if 2 * size > total and not self.named[k]}
+        # If every article lies in named elements: those around them, from the outermost on, until one is free.
+        depth = 0
+        while inside and not any(kept.issuperset(names) for names in inside):
+            kept |= {names[depth] for names in inside if len(names) > depth}
+            depth += 1
+        return frozenset(kept)
+
+    def _top(self) -> tuple[str, str, bool, bool, tuple[int, ...]]:
+        return self.stack[-1] if self.stack else ("", "", False, False, NO_NAME)
 
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         if tag in BLOCK:
@@ -105,17 +151,24 @@ class Walk(HTMLParser):
                     break
                 if self.stack[k][0] in SCOPES:
                     break
-        _, path, noise, content = self._top()
+        if tag in RAW:
+            self.set_cdata_mode(tag)
+        _, path, noise, content, inside = self._top()
         values = {k: v or "" for k, v in attrs}
-        names = set(WORD.findall(f"{values.get('class', '')} {values.get('id', '')}".lower()))
+        named = f"{values.get('class', '')} {values.get('id', '')}".lower() if "class" in values or "id" in values else ""
+        names = set(WORD.findall(named))
         noise = (
             noise or tag in NOISE or (tag == "header" and not content) or values.get("role", "").lower() in ROLES
-            or "hidden" in values or bool(names & NAMES and tag not in ("html", "body") and tag not in CONTENT)
+            or "hidden" in values
         )
+        if not noise and names & NAMES and tag not in ("html", "body") and tag not in CONTENT:
+            if said := _noise_names(named, content):
+                inside = (*inside, len(self.named))
+                self.named.append(bool(said & COMMENTS))
         if tag in BLOCK or names:
             path = f"{path}/{tag}" + ("." + ".".join(sorted(names)) if names and tag not in ("html", "body") else "")
             self.tags[path] += 1
-        self.stack.append((tag, path, noise, content or (tag in CONTENT and not noise)))
+        self.stack.append((tag, path, noise, content or (tag in CONTENT and not noise), inside))
 
     def handle_endtag(self, tag: str) -> None:
         if tag in BLOCK:
@@ -126,8 +179,8 @@ class Walk(HTMLParser):
                 break
 
     def handle_data(self, data: str) -> None:
-        _, path, noise, content = self._top()
-        self.texts.append((path, noise, content, data))
+        _, path, noise, content, inside = self._top()
+        self.texts.append((path, noise, content, data, inside))
 
     def tokens(self) -> tuple[Counter, Counter, str]:
         """What may be a template's: paths of elements and texts outside of content; texts in content, and the longest."""
@@ -148,21 +201,22 @@ class Walk(HTMLParser):
                 if text:
                     yield path, content, text
                 parts = []
-            elif not item[1]:
+            elif not item[1] and (not item[4] or self.kept.issuperset(item[4])):
                 if not parts:
                     path, content = item[0], item[2]
                 parts.append(item[3])
 
 
-def _finished(html: str) -> str:
-    """Without a comment or a tag that the end of the page cuts off."""
-    at = html.rfind("<!--")
-    if at >= 0 and html.find("-->", at) < 0:
-        html = html[:at]
-    at = html.rfind("<")
-    if at >= 0 and html.find(">", at) < 0 and re.match(r"</?[A-Za-z!?]", html[at : at + 3]):
-        html = html[:at]
-    return html
+@functools.lru_cache(65_536)
+def _noise_names(named: str, content: bool) -> frozenset[str]:
+    """Names of noise among whole class tokens."""
+    found: set[str] = set()
+    for token in named.split():
+        parts = set(WORD.findall(token))
+        own = parts & (NAMES - HEADERS if content else NAMES)
+        if own and all(p in NAMES or p in PLAIN or p.isdigit() for p in parts):
+            found |= own
+    return frozenset(found)
 
 
 def token_hash(token: str) -> int:

@@ -79,3 +79,18 @@ def test_template_decides_pages_with_article(spark):
     want[300] = "teaser\nthe body of the text"
     got = html_text.main_texts(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)).collect()
     assert {r.page_id: r.text for r in got} == want
+
+
+def test_names_and_comments_drop_nothing_else():
+    body = "<article><div class='entry-header'><h1>Title</h1></div><div class='header'>By us</div><p class='share-price'>Text</p></article>"
+    want = "Title\nBy us\nText"
+    for name in ("content has-sidebar", "no-sidebar", "page-with-header", "widget", "main banner"):
+        assert html_text.main_text(f"<div class='{name}' id='{name.split()[0]}'>{body}<div class='comments'><article>Me too</article></div></div>", None) == want
+        assert html_text.main_text(f"<div class='{name}'><p>Long text of a page</p></div><div class='ad-slot'>Buy</div>", None) == "Long text of a page"
+    for name in ("ad", "site-footer", "ad-slot big", "cookie-notice", "menu-1"):
+        assert html_text.main_text(f"{body}<div class='{name}'>x</div><p>.</p><div id='{name.split()[0]}'>y</div>", None) == want
+    assert html_text.main_text(f"{body}<div id='sidebar'><article>Teaser</article></div><div class='comments'>{'long ' * 99}</div>", None) == want
+    for head in ("<script>var s = '<!-- ';</script>", "<style><!-- p{}</style>", "<title>a <!-- b</title>", "<form><textarea><!-- </textarea></form>"):
+        assert html_text.main_text(f"{head}{body}", None) == want
+        assert html_text.main_text(f"{body}{head}<p>.</p><!-- <p>gone</p>", None) in (want, want + "\n.")
+    assert html_text.main_text("<p>a < b & c<p>d <!-- x --> e &am", None) == "a < b & c\nd e &am"
