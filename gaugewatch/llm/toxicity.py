@@ -5,7 +5,8 @@ texts have an embedding, all others are zero. Filters of several widths run
 over the whole text, each keeps its largest response (max pooling), and a
 linear layer adds them up. The network is trained in NumPy with Adam on a
 bounded sample of labelled texts (labelled_sample), most of it; on the rest,
-one threshold per language is set, and the distance to it is scaled to a
+one threshold per language is set by errors that count as often as in the
+corpus, whatever the bound took from either class, and the distance to it is scaled to a
 probability, so that 0.5 is the threshold of each language. The language is
 guessed from function words of the text alone.
 
@@ -170,13 +171,13 @@ def train(sample: list[tuple[str, int]], prior: float, seed: int = 7) -> Toxicit
                 embedding[0] = 0
     response = [[embedding @ f[k] for k in range(len(f))] for f in filters]
     model = ToxicityModel(known, response, bias, out, float(constant[0]), np.zeros(len(FUNCTION_WORDS)), 1.0)
-    return _calibrated(model, [texts[i] for i in np.flatnonzero(rest)], y[rest], weight[rest])
+    return _calibrated(model, [texts[i] for i in np.flatnonzero(rest)], y[rest], _weights(y, prior, 1.0)[rest])
 
 
-def _weights(y: np.ndarray, prior: float) -> np.ndarray:
-    """Classes by the square root of how far the sample is from the corpus; mean 1."""
+def _weights(y: np.ndarray, prior: float, power: float = 0.5) -> np.ndarray:
+    """Classes by how far the sample is from the corpus: its square root to learn, all of it (1) to count errors; mean 1."""
     share = max(float(y.mean()) if len(y) else 0.5, 1e-6)
-    w = np.where(y == 1, np.sqrt(prior / share), np.sqrt((1 - prior) / max(1 - share, 1e-6)))
+    w = np.where(y == 1, prior / share, (1 - prior) / max(1 - share, 1e-6)) ** power
     return (w / max(w.mean(), 1e-9) if len(w) else w).astype(np.float32)
 
 

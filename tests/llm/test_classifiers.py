@@ -76,3 +76,15 @@ def test_quality_does_not_depend_on_the_cap(spark):
     least = compression_quality.THRESHOLD
     assert abs(a.mean() - b.mean()) < 0.03
     assert ((a >= least) == (b >= least)).mean() > 0.97
+
+
+def test_toxicity_thresholds_are_those_of_the_corpus():
+    """A word that 3 of 10 texts with it are toxic for is clean, though the capped classes show 8 of 10."""
+    rng = np.random.default_rng(3)
+    filler = "one two three four five six seven eight nine ten".split()
+    text = lambda word: " ".join([*rng.choice(filler, 6), word, *rng.choice(filler, 6)])
+    sample = [(text(w), y) for w, y, n in (("vile", 1, 300), ("odd", 1, 300), ("odd", 0, 78), ("calm", 0, 522)) for _ in range(n)]
+    model = toxicity.train([sample[i] for i in rng.permutation(len(sample))], 0.1)
+    texts = {w: model.scores([text(w).encode() for _ in range(50)]) for w in ("vile", "odd", "calm")}
+    assert (texts["vile"] > 0.5).mean() > 0.9
+    assert (texts["odd"] < 0.5).mean() > 0.9 and (texts["calm"] < 0.5).mean() > 0.9
