@@ -19,8 +19,9 @@ that ``|q - x|^2 = |q|^2 + R^2 - 2 q.x``. The nearest are the best.
 
 Components are ``floor(64 x)``; scores are exact integers. Vectors that are
 null or hold null or non-finite components take no part, nor do rows without
-an id. Vectors of different lengths never meet. Rows that repeat an id count
-as one (of several vectors of an id, one chosen by hash). Ties go to the
+an id. Vectors of different lengths never meet. Rows that repeat an id and its
+vector count as one; different vectors of an id all take part, each as a row
+of its own, but never meet one another, and share one ranking. Ties go to the
 smaller id. An empty table gives an empty result. Only ``vec_id`` and
 ``embedding`` are read.
 """
@@ -56,19 +57,18 @@ PROBE = "cell int, part int, size int, ids binary, ints binary, kth binary"
 def integers(vectors: DataFrame) -> DataFrame:
     """(vec_id, size, ints, norm): whole vectors as little-endian 64-bit integers, and their squared norm."""
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("e"))
-    rows = rows.where(F.col("vec_id").isNotNull() & F.col("e").isNotNull())
-    rows = rows.groupBy("vec_id").agg(F.min_by("e", F.xxhash64("e")).alias("e"))
+    usable = F.forall("e", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < math.inf))
+    rows = rows.where(F.col("vec_id").isNotNull() & F.col("e").isNotNull() & usable).distinct()
 
     def run(source: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in source:
             ids, ints, norms, sizes = [], [], [], []
             for vec_id, e in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                if all(x is not None and math.isfinite(x) for x in e):
-                    v = np.floor(SCALE * np.array(e, np.float64))
-                    ids.append(vec_id)
-                    ints.append(v.astype("<i8").tobytes())
-                    norms.append(float(v @ v))
-                    sizes.append(len(e))
+                v = np.floor(SCALE * np.array(e, np.float64))
+                ids.append(vec_id)
+                ints.append(v.astype("<i8").tobytes())
+                norms.append(float(v @ v))
+                sizes.append(len(e))
             yield pa.RecordBatch.from_arrays(
                 [pa.array(ids, pa.int64()), pa.array(sizes, pa.int32()), pa.array(ints, pa.binary()), pa.array(norms, pa.float64())],
                 ["vec_id", "size", "ints", "norm"],
@@ -192,10 +192,10 @@ def top_k(vectors: DataFrame, k: int = K, every: int = EVERY, cell_rows: int = C
     integers(vectors).write.parquet(f"{at}/vectors")
     rows = spark.read.schema("vec_id long, size int, ints binary, norm double").parquet(f"{at}/vectors")
     count, radius2 = rows.agg(F.count("*"), F.coalesce(F.max("norm"), F.lit(0.0))).first()
-    sample = [tuple(r) for r in rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).select("size", "ints", "norm").collect()]
+    sample = [tuple(r) for r in rows.orderBy(F.xxhash64("vec_id"), "vec_id", "ints").limit(SAMPLE).select("size", "ints", "norm").collect()]
     rest = [tuple(r) for r in rows.select("size").distinct().join(
         spark.createDataFrame([(s,) for s in {r[0] for r in sample}], "size int"), "size", "left_anti"
-    ).join(rows, "size").groupBy("size").agg(F.min_by("ints", "vec_id"), F.min_by("norm", "vec_id")).collect()]
+    ).join(rows, "size").groupBy("size").agg(*[F.min_by(c, F.struct("vec_id", "ints")) for c in ("ints", "norm")]).collect()]
     shared = spark.sparkContext.broadcast(choose_pivots(sample + rest, radius2, pivots))  # a fixed number per length
     cells = max(1, min(MAX_CELLS, math.ceil(count / cell_rows)))
 

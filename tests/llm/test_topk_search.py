@@ -59,3 +59,20 @@ def test_bounds_hold_and_prune():
 
 def test_empty_table(spark):
     assert topk_search.top_k(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
+
+
+@pytest.mark.parametrize("cell_rows", [16, 10_000])
+def test_every_vector_of_an_id(spark, cell_rows):
+    """As in the SQL: no vector is lost to another row of its id, usable or not."""
+    rng = random.Random(8)
+    one = lambda: [rng.gauss(0, 1) for _ in range(6)]
+    rows = [(i, one()) for i in range(120)] + [(i, one()) for i in range(0, 60, 3)]
+    rows += [(i, bad) for i in range(0, 120, 4) for bad in ([float("nan")] * 6, [float("inf")] * 6, [None] * 6, None)]
+    valid = [(i, [int(np.floor(64 * np.float64(np.float32(x)))) for x in e]) for i, e in rows if e and all(x is not None and np.isfinite(x) for x in e)]
+    want = []
+    for q in range(0, 120, 20):
+        scored = sorted((-sum(a * b for a, b in zip(e, v)), i) for j, e in valid if j == q for i, v in valid if i != q)
+        want += [(q, r, i, -s) for r, (s, i) in enumerate(scored[:20], 1)]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<float>").repartition(3)
+    got = topk_search.top_k(table, cell_rows=cell_rows, pivots=5).collect()
+    assert sorted((r.query_id, r["rank"], r.vec_id, r.score) for r in got) == want
