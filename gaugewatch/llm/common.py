@@ -76,6 +76,17 @@ def least_parts(spark: SparkSession) -> int:
     return max(2, spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
+def free_names(taken: Iterable[str], *names: str) -> list[str]:
+    """Each name, with as many underscores added as it takes not to clash (Spark ignores case)."""
+    used, out = {t.lower() for t in taken}, []
+    for name in names:
+        while name.lower() in used:
+            name += "_"
+        used.add(name.lower())
+        out.append(name)
+    return out
+
+
 def as_bytes(column: pa.Array) -> list[bytes]:
     """The values of a string or binary Arrow array as bytes; null is empty."""
     return [v.encode() if isinstance(v, str) else v or b"" for v in column.to_pylist()]

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from gaugewatch.llm import (
-    compression_quality, decontaminate, html_text, jaccard_join, license_scan, packing, suffix_dedup, token_counts,
-    topk_search, toxicity,
+    compression_quality, decontaminate, html_text, jaccard_join, license_scan, packing, sharding, suffix_dedup, token_counts,
+    topk_search, toxicity, vector_codes,
 )
 from gaugewatch.llm.common import table
 
@@ -53,11 +53,19 @@ def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op12_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.digest(table(spark, sf_dir, "documents"))
+
+
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.digest(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_suffix_array_dedup, op2_toxicity, op3_token_counts, op4_pivot_topk, op5_best_fit_packing, op6_html_extraction, op7_license_scan, op8_decontamination,
-        op9_compression_quality, op10_jaccard_join,
+        op9_compression_quality, op10_jaccard_join, op12_sharding, op13_vector_codes,
     )
 }
 
@@ -66,4 +74,6 @@ SQL = {
     "op4_pivot_topk": topk_search.SQL,
     "op7_license_scan": license_scan.SQL,
     "op10_jaccard_join": jaccard_join.SQL,
+    "op12_sharding": sharding.SQL,
+    "op13_vector_codes": vector_codes.SQL,
 }
