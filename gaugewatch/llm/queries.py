@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from gaugewatch.llm import (
-    compression_quality, decontaminate, html_text, jaccard_join, license_scan, packing, sharding, suffix_dedup, token_counts,
+    alignment, compression_quality, decontaminate, html_text, jaccard_join, license_scan, packing, sharding, suffix_dedup, token_counts,
     topk_search, toxicity, vector_codes,
 )
 from gaugewatch.llm.common import table
@@ -53,6 +53,10 @@ def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op11_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.digest(table(spark, sf_dir, "documents"))
+
+
 def op12_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.digest(table(spark, sf_dir, "documents"))
 
@@ -65,7 +69,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         op1_suffix_array_dedup, op2_toxicity, op3_token_counts, op4_pivot_topk, op5_best_fit_packing, op6_html_extraction, op7_license_scan, op8_decontamination,
-        op9_compression_quality, op10_jaccard_join, op12_sharding, op13_vector_codes,
+        op9_compression_quality, op10_jaccard_join, op11_tokenizer_alignment, op12_sharding, op13_vector_codes,
     )
 }
 

@@ -47,6 +47,13 @@ class Encoder:
             return np.array(self._whole.encode(text, add_special_tokens=False).ids, np.uint32)
         return np.array(self._fast.encode_ordinary(text), np.uint32)
 
+    def plain(self, text: str) -> list[int]:
+        """Ids, strings of special tokens being plain text."""
+        return self._fast.encode_ordinary(text)
+
+    def bytes_of(self, ids: list[int]) -> bytes:
+        return self._fast.decode_bytes(ids)
+
 
 @functools.cache
 def encoder(path: str, pattern: str) -> Encoder:
