@@ -35,7 +35,7 @@ SHARDS = 8
 SEED = 7
 DIGITS = 13  # hexadecimal digits of a hash that a double holds exactly
 UNIT = 16**DIGITS
-RANGE_ROWS = 1_000_000
+RANGE_ROWS = 16_384
 
 
 def _number(text: Column) -> Column:
