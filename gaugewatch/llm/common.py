@@ -8,10 +8,11 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 FOLDS = 5
+SAMPLE_BYTES = 64 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -24,22 +25,25 @@ def held_out(doc_id: str = "doc_id") -> Column:
 
 
 def _training_labels(labels: DataFrame, label: str) -> DataFrame:
+    """One label per id outside the held-out fold: of an id labelled both 0 and 1, the 1."""
     rows = labels.select(F.col("doc_id").alias("id_"), F.col(label).cast("int").alias("label_"))
-    return rows.where(F.col("label_").isin(0, 1) & ~held_out("id_"))
+    return rows.where(F.col("label_").isin(0, 1) & ~held_out("id_")).groupBy("id_").agg(F.max("label_").alias("label_"))
 
 
 def label_counts(labels: DataFrame, label: str) -> tuple[int, int]:
     """Ids labelled 0 and ids labelled 1 outside the held-out fold: what labelled_sample takes from, all of it."""
-    rows = _training_labels(labels, label).distinct().groupBy("label_").count()
+    rows = _training_labels(labels, label).groupBy("label_").count()
     found = {r["label_"]: r["count"] for r in rows.collect()}
     return found.get(0, 0), found.get(1, 0)
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, per_class: int) -> list[tuple[str, int]]:
-    """At most ``per_class`` (text, label) pairs of each class, outside the held-out fold.
+def labelled_sample(
+    docs: DataFrame, labels: DataFrame, label: str, per_class: int, max_bytes: int = SAMPLE_BYTES
+) -> list[tuple[str, int]]:
+    """At most ``per_class`` (text, label) pairs of each class, of at most ``max_bytes``, outside the held-out fold.
 
     Rows are taken in the order of a hash of their id, so the sample does not
-    depend on how the table is laid out. This bound is the only one that
+    depend on how the table is laid out. These two bounds are the only ones that
     learning has: statistics over the corpus are never taken from it.
     """
     rows = _training_labels(labels, label)
@@ -47,7 +51,6 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, per_class: i
     for value in (0, 1):
         part = (
             rows.where(F.col("label_") == value)
-            .dropDuplicates(["id_"])
             .orderBy(F.xxhash64("id_"), "id_")
             .limit(per_class)
         )
@@ -58,7 +61,9 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, per_class: i
     )
     # Of rows that repeat an id, one text: at most 2 * per_class rows reach the driver.
     got = found.where(F.col("text_").isNotNull()).groupBy("id_", "label_").agg(F.min("text_").alias("text_"))
-    got = got.toPandas().drop_duplicates("id_").sort_values("id_")
+    in_turn = Window.partitionBy("label_").orderBy(F.xxhash64("id_"), "id_")
+    got = got.withColumn("bytes_", F.sum(F.octet_length("text_").cast("long")).over(in_turn)).where(F.col("bytes_") <= max_bytes)
+    got = got.select("id_", "text_", "label_").toPandas().sort_values("id_")
     return list(zip(got["text_"], got["label_"].astype(int), strict=True))
 
 

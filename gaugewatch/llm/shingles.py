@@ -28,19 +28,32 @@ def powers(count: int) -> tuple[np.ndarray, np.ndarray]:
 
 def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """Hash of every word of every text, and the text's number; A-Z is lower-cased."""
+    values, owner = prefix_hashes(texts, ())
+    return values[0], owner
+
+
+def prefix_hashes(texts: list[bytes], lengths: tuple[int, ...]) -> tuple[list[np.ndarray], np.ndarray]:
+    """Hashes of every word, and of its first bytes for each of ``lengths``; and the text's number.
+
+    A word has the hash of a prefix only if it is longer; else its own.
+    """
     joined = np.frombuffer(b" ".join(texts).translate(LOWER) + b" ", np.uint8)
     space = SPACE[joined]
     edge = np.flatnonzero(np.diff(np.r_[True, space].astype(np.int8)))
     begin, end = edge[::2], edge[1::2]
     if not len(begin):
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        return [np.zeros(0, np.uint64) for _ in range(len(lengths) + 1)], np.zeros(0, np.int64)
     up, down = powers(len(joined) + 1)
     sums = np.zeros(len(joined) + 1, np.uint64)
     np.multiply(_CODE[joined], up[:-1], out=sums[1:])
     np.cumsum(sums, out=sums)
-    value = mix((sums[end] - sums[begin]) * down[begin] + (end - begin).astype(np.uint64))
+    values = [mix((sums[end] - sums[begin]) * down[begin] + (end - begin).astype(np.uint64))]
+    for n in lengths:
+        short = np.minimum(begin + n, end)
+        value = mix((sums[short] - sums[begin]) * down[begin] + np.uint64(n << 32))
+        values.append(np.where(short < end, value, values[0]))
     ends = np.cumsum([len(t) + 1 for t in texts])
-    return value, np.searchsorted(ends, begin, "right")
+    return values, np.searchsorted(ends, begin, "right")
 
 
 def shingle_sets(texts: list[bytes], words: int = WORDS) -> tuple[np.ndarray, np.ndarray]:

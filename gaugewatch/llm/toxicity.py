@@ -1,14 +1,17 @@
 """Toxicity of a text by a small convolutional network over hashed word embeddings.
 
-Words are hashed into buckets; the buckets that occur in several training
-texts have an embedding, all others are zero. Filters of several widths run
+Words, and the first bytes of longer words, are hashed into buckets; the buckets
+that occur in several training texts have an embedding, all others are zero, and
+a word's embedding is the sum over its buckets. So forms of a word that training
+did not see share what is known of their stem. Filters of several widths run
 over the whole text, each keeps its largest response (max pooling), and a
 linear layer adds them up. The network is trained in NumPy with Adam on a
-bounded sample of labelled texts (labelled_sample), most of it; on the rest,
-one threshold per language is set by errors that count as often as in the
-corpus, whatever the bound took from either class, and the distance to it is scaled to a
-probability, so that 0.5 is the threshold of each language. The language is
-guessed from function words of the text alone.
+bounded sample of labelled texts (labelled_sample), most of it; on the rest, a
+logistic regression with an offset per language turns responses into
+probabilities, every label counting as often as its class does in the corpus,
+whatever the bound took from either class. So 0.5 is the threshold of each
+language, and equal scores mean the same in all of them. The language is guessed
+from function words of the text alone.
 
 A null or empty text, or one without words, has only zero responses and gets
 the score of those. Repeated rows get equal scores; a table without rows
@@ -27,9 +30,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from gaugewatch.llm.common import as_bytes, batches, held_out, labelled_sample
-from gaugewatch.llm.shingles import word_hashes
+from gaugewatch.llm.shingles import prefix_hashes
 
 BUCKETS = 1 << 22
+STEMS = (5, 7)
 SIZE = 16
 WIDTHS = (1, 2, 3)
 FILTERS = 12
@@ -39,6 +43,7 @@ BATCH = 64
 RATE = 0.01
 DECAY = 1e-4
 DROP = 0.3
+OFFSET_PENALTY = 2.0
 SAMPLE_PER_CLASS = 4000
 CHUNK = 1 << 20
 PAD = max(WIDTHS) - 1
@@ -55,13 +60,13 @@ SEPARATE = bytes(b if b >= 0x80 or chr(b).isalnum() else 0x20 for b in range(256
 
 
 def buckets(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Bucket of every word, and the number of its text."""
-    value, owner = word_hashes([t.translate(SEPARATE) for t in texts])
-    return (value >> np.uint64(64 - 22)).astype(np.int64), owner
+    """Buckets of every word (its own and those of its stems), and the number of its text."""
+    values, owner = prefix_hashes([t.translate(SEPARATE) for t in texts], STEMS)
+    return (np.stack(values, 1) >> np.uint64(64 - 22)).astype(np.int64), owner
 
 
 def _language_table() -> tuple[np.ndarray, np.ndarray]:
-    pairs = [(int(buckets([w.encode()])[0][0]), n) for n, words in enumerate(FUNCTION_WORDS.values()) for w in words.split()]
+    pairs = [(int(buckets([w.encode()])[0][0, 0]), n) for n, words in enumerate(FUNCTION_WORDS.values()) for w in words.split()]
     found = np.unique([b for b, _ in pairs])
     table = np.zeros((len(found) + 1, len(FUNCTION_WORDS)))
     for b, n in pairs:
@@ -72,6 +77,7 @@ def _language_table() -> tuple[np.ndarray, np.ndarray]:
 def languages(bucket: np.ndarray, owner: np.ndarray, count: int) -> np.ndarray:
     """Number of the guessed language of each text; the first one where no word tells."""
     known, table = _language_table()
+    bucket = bucket[:, 0]
     at = np.minimum(np.searchsorted(known, bucket), len(known) - 1)
     hit = known[at] == bucket
     votes = np.zeros((count, table.shape[1]))
@@ -95,12 +101,14 @@ class ToxicityModel:
         bucket, owner = buckets(texts)
         row = _rows_of(bucket, self.known)
         padded, starts = _padded(row, owner, len(texts))
+        # As in training, windows begin at a text's words and one place behind: later ones would meet the next text.
+        spans = np.c_[starts, np.r_[starts[1:], len(padded)] - PAD].ravel()
         pooled = []
         for width, places in zip(WIDTHS, self.response, strict=True):
-            h = places[0][padded]
+            h = _summed(places[0], padded)
             for k in range(1, width):
-                h[:-k] += places[k][padded[k:]]
-            pooled.append(np.maximum.reduceat(h, starts, 0))
+                h[:-k] += _summed(places[k], padded[k:])
+            pooled.append(np.maximum.reduceat(h, spans, 0)[::2])
         hidden = np.maximum(np.concatenate(pooled, 1) + self.bias, 0)
         return hidden @ self.out + self.constant, languages(bucket, owner, len(texts))
 
@@ -111,10 +119,18 @@ class ToxicityModel:
         return 1 / (1 + np.exp(-np.clip(self.scale * (logit - self.threshold[language]), -30, 30)))
 
 
+def _summed(table: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    """Sum of a word's rows. A short word's stems are the word again: counted once more, in training as well."""
+    out = table[rows[:, 0]]
+    for column in rows.T[1:]:
+        out += table[column]
+    return out
+
+
 def _rows_of(bucket: np.ndarray, known: np.ndarray) -> np.ndarray:
     """Row in the table of embeddings; 0 is the zero row of unknown buckets."""
     if not len(known):
-        return np.zeros(len(bucket), np.int64)
+        return np.zeros(bucket.shape, np.int64)
     at = np.minimum(np.searchsorted(known, bucket), len(known) - 1)
     return np.where(known[at] == bucket, at + 1, 0)
 
@@ -123,7 +139,7 @@ def _padded(row: np.ndarray, owner: np.ndarray, count: int) -> tuple[np.ndarray,
     """Texts one after the other, each behind itself with zeros, so no window meets two; and their starts."""
     n = np.bincount(owner, minlength=count)
     starts = np.cumsum(n + PAD + 1) - n - PAD - 1
-    out = np.zeros(int((n + PAD + 1).sum()), np.int64)
+    out = np.zeros((int((n + PAD + 1).sum()), row.shape[1]), np.int64)
     out[np.arange(len(row)) + np.repeat(np.arange(count) * (PAD + 1), n)] = row
     return out, starts
 
@@ -185,7 +201,7 @@ def _gradients(rows, y, weight, embedding, filters, bias, out, constant, rng) ->
     owner = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
     padded, starts = _padded(np.concatenate(rows), owner, len(rows))
     ends = np.r_[starts[1:], len(padded)]
-    x = embedding[padded]
+    x = _summed(embedding, padded)
     pooled, places = [], []
     for width, f in zip(WIDTHS, filters, strict=True):
         h = x @ f[0]
@@ -206,36 +222,31 @@ def _gradients(rows, y, weight, embedding, filters, bias, out, constant, rng) ->
         g = np.zeros_like(f)
         for k in range(len(f)):
             word = padded[at + k]
-            g[k] = np.einsum("nfd,nf->df", embedding[word], own)
-            np.add.at(g_embedding, word, own[:, :, None] * f[k].T[None])
+            g[k] = np.einsum("nfd,nf->df", embedding[word].sum(2), own)
+            np.add.at(g_embedding, word, (own[:, :, None] * f[k].T[None])[:, :, None])
         g_filters.append(g)
     return [g_embedding, *g_filters, back.sum(0), hidden.T @ error, np.array([error.sum()], np.float32)]
 
 
 def _calibrated(model: ToxicityModel, texts: list[bytes], y: np.ndarray, weight: np.ndarray) -> ToxicityModel:
-    """Threshold of the fewest weighted errors for each language with enough labels of both kinds, else for all."""
+    """Slope, constant and an offset per language by Newton's method; few labels of a language give a small offset."""
     if not texts or len(set(y.tolist())) < 2:
         return model
     logit, language = model.logits(texts)
-
-    def cut(mask: np.ndarray) -> float:
-        order = np.argsort(logit[mask])
-        value, positive, w = logit[mask][order], y[mask][order] == 1, weight[mask][order]
-        errors = np.r_[0, np.cumsum(np.where(positive, w, 0))] + np.r_[np.cumsum(np.where(positive, 0, w)[::-1])[::-1], 0]
-        best = np.flatnonzero(errors <= errors.min() + 1e-9)
-        edges = np.r_[value[0] - 1, (value[1:] + value[:-1]) / 2, value[-1] + 1]
-        return float(edges[best[len(best) // 2]])
-
-    everywhere = cut(np.ones(len(y), bool))
-    threshold = np.full(len(FUNCTION_WORDS), everywhere)
-    for n in range(len(threshold)):
-        own = language == n
-        enough = min((y[own] == 1).sum(), (y[own] == 0).sum())
-        if enough >= 10:
-            # Few labels move the threshold only a part of the way.
-            threshold[n] = everywhere + (cut(own) - everywhere) * enough / (enough + 20)
-    spread = float(np.std(logit - threshold[language])) or 1.0
-    return dataclasses.replace(model, threshold=threshold, scale=3.0 / spread)
+    middle, spread = float(logit.mean()), float(logit.std()) or 1.0
+    x = np.c_[(logit - middle) / spread, np.ones(len(y)), np.eye(len(FUNCTION_WORDS))[language]]
+    penalty = np.r_[0.05, 1e-6, np.full(len(FUNCTION_WORDS), OFFSET_PENALTY)]
+    values = np.zeros(x.shape[1])
+    for _ in range(50):
+        p = 1 / (1 + np.exp(-np.clip(x @ values, -30, 30)))
+        gradient = x.T @ (weight * (p - y)) + penalty * values
+        curvature = (x * (weight * np.maximum(p * (1 - p), 1e-6))[:, None]).T @ x + np.diag(penalty)
+        step = np.linalg.solve(curvature, gradient)
+        values -= step * min(1.0, 2.0 / max(np.abs(step).max(), 1e-9))
+        if np.abs(step).max() < 1e-9:
+            break
+    slope = max(float(values[0]), 1e-3) / spread
+    return dataclasses.replace(model, threshold=middle - (values[1] + values[2:]) / slope, scale=slope)
 
 
 def fit(docs: DataFrame, labels: DataFrame, per_class: int = SAMPLE_PER_CLASS) -> ToxicityModel:

@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 
 from gaugewatch.llm import compression_quality, toxicity
-from gaugewatch.llm.common import table
+from gaugewatch.llm.common import labelled_sample, table
 from gaugewatch.llm.queries import op2_toxicity, op9_compression_quality
 
 SF_DIR = "/root/testdata/sf0.1"
@@ -66,6 +66,57 @@ def test_training_is_repeatable():
     assert a.scores(texts)[0] > 0.5 > a.scores(texts)[1]
 
 
+def test_network_by_plain_loops():
+    """Every step of the forward pass again: words, stems, sums of embeddings, filters, pooling, output."""
+    sample = [("good " * (i % 5 + 2) + ("idiotically clownish" if i % 3 == 0 else "wonderfully fine"), int(i % 3 == 0)) for i in range(200)]
+    model = toxicity.train(sample, 0.3)
+    texts = ["a good idiotically wonderful day", "clownish!! CLOWNISHNESS", "", "of", "good " * 40, "der Tag und die Nacht"]
+    for text, got in zip(texts, model.scores([t.encode() for t in texts]), strict=True):
+        words = "".join(c if ord(c) >= 128 or c.isalnum() else " " for c in text).lower().split()
+        rows = []
+        for word in words:
+            raw = word.encode()
+            own = int(toxicity.buckets([raw])[0][0, 0])
+            stems = [int(toxicity.buckets([raw])[0][0, 1 + k]) for k, n in enumerate(toxicity.STEMS)]
+            assert all((stem == own) == (len(raw) <= n) for stem, n in zip(stems, toxicity.STEMS, strict=True))
+            rows.append([int(np.flatnonzero(model.known == b)[0]) + 1 if b in model.known else 0 for b in (own, *stems)])
+        hidden = []
+        for n, (width, places) in enumerate(zip(toxicity.WIDTHS, model.response, strict=True)):
+            for f in range(toxicity.FILTERS):
+                # Windows may begin at every word and at the place behind the last one.
+                value = max(
+                    sum(float(places[k][r, f]) for k in range(width) for r in (rows[at + k] if at + k < len(rows) else [0]))
+                    for at in range(len(rows) + 1)
+                )
+                hidden.append(max(value + float(model.bias[n * toxicity.FILTERS + f]), 0.0))
+        logit = sum(h * float(o) for h, o in zip(hidden, model.out, strict=True)) + model.constant
+        votes = [sum(w in listed.split() for w in words) for listed in toxicity.FUNCTION_WORDS.values()]
+        threshold = model.threshold[votes.index(max(votes))]
+        assert got == pytest.approx(1 / (1 + np.exp(-model.scale * (logit - threshold))), abs=1e-4)
+
+
+def test_stems_carry_over_to_unseen_forms():
+    ends = [a + b for a in "bdfgklmnprst" for b in "aeiou"]
+    sample = [(f"one two {'vilest' if i % 3 == 0 else 'calmer'}{ends[i % 40]} three", int(i % 3 == 0)) for i in range(300)]
+    model = toxicity.train(sample, 0.33)
+    assert (model.scores([f"one two vilest{e} three".encode() for e in ends[40:]]) > 0.5).all()
+    assert (model.scores([f"one two calmer{e} three".encode() for e in ends[40:]]) < 0.5).all()
+
+
+def test_an_id_with_both_labels_counts_as_one(spark):
+    docs = spark.createDataFrame([(i, f"text {i}") for i in range(40)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, k) for i in range(40) for k in (0, 1) if k == 0 or i % 2], "doc_id long, toxic int").repartition(7)
+    got = dict(labelled_sample(docs, labels, "toxic", 100))
+    assert got and all(y == int(t.split()[1]) % 2 for t, y in got.items())
+
+
+def test_bytes_of_the_sample_are_bounded(spark):
+    docs = spark.createDataFrame([(i, "x" * 100) for i in range(60)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(60)], "doc_id long, toxic int")
+    got = labelled_sample(docs, labels, "toxic", 100, 1000)
+    assert [sum(len(t) for t, y in got if y == k) for k in (0, 1)] == [1000, 1000]
+
+
 def test_quality_does_not_depend_on_the_cap(spark):
     """Calibrated to the share of all labels: a capped sample keeps what a whole one keeps."""
     docs, labels = table(spark, SF_DIR, "documents"), table(spark, SF_DIR, "labels")
