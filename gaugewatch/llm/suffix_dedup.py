@@ -45,11 +45,11 @@ LENGTH = 50
 GRAM = 16
 RUN = 64
 HOT = 1000
-BLOCK_BYTES = 8 << 20
-BUCKET_ANCHORS = 1 << 21
+BLOCK_BYTES = 4 << 20
+BUCKET_ANCHORS = 1 << 19
 CHUNK = 1 << 20
 LAST = np.iinfo(np.int64).max
-PARTS = 64  # of a bucket, sorted one after the other
+PARTS = 16  # of a bucket, sorted one after the other
 SEPARATOR = 0xFF  # no byte of UTF-8
 
 RESULTS = ("n_bytes", "n_removed", "n_spans", "kept_sha256", "kept_")
@@ -403,9 +403,11 @@ def remove_repeats(docs: DataFrame, carried: list[str], results: list[str], hot:
         docs["text"].cast("string").alias("text_"),
         F.pmod(F.xxhash64(docs["doc_id"], docs["text"]), F.lit(blocks)).cast("long").alias("block_"),
     ).repartition(blocks, "block_")
-    masks = dealt.groupBy("block_").applyInArrow(_sketch(buckets), SKETCH).groupBy("bucket_").applyInArrow(_count(hot), ANSWER)
+    # As many partitions as buckets, so that a task's share does not grow with the input.
+    sketches = dealt.groupBy("block_").applyInArrow(_sketch(buckets), SKETCH).repartition(buckets, "bucket_")
+    masks = sketches.groupBy("bucket_").applyInArrow(_count(hot), ANSWER)
     fragments = dealt.groupBy("block_").cogroup(masks.groupBy("block_")).applyInArrow(_cut(buckets), FRAGMENTS)
-    found = fragments.groupBy("bucket_").applyInArrow(_suffixes, ANSWER)
+    found = fragments.repartition(buckets, "bucket_").groupBy("bucket_").applyInArrow(_suffixes, ANSWER)
     schema = T.StructType([dealt.schema["row_"], *(T.StructField(r, KINDS[r]) for r in results)])
     answers = masks.unionByName(found)
     run = _remove(buckets, results, to_arrow_schema(schema))
