@@ -43,7 +43,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gaugewatch.llm.common import batches
+from gaugewatch.llm.common import batches, least_parts, parts_for, total_bytes
 from gaugewatch.llm.tokens import default_file, encoder
 from gaugewatch.session import fresh_path
 
@@ -81,19 +81,20 @@ class Pair:
         self.len_b = np.array([len(r) for r in self.raw_b], np.int64)
         self.n_b = len(pieces)
         self.kind = _kind(len(self.len_a), self.n_b)
-        # Texts of an id, by what follows it: , or | for A, and , or ; for B.
-        ids_a, ids_b = range(len(self.len_a)), range(self.n_b)
-        self.texts = [
-            *(b"%d," % i for i in ids_a), *(b"%d|" % i for i in ids_a), *(b"%d," % i for i in ids_b), *(b"%d;" % i for i in ids_b),
-        ]
+        # Decimal digits of all ids, and a place behind them for a separator.
+        spelled = [str(i).encode() for i in range(max(len(self.len_a), self.n_b))]
+        self.n_digits = np.array([len(x) for x in spelled], np.int64)
+        wide = int(self.n_digits.max()) + 1
+        self.digits = np.frombuffer(b"".join(x.ljust(wide) for x in spelled), np.uint8).reshape(-1, wide)
 
     def encode(self, text: str) -> tuple[np.ndarray, np.ndarray, int] | None:
         """Ids of a space and the text, and the number of bytes; None if one of the two changes the text."""
         raw = b" " + text.encode()
-        a, b = self.a.plain(" " + text), self.b.encode(text)
-        if self.a.bytes_of(a) != raw or b"".join(map(self.raw_b.__getitem__, b)) != raw:
+        a, b = np.array(self.a.plain(" " + text), np.int64), self.b.encode(text)
+        # Tokens of A are cut from the bytes one after the other, so they are whole if none is missing; B may change texts.
+        if int(self.len_a[a].sum()) != len(raw) or b"".join(map(self.raw_b.__getitem__, b)) != raw:
             return None
-        return np.array(a, np.int64), np.array(b, np.int64), len(raw)
+        return a, np.array(b, np.int64), len(raw)
 
 
 @functools.cache
@@ -130,42 +131,72 @@ def merged(codes: np.ndarray, weights: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return codes[first], np.add.reduceat(weights, first)
 
 
-def close(a: np.ndarray, b: np.ndarray, of_a: np.ndarray, of_b: np.ndarray, count: int, both: Pair) -> Groups:
-    """``count`` groups from tokens with ascending group numbers; every group has tokens of both."""
-    if not count:
-        return NONE
+def _links(a: np.ndarray, b: np.ndarray, of_a: np.ndarray, of_b: np.ndarray, count: int, both: Pair):
+    """(pair of ids, links, group) of every link; the ids of large groups are counted before they are paired."""
     size_a, size_b = np.bincount(of_a, minlength=count), np.bincount(of_b, minlength=count)
     start_b = np.cumsum(size_b) - size_b
     links = size_a * size_b
-    # Small groups: every token of A with each of B.
     small = np.flatnonzero((links <= MANY)[of_a])
     times = size_b[of_a[small]]
     left = np.repeat(small, times)
-    nth = np.arange(len(left)) - np.repeat(np.cumsum(times) - times, times)
-    right = nth + start_b[of_a[left]]
-    codes = [a[left] * both.n_b + b[right]]
-    weights = [np.ones(len(left), np.int64)]
-    # Large ones: distinct ids with their counts.
+    right = np.arange(len(left)) - np.repeat(np.cumsum(times) - times, times) + start_b[of_a[left]]
+    codes, weights, group = [a[left] * both.n_b + b[right]], [np.ones(len(left), np.int64)], [of_a[left]]
     for g in np.flatnonzero(links > MANY).tolist():
         own_a, n_a = np.unique(a[of_a == g], return_counts=True)
         own_b, n_b = np.unique(b[of_b == g], return_counts=True)
         codes.append((own_a[:, None] * both.n_b + own_b[None, :]).ravel())
         weights.append((n_a[:, None] * n_b[None, :]).ravel())
-    # Texts: the tokens of A, then those of B, group by group.
+        group.append(np.full(len(codes[-1]), g))
+    return np.concatenate(codes), np.concatenate(weights), np.concatenate(group)
+
+
+def _spelled(a: np.ndarray, b: np.ndarray, of_a: np.ndarray, of_b: np.ndarray, count: int, both: Pair) -> tuple[bytes, np.ndarray]:
+    """The groups as text, the tokens of A, then those of B in each; and where each token's text ends."""
+    size_a, size_b = np.bincount(of_a, minlength=count), np.bincount(of_b, minlength=count)
     last_a, last_b = np.r_[of_a[1:] != of_a[:-1], True], np.r_[of_b[1:] != of_b[:-1], True]
-    n = len(both.len_a)
-    line = np.empty(len(a) + len(b), np.int64)
-    line[np.arange(len(a)) + start_b[of_a]] = a + n * last_a
-    line[np.arange(len(b)) + np.cumsum(size_a)[of_b]] = b + 2 * n + both.n_b * last_b
-    text = b"".join(map(both.texts.__getitem__, line.tolist()))[:-1]
-    return Groups(count, int(links.sum()), text, *merged(np.concatenate(codes), np.concatenate(weights)))
+    ids, behind = np.empty(len(a) + len(b), np.int64), np.empty(len(a) + len(b), np.uint8)
+    at_a = np.arange(len(a)) + (np.cumsum(size_b) - size_b)[of_a]
+    at_b = np.arange(len(b)) + np.cumsum(size_a)[of_b]
+    ids[at_a], behind[at_a] = a, np.where(last_a, ord("|"), ord(","))
+    ids[at_b], behind[at_b] = b, np.where(last_b, ord(";"), ord(","))
+    rows, size = both.digits[ids], both.n_digits[ids]
+    rows[np.arange(len(ids)), size] = behind
+    return rows[np.arange(rows.shape[1]) <= size[:, None]].tobytes(), np.cumsum(size + 1)
+
+
+def groups_of(docs: list[tuple[np.ndarray, np.ndarray]], both: Pair) -> list[Groups]:
+    """Groups of several stretches at once; in each, the tokens of both have the same bytes."""
+    if not docs:
+        return []
+    a, b = np.concatenate([x for x, _ in docs]), np.concatenate([y for _, y in docs])
+    if not len(a) or not len(b):
+        return [NONE] * len(docs)
+    # Laid one after the other, all stretches end together, so no group meets two.
+    end_a, end_b = np.cumsum(both.len_a[a]), np.cumsum(both.len_b[b])
+    ends = np.zeros((2, int(end_a[-1]) + 1), bool)
+    ends[0, end_a] = ends[1, end_b] = True
+    hit_a, hit_b = ends[1, end_a], ends[0, end_b]
+    of_a, of_b, count = np.cumsum(hit_a) - hit_a, np.cumsum(hit_b) - hit_b, int(hit_a.sum())
+    doc = np.repeat(np.arange(len(docs)), [len(x) for x, _ in docs])[hit_a]
+    codes, weights, group = _links(a, b, of_a, of_b, count, both)
+    span = len(both.len_a) * both.n_b
+    key, weights = merged(doc[group] * span + codes, weights)
+    cuts = np.searchsorted(key, np.arange(len(docs) + 1) * span).tolist()
+    links = np.add.reduceat(np.r_[weights, 0], cuts[:-1]) * (np.diff(cuts) > 0)
+    counts = np.bincount(doc, minlength=len(docs)).tolist()
+    spelled, until = _spelled(a, b, of_a, of_b, count, both)
+    tokens = np.cumsum([0, *(len(x) + len(y) for x, y in docs)])
+    until = np.r_[0, until][tokens].tolist()
+    out = []
+    for k, (low, high) in enumerate(zip(until[:-1], until[1:], strict=True)):
+        own = slice(cuts[k], cuts[k + 1])
+        text = spelled[low : high - 1] if high > low else b""
+        out.append(Groups(counts[k], int(links[k]), text, key[own] - k * span, weights[own]))
+    return out
 
 
 def whole(a: np.ndarray, b: np.ndarray, both: Pair) -> Groups:
-    """Groups of a whole document."""
-    end_a, end_b = np.cumsum(both.len_a[a]), np.cumsum(both.len_b[b])
-    common = np.intersect1d(end_a, end_b, assume_unique=True)
-    return close(a, b, np.searchsorted(common, end_a), np.searchsorted(common, end_b), len(common), both)
+    return groups_of([(a, b)], both)[0]
 
 
 class Fragment(NamedTuple):
@@ -256,13 +287,14 @@ def _short(files: tuple[str, str, str], block: int):
         both = tokenizers(*files)
         out = _Blocks(0, both.kind)
         for batch in batches(source, 1 << 20):
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                ids = both.encode(text) if text else None
-                if ids is None:
+            ids = [both.encode(text) if text else None for text in batch.column(1).to_pylist()]
+            found = iter(groups_of([(i[0], i[1]) for i in ids if i is not None], both))
+            for doc_id, own in zip(batch.column(0).to_pylist(), ids, strict=True):
+                if own is None:
                     out.add(doc_id, 0, 0, NONE, "", 1)
                 else:
-                    a, b, size = ids
-                    groups = whole(a, b, both)
+                    a, b, size = own
+                    groups = next(found)
                     out.add(doc_id, len(a), len(b), groups, hashlib.sha256(groups.text).hexdigest(), size)
                 if out.size >= block:
                     yield from out.flush()
@@ -503,6 +535,9 @@ def align(
     known = totals.join(F.broadcast(highest), "a_id").select("code", "a_id", "total", (F.col("total") == F.col("highest")).alias("best"))
     answers = held.select("block", "code").join(known.select("code", "total", "best"), "code")
     texts = aligned.where("kind = 0").drop("kind")
+    # A task's share of both sides does not grow with the input.
+    parts = parts_for(total_bytes(docs), 4 * block, least_parts(spark))
+    texts, answers = texts.repartition(parts, "block"), answers.repartition(parts, "block")
     result = texts.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(_answer(kind), RESULT)
     pairs = known.select("a_id", (F.col("code") % n_b).alias("b_id"), F.col("total").alias("docs"), "best")
     return Alignment(result, pairs)

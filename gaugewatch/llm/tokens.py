@@ -51,9 +51,6 @@ class Encoder:
         """Ids, strings of special tokens being plain text."""
         return self._fast.encode_ordinary(text)
 
-    def bytes_of(self, ids: list[int]) -> bytes:
-        return self._fast.decode_bytes(ids)
-
 
 @functools.cache
 def encoder(path: str, pattern: str) -> Encoder:

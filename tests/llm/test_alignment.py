@@ -165,10 +165,17 @@ def test_monoid(seed):
 def test_large_groups_are_counted_by_ids():
     both = al.tokenizers(*FILES)
     a, b = np.array([5, 6] * 100), np.array([7] * 80)
-    got = al.close(a, b, np.zeros(200, np.int64), np.zeros(80, np.int64), 1, both)
-    assert got.links == 16_000 and dict(zip(got.codes.tolist(), got.weights.tolist(), strict=True)) == {
-        5 * both.n_b + 7: 8000, 6 * both.n_b + 7: 8000
-    }
+    codes, weights, group = al._links(a, b, np.zeros(200, np.int64), np.zeros(80, np.int64), 1, both)
+    assert dict(zip(codes.tolist(), weights.tolist(), strict=True)) == {5 * both.n_b + 7: 8000, 6 * both.n_b + 7: 8000}
+    assert set(group.tolist()) == {0}
+
+
+def test_stretches_together_are_as_each_alone():
+    both = al.tokenizers(*FILES)
+    docs = [both.encode(t)[:2] for t in ("Hello world", "x", long_text(3, 50), "x", "漢字")]
+    for one, own in zip(al.groups_of(docs, both), docs, strict=True):
+        alone = al.whole(*own, both)
+        assert one[:3] == alone[:3] and one.codes.tolist() == alone.codes.tolist() and one.weights.tolist() == alone.weights.tolist()
 
 
 def test_groups_with_spans(spark):
