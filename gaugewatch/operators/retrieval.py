@@ -34,11 +34,19 @@ from gaugewatch.functions.vectors import (
     rows_by_key,
     usable_rows,
 )
+from gaugewatch.operators.cells import CellIndex, build_cells, search_cells
 from gaugewatch.operators.scale import dimension_join, pair_blocks
+from gaugewatch.operators.vector_tables import (
+    HIT_SCHEMA,
+    best_hits,
+    store_dim,
+    stored_vectors,
+    unusable_counts,  # noqa: F401  (offered here as well)
+    usable_vectors,
+)
 from gaugewatch.session import cut
 
 BROADCAST_VECTOR_BYTES = 64 << 20
-HIT_SCHEMA = "query_id bigint, pattern_id bigint, distance double"
 HIT_COLUMNS = [
     "host_id", "activity", "ts", "is_anomaly", "anomaly_type", "description", "explanation", "readings",
 ]
@@ -56,32 +64,22 @@ def _meta_columns(patterns: DataFrame) -> list[Column]:
     return [value.alias(c) for c, value in found.items()]
 
 
-def usable_vectors(df: DataFrame, size: int | None) -> DataFrame:
-    """Rows whose embedding has ``size`` finite values; the others can be neither searched nor found."""
-    return df.filter(is_usable("embedding") & (F.size("embedding") == F.lit(size)))
-
-
-def store_dim(patterns: DataFrame) -> int | None:
-    """The length that most usable vectors of the store have, the shorter of equals."""
-    sizes = patterns.filter(is_usable("embedding")).groupBy(F.size("embedding").alias("size")).count()
-    best = sizes.orderBy(F.desc("count"), "size").first()
-    return best["size"] if best else None
+def _column_bytes(column: Column, kind: T.DataType) -> Column:
+    """About what a value takes, without writing it out as text."""
+    if isinstance(kind, T.MapType):
+        return F.coalesce(F.octet_length(F.array_join(F.map_keys(column), "")) + 12 * F.size(column), F.lit(0))
+    return F.coalesce(F.octet_length(column.cast("string")), F.lit(0)) + 4
 
 
-def unusable_counts(df: DataFrame, size: int) -> DataFrame:
-    """How many vectors a search for ``size`` values leaves out, by reason."""
-    reason = (
-        F.when(F.col("embedding").isNull(), "missing").when(F.size("embedding") != size, "other size")
-        .when(~is_usable("embedding"), "not finite").otherwise("usable")
+def _store_size(patterns: DataFrame, carried: list[str]) -> tuple[int | None, int]:
+    """Length and bytes of the usable vectors with their carried columns, in one scan."""
+    kinds = {f.name: f.dataType for f in patterns.schema.fields}
+    others = sum((_column_bytes(F.col(c), kinds[c]) for c in carried), F.lit(0)).cast("bigint")
+    sizes = patterns.filter(is_usable("embedding")).groupBy(F.size("embedding").alias("size")).agg(
+        F.count(F.lit(1)).alias("count"), F.sum(others).alias("others")
     )
-    return df.groupBy(reason.alias("reason")).agg(F.count(F.lit(1)).alias("n"))
-
-
-def _stored_size(patterns: DataFrame, columns: list[str]) -> int:
-    vectors = F.sum(F.size("embedding")) * 8
-    others = F.sum(F.octet_length(F.to_json(F.struct(*columns)))) if columns else F.lit(0)
-    size = patterns.agg(F.coalesce(vectors, F.lit(0)).alias("v"), F.coalesce(others, F.lit(0)).alias("o")).first()
-    return size["v"] + size["o"]
+    best = sizes.orderBy(F.desc("count"), "size").first()
+    return (best["size"], 8 * best["size"] * best["count"] + best["others"]) if best else (None, 0)
 
 
 def _shared_store(patterns: DataFrame, key: str | None, meta: bool, max_bytes: int) -> Broadcast | None:
@@ -89,11 +87,11 @@ def _shared_store(patterns: DataFrame, key: str | None, meta: bool, max_bytes: i
     columns = [F.col("pattern_id").cast("bigint").alias("pattern_id"), "embedding"]
     if key:
         columns.append(F.col(key).alias("_key"))
-    dim = store_dim(patterns)
-    known = usable_vectors(patterns, dim)
     carried = [c for c in HIT_COLUMNS if c in patterns.columns] if meta else [key] if key else []
-    if _stored_size(known, carried) > max_bytes:
+    dim, size = _store_size(patterns, carried)
+    if size > max_bytes:
         return None
+    known = usable_vectors(patterns, dim)
     table = known.select(*columns, *(_meta_columns(patterns) if meta else [])).toArrow()
     groups = rows_by_key(table["_key"].to_pylist()) if key else {}
     key_of = np.full(table.num_rows, -2, "int64")
@@ -107,17 +105,16 @@ def _shared_store(patterns: DataFrame, key: str | None, meta: bool, max_bytes: i
     return patterns.sparkSession.sparkContext.broadcast(store)
 
 
-def _search_blocks(
-    queries: DataFrame, patterns: DataFrame, k: int, by: str | None, exclude_self: bool, rows_per_block: int
+def _search_key(
+    queries: DataFrame, patterns: DataFrame, k: int, by: str, exclude_self: bool, rows_per_block: int
 ) -> DataFrame:
-    """The best ``k`` patterns of every query and block, still unranked."""
-    keys = [by] if by else []
-    q = queries.select(F.col("query_id").cast("bigint"), *keys, "embedding")
-    p = patterns.select(F.col("pattern_id").cast("bigint"), *keys, "embedding")
+    """The best ``k`` patterns with the query's own ``by`` for every query and block, still unranked."""
     dim = store_dim(patterns)
-    q, p = usable_vectors(q, dim), usable_vectors(p, dim)
-    for c in keys:
-        q, p = q.filter(F.col(c).isNotNull()), p.filter(F.col(c).isNotNull())
+    if dim is None:
+        return queries.sparkSession.createDataFrame([], HIT_SCHEMA)
+    q = stored_vectors(queries.withColumn("query_id", F.col("query_id").cast("bigint")), ["query_id", by], dim)
+    p = stored_vectors(patterns.withColumn("pattern_id", F.col("pattern_id").cast("bigint")), ["pattern_id", by], dim)
+    q, p = q.filter(F.col(by).isNotNull()), p.filter(F.col(by).isNotNull())
 
     def search(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
         if not left.num_rows or not right.num_rows:
@@ -128,13 +125,18 @@ def _search_blocks(
         )
         return hit_table(qid[row], ids[col], far)
 
-    return pair_blocks(q, p, keys, "query_id", "pattern_id", search, HIT_SCHEMA, rows_per_block, rows_per_block)
+    return pair_blocks(q, p, [by], "query_id", "pattern_id", search, HIT_SCHEMA, rows_per_block, rows_per_block)
 
 
-def _ranked(hits: DataFrame, k: int, group: Sequence[str] = ("query_id",)) -> DataFrame:
-    """Merge the parts of all blocks; at most ``k`` rows per query and block arrive here."""
-    best = Window.partitionBy(*group).orderBy("distance", "pattern_id")
-    return hits.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)
+def _search_all(
+    queries: DataFrame, patterns: DataFrame, index: CellIndex | None, k: int, exclude_self: bool, rows_per_block: int
+) -> DataFrame:
+    """The ``k`` nearest of all patterns by their cells; without an index, one is made for this search."""
+    if index is None:
+        if store_dim(patterns) is None:
+            return queries.sparkSession.createDataFrame([], f"{HIT_SCHEMA}, rank int")
+        index = build_cells(patterns, rows_per_cell=rows_per_block)
+    return search_cells(queries, index, k, exclude_self, rows_per_block).hits
 
 
 def with_patterns(hits: DataFrame, patterns: DataFrame) -> DataFrame:
@@ -157,9 +159,13 @@ def knn(
     exclude_self: bool = False,
     max_broadcast_bytes: int = BROADCAST_VECTOR_BYTES,
     rows_per_block: int = 20_000,
+    index: CellIndex | None = None,
 ) -> DataFrame:
     """The ``k`` nearest patterns per query: (query_id, rank, pattern_id, distance).
 
+    A store beyond ``max_broadcast_bytes`` is searched by cells: those of
+    ``index`` (``build_cells`` over the same patterns), or of one made here.
+
     ``where`` (a predicate on the pattern) and ``by`` (a column that query and
     pattern must share) filter before the search; with ``mode="post"`` they
     filter the unrestricted top ``k``. Distances are squared unless
@@ -170,7 +176,7 @@ def knn(
     if mode == "post" and (where is not None or by):
         everything = knn(
             queries, patterns, k, metric=metric, exclude_self=exclude_self,
-            max_broadcast_bytes=max_broadcast_bytes, rows_per_block=rows_per_block,
+            max_broadcast_bytes=max_broadcast_bytes, rows_per_block=rows_per_block, index=index,
         ).drop("rank")
         kept = with_patterns(everything, patterns)
         if where is not None:
@@ -178,13 +184,15 @@ def knn(
         if by:
             own = queries.select("query_id", F.col(by).alias("_own"))
             kept = kept.join(own, "query_id").filter(F.col("_own") == F.col(by))
-        return _ranked(kept, k).select("query_id", "rank", "pattern_id", "distance")
+        return best_hits(kept, k).select("query_id", "rank", "pattern_id", "distance")
 
     if where is not None:
-        patterns = patterns.filter(where)
+        patterns, index = patterns.filter(where), None
     shared = _shared_store(patterns, by, False, max_broadcast_bytes)
-    if shared is None:
-        ranked = _ranked(_search_blocks(queries, patterns, k, by, exclude_self, rows_per_block), k)
+    if shared is None and by:
+        ranked = best_hits(_search_key(queries, patterns, k, by, exclude_self, rows_per_block), k)
+    elif shared is None:
+        ranked = _search_all(queries, patterns, index, k, exclude_self, rows_per_block)
     else:
         ranked = _knn_shared(queries, shared, k, by, exclude_self)
     if metric == "l2":
@@ -199,8 +207,10 @@ def _knn_shared(queries: DataFrame, shared: Broadcast, k: int, by: str | None, e
     def search(batches: Iterable[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
         store = shared.value
         for batch in batches:
+            # Checked here: a filter would repeat the expression that makes the embedding.
+            known, q = usable_rows(batch.column("embedding"), store.vectors.shape[1])
+            batch = batch.take(pa.array(known.astype(np.int64)))
             qid = batch.column("query_id").to_numpy(zero_copy_only=False)
-            q = matrix(batch.column("embedding"))
             if by:
                 row, col, far = store.within_key(qid, q, batch.column(by).to_pylist(), k, exclude_self)
                 order = np.argsort(row, kind="stable")
@@ -210,8 +220,8 @@ def _knn_shared(queries: DataFrame, shared: Broadcast, k: int, by: str | None, e
             table = hit_table(qid[row], store.ids[col], far)
             yield from table.append_column("rank", pa.array(ranks(row), pa.int32())).to_batches()
 
-    q = usable_vectors(queries, shared.value.vectors.shape[1])
-    return q.select(F.col("query_id").cast("bigint"), *keys, "embedding").mapInArrow(search, HIT_SCHEMA + ", rank int")
+    q = queries.select(F.col("query_id").cast("bigint"), *keys, F.col("embedding").cast("array<double>").alias("embedding"))
+    return q.mapInArrow(search, HIT_SCHEMA + ", rank int")
 
 
 def knn_same_host(queries: DataFrame, patterns: DataFrame, k: int = 5, **options) -> DataFrame:
@@ -237,6 +247,7 @@ def retrieve(
     exclude_self: bool = False,
     max_broadcast_bytes: int = BROADCAST_VECTOR_BYTES,
     rows_per_block: int = 20_000,
+    index: CellIndex | None = None,
 ) -> DataFrame:
     """The queries with a column ``hits``: what ``retrieve_rows`` gives, as an array by rank.
 
@@ -246,7 +257,7 @@ def retrieve(
     shared = _shared_store(patterns, "host_id", True, max_broadcast_bytes)
     if shared is None:
         return attach_hits(
-            queries, _host_first_blocks(queries, patterns, k, mode, exclude_self, rows_per_block)
+            queries, _host_first_blocks(queries, patterns, k, mode, exclude_self, rows_per_block, index)
         )
     return _host_first_shared(queries, shared, k, mode, exclude_self)
 
@@ -320,17 +331,18 @@ def _hit_type() -> T.StructType:
 
 
 def _host_first_blocks(
-    queries: DataFrame, patterns: DataFrame, k: int, mode: str, exclude_self: bool, rows_per_block: int
+    queries: DataFrame, patterns: DataFrame, k: int, mode: str, exclude_self: bool, rows_per_block: int,
+    index: CellIndex | None,
 ) -> DataFrame:
     """Host-first retrieval from a large store, one row per hit.
 
-    The general search only runs for queries that need it: how many own hits
+    The general search goes by cells and only runs for queries that need it: how many own hits
     there will be follows from the patterns per host.
     """
     own = queries.select(F.col("query_id").cast("bigint").alias("query_id"), F.col("host_id").alias("_own"))
     need = k // 2
     if mode == "post":
-        near = cut(_ranked(_search_blocks(queries, patterns, k, None, exclude_self, rows_per_block), k).drop("rank"))
+        near = cut(_search_all(queries, patterns, index, k, exclude_self, rows_per_block).drop("rank"))
         marked = with_patterns(near, patterns).join(own, "query_id").withColumn(
             "_general", F.coalesce(F.col("host_id") != F.col("_own"), F.lit(True))
         )
@@ -349,11 +361,11 @@ def _host_first_blocks(
             )
         short = F.coalesce(F.col("_patterns"), F.lit(0)) < need
         lacking = counted.filter(short | F.col("host_id").isNull()).select("query_id", "host_id", "embedding")
-        first = _search_blocks(queries, patterns, k, "host_id", exclude_self, rows_per_block)
-        fill = _search_blocks(lacking, patterns, k, None, exclude_self, rows_per_block)
+        first = _search_key(queries, patterns, k, "host_id", exclude_self, rows_per_block)
+        fill = _search_all(lacking, patterns, index, k, exclude_self, rows_per_block).drop("rank")
         both = first.withColumn("_general", F.lit(False)).unionByName(fill.withColumn("_general", F.lit(True)))
         # Found hits are slim and dear to find: keep them before they meet the patterns again.
-        best = cut(_ranked(both, k, ["query_id", "_general"]).drop("rank"))
+        best = cut(best_hits(both, k, ["query_id", "_general"]).drop("rank"))
         kept = with_patterns(best, patterns).join(own, "query_id").filter(
             ~F.col("_general") | F.col("_own").isNull() | (F.col("host_id") != F.col("_own"))
         )
@@ -504,7 +516,7 @@ def ivfpq_search(
     hits = pair_blocks(
         probes, index.codes, ["cell"], "query_id", "pattern_id", search, HIT_SCHEMA, rows_per_block, rows_per_block
     )
-    return _ranked(hits, k).select("query_id", "rank", "pattern_id", "distance")
+    return best_hits(hits, k).select("query_id", "rank", "pattern_id", "distance")
 
 
 # --- quality ------------------------------------------------------------------------------

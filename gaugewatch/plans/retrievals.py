@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gaugewatch.functions.columns import seconds_since
-from gaugewatch.operators import clean, features, patterns, profiling, retrieval, sampling
+from gaugewatch.operators import cells, clean, features, patterns, profiling, retrieval, sampling
 from gaugewatch.operators.scale import spread
 from gaugewatch.plans import tables as t
 from gaugewatch.plans.profiles import HELD
@@ -243,6 +243,50 @@ def retrieve_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return t.tidy(hits.select("query_id", "rank", "pattern_id", "distance", "host_id", "is_anomaly"))
 
 
+def _cells(spark: SparkSession, sf_dir: str) -> cells.CellIndex:
+    """An index over the vectors of even id, with the odd ones added to it afterwards."""
+    known = t.vector_patterns(spark, sf_dir)
+    even = F.pmod("pattern_id", F.lit(2)) == 0
+    index = cells.build_cells(known.filter(even), rows_per_cell=40, carry=["host_id"])
+    return cells.add_to_cells(cells.load_cells(spark, index.path), known.filter(~even))
+
+
+def knn_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same as ``knn`` from a stored index that was added to."""
+    hits = retrieval.knn(
+        t.vector_queries(spark, sf_dir), t.vector_patterns(spark, sf_dir), K, exclude_self=True,
+        max_broadcast_bytes=0, index=_cells(spark, sf_dir),
+    )
+    return t.tidy(hits.select("query_id", "rank", "pattern_id", "distance"))
+
+
+def knn_cells_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many readings of finished orders a search for the open ones' neighbours compares, by round; all hits exact."""
+    wide = cut(wide_samples(spark, sf_dir))
+    known = wide.filter(F.col("status") == "F").withColumnRenamed("query_id", "pattern_id")
+    found = cells.search_cells(wide.filter(F.col("status") != "F"), cells.build_cells(known, rows_per_cell=500), K)
+    share = found.report.agg(F.sum("compared").alias("compared"), F.max("possible").alias("possible")).first()
+    hits = found.hits.withColumn("pruned", F.lit(share["compared"] < share["possible"]))
+    return t.tidy(hits.select("query_id", "rank", "pattern_id", "distance", "pruned"), WIDE_DIGITS)
+
+
+KNN_CELLS_REPORT = f"""WITH {t.WIDE_EMBEDDED}, pairs AS (
+  SELECT q.uuid AS query_id, p.uuid AS pattern_id, {_SQ.format(a='q.embedding', b='p.embedding')} AS distance
+  FROM embedded q, embedded p WHERE q.status <> 'F' AND p.status = 'F')
+SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY distance, pattern_id) AS rank, pattern_id,
+       {r('distance', WIDE_DIGITS)} AS distance, true AS pruned
+FROM pairs QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY distance, pattern_id) <= {K}"""
+
+
+def retrieve_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Host-first retrieval whose fill-up goes by the cells of a stored index."""
+    hits = retrieval.retrieve_rows(
+        t.vector_queries(spark, sf_dir), t.vector_patterns(spark, sf_dir), K, exclude_self=True,
+        max_broadcast_bytes=0, index=_cells(spark, sf_dir),
+    )
+    return t.tidy(hits.select("query_id", "rank", "pattern_id", "distance", "host_id", "is_anomaly"))
+
+
 RETRIEVE = f"""WITH {t.HOST_FIRST}
 SELECT query_id, rank, pattern_id, {r('distance')} AS distance, host_id, is_anomaly FROM hits"""
 
@@ -317,7 +361,10 @@ QUERIES = {
     "knn_same_activity": (knn_same_activity, _search_sql("activity = own_activity")),
     "knn_same_host": (knn_same_host, _search_sql("host_id = own_host")),
     "knn_wide_host": (knn_wide_host, KNN_WIDE_HOST),
+    "knn_cells": (knn_cells, _search_sql()),
+    "knn_cells_report": (knn_cells_report, KNN_CELLS_REPORT),
     "retrieve": (retrieve, RETRIEVE),
+    "retrieve_cells": (retrieve_cells, RETRIEVE),
     "retrieve_blocks": (retrieve_blocks, RETRIEVE),
     "retrieve_post": (retrieve_post, RETRIEVE_POST),
     "top_hits": (top_hits, TOP_HITS),
