@@ -239,13 +239,20 @@ def search_cells(
         state.mapInArrow(_plan(index.centres, bounds, rounds[:number], take), PLAN_SCHEMA).write.parquet(f"{path}/plan-{number}")
         plan = spark.read.schema(PLAN_SCHEMA).parquet(f"{path}/plan-{number}")
         plans.append(plan.withColumn("round", F.lit(number + 1)))
-        some = plan.filter(F.size("cells") > 0)
-        probes = some.select("query_id", "kth", F.explode("cells").alias("cell")).join(asked, "query_id")
-        # Only the probed cells move: at most as many rows as there are cells.
-        cells = probes.select("cell").distinct()
-        rows = index.rows.select("cell", "pattern_id", "embedding").join(F.broadcast(cells), "cell", "left_semi")
+        named = plan.select("query_id", "kth", F.explode("cells").alias("cell"))
+        probed = named.groupBy("cell").count().toPandas()  # at most as many rows as there are cells
+        if probed.empty:
+            break
+        # Only the probed cells move.
+        known = spark.createDataFrame([(int(c),) for c in probed["cell"]], "cell int")
+        rows = index.rows.select("cell", "pattern_id", "embedding").join(F.broadcast(known), "cell", "left_semi")
+        size = bounds.set_index("cell")["rows"]
+        blocks = [
+            (int(c), math.ceil(n / rows_per_block), math.ceil(size[c] / rows_per_block))
+            for c, n in zip(probed["cell"], probed["count"], strict=True) if max(n, size[c]) > rows_per_block
+        ]
         hits = pair_blocks(
-            probes, rows, ["cell"], "query_id", "pattern_id", _meet(k, exclude_self), HIT_SCHEMA, rows_per_block, rows_per_block
+            named.join(asked, "query_id"), rows, ["cell"], "query_id", "pattern_id", _meet(k, exclude_self), HIT_SCHEMA, blocks=blocks
         )
         best = best_hits(hits if not found else hits.unionByName(found[-1]), k).drop("rank")
         best.write.parquet(f"{path}/hits-{number}")
@@ -266,6 +273,8 @@ def search_cells(
         F.coalesce(F.sum("rows"), F.lit(0)).alias("compared"),
         (F.count_distinct("query_id") * F.lit(int(bounds["rows"].sum()))).alias("possible"),
     )
+    if not found:
+        found = [spark.createDataFrame([], HIT_SCHEMA)]
     return CellHits(best_hits(found[-1], k).select("query_id", "rank", "pattern_id", "distance"), report)
 
 

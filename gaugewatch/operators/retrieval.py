@@ -10,24 +10,18 @@ query and block; query-pattern pairs never become rows.
 from __future__ import annotations
 
 from collections.abc import Iterable, Sequence
-from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
 from pyspark import Broadcast
-from pyspark.ml.clustering import KMeans
-from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from gaugewatch.functions.columns import is_usable, shuffled_number
 from gaugewatch.functions.vectors import (
-    CHUNK_CELLS,
     Store,
-    best_places,
     hit_table,
-    joined,
     matrix,
     nearest,
     ranks,
@@ -35,6 +29,7 @@ from gaugewatch.functions.vectors import (
     usable_rows,
 )
 from gaugewatch.operators.cells import CellIndex, build_cells, search_cells
+from gaugewatch.operators.ivfpq import IvfPqIndex, ivfpq_search
 from gaugewatch.operators.scale import dimension_join, pair_blocks
 from gaugewatch.operators.vector_tables import (
     HIT_SCHEMA,
@@ -247,17 +242,22 @@ def retrieve(
     exclude_self: bool = False,
     max_broadcast_bytes: int = BROADCAST_VECTOR_BYTES,
     rows_per_block: int = 20_000,
-    index: CellIndex | None = None,
+    index: CellIndex | IvfPqIndex | None = None,
+    nprobe: int = 10,
 ) -> DataFrame:
     """The queries with a column ``hits``: what ``retrieve_rows`` gives, as an array by rank.
 
+    The kind of the store's ``index`` decides how a store beyond
+    ``max_broadcast_bytes`` is searched: by cells, exactly, or by codes of the
+    ``nprobe`` nearest cells (with ``host_id`` carried), approximately.
+
     With a small pattern table this is one pass over the queries without a
     shuffle. Pass a stored pattern table: it is read more than once.
     """
     shared = _shared_store(patterns, "host_id", True, max_broadcast_bytes)
     if shared is None:
         return attach_hits(
-            queries, _host_first_blocks(queries, patterns, k, mode, exclude_self, rows_per_block, index)
+            queries, _host_first_blocks(queries, patterns, k, mode, exclude_self, rows_per_block, index, nprobe)
         )
     return _host_first_shared(queries, shared, k, mode, exclude_self)
 
@@ -332,7 +332,7 @@ def _hit_type() -> T.StructType:
 
 def _host_first_blocks(
     queries: DataFrame, patterns: DataFrame, k: int, mode: str, exclude_self: bool, rows_per_block: int,
-    index: CellIndex | None,
+    index: CellIndex | IvfPqIndex | None, nprobe: int,
 ) -> DataFrame:
     """Host-first retrieval from a large store, one row per hit.
 
@@ -341,8 +341,15 @@ def _host_first_blocks(
     """
     own = queries.select(F.col("query_id").cast("bigint").alias("query_id"), F.col("host_id").alias("_own"))
     need = k // 2
+    coded = isinstance(index, IvfPqIndex)
+
+    def general(some: DataFrame) -> DataFrame:
+        if coded:
+            return ivfpq_search(some, index, k, nprobe, exclude_self=exclude_self, rows_per_block=rows_per_block)
+        return _search_all(some, patterns, index, k, exclude_self, rows_per_block)
+
     if mode == "post":
-        near = cut(_search_all(queries, patterns, index, k, exclude_self, rows_per_block).drop("rank"))
+        near = cut(general(queries).drop("rank"))
         marked = with_patterns(near, patterns).join(own, "query_id").withColumn(
             "_general", F.coalesce(F.col("host_id") != F.col("_own"), F.lit(True))
         )
@@ -361,8 +368,13 @@ def _host_first_blocks(
             )
         short = F.coalesce(F.col("_patterns"), F.lit(0)) < need
         lacking = counted.filter(short | F.col("host_id").isNull()).select("query_id", "host_id", "embedding")
-        first = _search_key(queries, patterns, k, "host_id", exclude_self, rows_per_block)
-        fill = _search_all(lacking, patterns, index, k, exclude_self, rows_per_block).drop("rank")
+        if coded:
+            first = ivfpq_search(
+                queries, index, k, nprobe, by="host_id", exclude_self=exclude_self, rows_per_block=rows_per_block
+            ).drop("rank")
+        else:
+            first = _search_key(queries, patterns, k, "host_id", exclude_self, rows_per_block)
+        fill = general(lacking).drop("rank")
         both = first.withColumn("_general", F.lit(False)).unionByName(fill.withColumn("_general", F.lit(True)))
         # Found hits are slim and dear to find: keep them before they meet the patterns again.
         best = cut(best_hits(both, k, ["query_id", "_general"]).drop("rank"))
@@ -402,123 +414,6 @@ def top_hits(hits: DataFrame, n: int) -> DataFrame:
     return hits.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= n)
 
 
-# --- approximate search -----------------------------------------------------------------
-
-
-class IvfPqIndex(NamedTuple):
-    """Cell centres, one codebook per sub-space, and the coded patterns."""
-
-    centres: np.ndarray
-    codebooks: list[np.ndarray]
-    codes: DataFrame
-
-
-def _to_cells(df: DataFrame, centres: np.ndarray, id_col: str, probes: int) -> DataFrame:
-    """The nearest cells of each vector, and the rest after taking the centre away."""
-
-    def assign(batches: Iterable[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            v = matrix(batch.column("embedding"))
-            far = (v * v).sum(1)[:, None] + (centres * centres).sum(1)[None, :] - 2.0 * (v @ centres.T)
-            cells = np.argsort(far, axis=1, kind="stable")[:, :probes]
-            ids = np.repeat(batch.column(id_col).to_numpy(zero_copy_only=False), cells.shape[1])
-            rest = np.repeat(v, cells.shape[1], axis=0) - centres[cells.ravel()]
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array(ids, pa.int64()), pa.array(cells.ravel(), pa.int32()),
-                    pa.array(list(rest), pa.list_(pa.float64())),
-                ],
-                names=[id_col, "cell", "rest"],
-            )
-
-    return df.select(F.col(id_col).cast("bigint"), "embedding").mapInArrow(
-        assign, f"{id_col} bigint, cell int, rest array<double>"
-    )
-
-
-def _centres(df: DataFrame, column: Column, k: int, seed: int, rounds: int) -> np.ndarray:
-    vectors = df.select(array_to_vector(column).alias("features"))
-    model = KMeans(k=k, seed=seed, maxIter=rounds, initMode="random").fit(vectors)
-    return np.array(model.clusterCenters())
-
-
-def ivfpq_fit(
-    patterns: DataFrame, nlist: int = 100, m: int = 8, bits: int = 8, seed: int = 42, rounds: int = 10
-) -> IvfPqIndex:
-    """Cluster patterns into ``nlist`` cells and code what is left in ``m`` parts.
-
-    The driver only holds centres and codebooks, whose size the parameters fix.
-    """
-    dim = store_dim(patterns)
-    if dim is None:
-        raise ValueError("no pattern has a usable embedding")
-    known = usable_vectors(patterns, dim)
-    if dim % m:
-        raise ValueError(f"{dim} dimensions cannot be cut into {m} equal parts")
-    width = dim // m
-    centres = _centres(known, F.col("embedding"), nlist, seed, rounds)
-    cells = cut(_to_cells(known, centres, "pattern_id", 1))
-    books = [
-        _centres(cells, F.slice("rest", j * width + 1, width), 2**bits, seed + j, rounds) for j in range(m)
-    ]
-
-    def code(batches: Iterable[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            rest = matrix(batch.column("rest"))
-            codes = np.empty((len(rest), m), "int32")
-            for j, book in enumerate(books):
-                part = rest[:, j * width : (j + 1) * width]
-                far = (book * book).sum(1)[None, :] - 2.0 * (part @ book.T)
-                codes[:, j] = far.argmin(1)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("pattern_id"), batch.column("cell"), pa.array(list(codes), pa.list_(pa.int32()))],
-                names=["pattern_id", "cell", "codes"],
-            )
-
-    return IvfPqIndex(centres, books, cells.mapInArrow(code, "pattern_id bigint, cell int, codes array<int>"))
-
-
-def ivfpq_search(
-    queries: DataFrame, index: IvfPqIndex, k: int = 5, nprobe: int = 10, rows_per_block: int = 20_000
-) -> DataFrame:
-    """Approximate top ``k`` from the ``nprobe`` nearest cells of each query.
-
-    Queries meet coded patterns per cell in bounded blocks; a cell that holds
-    most patterns is cut like any hot key.
-    """
-    books = index.codebooks
-    width = books[0].shape[1]
-    probes = _to_cells(usable_vectors(queries, index.centres.shape[1]), index.centres, "query_id", nprobe)
-
-    def search(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
-        if not left.num_rows or not right.num_rows:
-            return hit_table([], [], [])
-        qid, rest = left["query_id"].to_numpy(), matrix(left["rest"])
-        ids = right["pattern_id"].to_numpy()
-        codes = matrix(right["codes"]).astype("int64")
-        parts = []
-        step = max(1, CHUNK_CELLS // len(ids))
-        for at in range(0, len(qid), step):
-            far = np.zeros((len(qid[at : at + step]), len(ids)))
-            for j, book in enumerate(books):
-                diff = rest[at : at + step, None, j * width : (j + 1) * width] - book[None]
-                far += (diff * diff).sum(2)[:, codes[:, j]]
-            kth = np.partition(far, k - 1, axis=1)[:, k - 1] if k < len(ids) else np.full(len(far), np.inf)
-            rows, cols = np.nonzero(far <= kth[:, None])
-            keep = best_places(rows, ids[cols], far[rows, cols], k)
-            parts.append((qid[at + rows[keep]], ids[cols[keep]], far[rows[keep], cols[keep]]))
-        return hit_table(*joined(parts))
-
-    hits = pair_blocks(
-        probes, index.codes, ["cell"], "query_id", "pattern_id", search, HIT_SCHEMA, rows_per_block, rows_per_block
-    )
-    return best_hits(hits, k).select("query_id", "rank", "pattern_id", "distance")
-
-
 # --- quality ------------------------------------------------------------------------------
 
 

@@ -208,6 +208,15 @@ def _with_blocks(df: DataFrame, by: list[str], counts: DataFrame | int, name: st
     return joined.withColumn(name, F.coalesce(F.col(name), F.lit(1)))
 
 
+def _with_known_blocks(df: DataFrame, by: list[str], blocks: Sequence[tuple]) -> DataFrame:
+    if not blocks:
+        return df.withColumns({"_lefts": F.lit(1), "_rights": F.lit(1)})
+    fields = [df.schema[c] for c in by] + [T.StructField(c, T.IntegerType()) for c in ("_lefts", "_rights")]
+    known = df.sparkSession.createDataFrame(list(blocks), T.StructType(fields))
+    joined = df.join(F.broadcast(known), by, "left")
+    return joined.withColumns({c: F.coalesce(F.col(c), F.lit(1)) for c in ("_lefts", "_rights")})
+
+
 def pair_blocks(
     left: DataFrame,
     right: DataFrame,
@@ -218,18 +227,24 @@ def pair_blocks(
     schema: str,
     left_rows: int = 20_000,
     right_rows: int = 20_000,
+    blocks: Sequence[tuple] | None = None,
 ) -> DataFrame:
     """Meet every left row with every right row of its key inside Arrow tasks.
 
     A key with many rows is cut into hashed blocks on both sides; each pair of
     blocks is one group of at most about ``left_rows`` and ``right_rows`` rows.
     ``work(key, left, right)`` gets two Arrow tables and returns its result.
+    ``blocks`` spares the counts where they are known: (key..., left blocks,
+    right blocks) of the keys with more than one, a list of bounded length.
     """
     by = list(by)
-    left_counts = _block_counts(left, by, left_rows, "_lefts")
-    right_counts = _block_counts(right, by, right_rows, "_rights")
-    left = _with_blocks(_with_blocks(left, by, left_counts, "_lefts"), by, right_counts, "_rights")
-    right = _with_blocks(_with_blocks(right, by, left_counts, "_lefts"), by, right_counts, "_rights")
+    if blocks is None:
+        left_counts = _block_counts(left, by, left_rows, "_lefts")
+        right_counts = _block_counts(right, by, right_rows, "_rights")
+        left = _with_blocks(_with_blocks(left, by, left_counts, "_lefts"), by, right_counts, "_rights")
+        right = _with_blocks(_with_blocks(right, by, left_counts, "_lefts"), by, right_counts, "_rights")
+    else:
+        left, right = (_with_known_blocks(side, by, blocks) for side in (left, right))
 
     def block(row_id: str, count: str) -> Column:
         return F.pmod(F.xxhash64(row_id), F.col(count)).cast("int")

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gaugewatch.functions.columns import seconds_since
-from gaugewatch.operators import cells, clean, features, patterns, profiling, retrieval, sampling
+from gaugewatch.operators import cells, clean, features, ivfpq, patterns, profiling, retrieval, sampling
 from gaugewatch.operators.scale import spread
 from gaugewatch.plans import tables as t
 from gaugewatch.plans.profiles import HELD
@@ -264,7 +265,8 @@ def knn_cells_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How many readings of finished orders a search for the open ones' neighbours compares, by round; all hits exact."""
     wide = cut(wide_samples(spark, sf_dir))
     known = wide.filter(F.col("status") == "F").withColumnRenamed("query_id", "pattern_id")
-    found = cells.search_cells(wide.filter(F.col("status") != "F"), cells.build_cells(known, rows_per_cell=500), K)
+    index = cells.build_cells(known, rows_per_cell=max(50, known.count() // 16))
+    found = cells.search_cells(wide.filter(F.col("status") != "F"), index, K)
     share = found.report.agg(F.sum("compared").alias("compared"), F.max("possible").alias("possible")).first()
     hits = found.hits.withColumn("pruned", F.lit(share["compared"] < share["possible"]))
     return t.tidy(hits.select("query_id", "rank", "pattern_id", "distance", "pruned"), WIDE_DIGITS)
@@ -317,9 +319,89 @@ SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY distance, pat
 FROM hits QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY distance, pattern_id) <= 3"""
 
 
-def ivfpq_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    index = retrieval.ivfpq_fit(t.vector_patterns(spark, sf_dir), nlist=8, m=4, bits=4, rounds=5)
-    return t.tidy(retrieval.ivfpq_search(t.vector_queries(spark, sf_dir), index, K, nprobe=4))
+# The model by id: the first vectors are centres, the next ones' remainders fill the codebooks.
+NLIST, PARTS, ENTRIES, NPROBE = 8, 4, 16, 3
+
+
+def _ivfpq_model(spark: SparkSession, sf_dir: str) -> ivfpq.IvfPqModel:
+    """NLIST + ENTRIES vectors reach the driver, whatever the table's size."""
+    known = t.read(spark, sf_dir, "embeddings").filter(F.col("vec_id") < NLIST + ENTRIES).orderBy("vec_id")
+    vectors = np.array([row["embedding"] for row in known.select("embedding").collect()], np.float64)
+    centres, others = vectors[:NLIST], vectors[NLIST:]
+    rests = others - centres[((others[:, None] - centres[None]) ** 2).sum(2).argmin(1)]
+    return ivfpq.ivfpq_model(centres, rests.reshape(ENTRIES, PARTS, -1).transpose(1, 0, 2))
+
+
+CARRIED = ["host_id", "is_anomaly"]
+
+
+def _ivfpq_search(added: bool = False, **options) -> object:
+    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+        known, model = t.vector_patterns(spark, sf_dir), _ivfpq_model(spark, sf_dir)
+        if added:
+            even = F.pmod("pattern_id", F.lit(2)) == 0
+            path = ivfpq.ivfpq_create(known.filter(even), model, carry=CARRIED).path
+            index = ivfpq.ivfpq_add(ivfpq.ivfpq_load(spark, path, model.version), known.filter(~even))
+        else:
+            index = ivfpq.ivfpq_create(known, model, carry=CARRIED)
+        return t.tidy(ivfpq.ivfpq_search(t.vector_queries(spark, sf_dir), index, K, NPROBE, exclude_self=True, **options))
+
+    return query
+
+
+ivfpq_search, ivfpq_added = _ivfpq_search(), _ivfpq_search(added=True)
+ivfpq_same_host = _ivfpq_search(by="host_id")
+ivfpq_anomalies = _ivfpq_search(added=True, where="is_anomaly")
+
+
+IVFPQ_PARTS = f"""plain AS (SELECT vec_id, list_transform(embedding, lambda x: x::double) AS v FROM vectors),
+rests AS MATERIALIZED (
+  SELECT e.vec_id, c.vec_id AS cell, list_transform(list_zip(e.v, c.v), lambda z: z[1] - z[2]) AS rest,
+         row_number() OVER (PARTITION BY e.vec_id ORDER BY {_SQ.format(a='e.v', b='c.v')}, c.vec_id) AS place
+  FROM plain e, plain c WHERE c.vec_id < {NLIST}),
+books AS MATERIALIZED (
+  SELECT j, vec_id - {NLIST} AS entry, rest[j * <size> + 1 : (j + 1) * <size>] AS entry_rest
+  FROM rests, range({PARTS}) AS parts(j) WHERE place = 1 AND vec_id BETWEEN {NLIST} AND {NLIST + ENTRIES - 1}),
+codes AS MATERIALIZED (
+  SELECT vec_id, cell, j, entry FROM (
+    SELECT vec_id, cell, j, entry, row_number() OVER (
+      PARTITION BY vec_id, j ORDER BY {_SQ.format(a='rest[j * <size> + 1 : (j + 1) * <size>]', b='entry_rest')}, entry) AS place
+    FROM (SELECT vec_id, cell, rest FROM rests WHERE place = 1), books) WHERE place = 1)"""
+
+
+def _ivfpq_sql(match: str = "true", key: str = "0", where: str = "true") -> str:
+    """Cells by distance, codes of remainders, and sums of distances to the codes' entries; filters by counts per cell."""
+    size = f"(len(rest) // {PARTS})"
+    return f"""WITH {t.VECTORS}, {IVFPQ_PARTS.replace('<size>', size)},
+counts AS (SELECT cell, {key} AS key, count(*) AS n FROM codes JOIN vectors USING (vec_id) WHERE j = 0 AND {where} GROUP BY ALL),
+cells AS (
+  SELECT vec_id, cell, place, coalesce(n, 0) AS n,
+         coalesce(sum(coalesce(n, 0)) OVER (PARTITION BY vec_id ORDER BY place ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before
+  FROM (SELECT vec_id, cell, place, {key} AS key FROM rests JOIN vectors USING (vec_id)) LEFT JOIN counts USING (cell, key)),
+probes AS (SELECT vec_id, cell FROM cells WHERE n > 0 AND (place <= {NPROBE} OR before < {K + 1})),
+tables AS (
+  SELECT r.vec_id, r.cell, b.j, b.entry, {_SQ.format(a=f'r.rest[b.j * {size} + 1 : (b.j + 1) * {size}]', b='b.entry_rest')} AS far
+  FROM probes JOIN rests r USING (vec_id, cell), books b),
+found AS (
+  SELECT p.vec_id AS query_id, c.vec_id AS pattern_id, sum(far ORDER BY s.j) AS distance
+  FROM probes p JOIN codes c USING (cell) JOIN vectors q ON q.vec_id = p.vec_id JOIN vectors v ON v.vec_id = c.vec_id
+  JOIN tables s ON s.vec_id = p.vec_id AND s.cell = c.cell AND s.j = c.j AND s.entry = c.entry
+  WHERE p.vec_id <> c.vec_id AND {match} GROUP BY ALL)
+SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY distance, pattern_id) AS rank, pattern_id,
+       {r('distance')} AS distance
+FROM found QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY distance, pattern_id) <= {K}"""
+
+
+def ivfpq_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A trained index with exact ranks of its candidates, against the exact search."""
+    q, p = t.vector_queries(spark, sf_dir), t.vector_patterns(spark, sf_dir)
+    index = ivfpq.ivfpq_create(p, ivfpq.ivfpq_train(p, nlist=8, m=16, bits=5, rounds=5))
+    found = ivfpq.ivfpq_search(q, index, K, nprobe=7, exclude_self=True, refine=12, patterns=p)
+    told = ivfpq.ivfpq_recall(found, retrieval.knn(q, p, K, exclude_self=True))
+    return told.select("hits", (F.col("recall") >= 0.9).alias("enough"))
+
+
+IVFPQ_RECALL = f"SELECT count(*) * least({K}, count(*) - 1) AS hits, true AS enough FROM embeddings"
 
 
 def knn_accuracy(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -368,6 +450,10 @@ QUERIES = {
     "retrieve_blocks": (retrieve_blocks, RETRIEVE),
     "retrieve_post": (retrieve_post, RETRIEVE_POST),
     "top_hits": (top_hits, TOP_HITS),
-    "ivfpq_search": (ivfpq_search, None),
+    "ivfpq_search": (ivfpq_search, _ivfpq_sql()),
+    "ivfpq_added": (ivfpq_added, _ivfpq_sql()),
+    "ivfpq_same_host": (ivfpq_same_host, _ivfpq_sql("q.host_id = v.host_id", "host_id")),
+    "ivfpq_anomalies": (ivfpq_anomalies, _ivfpq_sql("v.is_anomaly", where="is_anomaly")),
+    "ivfpq_recall": (ivfpq_recall, IVFPQ_RECALL),
     "knn_accuracy": (knn_accuracy, KNN_ACCURACY),
 }
