@@ -48,8 +48,8 @@ from gaugewatch.session import fresh_path
 PERCENT = 80
 FREQUENT = 65_536
 CHUNK = 1 << 20
-BLOCK_BYTES = 8 << 20
-BUCKET_KEYS = 1 << 21
+BLOCK_BYTES = 4 << 20
+BUCKET_KEYS = 1 << 20
 REGION = 1000
 RINGS = 20
 DENSE = 32
@@ -296,6 +296,7 @@ class Regions:
     def __init__(self, sets: DataFrame, at: str):
         self.spark, self.at, self.made = sets.sparkSession, at, 0
         self.sets = sets.select("sig", "shingles")
+        self.sizes = self.keep(sets.select("sig", F.length("shingles").cast("long").alias("bytes")))
 
     def keep(self, df: DataFrame) -> DataFrame:
         self.made += 1
@@ -304,9 +305,10 @@ class Regions:
 
     def _in_groups(self, rows: DataFrame, by: list[str]) -> DataFrame:
         """``rows`` with their sets, in groups of bounded size that never cut ``by``."""
-        groups = parts_for(max(1, rows.count()) * 4096, GROUP_BYTES, least_parts(self.spark))
-        full = rows.join(self.sets, "sig")
-        return full.withColumn("group_", F.pmod(F.xxhash64(*by), F.lit(groups))).groupBy("group_")
+        size = rows.join(self.sizes, "sig").agg(F.sum("bytes")).first()[0] or 0
+        groups = parts_for(size, GROUP_BYTES, least_parts(self.spark))
+        full = rows.join(self.sets, "sig").withColumn("group_", F.pmod(F.xxhash64(*by), F.lit(groups)))
+        return full.repartition(groups, "group_").groupBy("group_")
 
     def meetings(self, members: DataFrame) -> DataFrame:
         """(pivot, a, b, sig): who meets, from the members (pivot, sig) of all regions."""
@@ -371,7 +373,9 @@ def set_components(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     size, least = total_bytes(docs), least_parts(spark)
     blocks, buckets = parts_for(size, BLOCK_BYTES, least), parts_for(size // 6, BUCKET_KEYS, least)
     dealt = docs.withColumn("block_", F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)).cast("long")).repartition(blocks, "block_")
-    answers = dealt.groupBy("block_").applyInArrow(_sketch(buckets), SKETCH).groupBy("bucket_").applyInArrow(_shared, ANSWER)
+    # As many partitions as buckets, so that a task's share does not grow with the input.
+    sketches = dealt.groupBy("block_").applyInArrow(_sketch(buckets), SKETCH).repartition(buckets, "bucket_")
+    answers = sketches.groupBy("bucket_").applyInArrow(_shared, ANSWER)
     at = fresh_path(spark, "jaccard")
     found = dealt.groupBy("block_").cogroup(answers.groupBy("block_")).applyInArrow(_sets(buckets, frequent), SETS)
     found.write.parquet(f"{at}/sets")

@@ -52,10 +52,10 @@ LAST = np.iinfo(np.int64).max
 PARTS = 16  # of a bucket, sorted one after the other
 SEPARATOR = 0xFF  # no byte of UTF-8
 
-RESULTS = ("n_bytes", "n_removed", "n_spans", "kept_sha256", "kept_")
+RESULTS = ("n_bytes", "n_removed", "n_spans", "kept_sha256", "kept_", "text_")
 KINDS = {
     "n_bytes": T.LongType(), "n_removed": T.LongType(), "n_spans": T.LongType(),
-    "kept_sha256": T.StringType(), "kept_": T.BinaryType(),
+    "kept_sha256": T.StringType(), "kept_": T.BinaryType(), "text_": T.StringType(),
 }
 SKETCH = "block_ long, bucket_ long, n_ long, keys_ binary, counts_ binary"
 ANSWER = "block_ long, bucket_ long, kind_ int, a_ binary, b_ binary"
@@ -369,6 +369,7 @@ def _remove(buckets: int, names: list[str], schema: pa.Schema):
         gone = started[1:] > np.r_[np.zeros(min(LENGTH, total), np.int32), started[1 : max(total - LENGTH + 1, 1)]][:total]
         raw = block.text.tobytes()
         results = [None] * docs.num_rows
+        sums, texts = "kept_sha256" in names, "text_" in names
         for k, row in enumerate(block.order):
             low, high = int(block.ends[k] - block.lengths[k]), int(block.ends[k])
             mask = gone[low:high]
@@ -378,7 +379,10 @@ def _remove(buckets: int, names: list[str], schema: pa.Schema):
                 count = int(mask[0]) + int((mask[1:] & ~mask[:-1]).sum())
             else:
                 kept, removed, count = raw[low:high], 0, 0
-            results[row] = (high - low, removed, count, hashlib.sha256(kept).hexdigest(), kept)
+            results[row] = (
+                high - low, removed, count, hashlib.sha256(kept).hexdigest() if sums else None, kept,
+                kept.decode("utf-8", "ignore") if texts else None,
+            )
         columns = [docs.column("row_")]
         for name in names:
             columns.append(pa.array([r[RESULTS.index(name)] for r in results], schema.field(name).type))
@@ -391,7 +395,8 @@ def remove_repeats(docs: DataFrame, carried: list[str], results: list[str], hot:
     """The ``carried`` columns of ``docs`` in a struct ``row_``, and the ``results`` for each row.
 
     Results: n_bytes, n_removed, n_spans (maximal removed runs), kept_sha256,
-    kept_ (the bytes that stay).
+    kept_ (the bytes that stay), text_ (the same as text, without halves of
+    characters at a cut).
     """
     least = least_parts(docs.sparkSession)
     size = total_bytes(docs)
@@ -426,15 +431,9 @@ def cleaned(docs: DataFrame) -> DataFrame:
     All rows and columns stay, and ``n_chars`` follows the text where it is present.
     """
     others = [c for c in docs.columns if c != "text"]
-    kept = remove_repeats(docs, others, ["kept_"])
-    schema = T.StructType([kept.schema["row_"], T.StructField("kept_", T.StringType())])
-
-    def decode(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in source:
-            texts = [b.decode("utf-8", "ignore") for b in batch.column("kept_").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("row_"), pa.array(texts, pa.string())], ["row_", "kept_"])
-
-    out = kept.mapInArrow(decode, schema).select("row_.*", F.col("kept_").alias("text"))
+    # The same task removes and decodes: a second one behind it would hold another Python worker.
+    kept = remove_repeats(docs, others, ["text_"])
+    out = kept.select("row_.*", F.col("text_").alias("text"))
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
     return out.select(*docs.columns)
