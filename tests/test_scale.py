@@ -5,7 +5,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from gaugewatch.operators import retrieval, scale
+from gaugewatch.operators import ivfpq, retrieval, scale
 
 
 @pytest.fixture(scope="module")
@@ -182,8 +182,8 @@ def test_other_sizes_are_left_out(vectors):
 def test_ivfpq_with_a_hot_cell(spark, vectors):
     """All vectors probed in all cells with fine codes: near to exact search."""
     q, p = vectors
-    index = retrieval.ivfpq_fit(p, nlist=4, m=3, bits=6)
-    got = retrieval.ivfpq_search(q, index, 5, nprobe=4, rows_per_block=50)
+    index = ivfpq.ivfpq_create(p, ivfpq.ivfpq_train(p, nlist=4, m=3, bits=6))
+    got = ivfpq.ivfpq_search(q, index, 5, nprobe=4, rows_per_block=50)
     exact = retrieval.knn(q, p, 5)
     assert got.count() == exact.count() == 750
     limit = exact.groupBy("query_id").agg(F.max("distance").alias("worst"))
