@@ -38,7 +38,7 @@ SIZE = 16
 WIDTHS = (1, 2, 3)
 FILTERS = 12
 MIN_TEXTS = 3
-EPOCHS = 12
+EPOCHS = 16
 BATCH = 64
 RATE = 0.01
 DECAY = 1e-4
@@ -139,7 +139,7 @@ def _padded(row: np.ndarray, owner: np.ndarray, count: int) -> tuple[np.ndarray,
     """Texts one after the other, each behind itself with zeros, so no window meets two; and their starts."""
     n = np.bincount(owner, minlength=count)
     starts = np.cumsum(n + PAD + 1) - n - PAD - 1
-    out = np.zeros((int((n + PAD + 1).sum()), row.shape[1]), np.int64)
+    out = np.zeros((int((n + PAD + 1).sum()), row.shape[1]), np.int32)
     out[np.arange(len(row)) + np.repeat(np.arange(count) * (PAD + 1), n)] = row
     return out, starts
 
@@ -150,24 +150,28 @@ class _Adam:
         self.first = [np.zeros_like(v) for v in values]
         self.second = [np.zeros_like(v) for v in values]
 
-    def update(self, gradients: list[np.ndarray], rate: float) -> None:
+    def update(self, touched: np.ndarray, gradients: list[np.ndarray], rate: float) -> None:
+        """One step. The first gradient is that of the ``touched`` rows of the first value; its other rows rest."""
         self.step += 1
-        for value, m, v, g in zip(self.values, self.first, self.second, gradients, strict=True):
-            m += 0.1 * (g - m)
-            v += 0.001 * (g * g - v)
-            value -= rate * (m / (1 - 0.9**self.step)) / (np.sqrt(v / (1 - 0.999**self.step)) + 1e-8) + rate * DECAY * value
+        places = [touched, *[slice(None)] * (len(gradients) - 1)]
+        for value, m, v, g, at in zip(self.values, self.first, self.second, gradients, places, strict=True):
+            m[at] += 0.1 * (g - m[at])
+            v[at] += 0.001 * (g * g - v[at])
+            value[at] -= rate * (m[at] / (1 - 0.9**self.step)) / (np.sqrt(v[at] / (1 - 0.999**self.step)) + 1e-8) + rate * DECAY * value[at]
 
 
 def train(sample: list[tuple[str, int]], prior: float, seed: int = 7) -> ToxicityModel:
     """Network on four fifths of the sample, thresholds on the rest. ``prior``: share of toxic texts."""
     rng = np.random.default_rng(seed)
-    texts, y = [t.encode() for t, _ in sample], np.array([v for _, v in sample], np.float32)
-    own = [buckets([t])[0] for t in texts]
-    rest = np.arange(len(texts)) % 5 == 0
+    y = np.array([v for _, v in sample], np.float32)
+    rest = np.arange(len(sample)) % 5 == 0
     learn = np.flatnonzero(~rest)
-    seen, times = np.unique(np.concatenate([np.unique(own[i]) for i in learn] + [np.zeros(0, np.int64)]), return_counts=True)
-    known = seen[times >= MIN_TEXTS]
-    rows = [_rows_of(b, known) for b in own]
+    # Numbers of 22 bits: the sample's words stay small on the driver.
+    rows = {i: buckets([sample[i][0].encode()])[0].astype(np.int32) for i in learn.tolist()}
+    seen, times = np.unique(np.concatenate([np.unique(b) for b in rows.values()] + [np.zeros(0, np.int32)]), return_counts=True)
+    known = seen[times >= MIN_TEXTS].astype(np.int64)
+    for i, b in rows.items():
+        rows[i] = _rows_of(b, known).astype(np.int32)
     embedding = (rng.normal(0, 0.1, (len(known) + 1, SIZE))).astype(np.float32)
     embedding[0] = 0
     filters = [rng.normal(0, 0.3, (w, SIZE, FILTERS)).astype(np.float32) for w in WIDTHS]
@@ -183,11 +187,12 @@ def train(sample: list[tuple[str, int]], prior: float, seed: int = 7) -> Toxicit
             rate = RATE * 0.5 * (1 + np.cos(np.pi * epoch / EPOCHS))
             for a in range(0, len(learn), BATCH):
                 pick = learn[a : a + BATCH]
-                adam.update(_gradients([rows[i] for i in pick], y[pick], weight[pick], embedding, filters, bias, out, constant, rng), rate)
+                touched, gradients = _gradients([rows[i] for i in pick], y[pick], weight[pick], embedding, filters, bias, out, constant, rng)
+                adam.update(touched, gradients, rate)
                 embedding[0] = 0
     response = [[embedding @ f[k] for k in range(len(f))] for f in filters]
     model = ToxicityModel(known, response, bias, out, float(constant[0]), np.zeros(len(FUNCTION_WORDS)), 1.0)
-    return _calibrated(model, [texts[i] for i in np.flatnonzero(rest)], y[rest], _weights(y, prior, 1.0)[rest])
+    return _calibrated(model, [sample[i][0].encode() for i in np.flatnonzero(rest)], y[rest], _weights(y, prior, 1.0)[rest])
 
 
 def _weights(y: np.ndarray, prior: float, power: float = 0.5) -> np.ndarray:
@@ -197,16 +202,19 @@ def _weights(y: np.ndarray, prior: float, power: float = 0.5) -> np.ndarray:
     return (w / max(w.mean(), 1e-9) if len(w) else w).astype(np.float32)
 
 
-def _gradients(rows, y, weight, embedding, filters, bias, out, constant, rng) -> list[np.ndarray]:
+def _gradients(rows, y, weight, embedding, filters, bias, out, constant, rng) -> tuple[np.ndarray, list[np.ndarray]]:
+    """Rows of the embedding that pooling chose, and all gradients, that of these rows first."""
     owner = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
     padded, starts = _padded(np.concatenate(rows), owner, len(rows))
     ends = np.r_[starts[1:], len(padded)]
-    x = _summed(embedding, padded)
-    pooled, places = [], []
-    for width, f in zip(WIDTHS, filters, strict=True):
-        h = x @ f[0]
+    # One product for all filters and places of words in them.
+    answers = _summed(embedding, padded) @ np.concatenate([f[k] for f in filters for k in range(len(f))], 1)
+    pooled, places, column = [], [], 0
+    for width in WIDTHS:
+        h = answers[:, column : column + FILTERS].copy()
         for k in range(1, width):
-            h[:-k] += x[k:] @ f[k]
+            h[:-k] += answers[k:, column + k * FILTERS : column + (k + 1) * FILTERS]
+        column += width * FILTERS
         places.append(np.array([a + h[a : e - PAD].argmax(0) for a, e in zip(starts, ends, strict=True)]))
         pooled.append(np.take_along_axis(h, places[-1], 0))
     before = np.concatenate(pooled, 1) + bias
@@ -215,24 +223,31 @@ def _gradients(rows, y, weight, embedding, filters, bias, out, constant, rng) ->
     p = 1 / (1 + np.exp(-np.clip(hidden @ out + constant, -30, 30)))
     error = (p - y) * weight / len(y)
     back = error[:, None] * out * keep * (before > 0)
-    g_embedding = np.zeros_like(embedding)
-    g_filters = []
+    g_filters, words, g_words = [], [], []
     for n, (f, at) in enumerate(zip(filters, places, strict=True)):
         own = back[:, n * FILTERS : (n + 1) * FILTERS]
         g = np.zeros_like(f)
         for k in range(len(f)):
             word = padded[at + k]
             g[k] = np.einsum("nfd,nf->df", embedding[word].sum(2), own)
-            np.add.at(g_embedding, word, (own[:, :, None] * f[k].T[None])[:, :, None])
+            part = own[:, :, None] * f[k].T[None]
+            words.append(word.ravel())
+            g_words.append(np.repeat(part.reshape(-1, SIZE), word.shape[2], 0))
         g_filters.append(g)
-    return [g_embedding, *g_filters, back.sum(0), hidden.T @ error, np.array([error.sum()], np.float32)]
+    word, g_word = np.concatenate(words), np.concatenate(g_words)
+    order = np.argsort(word, kind="stable")
+    first = np.flatnonzero(np.r_[True, np.diff(word[order]) > 0])
+    g_embedding = np.add.reduceat(g_word[order], first, 0)
+    return word[order][first], [g_embedding, *g_filters, back.sum(0), hidden.T @ error, np.array([error.sum()], np.float32)]
 
 
 def _calibrated(model: ToxicityModel, texts: list[bytes], y: np.ndarray, weight: np.ndarray) -> ToxicityModel:
     """Slope, constant and an offset per language by Newton's method; few labels of a language give a small offset."""
     if not texts or len(set(y.tolist())) < 2:
         return model
-    logit, language = model.logits(texts)
+    # A bounded number of texts at a time.
+    parts = [model.logits(texts[a : a + 64]) for a in range(0, len(texts), 64)]
+    logit, language = (np.concatenate(x) for x in zip(*parts, strict=True))
     middle, spread = float(logit.mean()), float(logit.std()) or 1.0
     x = np.c_[(logit - middle) / spread, np.ones(len(y)), np.eye(len(FUNCTION_WORDS))[language]]
     penalty = np.r_[0.05, 1e-6, np.full(len(FUNCTION_WORDS), OFFSET_PENALTY)]
