@@ -5,9 +5,13 @@
    occurrence vector holds its count on each page of the host; it travels as
    one number, the sum of ``count * hash(page)``, so that tokens of any host,
    however large, are added up by a partial aggregate.
-2. Tokens of a host with equal vectors are an equivalence class. Classes on
-   enough different pages are valid; they are nested into a template from the
-   document's root down, each token inside of the element that holds it.
+2. Tokens of a host with equal vectors are an equivalence class, and a class is
+   kept or dropped as a whole. It is valid if it is on enough different pages.
+   Valid classes are nested into a template from the document's root down: every
+   member must lie in an element of the template or of its class. For a text of an
+   article (or main) that element is the article: only a text with the vector
+   of its article is the template's, so what varies there is a slot, however
+   frequent it is.
 3. What the template does not cover are slots; all slots of a page are its
    main text, in or outside of an article (or main) element, and texts that
    are tokens of the template are not. Nothing is main text below an element
@@ -183,13 +187,14 @@ class Walk(HTMLParser):
         self.texts.append((path, noise, content, data, inside))
 
     def tokens(self) -> tuple[Counter, Counter, str]:
-        """What may be a template's: paths of elements and texts outside of content; texts in content, and the longest."""
+        """What may be a template's: paths of elements and texts outside of content; articles, their texts, and the longest."""
         found = Counter({f"<{path}": n for path, n in self.tags.items()})
         inside, longest = Counter(), ""
         for path, content, block in self.blocks():
             (inside if content else found)[f"{path}>{block}"] += 1
             if content:
                 longest = max(longest, block, key=len)
+        inside.update({f"^{article}": 1 for article in {_article(token.partition(">")[0]) for token in inside}})
         return found, inside, longest
 
     def blocks(self) -> Iterator[tuple[str, bool, str]]:
@@ -219,6 +224,16 @@ def _noise_names(named: str, content: bool) -> frozenset[str]:
     return frozenset(found)
 
 
+@functools.lru_cache(65_536)
+def _article(path: str) -> str:
+    """The part of a path up to its outermost article or main element; all of it, if the element has a name of its own."""
+    steps = path.split("/")
+    for k, step in enumerate(steps):
+        if step.partition(".")[0] in CONTENT:
+            return "/".join(steps[: k + 1])
+    return path
+
+
 def token_hash(token: str) -> int:
     return xxhash.xxh64_intdigest(token) - (1 << 63)
 
@@ -263,33 +278,34 @@ def templates(pages: DataFrame) -> DataFrame:
                     votes = {count: xxhash.xxh64_intdigest(str(count), page) >> 8 for count in set(tokens.values())}
                     for token, count in tokens.items():
                         if token[0] == "<":
-                            out.append((host, votes[count], _path_hash(token[1:]), _path_hash(token[1:].rpartition("/")[0])))
+                            out.append((host, votes[count], _path_hash(token[1:]), _path_hash(token[1:].rpartition("/")[0]), False))
+                        elif token[0] == "^":
+                            out.append((host, votes[count], token_hash(token), 0, False))
                         else:
-                            out.append((host, votes[count], token_hash(token), _path_hash(token.partition(">")[0])))
+                            path = token.partition(">")[0]
+                            parent = token_hash(f"^{_article(path)}") if tokens is inside else _path_hash(path)
+                            out.append((host, votes[count], token_hash(token), parent, tokens is inside))
             if out:
-                types = (pa.string(), pa.int64(), pa.int64(), pa.int64())
+                types = (pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.bool_())
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], ["host", "vote", "token", "parent"]
+                    [pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], ["host", "vote", "token", "parent", "inner"]
                 )
 
     # Copies of a page count once: their rows are equal.
-    found = rows.mapInArrow(run, "host string, vote long, token long, parent long").distinct()
+    found = rows.mapInArrow(run, "host string, vote long, token long, parent long, inner boolean").distinct()
     vector = F.sum(F.col("vote").cast("decimal(20,0)")).alias("vector")
-    tokens = found.groupBy("host", "token", "parent").agg(vector, F.count("*").alias("pages"))
+    tokens = found.groupBy("host", "token", "parent", "inner").agg(vector, F.count("*").alias("pages"))
     tokens = tokens.where(F.col("pages") >= MIN_PAGES)
     whole = tokens.groupBy("host").agg(F.max("pages").alias("whole"))
     tokens = tokens.join(whole, "host").where(F.col("pages") >= SHARE * F.col("whole"))
-    classes = tokens.groupBy("host", "vector").agg(F.collect_set(F.struct("token", "parent")).alias("members"))
+    classes = tokens.groupBy("host", "vector").agg(F.collect_set(F.struct("token", "parent", "inner")).alias("members"))
     # A host's frequent tokens are those of its template: few, whatever its number of pages.
     nested = classes.groupBy("host").agg(F.collect_list("members").alias("classes"))
 
     def nest(source: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in source:
             for host, groups in zip(batch.column("host").to_pylist(), batch.column("classes").to_pylist(), strict=True):
-                kept, open_ = {0}, [m for group in groups for m in group]
-                while inner := [m for m in open_ if m["parent"] in kept]:
-                    open_ = [m for m in open_ if m["parent"] not in kept]
-                    kept |= {m["token"] for m in inner}
+                kept = nested_classes([[(m["token"], m["parent"], m["inner"]) for m in group] for group in groups])
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([host], pa.string()), pa.array([sorted(kept)], pa.list_(pa.int64()))], ["host", "template"]
                 )
@@ -297,6 +313,26 @@ def templates(pages: DataFrame) -> DataFrame:
     return nested.mapInArrow(nest, "host string, template array<long>")
 
 
+def nested_classes(classes: list[list[tuple[int, int, bool]]]) -> set[int]:
+    """Tokens of the classes that nest in each other, from the document (0) down.
+
+    A member is its token, the token that must hold it, and whether it is a text of an article: then its holder,
+    the article, must be of the same class. A class with members that nothing holds is dropped as a whole.
+    """
+    open_ = []
+    for group in classes:
+        own = {token for token, _, _ in group}
+        if all(parent in own for _, parent, inner in group if inner):
+            open_.append((own, {parent for _, parent, _ in group} - own))
+    # Holders form a tree, so what is left when nothing more must go hangs together from the document down.
+    while True:
+        kept = {0}.union(*(own for own, _ in open_))
+        rest = [(own, needs) for own, needs in open_ if needs <= kept]
+        if len(rest) == len(open_):
+            return kept
+        open_ = rest
+
+
 def main_texts(pages: DataFrame) -> DataFrame:
     """page_id, url, text, n_chars of every page."""
     spark = pages.sparkSession

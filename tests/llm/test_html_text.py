@@ -94,3 +94,46 @@ def test_names_and_comments_drop_nothing_else():
         assert html_text.main_text(f"{head}{body}", None) == want
         assert html_text.main_text(f"{body}{head}<p>.</p><!-- <p>gone</p>", None) in (want, want + "\n.")
     assert html_text.main_text("<p>a < b & c<p>d <!-- x --> e &am", None) == "a < b & c\nd e &am"
+
+
+def host_pages(count):
+    """Articles with an own text, a line that all share, and a heading that 13 of 20 have."""
+    rows = []
+    for i in range(count):
+        heading = "<h2>Summary</h2>" if i % 20 < 13 else ""
+        html = (
+            f"<html><body><div class='top'><p>Daily paper</p></div><article><h1>Title {i}</h1>{heading}"
+            f"<p>Body of story {i} with some words.</p><p>Share this story</p></article><div class='end'><p>All of it</p></div></body></html>"
+        )
+        rows.append((i, f"https://paper.example/{i}", html))
+    return rows
+
+
+def test_frequent_headings_are_slots_unless_their_vector_is_the_articles(spark):
+    rows = host_pages(20)
+    got = {r.page_id: r.text for r in html_text.main_texts(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    for i in range(20):
+        heading = ["Summary"] if i < 13 else []
+        assert got[i].split("\n") == [f"Title {i}", *heading, f"Body of story {i} with some words."]
+
+
+def test_template_follows_from_vectors(spark, monkeypatch):
+    pages = spark.createDataFrame(host_pages(20), "page_id long, url string, html string")
+    (row,) = html_text.templates(pages).collect()
+    held = {name: html_text.token_hash(f"/html/body/{name}") in row.template for name in (
+        "div.top/p>Daily paper", "div.end/p>All of it", "article/p>Share this story", "article/h2>Summary",
+    )}
+    assert held == {
+        "div.top/p>Daily paper": True, "div.end/p>All of it": True, "article/p>Share this story": True, "article/h2>Summary": False,
+    }
+
+
+def test_classes_are_kept_or_dropped_whole():
+    # (token, holder, text of an article): 1 holds 2; 4 is held by 9, which no class has, so 3 goes with it.
+    assert html_text.nested_classes([[(1, 0, False), (2, 1, False)], [(3, 1, False), (4, 9, False)]]) == {0, 1, 2}
+    # A text of an article must have the article in its class; with one class for all, everything would be kept.
+    article, text, often = (5, 0, False), (6, 5, True), (7, 5, True)
+    assert html_text.nested_classes([[article, text], [often]]) == {0, 5, 6}
+    assert html_text.nested_classes([[article, text, often]]) == {0, 5, 6, 7}
+    # Nested in any order.
+    assert html_text.nested_classes([[(3, 2, False)], [(2, 1, False)], [(1, 0, False)]]) == {0, 1, 2, 3}
