@@ -3,31 +3,39 @@
 Every text becomes its words; every rolling pair of words is joined by hash to
 the positions that the pair has in the templates. A match votes for the
 diagonal ``word position - template position``, which is where the template
-would start. Votes are counted per diagonal; neighbouring diagonals, which an
-inserted or a missing word separates, are merged; and a merged span is kept if
-it holds enough of the template's pairs in no more words than the template has.
+would start. Votes are counted per diagonal. Inserted and missing words move the
+rest of a notice to neighbouring diagonals, so each diagonal is merged with those
+up to ``2 + pairs / 10`` behind it, never further, and merged spans with enough
+votes are verified: the score is the longest run of matches in which template
+positions and word positions both ascend, as a share of the template's pairs.
 
 * A base phrase counts wherever all its words stand consecutively, that is, on
   each single diagonal with all of its pairs.
-* A notice gives its label if at least SHARE of its pairs are in a merged span.
+* A notice gives its label if its best span has a score of SHARE or more.
 
-One pass over the texts without Python: the pairs are generated, joined with a
-table of fixed size, and only matches and one row per document are shuffled.
+Notices come from a table (label, text) of any length: headers as well as full
+license texts. One pass over the texts without Python: the pairs are generated,
+joined with the templates' pairs, and only matches and one row per document are
+shuffled. Rows are told apart by their place in the input: pass a stored table.
 
 Null text is empty. Each input row gives one row, repeated rows repeated ones;
 an empty table gives an empty result. Only ``doc_id`` and ``text`` are read.
+Templates that are null or have fewer than two words are left out, equal ones
+count once.
 """
 
 from __future__ import annotations
 
 from string import ascii_lowercase, ascii_uppercase
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from gaugewatch.operators.scale import is_small
+
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 SHARE = 0.7
-SLACK = 2
+UNIT = 1_000_000
 
 # Base phrases and their labels.
 BASE = [("cc by", "cc-by"), ("general public license", "gpl"), ("all rights reserved", "reserved")]
@@ -45,64 +53,94 @@ NOTICES = [
 ]
 
 
-def _pairs() -> list[tuple]:
-    """(template, label, base, position, pairs, word, next word); the empty pair stands for the document itself."""
-    out = [(-1, "", False, 0, 1, "", "")]
-    for number, (phrase, label) in enumerate([*BASE, *NOTICES]):
-        words = phrase.split()
-        for at in range(len(words) - 1):
-            out.append((number, label, number < len(BASE), at, len(words) - 1, words[at], words[at + 1]))
-    return out
+def words_of(text: Column) -> Column:
+    lower = F.translate(F.coalesce(text.cast("string"), F.lit("")), ascii_uppercase, ascii_lowercase)
+    return F.array_remove(F.split(lower, SEPARATORS), "")
 
 
-def _templates(docs: DataFrame) -> DataFrame:
-    names = ("template", "label", "base", "position", "pairs", "a", "b")
-    rows = [F.struct(*[F.lit(v).alias(n) for n, v in zip(names, row, strict=True)]) for row in _pairs()]
-    table = docs.sparkSession.range(1).select(F.inline(F.array(*rows)))
-    return table.withColumn("h", F.xxhash64("a", "b"))
+def _next(words: Column) -> Column:
+    return F.slice(words, 2, F.greatest(F.size(words), F.lit(1)))
+
+
+def _templates(spark: SparkSession, notices: DataFrame | None) -> DataFrame:
+    """(template, label, base, position, pairs, reach, a, b, h) of every pair of all templates."""
+    told = [(label, text, True) for text, label in BASE]
+    if notices is None:
+        told += [(label, text, False) for text, label in NOTICES]
+    given = [F.struct(*[F.lit(v).alias(n) for n, v in zip(("label", "text", "base"), row, strict=True)]) for row in told]
+    rows = spark.range(1).select(F.inline(F.array(*given)))
+    if notices is not None:
+        rows = rows.unionByName(notices.select(F.col("label").cast("string"), F.col("text").cast("string"), F.lit(False).alias("base")))
+    rows = rows.select("label", "base", words_of(F.col("text")).alias("w")).where((F.col("label") != "") & (F.size("w") > 1)).distinct()
+    pairs = (F.size("w") - 1).cast("long")
+    rows = rows.select(
+        F.xxhash64("label", "base", "w").alias("template"), "label", "base", pairs.alias("pairs"),
+        (F.floor(pairs / 10) + 2).alias("reach"), F.posexplode(F.slice(F.arrays_zip(F.col("w").alias("a"), _next(F.col("w")).alias("b")), F.lit(1), pairs.cast("int"))),
+    )
+    rows = rows.select("template", "label", "base", "pairs", "reach", F.col("pos").cast("long").alias("position"), "col.a", "col.b")
+    # The empty pair stands for the document itself, so that every document has a match.
+    own = {"template": 0, "label": "", "base": False, "pairs": 1, "reach": 2, "position": 0, "a": "", "b": ""}
+    itself = spark.range(1).select(*[F.lit(v).cast(rows.schema[n].dataType).alias(n) for n, v in own.items()])
+    return rows.unionByName(itself).withColumn("h", F.xxhash64("a", "b"))
 
 
-def words_of(text: Column) -> Column:
-    lower = F.translate(F.coalesce(text.cast("string"), F.lit("")), ascii_uppercase, ascii_lowercase)
-    return F.array_remove(F.split(lower, SEPARATORS), "")
+def _in_order(matches: Column) -> Column:
+    """Length of the longest run of matches whose positions and places both ascend (patience sorting)."""
 
+    def earlier(x: Column, y: Column) -> Column:
+        up = (x["position"] < y["position"]) | ((x["position"] == y["position"]) & (x["at"] > y["at"]))
+        return F.when(up, -1).when((x["position"] == y["position"]) & (x["at"] == y["at"]), 0).otherwise(1)
 
-def scan(docs: DataFrame) -> DataFrame:
+    def place(tails: Column, match: Column) -> Column:
+        below = F.filter(tails, lambda t: t < match["at"])
+        rest = F.slice(tails, F.size(below) + 2, F.size(tails))
+        return F.concat(below, F.array(match["at"]), rest)
+
+    # Of one position, places descend, so a run takes one of them.
+    return F.size(F.aggregate(F.array_sort(matches, earlier), F.array().cast("array<bigint>"), place)).cast("long")
+
+
+def scan(docs: DataFrame, notices: DataFrame | None = None) -> DataFrame:
     """doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score of every row."""
-    rows = docs.select(F.monotonically_increasing_id().alias("row"), docs["doc_id"].cast("long").alias("doc_id"), words_of(docs["text"]).alias("a"))
-    rows = rows.select("row", "doc_id", F.size("a").cast("long").alias("n_words"), "a", F.slice("a", 2, F.greatest(F.size("a"), F.lit(1))).alias("b"))
-    own = F.array(F.struct(F.lit("").alias("a"), F.lit("").alias("b")))
-    pairs = rows.select("row", "doc_id", "n_words", F.posexplode(F.concat(own, F.arrays_zip("a", "b"))).alias("at", "pair"))
-    pairs = pairs.select("row", "doc_id", "n_words", (F.col("at") - 1).cast("long").alias("at"), "pair.a", "pair.b", F.xxhash64("pair.a", "pair.b").alias("h"))
-    # The table of templates has a fixed number of rows.
-    hits = pairs.join(F.broadcast(_templates(docs)), ["h", "a", "b"]).repartition("row")
+    rows = docs.select(F.monotonically_increasing_id().alias("row"), docs["doc_id"].cast("long").alias("doc_id"), words_of(docs["text"]).alias("w"))
     key = ["row", "doc_id", "n_words"]
-    diagonals = hits.groupBy(*key, "template", "label", "base", "pairs", (F.col("at") - F.col("position")).alias("start")).agg(
-        F.count("*").alias("votes"), F.min("at").alias("low"), F.max("at").alias("high")
-    )
-    order = Window.partitionBy("row", "template").orderBy("start")
-    gap = F.col("start") - F.lag("start").over(order)
-    merged = diagonals.withColumn("new", F.coalesce((gap > SLACK).cast("int"), F.lit(0)))
-    merged = merged.withColumn("span", F.sum("new").over(order))
+    rows = rows.select("row", "doc_id", F.size("w").cast("long").alias("n_words"), "w", _next(F.col("w")).alias("v"))
+    own = F.array(F.struct(F.lit("").alias("a"), F.lit("").alias("b")))
+    pairs = rows.select(*key, F.posexplode(F.concat(own, F.arrays_zip(F.col("w").alias("a"), F.col("v").alias("b")))).alias("at", "pair"))
+    pairs = pairs.select(*key, (F.col("at") - 1).cast("long").alias("at"), "pair.a", "pair.b", F.xxhash64("pair.a", "pair.b").alias("h"))
+    templates = _templates(docs.sparkSession, notices)
+    # The built-in table has a fixed number of rows; a given one is measured.
+    hits = pairs.join(F.broadcast(templates) if notices is None or is_small(templates) else templates, ["h", "a", "b"])
+    told = ["template", "label", "base", "pairs", "reach"]
+    diagonals = hits.groupBy(*key, *told, (F.col("at") - F.col("position")).alias("start")).agg(
+        F.collect_list(F.struct("position", "at")).alias("matches")
+    ).withColumn("votes", F.size("matches").cast("long"))
+    # In units of the reach, rounded down, so that one frame fits templates of all lengths.
+    scaled = F.expr(f"(start * {UNIT} - pmod(start * {UNIT}, reach)) div reach")
+    span = Window.partitionBy("row", "template").orderBy(scaled).rangeBetween(0, UNIT)
+    merged = diagonals.withColumn("span_votes", F.sum("votes").over(span))
     place = F.col("base") & (F.col("votes") == F.col("pairs"))
-    spans = merged.groupBy(*key, "template", "label", "base", "pairs", "span").agg(
-        F.sum("votes").alias("votes"), F.min("low").alias("low"), F.max("high").alias("high"),
-        F.sum(place.cast("long")).alias("places"),
-        F.min(F.when(place, F.col("start"))).alias("first"), F.max(F.when(place, F.col("start"))).alias("last"),
-    )
-    share = F.least(F.col("votes"), F.col("pairs")) / F.col("pairs")
-    found = ~F.col("base") & (F.col("template") >= 0) & (share >= SHARE) & (F.col("high") - F.col("low") < F.col("pairs") + SLACK)
-    named = F.col("base") & (F.col("places") > 0)
+    enough = ~F.col("base") & (F.col("label") != "") & (F.col("span_votes") >= SHARE * F.col("pairs"))
+    merged = merged.withColumn("span", F.when(enough, F.flatten(F.collect_list("matches").over(span))))
+    verified = merged.withColumn("share", F.when(enough, _in_order(F.col("span")) / F.col("pairs")).otherwise(F.lit(0.0)))
+    found = F.col("share") >= SHARE
     join = lambda labels: F.array_join(F.array_sort(F.collect_set(labels)), ",")
-    return spans.groupBy(*key).agg(
-        F.sum("places").alias("n_base"), F.min("first").alias("first_word"), F.max("last").alias("last_word"),
-        join(F.when(named, F.col("label"))).alias("base_labels"), join(F.when(named | found, F.col("label"))).alias("labels"),
-        F.max(F.when(named, F.lit(1.0)).when(found, share).otherwise(F.lit(0.0))).alias("score"),
+    return verified.groupBy(*key).agg(
+        F.sum(place.cast("long")).alias("n_base"), F.min(F.when(place, F.col("start"))).alias("first_word"),
+        F.max(F.when(place, F.col("start"))).alias("last_word"), join(F.when(place, F.col("label"))).alias("base_labels"),
+        join(F.when(place | found, F.col("label"))).alias("labels"),
+        F.max(F.when(place, F.lit(1.0)).when(found, F.col("share")).otherwise(F.lit(0.0))).alias("score"),
     ).drop("row")
 
 
 def _values() -> str:
-    return ", ".join(f"({t}, '{label}', {str(base).lower()}, {at}, {n}, '{a}', '{b}')" for t, label, base, at, n, a, b in _pairs()[1:])
+    out = []
+    for number, (phrase, label) in enumerate([*BASE, *NOTICES]):
+        words = phrase.split()
+        n = len(words) - 1
+        for at in range(n):
+            out.append(f"({number}, '{label}', {str(number < len(BASE)).lower()}, {at}, {n}, {n // 10 + 2}, '{words[at]}', '{words[at + 1]}')")
+    return ", ".join(out)
 
 
 SQL = f"""
@@ -110,28 +148,26 @@ WITH d AS (
   SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(
     translate(coalesce(text, ''), '{ascii_uppercase}', '{ascii_lowercase}'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w
   FROM documents),
-t(template, label, base, tpos, pairs, a, b) AS (VALUES {_values()}),
+t(template, label, base, tpos, pairs, reach, a, b) AS (VALUES {_values()}),
 g AS (SELECT r, unnest(w) AS a, unnest(list_slice(w, 2, len(w))) AS b, unnest(range(len(w))) AS i FROM d),
 diagonals AS (
-  SELECT r, template, label, base, pairs, i - tpos AS start, count(*) AS votes, min(i) AS low, max(i) AS high
+  SELECT r, template, label, base, pairs, reach, i - tpos AS start, count(*) AS votes, list(struct_pack(p := tpos, i := i)) AS matches
   FROM g JOIN t USING (a, b) GROUP BY ALL),
 merged AS (
-  SELECT *, sum(new) OVER (PARTITION BY r, template ORDER BY start) AS span FROM (
-    SELECT *, CASE WHEN start - lag(start) OVER (PARTITION BY r, template ORDER BY start) > {SLACK} THEN 1 ELSE 0 END AS new
-    FROM diagonals)),
-spans AS (
-  SELECT r, label, base, pairs, sum(votes) AS votes, min(low) AS low, max(high) AS high,
-    count(*) FILTER (WHERE base AND votes = pairs) AS places,
-    min(start) FILTER (WHERE base AND votes = pairs) AS "first", max(start) FILTER (WHERE base AND votes = pairs) AS "last"
-  FROM merged GROUP BY r, template, label, base, pairs, span),
+  SELECT *, base AND votes = pairs AS place, sum(votes) OVER span AS span_votes, flatten(list(matches) OVER span) AS all_matches
+  FROM (SELECT *, (start * {UNIT} - (start * {UNIT} % reach + reach) % reach) // reach AS scaled FROM diagonals)
+  WINDOW span AS (PARTITION BY r, template ORDER BY scaled RANGE BETWEEN CURRENT ROW AND {UNIT} FOLLOWING)),
 verified AS (
-  SELECT *, base AND places > 0 AS named, least(votes, pairs) / pairs AS share,
-    NOT base AND least(votes, pairs) / pairs >= {SHARE} AND high - low < pairs + {SLACK} AS found FROM spans),
+  SELECT *, CASE WHEN NOT base AND span_votes >= {SHARE} * pairs THEN len(list_reduce(
+      [[m.i] for m in list_sort([struct_pack(p := m.p, back := -m.i, i := m.i) for m in all_matches])],
+      lambda tails, v : list_concat(list_concat([x for x in tails if x < v[1]], v), tails[len([x for x in tails if x < v[1]]) + 2:]),
+      []::BIGINT[])) / pairs ELSE 0 END AS share
+  FROM merged),
 totals AS (
-  SELECT r, sum(places) AS n_base, min("first") AS first_word, max("last") AS last_word,
-    string_agg(DISTINCT label, ',' ORDER BY label) FILTER (WHERE named) AS base_labels,
-    string_agg(DISTINCT label, ',' ORDER BY label) FILTER (WHERE named OR found) AS labels,
-    max(CASE WHEN named THEN 1.0 WHEN found THEN share ELSE 0.0 END) AS score
+  SELECT r, count(*) FILTER (place) AS n_base, min(start) FILTER (place) AS first_word, max(start) FILTER (place) AS last_word,
+    string_agg(DISTINCT label, ',' ORDER BY label) FILTER (place) AS base_labels,
+    string_agg(DISTINCT label, ',' ORDER BY label) FILTER (place OR share >= {SHARE}) AS labels,
+    max(CASE WHEN place THEN 1.0 WHEN share >= {SHARE} THEN share ELSE 0.0 END) AS score
   FROM verified GROUP BY r)
 SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_base, 0) AS BIGINT) AS n_base,
   CAST(first_word AS BIGINT) AS first_word, CAST(last_word AS BIGINT) AS last_word,

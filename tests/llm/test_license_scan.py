@@ -2,6 +2,8 @@
 
 import re
 
+import pytest
+
 from gaugewatch.llm import license_scan
 
 TEXTS = [
@@ -35,6 +37,56 @@ def test_against_walk(spark):
     assert labels[8] == ("", 0.0) and labels[10] == ("", 0.0) and labels[3] == ("", 0.0)
 
 
+def share_by_loops(words, phrase):
+    """Best span: matches on diagonals no more than the reach apart, the longest run that ascends in both."""
+    template = phrase.split()
+    n = len(template) - 1
+    matches = [(p, i) for i in range(len(words) - 1) for p in range(n) if words[i : i + 2] == template[p : p + 2]]
+    best = 0
+    for first in {i - p for p, i in matches}:
+        own = sorted(m for m in matches if first <= m[1] - m[0] <= first + 2 + n // 10)
+        longest = {}
+        for p, i in own:
+            longest[p, i] = 1 + max((k for (q, j), k in longest.items() if q < p and j < i), default=0)
+        best = max(best, *longest.values())
+    return best / n if best >= license_scan.SHARE * n else 0.0
+
+
+SPANS = [
+    "the mit license mit license", "released under the mit license mit license mit license", "released under mit the license license",
+    "license mit the under released", "released under the very mit license", "released released under under the the mit mit license license",
+    "this source code form is really subject to all the terms of the public mozilla public license",
+    "redistribution and use in source and binary forms with or without any modification are permitted",
+    "permission is hereby granted to any person obtaining a copy of this software",
+    " ".join(["licensed under cc by nc 4 0 and"] * 40), "licensed under cc by sa 4 0 or licensed under cc by nc 4 0",
+]
+
+
+def test_labels_and_scores_by_loops(spark):
+    docs = spark.createDataFrame(list(enumerate(SPANS)), "doc_id long, text string")
+    got = {r.doc_id: (r.labels, r.score) for r in license_scan.scan(docs).collect()}
+    for k, text in enumerate(SPANS):
+        words = words_of(text)
+        base = {label for phrase, label in license_scan.BASE if f" {phrase} " in f" {' '.join(words)} "}
+        shares = [share_by_loops(words, phrase) for phrase, _ in license_scan.NOTICES]
+        best = max([*shares, 1.0 if base else 0.0])
+        own = {label for phrase, label in license_scan.NOTICES if share_by_loops(words, phrase)}
+        assert got[k] == (",".join(sorted(base | own)), pytest.approx(best)), text
+    assert got[0] == ("", 0.0) and got[1] == ("mit", 1.0) and got[3] == ("", 0.0)
+
+
+def test_notices_of_a_table(spark):
+    """A long text is found with words put in and left out, and not in pieces that are out of order."""
+    long = [f"w{i}" for i in range(300)]
+    changed = long[:50] + ["by", "some", "body"] + long[50:140] + long[143:220] + ["x"] * 9 + long[220:]
+    shuffled = long[200:] + long[100:200] + long[:100]
+    notices = spark.createDataFrame([("long", " ".join(long)), ("none", None), (None, "two words"), ("one", "word"), ("long", " ".join(long))], "label string, text string")
+    docs = spark.createDataFrame([(1, "a b " + " ".join(changed)), (2, " ".join(shuffled)), (3, None), (4, "released under the mit license cc by")], "doc_id long, text string")
+    got = {r.doc_id: r for r in license_scan.scan(docs, notices).collect()}
+    assert got[1].labels == "long" and 0.9 < got[1].score < 1
+    assert got[2].labels == "" and got[3].labels == "" and got[4].labels == "cc-by"
+
+
 def test_empty_table(spark):
     assert license_scan.scan(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
