@@ -467,6 +467,17 @@ WRITE_RESUMED = f"""WITH {t.READINGS}
 SELECT sensor, count(*) AS n, min(timestamp) AS first FROM readings WHERE value_hrf IS NOT NULL GROUP BY 1"""
 
 
+def split_resumed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Raw files split in waves: a run that ends after the first one, a run for the rest, and one with nothing to do."""
+    raw, path = fresh_path(spark, "raw"), fresh_path(spark, "split")
+    t.readings(spark, sf_dir).select(*src.RAW_COLUMNS).repartition(6).write.option("header", True).csv(raw)
+    wave = max(1, src.stored_bytes(spark, raw) // 3)
+    for most in (1, None, None):
+        src.split_files(spark, raw, path, clean.prune_values, 1000, wave, most)
+    back = src.read_readings(spark, path)
+    return back.groupBy("sensor").agg(F.count(F.lit(1)).alias("n"), F.min("timestamp").alias("first"))
+
+
 def scan_mixed_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Raw, pruned and reordered files in one folder, each read under its own header."""
     path = fresh_path(spark, "mixed")
@@ -530,6 +541,7 @@ QUERIES = {
     "write_slices": (write_slices, WRITE_SLICES),
     "write_and_compact": (write_and_compact, WRITE_AND_COMPACT),
     "write_resumed": (write_resumed, WRITE_RESUMED),
+    "split_resumed": (split_resumed, WRITE_RESUMED),
     "scan_mixed_files": (scan_mixed_files, SCAN_MIXED_FILES),
     "scan_weather_files": (scan_weather_files, WEATHER_UNION),
 }

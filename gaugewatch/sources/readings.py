@@ -2,37 +2,90 @@
 
 from __future__ import annotations
 
+import hashlib
 import math
 import warnings
+from collections.abc import Callable, Iterable
 from functools import reduce
+from urllib.parse import quote
 
+import pyarrow as pa
+from pyarrow.fs import FileSystem, LocalFileSystem
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from gaugewatch.session import cut
+
 RAW_COLUMNS = ["timestamp", "node_id", "subsystem", "sensor", "parameter", "value_raw", "value_hrf"]
 NODE_COLUMNS = ["node_id", "lat", "lon"]
 SENSOR_COLUMNS = ["subsystem", "sensor", "parameter", "hrf_unit", "hrf_minval", "hrf_maxval", "datasheet"]
 
 
-def _by_header(spark: SparkSession, path: str | list[str]) -> dict[str, list[str]]:
-    """Files under ``path`` by their first line.
+def list_files(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """(path, length) of the files that a reader of ``path`` would take; nothing is opened."""
+    return spark.read.format("binaryFile").load(path).select("path", "length")
 
-    Only the first line of each file is read. Spark itself takes the header of
-    one file and applies it to all others by position.
-    """
+
+def first_lines(files: DataFrame) -> DataFrame:
+    """(path, header) of files, opened by the tasks; NULL where the workers' own file systems cannot open one."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
+        for batch in batches:
+            names = batch.column("path").to_pylist()
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("path"), pa.array([first_line(n) for n in names], pa.string())], ["path", "header"]
+            )
+
+    return files.select("path").mapInArrow(run, "path string, header string")
+
+
+def first_line(name: str) -> str | None:
+    """The first line of a file by its full name; packed files by their endings."""
+    try:
+        if name.startswith("file:"):
+            system, at = LocalFileSystem(), "/" + name.removeprefix("file:").lstrip("/")
+        else:
+            system, at = FileSystem.from_uri(quote(name, safe=":/@"))
+        with system.open_input_stream(at, compression="detect") as stream:
+            held = b""
+            while b"\n" not in held and (part := stream.read(1 << 14)):
+                held += part
+    except (OSError, ValueError, ImportError):
+        return None
+    return held.split(b"\n", 1)[0].rstrip(b"\r").decode("utf-8", "replace")
+
+
+def _driver_first_line(spark: SparkSession, name: str) -> str:
+    """The same by the driver's Hadoop client: the way left where tasks have no client of their own."""
     hadoop, io = spark._jvm.org.apache.hadoop, spark._jvm.java.io
     conf = spark._jsc.hadoopConfiguration()
-    codecs = hadoop.io.compress.CompressionCodecFactory(conf)
-    found: dict[str, list[str]] = {}
-    for name in spark.read.text(path).inputFiles():
-        file = hadoop.fs.Path(spark._jvm.java.net.URI(name))
-        stream = file.getFileSystem(conf).open(file)
-        codec = codecs.getCodec(file)
-        lines = io.BufferedReader(io.InputStreamReader(codec.createInputStream(stream) if codec else stream, "UTF-8"))
-        found.setdefault(lines.readLine() or "", []).append(name)
+    file = hadoop.fs.Path(name)
+    stream = file.getFileSystem(conf).open(file)
+    codec = hadoop.io.compress.CompressionCodecFactory(conf).getCodec(file)
+    lines = io.BufferedReader(io.InputStreamReader(codec.createInputStream(stream) if codec else stream, "UTF-8"))
+    try:
+        return lines.readLine() or ""
+    finally:
         lines.close()
+
+
+def _by_header(spark: SparkSession, path: str | list[str]) -> dict[str, list[str]]:
+    """Files under ``path`` by their first line; the names are only listed where there are several.
+
+    Spark itself takes the header of one file and applies it to all others by
+    position. Files are opened by tasks, so the driver's work does not grow
+    with their number.
+    """
+    told = cut(first_lines(list_files(spark, path)))
+    headers = [r["header"] for r in told.select("header").distinct().collect()]
+    if len(headers) == 1 and headers[0]:
+        return {headers[0]: []}
+    found: dict[str, list[str]] = {}
+    for row in told.collect():
+        header = _driver_first_line(spark, row["path"]) if row["header"] is None else row["header"]
+        found.setdefault(header, []).append(row["path"])
     found.pop("", None)
     return found
 
@@ -134,6 +187,40 @@ def write_bounded(df: DataFrame, path: str, rows_per_file: int) -> None:
         df.write.mode("overwrite").option("maxRecordsPerFile", rows_per_file).option("header", True).csv(path)
 
 
+def split_files(
+    spark: SparkSession,
+    source: str | list[str],
+    path: str,
+    transform: Callable[[DataFrame], DataFrame],
+    rows_per_file: int,
+    wave_bytes: int = 1 << 40,
+    max_waves: int | None = None,
+) -> int:
+    """``transform`` of all source files, in files of bounded rows; a rerun only does what is missing.
+
+    Source files are taken in waves of about ``wave_bytes``, each a job of its
+    own. A ledger beside the output names the files of finished waves. A wave
+    is named by its files, so one that was written but not entered is replaced
+    by its rerun, and finished ones are never touched. Returns the waves done.
+    """
+    ledger = f"{path}/_ledger"
+    files = list_files(spark, source)
+    if is_finished(spark, ledger):
+        files = files.join(spark.read.schema("path string, wave string").parquet(ledger).select("path"), "path", "left_anti")
+    before = Window.orderBy("path").rowsBetween(Window.unboundedPreceding, -1)
+    # File names and sizes only: as many rows as files are left.
+    waiting = cut(files.withColumn("number", F.floor(F.coalesce(F.sum("length").over(before), F.lit(0)) / F.lit(wave_bytes))))
+    numbers = [r["number"] for r in waiting.select("number").distinct().orderBy("number").collect()][:max_waves]
+    for number in numbers:
+        names = [r["path"] for r in waiting.filter(F.col("number") == number).orderBy("path").collect()]
+        wave = hashlib.sha256("\n".join(names).encode()).hexdigest()[:16]
+        part = transform(read_by_header(spark, names))
+        part.write.mode("overwrite").option("maxRecordsPerFile", rows_per_file).option("header", True).csv(f"{path}/wave={wave}")
+        done = waiting.filter(F.col("number") == number).select("path", F.lit(wave).alias("wave"))
+        done.coalesce(1).write.mode("append").parquet(ledger)
+    return len(numbers)
+
+
 def stored_bytes(spark: SparkSession, path: str) -> int:
     """Total size of a folder, from file metadata only."""
     hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)

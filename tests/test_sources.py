@@ -1,9 +1,11 @@
 """Files in and out."""
 
+import gzip
 import json
 from types import SimpleNamespace
 
 import pytest
+from pyspark.sql import DataFrameWriter
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -160,3 +162,64 @@ def test_wide_schema_goes_by_name(spark, tmp_path):
     (tmp_path / "b.csv").write_text("acc_y,hostID\n3,h2\n")
     got = src.read_wide(spark, str(tmp_path), T.StructType.fromDDL("hostID string, acc_x double, acc_y double"))
     assert sorted(map(tuple, got.collect())) == [("h1", 1.0, 2.0), ("h2", None, 3.0)]
+
+
+def test_headers_are_read_by_tasks(spark, tmp_path, monkeypatch):
+    """Whatever the number of files, the driver opens none of them."""
+    folder = tmp_path / "many files"
+    folder.mkdir()
+    for i in range(400):
+        names = ("timestamp", "node_id", "value_hrf") if i % 4 else ("value_hrf", "timestamp", "sensor", "node_id")
+        values = {"timestamp": "2018/01/01 00:00:00", "node_id": f"n{i}", "value_hrf": str(i), "sensor": "s"}
+        (folder / f"part {i}.csv").write_text(",".join(names) + "\r\n" * (i % 2) + "\n" * (1 - i % 2) + ",".join(values[n] for n in names) + "\n")
+    (folder / "empty.csv").write_text("")
+    with gzip.open(folder / "packed.csv.gz", "wt") as file:
+        file.write("node_id,value_hrf\nn1000,7\n")
+
+    def opened(*_):
+        raise AssertionError("the driver opened a file")
+
+    monkeypatch.setattr(src, "_driver_first_line", opened)
+    got = {r.node_id: (r.value_hrf, r.sensor) for r in src.read_readings(spark, str(folder)).collect()}
+    assert len(got) == 401 and got["n1000"] == ("7", None)
+    assert all(got[f"n{i}"] == (str(i), None if i % 4 else "s") for i in range(400))
+
+
+def test_files_that_tasks_cannot_open_are_left_to_the_driver(spark, tmp_path, monkeypatch):
+    (tmp_path / "a.csv").write_text("node_id,value_hrf\nn1,1\n")
+    (tmp_path / "b.csv").write_text("value_hrf,node_id\n2,n2\n")
+    unknown = lambda files: files.select("path", F.lit(None).cast("string").alias("header"))
+    monkeypatch.setattr(src, "first_lines", unknown)
+    assert {(r.node_id, r.value_hrf) for r in src.read_readings(spark, str(tmp_path)).collect()} == {("n1", "1"), ("n2", "2")}
+
+
+def test_split_goes_on_where_it_ended(spark, tmp_path, monkeypatch):
+    raw, out = tmp_path / "raw", tmp_path / "out"
+    raw.mkdir()
+    for i in range(8):
+        (raw / f"{i}.csv").write_text("node_id,value_hrf\n" + f"n{i},{i}\n" * 50)
+    read = lambda: sorted((r.node_id, r.value_hrf) for r in src.read_readings(spark, str(out)).collect())
+    state = lambda: {p.name: (p.read_bytes(), p.stat().st_mtime_ns) for p in out.rglob("*.csv")}
+    size = (raw / "0.csv").stat().st_size
+    keep = lambda df: df.filter("value_hrf <> '3'")
+    assert src.split_files(spark, str(raw), str(out), keep, 20, 2 * size, max_waves=2) == 2
+    half = state()
+    assert len(read()) == 150 and len(half) >= 9
+    # The next wave is written, but its job dies before the ledger knows.
+    real = DataFrameWriter.parquet
+
+    def dies(self, path, *args, **options):
+        if path.endswith("_ledger"):
+            raise RuntimeError("lost")
+        return real(self, path, *args, **options)
+
+    with monkeypatch.context() as patch:
+        patch.setattr(DataFrameWriter, "parquet", dies)
+        with pytest.raises(RuntimeError, match="lost"):
+            src.split_files(spark, str(raw), str(out), keep, 20, 2 * size)
+    assert src.split_files(spark, str(raw), str(out), keep, 20, 2 * size) == 2
+    assert {k: v for k, v in state().items() if k in half} == half
+    assert read() == sorted((f"n{i}", str(i)) for i in range(8) if i != 3 for _ in range(50))
+    assert src.split_files(spark, str(raw), str(out), keep, 20, 2 * size) == 0
+    (raw / "9.csv").write_text("value_hrf,node_id\n9,n9\n")
+    assert src.split_files(spark, str(raw), str(out), keep, 20, 2 * size) == 1 and len(read()) == 351
