@@ -69,13 +69,18 @@ def sensor_profile(df: DataFrame, order: str = "ingest_id") -> DataFrame:
         F.col(order).alias("_first"),
         F.col("value_hrf").alias("first_value"), F.col("value_raw").alias("first_value_raw"),
     )
+    return profile_columns(grouped.join(firsts, "_first", "left"))
+
+
+def profile_columns(grouped: DataFrame) -> DataFrame:
+    """The columns of a profile: no statistics where a group is textual."""
     out = [F.concat_ws("_", *SENSOR_KEYS).alias("id"), *SENSOR_KEYS, "readings", "textual"]
     for suffix in ("", "_raw"):
         for stat in ("min", "max", "mean", "std"):
             name = f"{stat}_value{suffix}"
             out.append(F.when(~F.col("textual"), F.col(name)).alias(name))
         out.append(f"first_value{suffix}")
-    return grouped.join(firsts, "_first", "left").select(*out)
+    return grouped.select(*out)
 
 
 def template_stats(df: DataFrame, cols: list[str]) -> DataFrame:

@@ -7,7 +7,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gaugewatch.functions.network import Weights
-from gaugewatch.operators import detect, embedder
+from gaugewatch.operators import detect, embedder, profile_states
+from gaugewatch.plans import profiles
 from gaugewatch.plans import tables as t
 from gaugewatch.plans.tables import r
 from gaugewatch.plans.verdicts import THRESHOLD, _rules_cte, _semantic_cte, feedback_rows
@@ -150,7 +151,44 @@ STORE_AFTER_FEEDBACK = f"""WITH {t.VECTORS}, {_REVIEWED}
 SELECT pattern_id, host_id, activity, is_anomaly, anomaly_type, description, explanation,
        array_to_string([round(v::double * 1e6)::bigint for v in embedding], ',') AS vector FROM store"""
 
+# --- profiles by slice ------------------------------------------------------------------------------
+
+DAY, YEAR = 10, 4  # characters of a reading's time
+
+
+def _saved_by_slice(spark: SparkSession, df: DataFrame, make, size: int = DAY, time: str = "timestamp") -> DataFrame:
+    """States of all slices: the odd ones in one job, the even ones in a second, and some of them once more."""
+    path, day = fresh_path(spark, "states"), F.substring(time, 1, size)
+    number = F.substring(day, size - 1, 2).cast("int")
+    for part in (number % 2 == 1, number % 2 == 0, number % 4 == 0):
+        states = make(df.filter(part), day)
+        profile_states.save_states(states, path)
+    return profile_states.load_states(spark, path, states.schema)
+
+
+def profile_merged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The profile of all sensors from the states of single days."""
+    return t.tidy(profile_states.merge_sensor_states(_saved_by_slice(spark, t.readings(spark, sf_dir), profile_states.sensor_states)))
+
+
+KEYS = ["node_id", "subsystem", "sensor", "parameter"]
+
+
+def dataset_stats_merged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = _saved_by_slice(spark, t.readings(spark, sf_dir), lambda df, day: profile_states.combo_states(df, day, KEYS))
+    return t.tidy(profile_states.merge_combo_states(made, KEYS))
+
+
+def template_stats_merged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Means and deviations of wide readings, by the year of their orders."""
+    make = lambda df, day: profile_states.number_states(df, day, t.WIDE_SENSORS)
+    return t.tidy(profile_states.merge_number_states(_saved_by_slice(spark, t.wide(spark, sf_dir), make, YEAR), t.WIDE_SENSORS))
+
+
 QUERIES = {
+    "profile_merged": (profile_merged, profiles.SENSOR_PROFILE),
+    "dataset_stats_merged": (dataset_stats_merged, profiles.DATASET_STATS),
+    "template_stats_merged": (template_stats_merged, profiles.TEMPLATE_STATS),
     "embed_formula": (embed_formula, EMBED_FORMULA),
     "detect_embedded": (detect_embedded, DETECT_EMBEDDED),
     "detect_after_feedback": (detect_after_feedback, DETECT_AFTER_FEEDBACK),

@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from gaugewatch.functions.vectors import nearest
-from gaugewatch.operators import cells, contrastive, embedder, ivfpq, retrieval
+from gaugewatch.operators import cells, contrastive, embedder, ivfpq, profile_states, profiling, retrieval
 from gaugewatch.sources import pattern_store
 
 
@@ -192,3 +192,26 @@ def test_feedback_is_applied_once(spark, tmp_path, monkeypatch):
     assert [r.pattern_id for r in rows] == list(range(7))
     assert [r.embedding[1] for r in rows] == [0.0, 1.0, 2.0, 4.0, 5.0, 6.0, 7.0]
     assert [r.is_anomaly for r in rows] == [True, False, True, True, False, True, False]
+
+
+def test_profiles_merge_to_the_profile_of_all_rows(spark, tmp_path):
+    rng = np.random.default_rng(2)
+    values = [None if i % 11 == 0 else "n/a" if i % 97 == 0 else f"{1e6 + rng.normal():.6f}" for i in range(600)]
+    rows = [(i, f"d{i % 7}", "s" if i % 3 else None, f"k{i % 5}", "p", v, None if i % 2 else v) for i, v in enumerate(values)]
+    df = spark.createDataFrame(rows, "ingest_id long, day string, subsystem string, sensor string, parameter string, value_hrf string, value_raw string")
+    path, day = str(tmp_path / "states"), F.col("day")
+    for some in (["d0", "d1"], ["d2", "d3", "d4", "d5", "d6"], ["d3"], []):
+        states = profile_states.sensor_states(df.filter(F.col("day").isin(some)), day)
+        profile_states.save_states(states, path)
+    merged = profile_states.merge_sensor_states(profile_states.load_states(spark, path, states.schema))
+    key = lambda r: (r.subsystem or "", r.sensor)
+    got, expected = (sorted(x.collect(), key=key) for x in (merged, profiling.sensor_profile(df)))
+    assert len(got) == len(expected) == 10
+    for a, b in zip(got, expected, strict=True):
+        assert a.asDict().keys() == b.asDict().keys()
+        for name, value in b.asDict().items():
+            assert a[name] == (pytest.approx(value, rel=1e-9) if isinstance(value, float) else value), name
+    keys = ["sensor", "parameter"]
+    combos = profile_states.combo_states(df, day, keys)
+    assert profile_states.merge_combo_states(combos, keys).first() == profiling.dataset_stats(df, keys).first()
+    assert profile_states.merge_combo_states(combos.limit(0), keys).first()["total_samples"] == 0
