@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gaugewatch.functions.network import Weights
-from gaugewatch.operators import detect, embedder, profile_states
+from gaugewatch.operators import answers, detect, embedder, profile_states
 from gaugewatch.plans import profiles
 from gaugewatch.plans import tables as t
 from gaugewatch.plans.tables import r
@@ -151,6 +151,40 @@ STORE_AFTER_FEEDBACK = f"""WITH {t.VECTORS}, {_REVIEWED}
 SELECT pattern_id, host_id, activity, is_anomaly, anomaly_type, description, explanation,
        array_to_string([round(v::double * 1e6)::bigint for v in embedding], ',') AS vector FROM store"""
 
+# --- answers as a ledger -------------------------------------------------------------------------------
+
+
+def answers_retried(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Answers about every event; a service that fails for every prompt once is asked in two runs.
+
+    The first run may ask once, the second up to three times; the service only
+    answers prompts that it has refused before, and never answers errors.
+    """
+    events = t.read(spark, sf_dir, "events")
+    told = F.concat_ws(" ", F.lit("What does"), "event_type", F.lit("of"), F.round("value", 2).cast("string"), F.lit("mean?"))
+    prompts = events.select(F.col("event_id").alias("query_id"), F.lit("contextual").alias("prompt_kind"), told.alias("prompt"))
+    path = fresh_path(spark, "answers")
+
+    def refuses(texts: list[str]) -> list[str]:
+        raise ConnectionError("busy")
+
+    def serves(texts: list[str]) -> list[str]:
+        if any(" error " in text for text in texts):
+            raise ValueError("no answer to errors")
+        return [f"Heard: {text}" for text in texts]
+
+    answers.ask_all(prompts, refuses, path, attempts=1)
+    answers.ask_all(prompts, serves, path)
+    answers.ask_all(prompts, refuses, path)  # nothing is left to ask
+    every = answers.read_attempts(spark, path).groupBy("query_id").agg(F.count(F.lit(1)).alias("asked"), F.max("answer").alias("answer"))
+    return t.tidy(every)
+
+
+ANSWERS_RETRIED = """SELECT event_id AS query_id, CASE event_type WHEN 'error' THEN 3 ELSE 2 END AS asked,
+       CASE WHEN event_type <> 'error' THEN 'Heard: What does ' || event_type || ' of ' || round(value, 2)::varchar || ' mean?' END AS answer
+FROM events"""
+
+
 # --- profiles by slice ------------------------------------------------------------------------------
 
 DAY, YEAR = 10, 4  # characters of a reading's time
@@ -186,6 +220,7 @@ def template_stats_merged(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "answers_retried": (answers_retried, ANSWERS_RETRIED),
     "profile_merged": (profile_merged, profiles.SENSOR_PROFILE),
     "dataset_stats_merged": (dataset_stats_merged, profiles.DATASET_STATS),
     "template_stats_merged": (template_stats_merged, profiles.TEMPLATE_STATS),

@@ -112,6 +112,11 @@ SELECT ingest_id, node_id FROM readings
 QUALIFY row_number() OVER (PARTITION BY node_id ORDER BY md5('42:' || ingest_id::varchar), ingest_id) <= 50"""
 
 
+def sample_bottom_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same rows as ``sample_per_node``, by states that merge."""
+    return sampling.sample_bottom_k(t.readings(spark, sf_dir), 50).select("ingest_id", "node_id")
+
+
 def _held(spark: SparkSession, sf_dir: str) -> DataFrame:
     usable = clean.reject_unparsed(t.readings(spark, sf_dir), "value_hrf")
     return sampling.split_holdout(usable)
@@ -349,6 +354,7 @@ QUERIES = {
     "template_stats": (template_stats, TEMPLATE_STATS),
     "head_rows": (head_rows, HEAD_ROWS),
     "sample_per_node": (sample_per_node, SAMPLE_PER_NODE),
+    "sample_bottom_k": (sample_bottom_k, SAMPLE_PER_NODE),
     "split_holdout": (split_holdout, SPLIT_HOLDOUT),
     "inject_anomalies": (inject_anomalies, INJECT_ANOMALIES),
     "append_scaled_last": (append_scaled_last, APPEND_SCALED_LAST),

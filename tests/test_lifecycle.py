@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from gaugewatch.functions.vectors import nearest
-from gaugewatch.operators import cells, contrastive, embedder, ivfpq, profile_states, profiling, retrieval
+from gaugewatch.operators import answers, cells, contrastive, embedder, ivfpq, profile_states, profiling, retrieval, sampling
 from gaugewatch.sources import pattern_store
 
 
@@ -215,3 +215,35 @@ def test_profiles_merge_to_the_profile_of_all_rows(spark, tmp_path):
     combos = profile_states.combo_states(df, day, keys)
     assert profile_states.merge_combo_states(combos, keys).first() == profiling.dataset_stats(df, keys).first()
     assert profile_states.merge_combo_states(combos.limit(0), keys).first()["total_samples"] == 0
+
+
+def test_only_prompts_without_an_answer_are_asked_again(spark, tmp_path):
+    prompts = spark.createDataFrame([(i, "contextual", f"prompt {i}") for i in range(20)] + [(3, "contextual", "zzz")], "query_id long, prompt_kind string, prompt string")
+    path, seen = str(tmp_path / "ledger"), str(tmp_path / "seen")
+
+    def generate(texts, odd_fails=True):
+        with open(seen, "a") as file:
+            file.writelines(t + "\n" for t in texts if len(texts) == 1 or not odd_fails)
+        if odd_fails and any(int(t.split()[1]) % 2 for t in texts):
+            raise TimeoutError("slow")
+        return [t.upper() for t in texts]
+
+    assert answers.ask_all(prompts, generate, path, attempts=2).count() == 10
+    first = answers.read_attempts(spark, path)
+    assert first.filter("answer is null").count() == 20 and first.count() == 30
+    assert first.filter("error like 'TimeoutError%'").count() == 20
+    got = answers.ask_all(prompts, lambda texts: [t.upper() for t in texts], path, attempts=3)
+    told = {r.query_id: (r.answer, r.attempts) for r in got.collect()}
+    assert told == {i: (f"PROMPT {i}", 3 if i % 2 else 1) for i in range(20)}
+    assert answers.read_attempts(spark, path).count() == 40
+
+
+@pytest.mark.parametrize("lanes", [256, 2])
+def test_bottom_k_is_the_sample_per_node(spark, monkeypatch, lanes):
+    monkeypatch.setattr(sampling, "STATE_ROWS", 30)
+    rows = [(i, None if i % 10 == 9 else "hot" if i % 3 else f"n{i % 8}", "x" * (i % 4)) for i in range(500)]
+    df = spark.createDataFrame(rows, "ingest_id long, node_id string, note string").repartition(7)
+    got = sampling.sample_bottom_k(df, 12, tasks_per_lane=lanes)
+    assert sorted(map(str, got.collect())) == sorted(map(str, sampling.sample_per_node(df, 12).collect()))
+    assert got.columns == df.columns and "Window" not in got._jdf.queryExecution().toString()
+    assert sampling.sample_bottom_k(df.limit(0), 12).count() == 0
