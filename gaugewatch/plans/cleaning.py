@@ -467,6 +467,28 @@ WRITE_RESUMED = f"""WITH {t.READINGS}
 SELECT sensor, count(*) AS n, min(timestamp) AS first FROM readings WHERE value_hrf IS NOT NULL GROUP BY 1"""
 
 
+def compact_by_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pruned readings, half of them of one second, in files of bounded bytes."""
+    small, big = fresh_path(spark, "small"), fresh_path(spark, "big")
+    rows = clean.prune_values(t.readings(spark, sf_dir))
+    busy = F.when(F.pmod("ingest_id", F.lit(2)) == 0, F.lit("2024/01/09 00:00:00")).otherwise(F.col("timestamp"))
+    src.write_bounded(rows.withColumn("timestamp", busy), small, rows_per_file=1000)
+    most = 20_000
+    src.compact_by_bytes(spark, small, big, most, ranges=16)
+    sizes = src.list_files(spark, f"{big}/*/*.parquet").agg(F.max("length").alias("largest"), F.count(F.lit(1)).alias("files")).first()
+    # A file of Parquet has some thousand bytes of its own.
+    even = sizes["largest"] <= 1.2 * most + 4000
+    back = spark.read.parquet(big)
+    return back.groupBy("node_id").agg(
+        F.count(F.lit(1)).alias("n"), F.min("timestamp").alias("first"), F.max("timestamp").alias("last"), F.lit(even).alias("even")
+    )
+
+
+COMPACT_BY_BYTES = f"""WITH {t.READINGS}, busy AS (
+  SELECT *, CASE WHEN ingest_id % 2 = 0 THEN '2024/01/09 00:00:00' ELSE timestamp END AS moved FROM readings WHERE value_hrf IS NOT NULL)
+SELECT node_id, count(*) AS n, min(moved) AS first, max(moved) AS last, true AS even FROM busy GROUP BY 1"""
+
+
 def split_resumed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Raw files split in waves: a run that ends after the first one, a run for the rest, and one with nothing to do."""
     raw, path = fresh_path(spark, "raw"), fresh_path(spark, "split")
@@ -541,6 +563,7 @@ QUERIES = {
     "write_slices": (write_slices, WRITE_SLICES),
     "write_and_compact": (write_and_compact, WRITE_AND_COMPACT),
     "write_resumed": (write_resumed, WRITE_RESUMED),
+    "compact_by_bytes": (compact_by_bytes, COMPACT_BY_BYTES),
     "split_resumed": (split_resumed, WRITE_RESUMED),
     "scan_mixed_files": (scan_mixed_files, SCAN_MIXED_FILES),
     "scan_weather_files": (scan_weather_files, WEATHER_UNION),

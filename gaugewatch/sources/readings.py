@@ -250,5 +250,54 @@ def compact(
     ).csv(dst)
 
 
+def compact_by_bytes(
+    spark: SparkSession,
+    source: str | list[str],
+    path: str,
+    max_bytes: int = 1 << 30,
+    order: tuple[str, ...] = ("timestamp", "node_id", "sensor", "parameter"),
+    ranges: int = 256,
+) -> None:
+    """Gather files into Parquet files of about ``max_bytes`` each, ordered by time over all of them.
+
+    Rows are dealt into ranges of the whole order first; running sums of their
+    bytes inside of a range, and the sums of the ranges before, say which file
+    a row goes to. So borders lie where the bytes are, however uneven times and
+    row sizes may be, and a file is at most a row larger than the others. How
+    much Parquet packs the rows is measured on the ranges. Finished output is
+    left alone.
+    """
+    if is_finished(spark, path):
+        return
+    df = read_by_header(spark, source)
+    keys = [c for c in order if c in df.columns]
+    size = sum((F.coalesce(F.octet_length(F.col(f"`{c}`")), F.lit(0)) + 1 for c in df.columns), F.lit(0)).cast("bigint")
+    # Rows that are equal in the order are told apart by all they hold, equal rows by their place.
+    marked = df.withColumns({"_bytes": size, "_tie": F.xxhash64(*[F.col(f"`{c}`") for c in df.columns]), "_place": F.monotonically_increasing_id()})
+    ties = [*keys, "_tie", "_place"]
+    held = cut(marked.repartitionByRange(ranges, *ties).withColumn("_range", F.spark_partition_id()))
+    told = held.groupBy("_range").agg(F.sum("_bytes").alias("_sum"))
+    before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = cut(told.withColumn("_offset", F.coalesce(F.sum("_sum").over(before), F.lit(0))))  # a row per range
+    total = offsets.agg(F.sum("_sum")).first()[0]
+    if not total:
+        df.write.mode("overwrite").parquet(path)
+        return
+    stored = sum(stored_bytes(spark, f) for f in {r["f"] for r in _folders(held).collect()})
+    files = max(1, math.ceil(stored / max_bytes))
+    inside = Window.partitionBy("_range").orderBy(*ties).rowsBetween(Window.unboundedPreceding, -1)
+    placed = held.withColumn("_run", F.coalesce(F.sum("_bytes").over(inside), F.lit(0))).join(
+        F.broadcast(offsets.select("_range", "_offset")), "_range"
+    )
+    number = F.least(F.floor((F.col("_offset") + F.col("_run")) / F.lit(total) * F.lit(files)), F.lit(files - 1)).cast("int")
+    out = placed.withColumn("file", number).repartition(files, "file").sortWithinPartitions("file", *ties)
+    out.select(*df.columns, "file").write.mode("overwrite").partitionBy("file").parquet(path)
+
+
+def _folders(df: DataFrame) -> DataFrame:
+    """The folder that a written table lies in, as one row."""
+    return df.select(F.regexp_replace(F.col("_metadata.file_path"), "/[^/]*$", "").alias("f")).limit(1)
+
+
 def union_all(*dfs: DataFrame) -> DataFrame:
     return reduce(DataFrame.unionByName, dfs)

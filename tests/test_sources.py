@@ -2,6 +2,7 @@
 
 import gzip
 import json
+import random
 from types import SimpleNamespace
 
 import pytest
@@ -223,3 +224,24 @@ def test_split_goes_on_where_it_ended(spark, tmp_path, monkeypatch):
     assert src.split_files(spark, str(raw), str(out), keep, 20, 2 * size) == 0
     (raw / "9.csv").write_text("value_hrf,node_id\n9,n9\n")
     assert src.split_files(spark, str(raw), str(out), keep, 20, 2 * size) == 1 and len(read()) == 351
+
+
+def test_compacted_files_are_even_in_bytes(spark, tmp_path):
+    """One busy second with most rows, and rows of very different sizes."""
+    raw, out = tmp_path / "raw", str(tmp_path / "out")
+    raw.mkdir()
+    draw = random.Random(4)
+    lines = []
+    for i in range(6000):
+        second = "2018/01/01 00:00:07" if i % 4 else f"2018/01/01 00:{i % 60:02}:00"
+        lines.append(f"{second},n{i % 3},{draw.getrandbits(4000 if i < 300 else 60):x}")
+    (raw / "a.csv").write_text("timestamp,node_id,value_hrf\n" + "\n".join(lines) + "\n")
+    src.compact_by_bytes(spark, str(raw), out, 60_000, ranges=8)
+    sizes = [r["length"] for r in src.list_files(spark, out + "/*/*.parquet").collect()]
+    assert len(sizes) > 4 and max(sizes) <= 1.2 * 60_000 and min(sizes) > 10_000
+    back = spark.read.parquet(out)
+    assert sorted(f"{r.timestamp},{r.node_id},{r.value_hrf}" for r in back.collect()) == sorted(lines)
+    spans = back.groupBy("file").agg(F.min("timestamp").alias("a"), F.max("timestamp").alias("b")).orderBy("file").collect()
+    assert all(x.b <= y.a for x, y in zip(spans, spans[1:]))
+    src.compact_by_bytes(spark, str(raw), out, 1, ranges=8)  # finished output stays
+    assert len(src.list_files(spark, out + "/*/*.parquet").collect()) == len(sizes)
