@@ -19,11 +19,11 @@ that ``|q - x|^2 = |q|^2 + R^2 - 2 q.x``. The nearest are the best.
 
 Components are ``floor(64 x)``; scores are exact integers. Vectors that are
 null or hold null or non-finite components take no part, nor do rows without
-an id. Vectors of different lengths never meet. Rows that repeat an id and its
-vector count as one; different vectors of an id all take part, each as a row
-of its own, but never meet one another, and share one ranking. Ties go to the
-smaller id. An empty table gives an empty result. Only ``vec_id`` and
-``embedding`` are read.
+an id. Vectors of different lengths never meet. Rows that repeat an id all take
+part, each as a row of its own, whether their vectors are equal or not, but never
+meet one another, and share one ranking. Ties go to the smaller id. Components
+that leave 62 bits as integers, and products that may leave 63, raise an error.
+An empty table gives an empty result. Only ``vec_id`` and ``embedding`` are read.
 """
 
 from __future__ import annotations
@@ -58,13 +58,15 @@ def integers(vectors: DataFrame) -> DataFrame:
     """(vec_id, size, ints, norm): whole vectors as little-endian 64-bit integers, and their squared norm."""
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("e"))
     usable = F.forall("e", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < math.inf))
-    rows = rows.where(F.col("vec_id").isNotNull() & F.col("e").isNotNull() & usable).distinct()
+    rows = rows.where(F.col("vec_id").isNotNull() & F.col("e").isNotNull() & usable)
 
     def run(source: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in source:
             ids, ints, norms, sizes = [], [], [], []
             for vec_id, e in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 v = np.floor(SCALE * np.array(e, np.float64))
+                if v.size and np.abs(v).max() >= 2.0**62:
+                    raise ValueError("a component leaves the range of 64-bit integers")
                 ids.append(vec_id)
                 ints.append(v.astype("<i8").tobytes())
                 norms.append(float(v @ v))
@@ -112,6 +114,8 @@ def scores_of(queries: np.ndarray, vectors: np.ndarray) -> np.ndarray:
     largest = float(np.abs(queries).max()) * float(np.abs(vectors).max()) * queries.shape[1]
     if largest < 2**53:
         return (queries.astype(np.float64) @ vectors.T.astype(np.float64)).astype(np.int64)
+    if largest >= 2**63:
+        raise ValueError("inner products leave the range of 64-bit integers")
     return queries @ vectors.T
 
 
@@ -269,8 +273,11 @@ def top_k(vectors: DataFrame, k: int = K, every: int = EVERY, cell_rows: int = C
             score += scored
         return _batch(query, ids, score)
 
-    copies = index.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
-    probes = own.mapInArrow(probe, PROBE)
+    own.mapInArrow(probe, PROBE).write.parquet(f"{at}/probes")
+    probes = spark.read.schema(PROBE).parquet(f"{at}/probes")
+    # A cell is copied for those parts only that probe it.
+    probed = spark.read.schema(PROBE).parquet(f"{at}/probes").select("cell", "part").distinct()
+    copies = index.join(probed, "cell")
     second = copies.groupBy("cell", "part").cogroup(probes.groupBy("cell", "part")).applyInArrow(other_cells, FOUND)
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     ranked = first.unionByName(second).withColumn("rank", F.row_number().over(order))

@@ -9,13 +9,15 @@ from gaugewatch.llm import topk_search
 
 
 def brute(rows, k=20, every=20):
-    valid = {}
-    for i, e in rows:
-        if i is not None and e is not None and all(x is not None and np.isfinite(x) for x in e):
-            valid[i] = [int(np.floor(64 * np.float64(np.float32(x)))) for x in e]
+    valid = [
+        (i, [int(np.floor(64 * np.float64(np.float32(x)))) for x in e])
+        for i, e in rows if i is not None and e is not None and all(x is not None and np.isfinite(x) for x in e)
+    ]
     out = []
-    for q in sorted(i for i in valid if i % every == 0):
-        scored = sorted((-sum(a * b for a, b in zip(valid[q], v)), i) for i, v in valid.items() if i != q and len(v) == len(valid[q]))
+    for q in sorted({i for i, _ in valid if i % every == 0}):
+        scored = sorted(
+            (-sum(a * b for a, b in zip(e, v)), i) for j, e in valid if j == q for i, v in valid if i != q and len(v) == len(e)
+        )
         out += [(q, r, i, -s) for r, (s, i) in enumerate(scored[:k], 1)]
     return out
 
@@ -57,6 +59,13 @@ def test_bounds_hold_and_prune():
     assert (bound < kth[:, None]).mean() > 0.5
 
 
+def test_what_leaves_64_bits_is_refused(spark):
+    for value in (1e30, 1e9):
+        rows = [(i, [value] * 4) for i in range(3)]
+        with pytest.raises(Exception, match="64-bit"):
+            topk_search.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<float>")).collect()
+
+
 def test_empty_table(spark):
     assert topk_search.top_k(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
 
