@@ -12,8 +12,9 @@ minus position in the item) lie no further than k apart. So
 
 Texts are compared in lower case with runs of white space as one space; spans
 are given in characters of the text as it is. The edit budget is a share of
-the item's length. Items too short for the lemma get a smaller budget, at
-least 0; an item shorter than a q-gram is searched as it is.
+the item's length, at every length. The lemma asks for a q of at most
+``m / (k + 1)``, so items too short for the usual q are indexed with the
+largest one that it allows; with no edits that is the whole item.
 
 Documents are not shuffled. The index of the items is broadcast if it is below
 a bound in size; a larger benchmark is cut into groups below it, each of which
@@ -37,7 +38,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from gaugewatch.llm.common import batches, parts_for
+from gaugewatch.llm.common import batches, free_names, parts_for
 
 GRAM = 8
 EDITS = 0.1
@@ -101,14 +102,19 @@ def grams(points: np.ndarray, q: int) -> np.ndarray:
     return h ^ (h >> np.uint64(29))
 
 
-def budget(length: int, share: float, q: int) -> int:
-    """Edits allowed: a share of the length, and no more than the lemma can use."""
-    return max(0, min(int(share * length), (length + 1) // q - 2))
+def budget(length: int, share: float) -> int:
+    """Edits allowed: a share of the length, and never the whole item."""
+    return max(0, min(int(share * length), length - 1))
+
+
+def gram_length(length: int, edits: int, q: int) -> int:
+    """The largest q up to ``q`` for which the lemma still asks for a shared q-gram."""
+    return max(1, min(q, length // (edits + 1)))
 
 
 @dataclasses.dataclass
-class Index:
-    """q-grams of a group of items, ascending, with the items and positions that have them."""
+class Grams:
+    """q-grams of items with the same q, ascending, with the items and positions that have them."""
 
     q: int
     ids: list[int | None]
@@ -122,19 +128,13 @@ class Index:
     bits: np.ndarray
 
     @classmethod
-    def build(cls, rows: list[tuple[int | None, str]], q: int, share: float) -> Index:
-        ids, items = [], []
-        for item_id, text in rows:
-            points = normalise((text or "").strip())[0]
-            if len(points):
-                ids.append(item_id)
-                items.append(points)
-        edits = np.array([budget(len(p), share, q) for p in items], np.int64)
+    def build(cls, ids: list[int | None], items: list[np.ndarray], q: int, share: float) -> Grams:
+        edits = np.array([budget(len(p), share) for p in items], np.int64)
         need = np.array([len(p) + 1 - q * (k + 1) for p, k in zip(items, edits, strict=True)], np.int64)
         found = [grams(p, q) for p in items]
-        value = np.concatenate([*found, np.zeros(0, np.uint64)])
+        value = np.concatenate(found)
         owner = np.repeat(np.arange(len(items)), [len(f) for f in found])
-        place = np.concatenate([*(np.arange(len(f)) for f in found), np.zeros(0, np.int64)]).astype(np.int64)
+        place = np.concatenate([np.arange(len(f)) for f in found]).astype(np.int64)
         order = np.argsort(value, kind="stable")
         value, owner, place = value[order], owner[order], place[order]
         hashes, first = np.unique(value, return_index=True)
@@ -152,7 +152,7 @@ class Index:
         at = np.flatnonzero(self.bits[value >> np.uint64(42)])
         at = at[doc[at] == doc[at + self.q - 1]]
         none = np.zeros((0, 4), np.int64)
-        if not len(at) or not len(self.hashes):
+        if not len(at):
             return none
         slot = np.minimum(np.searchsorted(self.hashes, value[at]), len(self.hashes) - 1)
         same = self.hashes[slot] == value[at]
@@ -229,6 +229,22 @@ def _band(item: np.ndarray, text: np.ndarray, first: int, width: int, k: int, fi
     return int(cost[best]), min(max(first + best + len(item), 0), len(text))
 
 
+@dataclasses.dataclass
+class Index:
+    """The items of a group by the length of their q-grams: ``q`` for all but the short ones."""
+
+    parts: list[Grams]
+
+    @classmethod
+    def build(cls, rows: list[tuple[int | None, str]], q: int, share: float) -> Index:
+        by_q: dict[int, list[tuple[int | None, np.ndarray]]] = {}
+        for item_id, text in rows:
+            points = normalise((text or "").strip())[0]
+            if len(points):
+                by_q.setdefault(gram_length(len(points), budget(len(points), share), q), []).append((item_id, points))
+        return cls([Grams.build([i for i, _ in own], [p for _, p in own], n, share) for n, own in sorted(by_q.items())])
+
+
 def find(index: Index, texts: list[str]) -> list[list[tuple]]:
     """For each text the matches (item_id, start, end, edits), overlapping ones of an item as the best one."""
     normal = [normalise(t) for t in texts]
@@ -237,20 +253,16 @@ def find(index: Index, texts: list[str]) -> list[list[tuple]]:
     doc = np.repeat(np.arange(len(texts)), lengths)
     begin = np.cumsum(lengths) - lengths
     found: list[list[tuple]] = [[] for _ in texts]
-    for d, i, low, high in index.bands(points, doc, begin).tolist():
-        text, k = normal[d][0], int(index.edits[i])
-        a = max(0, low - k)
-        hit = banded(index.items[i], text[a : high + 2 * k + len(index.items[i]) + 1], low - a, high - a, k)
-        if hit:
-            found[d].append((i, hit[1] + a, hit[2] + a, hit[0]))
-    for i, item in enumerate(index.items):
-        if len(item) < index.q:
-            word = item.tobytes()
-            for d, (text, _) in enumerate(normal):
-                raw, at = text.tobytes(), -1
-                while (at := raw.find(word, at + 1)) >= 0:
-                    if at % 4 == 0:
-                        found[d].append((i, at // 4, at // 4 + len(item), 0))
+    first = 0
+    for part in index.parts:
+        for d, i, low, high in part.bands(points, doc, begin).tolist():
+            text, k = normal[d][0], int(part.edits[i])
+            a = max(0, low - k)
+            hit = banded(part.items[i], text[a : high + 2 * k + len(part.items[i]) + 1], low - a, high - a, k)
+            if hit:
+                found[d].append((first + i, hit[1] + a, hit[2] + a, hit[0]))
+        first += len(part.items)
+    ids = [item_id for part in index.parts for item_id in part.ids]
     out = []
     for hits, (_, at) in zip(found, normal, strict=True):
         best: list[tuple] = []
@@ -259,7 +271,7 @@ def find(index: Index, texts: list[str]) -> list[list[tuple]]:
                 best[-1] = min(best[-1], hit, key=lambda h: (h[3], h[1]))
             else:
                 best.append(hit)
-        out.append([(index.ids[i], int(at[a]), int(at[b - 1]) + 1, e) for i, a, b, e in best])
+        out.append([(ids[i], int(at[a]), int(at[b - 1]) + 1, e) for i, a, b, e in best])
     return out
 
 
@@ -326,5 +338,5 @@ def matches(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
 
 def clean(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
     """The documents that contain no item, with their own columns."""
-    to = "benchmark_matches_"
+    [to] = free_names(docs.columns, "benchmark_matches_")
     return with_matches(docs, benchmark, to, **options).where(F.size(to) == 0).drop(to)

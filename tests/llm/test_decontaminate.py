@@ -68,8 +68,7 @@ def test_against_full_alignment(spark, index_chars):
         for item_id, item in items:
             if plain(text) and plain(item):
                 texts.setdefault((doc_id, item_id), []).append((text, item))
-                k = dec.budget(len(plain(item)), SHARE, Q) if len(plain(item)) >= Q else 0
-                if fewest(plain(item), plain(text)) <= k:
+                if fewest(plain(item), plain(text)) <= int(SHARE * len(plain(item))):
                     want.add((doc_id, item_id))
     assert found == sorted(want, key=str)
     assert sum(r.doc_id == 150 and r.item_id == 1 for r in got) == 2
@@ -104,3 +103,32 @@ def test_grams_are_those_of_the_text():
         names = [tuple(points[i : i + q]) for i in range(len(points) - q + 1)]
         assert len(value) == len(names)
         assert len(set(value.tolist())) == len(set(names)) == len(set(zip(value.tolist(), names)))
+
+
+@pytest.mark.parametrize("length", [1, 5, 9, 10, 12, 19, 20, 29, 30, 39, 50, 74, 75, 90])
+def test_every_length_has_the_promised_budget(length):
+    """Copies with as many edits as a tenth of the length, evenly spread: the fewest shared q-grams."""
+    item = "".join(chr(0x4E00 + i) for i in range(length))
+    k = length // 10
+    copy = list(item)
+    for e in range(k):
+        copy[(2 * e + 1) * length // (2 * k)] = "#"
+    index = dec.Index.build([(7, item)], dec.GRAM, dec.EDITS)
+    [hits, none] = dec.find(index, ["before " + "".join(copy) + " after", "#" + item[: length // 2] + "#"])
+    assert [(h[0], h[3]) for h in hits] == [(7, k)]
+    assert none == []
+
+
+def test_own_columns_stay(spark):
+    docs, items = frames(spark, *corpus(3))
+    docs = docs.withColumnRenamed("item_id", "benchmark_matches_")
+    assert dec.clean(docs, items, share=SHARE, q=Q).columns == ["doc_id", "text", "benchmark_matches_"]
+
+
+def test_text_beyond_a_chunk():
+    """A text of over 8 MB with an item at its end."""
+    item = "which of these rivers crosses the border of the old town twice before the harbour"
+    text = "plain words again " * 500_000 + item.replace("old", "odl")
+    assert len(text) > 8 << 20
+    [hits] = dec.find(dec.Index.build([(1, item)], dec.GRAM, dec.EDITS), [text])
+    assert [(h[0], h[3]) for h in hits] == [(1, 2)] and text[hits[0][1] : hits[0][2]].startswith("which")
