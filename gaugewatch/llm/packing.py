@@ -8,7 +8,8 @@
    of sequences: a part that meets its bound is certified and done.
 3. Parts that miss their bound hand over the pieces of their sequences with
    gaps. These are dealt into fewer, mixed parts and packed again, as long as
-   that saves sequences. Only counts reach the driver.
+   that saves sequences (and at most ``MAX_ROUNDS`` times); a round that saves
+   none is discarded. Only counts reach the driver.
 
 Null text is empty; an empty text is the end id alone, so every row has a
 piece. Repeated rows and repeated or null ids are packed like any others; an
@@ -159,24 +160,26 @@ def pack(
     pieces(docs, path, pattern, length).write.parquet(f"{at}/pieces")
     rest = spark.read.schema(PIECES).parquet(f"{at}/pieces")
     done: list[DataFrame] = []
-    parts = None
+    before, held = None, 0
     for turn in range(MAX_ROUNDS):
         parts = max(1, math.ceil(rest.count() / part_pieces))
         _pack(rest, parts, turn, length).write.parquet(f"{at}/{turn}")
         packed = spark.read.schema(PACKED).parquet(f"{at}/{turn}")
-        found = (
-            packed.groupBy("part").agg(F.first("bins").alias("bins"), F.first("bound").alias("bound"))
-            .agg(F.sum("bins").alias("bins"), F.sum(F.col("bins") - F.col("bound")).alias("above")).first()
-        )
+        # A part that meets its bound is optimal; of the others, full sequences stay.
+        exchange = (F.col("bins") > F.col("bound")) & (F.col("fill") < length)
+        # Every sequence has one piece at offset 0.
+        heads = packed.where("offset = 0").agg(F.count("*").alias("all"), F.count_if(exchange).alias("open")).first()
+        if before is not None and heads["all"] >= held:
+            done.append(before)
+            break
         ids = packed.withColumn(
             "sequence_id", F.lit(turn) * F.lit(1 << 58) + F.col("part") * F.lit(1 << 24) + F.col("bin")
         )
-        # A part that meets its bound is optimal; of the others, full sequences stay.
-        exchange = (F.col("bins") > F.col("bound")) & (F.col("fill") < length)
-        if not found["above"] or parts == 1 or turn == MAX_ROUNDS - 1:
+        if not heads["open"] or parts == 1 or turn == MAX_ROUNDS - 1:
             done.append(ids)
             break
         done.append(ids.where(~exchange))
+        before, held = ids.where(exchange), heads["open"]
         rest = packed.where(exchange).select("doc_id", "piece", "start", "length", "ids_crc32")
     result = done[0]
     for more in done[1:]:

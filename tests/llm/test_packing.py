@@ -5,6 +5,7 @@ from collections import defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from gaugewatch.llm import packing
@@ -88,3 +89,21 @@ def test_ids_are_those_of_the_file(spark):
     own = encoder(*default_file())
     for text in [*texts, *(t or "" for _, t in TEXTS)]:
         assert own.encode(text).tolist() == ids_of(text)[:-1]
+
+
+def test_a_round_that_saves_nothing_is_discarded(spark, monkeypatch):
+    """Later rounds that give every piece a sequence of its own are not taken."""
+    texts = [(i, "word " * (5 + 7 * i % 50)) for i in range(300)]
+    honest, first = packing._pack, []
+
+    def worse(rows, parts, salt, capacity):
+        packed = honest(rows, parts, salt, capacity)
+        if salt:
+            return packed.withColumn("bin", F.monotonically_increasing_id()).withColumn("offset", F.lit(0).cast("long"))
+        first.append(packed.select("part", "bin").distinct().count())
+        return packed
+
+    monkeypatch.setattr(packing, "_pack", worse)
+    rows = packing.pack(docs_of(spark, texts), length=64, part_pieces=20).collect()
+    verify(rows, texts, 64)
+    assert len({r.sequence_id for r in rows}) == first[0]
