@@ -41,7 +41,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gaugewatch.llm.common import as_bytes, batches, least_parts, parts_for, total_bytes
+from gaugewatch.llm.common import as_bytes, batches, free_names, least_parts, parts_for, total_bytes
 from gaugewatch.llm.shingles import mix, shingle_sets
 from gaugewatch.session import fresh_path
 
@@ -58,7 +58,7 @@ GROUP_BYTES = 8 << 20
 
 SKETCH = "block_ long, bucket_ long, keys_ binary, counts_ binary"
 ANSWER = "block_ long, bucket_ long, bits_ binary"
-SETS = "doc_id long, n_shingles long, sig long, keys array<long>, shingles binary"
+SETS = "doc_id long, text_hash long, n_shingles long, sig long, keys array<long>, shingles binary"
 
 
 def frequent_shingles(docs: DataFrame, at_most: int = FREQUENT) -> np.ndarray:
@@ -197,9 +197,10 @@ def _sets(buckets: int, frequent):
             shared[a:e] = np.unpackbits(np.frombuffer(row["bits_"], np.uint8), count=e - a)
         keys = block.region_keys(shared)
         rows = []
-        for k, (doc_id, n, sig) in enumerate(zip(block.ids, block.n.tolist(), block.sig.tolist(), strict=True)):
+        hashes = docs.column("text_hash").to_pylist()
+        for k, (doc_id, text_hash, n, sig) in enumerate(zip(block.ids, hashes, block.n.tolist(), block.sig.tolist(), strict=True)):
             raw = block.values[block.offsets[k] : block.offsets[k + 1]].tobytes() if k in keys else None
-            rows.append((doc_id, n, sig, keys.get(k), raw))
+            rows.append((doc_id, text_hash, n, sig, keys.get(k), raw))
         return _table(rows, SETS)
 
     return run
@@ -369,6 +370,7 @@ def set_components(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(documents with n_shingles and sig, components of linked sets)."""
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    docs = docs.withColumn("text_hash", F.xxhash64("text"))
     frequent = spark.sparkContext.broadcast(frequent_shingles(docs))  # at most FREQUENT numbers
     size, least = total_bytes(docs), least_parts(spark)
     blocks, buckets = parts_for(size, BLOCK_BYTES, least), parts_for(size // 6, BUCKET_KEYS, least)
@@ -401,13 +403,23 @@ def components(docs: DataFrame) -> DataFrame:
 
 
 def representatives(docs: DataFrame) -> DataFrame:
-    """One document of each component: the one with the smallest id, and one row of it.
+    """One row of each component: the one with the smallest id, and of texts that share it the one with the smallest hash.
 
-    Rows without an id stay, and so do documents without words.
+    Rows decide, not ids: of two texts of one id that do not link, each stays or
+    goes with its own component. Rows without an id stay, and so do documents
+    without words; of rows equal in id and text one stays.
     """
-    kept = components(docs).where("doc_id = component_id").select(F.col("doc_id").alias("kept_")).distinct()
-    named = docs.where(F.col("doc_id").isNotNull())
-    named = named.join(kept, named["doc_id"] == kept["kept_"], "left_semi").dropDuplicates(["doc_id"])
+    rows, linked = set_components(docs)
+    row = F.when(F.col("doc_id").isNotNull(), F.struct("doc_id", "text_hash"))
+    own = rows.where("n_shingles > 0").groupBy("sig").agg(F.min(row).alias("best"))
+    own = own.join(linked, "sig", "left").withColumn("component", F.coalesce("component", "sig"))
+    some = own.groupBy("component").agg(F.min("best").alias("best")).where("best IS NOT NULL").select("best.*")
+    empty = rows.where("n_shingles = 0 AND doc_id IS NOT NULL").select("doc_id", "text_hash").distinct()
+    kept = some.unionByName(empty).select(F.col("doc_id").alias("kept_"), F.col("text_hash").alias("kept_hash_"))
+    [to] = free_names(docs.columns, "text_hash_")
+    named = docs.where(F.col("doc_id").isNotNull()).withColumn(to, F.xxhash64(F.col("text").cast("string")))
+    same = (named["doc_id"] == kept["kept_"]) & (named[to] == kept["kept_hash_"])
+    named = named.join(kept, same, "left_semi").dropDuplicates(["doc_id", to]).drop(to)
     return named.unionByName(docs.where(F.col("doc_id").isNull()))
 
 
