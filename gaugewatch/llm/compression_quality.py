@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from gaugewatch.llm.common import as_bytes, batches, held_out, label_counts, labelled_sample
+from gaugewatch.llm.common import as_bytes, batches, free_names, held_out, label_counts, labelled_sample
 
 BLOCK = 2048
 DICT_BYTES = 112_640
@@ -169,5 +169,5 @@ def quality_query(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 def keep_good(docs: DataFrame, model: QualityModel, threshold: float = THRESHOLD) -> DataFrame:
     """The documents that score at least ``threshold``, with their own columns."""
-    to = "quality_score_"
+    [to] = free_names(docs.columns, "quality_score_")
     return score(docs, model, to=to).where(F.col(to) >= threshold).drop(to)

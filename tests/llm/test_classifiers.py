@@ -56,6 +56,9 @@ def test_kept_documents_are_as_they_were(spark):
     kept = compression_quality.keep_good(docs, model)
     assert kept.columns == docs.columns
     assert set(kept.collect()) <= set(docs.collect())
+    named = docs.withColumnRenamed("source", "quality_score_")
+    same = compression_quality.keep_good(named, model)
+    assert same.columns == named.columns and set(same.collect()) == set(kept.collect())
 
 
 def test_training_is_repeatable():
