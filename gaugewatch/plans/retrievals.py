@@ -70,16 +70,17 @@ SELECT uuid AS query_id, true AS is_anomaly, activity AS anomaly_type, 'Seen at
 
 
 def add_patterns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Held-out readings go behind the normal ones in one store; written and read again."""
+    """Wide samples, with their whole vectors, go behind the readings in one store; written and read again."""
     path = fresh_path(spark, "patterns")
-    store.save_patterns(city_patterns(spark, sf_dir), path)
+    store.save_patterns(city_patterns(spark, sf_dir, t.WIDE_DIM), path)
     saved = store.load_patterns(spark, path)
-    new = patterns.normal_patterns(wide_samples(spark, sf_dir)).withColumn("embedding", F.slice("embedding", 1, CITY_DIM))
-    more = patterns.add_patterns(saved, new, CITY_DIM, "query_id")
+    new = patterns.normal_patterns(wide_samples(spark, sf_dir))
+    more = patterns.add_patterns(saved, new, t.WIDE_DIM, "query_id")
     store.save_patterns(more.select(saved.columns), path)
     both = store.load_patterns(spark, path)
     return both.groupBy("is_anomaly").agg(
-        F.count(F.lit(1)).alias("n"), F.min("pattern_id").alias("first_id"), F.max("pattern_id").alias("last_id")
+        F.count(F.lit(1)).alias("n"), F.min("pattern_id").alias("first_id"), F.max("pattern_id").alias("last_id"),
+        F.sum(F.size("embedding")).alias("n_values"),
     )
 
 
@@ -98,13 +99,13 @@ def city_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def city_patterns(spark: SparkSession, sf_dir: str) -> DataFrame:
+def city_patterns(spark: SparkSession, sf_dir: str, dim: int = CITY_DIM) -> DataFrame:
     """The first nine tenths of every node as normal patterns, the rest scaled as anomalies."""
     usable = clean.reject_unparsed(t.readings(spark, sf_dir), "value_hrf")
     held = sampling.inject_anomalies(sampling.split_holdout(usable))
     year = seconds_since("timestamp", None).cast("double")
     vectors = held.withColumn("features", F.concat(F.array(year), F.col("values")))
-    rows = features.with_embedding(vectors, CITY_DIM).select(
+    rows = features.with_embedding(vectors, dim).select(
         F.col("ingest_id").alias("pattern_id"), F.col("node_id").alias("host_id"),
         F.col("parameter").alias("activity"), F.col("timestamp").alias("ts"), "is_holdout", "embedding",
         F.create_map(F.lit("value"), F.get("values", F.lit(0))).alias("readings"),
@@ -123,7 +124,8 @@ ADD_PATTERNS = f"""WITH {HELD}, ids AS (
   UNION ALL
   SELECT false, (SELECT max(ingest_id) FROM held) + row_number() OVER (ORDER BY l_orderkey)
   FROM (SELECT DISTINCT l_orderkey FROM lineitem JOIN orders ON l_orderkey = o_orderkey))
-SELECT is_anomaly, count(*) AS n, min(id) AS first_id, max(id) AS last_id FROM ids GROUP BY 1"""
+SELECT is_anomaly, count(*) AS n, min(id) AS first_id, max(id) AS last_id,
+       count(*) * {t.WIDE_DIM} AS n_values FROM ids GROUP BY 1"""
 
 
 def load_counts(spark: SparkSession, sf_dir: str) -> DataFrame:

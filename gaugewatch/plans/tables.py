@@ -259,10 +259,11 @@ hits AS MATERIALIZED (
 # --- model answers --------------------------------------------------------------------------------
 
 
-def answers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Answers of five shapes, one per event type, about the vector with the event's id."""
+def event_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An answer per event and prompt kind, of a shape by event type; events go round the vectors they are about."""
     e = read(spark, sf_dir, "events")
-    v = vector_queries(spark, sf_dir).select("query_id", "readings")
+    v = vector_queries(spark, sf_dir).select(F.col("query_id").alias("vec_id"), "readings")
+    about = F.col("event_id") % F.lit(v.count())
     k = F.get_json_object("props", "$.k")
     verdict = F.when(F.col("value") > 20, "true").otherwise("false")
     told = F.concat(
@@ -290,7 +291,14 @@ def answers(spark: SparkSession, sf_dir: str) -> DataFrame:
         .when(kind == "signup", plain)
     )
     both = F.explode(F.array(F.lit("contextual"), F.lit("explanation"))).alias("prompt_kind")
-    return v.join(e, F.col("query_id") == F.col("event_id")).select("query_id", both, answer.alias("answer"))
+    told_of = e.join(v, about == F.col("vec_id"))
+    return told_of.select(F.col("event_id").alias("query_id"), "vec_id", "readings", both, answer.alias("answer"))
+
+
+def answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per vector and prompt kind the answer of the latest of all events about it."""
+    latest = event_answers(spark, sf_dir).groupBy("vec_id", "prompt_kind").agg(F.max_by("answer", "query_id").alias("answer"))
+    return latest.withColumnRenamed("vec_id", "query_id")
 
 
 def fmt(x: str, digits: int) -> str:
@@ -307,12 +315,13 @@ _TOLD = (
     f"'The acc_x value of ' || {fmt('abs(vals[1])', 4)} || ' and gyro_y differ from the usual ' ||"
     f" {fmt('value', 2)} || ' of a typical similar pattern'"
 )
-ANSWERS = f"""told AS (
-  SELECT vec_id AS query_id, vals, event_type, value, json_extract_string(props, '$.k') AS k, {_TOLD} AS told,
+EVENT_ANSWERS = f"""about AS (SELECT *, event_id % (SELECT count(*) FROM embeddings) AS about_id FROM events),
+told AS (
+  SELECT event_id AS query_id, vec_id, vals, event_type, value, json_extract_string(props, '$.k') AS k, {_TOLD} AS told,
          CASE WHEN value > 20 THEN 'true' ELSE 'false' END AS verdict
-  FROM vectors JOIN events ON vec_id = event_id),
+  FROM vectors JOIN about ON vec_id = about_id),
 answers AS MATERIALIZED (
-  SELECT query_id, vals, CASE event_type
+  SELECT query_id, vec_id, vals, CASE event_type
     WHEN 'click' THEN '{{"is_anomaly": ' || verdict || ', "confidence": ' || {fmt('(k::double / 100)', 2)} ||
       ', "explanation": "' || told || '", "user_friendly_message": "Movement looks unusual.", "notable_deviations": ' ||
       '["acc_x is high", "gyro_y is low"], "recommended_actions": ["Check the mount"]}}'
@@ -322,6 +331,10 @@ answers AS MATERIALIZED (
     WHEN 'signup' THEN CASE WHEN k::int < 50 THEN 'This is an Anomaly: ' || told ELSE 'All is well.' END
     END AS answer
   FROM told)"""
+_LATEST = "(PARTITION BY vec_id ORDER BY query_id DESC)"
+ANSWERS = f"""{EVENT_ANSWERS.replace("answers AS MATERIALIZED", "every_answer AS MATERIALIZED")},
+answers AS MATERIALIZED (
+  SELECT vec_id AS query_id, vals, answer FROM (SELECT *, row_number() OVER {_LATEST} AS turn FROM every_answer) WHERE turn = 1)"""
 
 
 def r(x: str, digits: int = 6) -> str:

@@ -166,16 +166,11 @@ FROM rules x JOIN semantic s USING (query_id)"""
 
 
 def _half(spark: SparkSession, sf_dir: str, kind: str) -> DataFrame:
-    return t.answers(spark, sf_dir).filter(F.col("prompt_kind") == kind)
+    """The answers of all events to one kind of prompt, beside the readings they are about."""
+    return t.event_answers(spark, sf_dir).filter(F.col("prompt_kind") == kind)
 
 
-def _asked(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The explanation answers beside the readings they are about."""
-    samples = t.vector_queries(spark, sf_dir).select("query_id", "readings")
-    return _half(spark, sf_dir, "explanation").join(samples, "query_id")
-
-
-_PARSED_CTE = f"""{t.ANSWERS},
+_PARSED_CTE = """
 read_answers AS (
   SELECT *, coalesce(json_extract_string(j, '$.is_anomaly') = 'true', false) AS j_anomaly,
          CASE WHEN json_extract_string(j, '$.confidence') IS NULL THEN 0.5::double
@@ -218,7 +213,7 @@ def contextual_score(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _CONTEXTUAL = "CASE WHEN said THEN greatest(0.0::double, least(1.0::double, conf)) WHEN NOT said THEN 0.0::double END"
-CONTEXTUAL_SCORE = f"""WITH {t.VECTORS}, {_PARSED_CTE}
+CONTEXTUAL_SCORE = f"""WITH {t.VECTORS}, {t.EVENT_ANSWERS}, {_PARSED_CTE}
 SELECT query_id, {r(_CONTEXTUAL)} AS contextual_score FROM parsed_answers"""
 
 
@@ -226,13 +221,11 @@ def coherence(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The assembled explanations scored against the readings of their sample."""
     told = detect.parsed_answers(_half(spark, sf_dir, "explanation"))
     text = told.withColumn("explanation", detect.assembled_explanation(told)).filter("answer is not null")
-    scored = detect.coherence(
-        text.join(t.vector_queries(spark, sf_dir).select("query_id", "readings"), "query_id")
-    )
+    scored = detect.coherence(text)
     return t.tidy(scored.select("query_id", "named_share", "matched_share", "compared_share", "coherence", "explanation"))
 
 
-COHERENCE = f"""WITH {t.VECTORS}, {_COHERENCE_CTE}
+COHERENCE = f"""WITH {t.VECTORS}, {t.EVENT_ANSWERS}, {_COHERENCE_CTE}
 SELECT query_id, {r('named_share')} AS named_share, {r('matched_share')} AS matched_share,
        {r('compared_share')} AS compared_share, {r('coherence')} AS coherence, full_text AS explanation
 FROM explained WHERE answer IS NOT NULL"""
@@ -258,7 +251,7 @@ SELECT query_id, CASE WHEN bare THEN 0.0::double ELSE {r(f'least(1.0::double, ({
 
 
 def explanation_verdict(spark: SparkSession, sf_dir: str) -> DataFrame:
-    told = detect.explanation_verdict(_asked(spark, sf_dir))
+    told = detect.explanation_verdict(_half(spark, sf_dir, "explanation"))
     verdict = F.coalesce(F.col("explanation_anomaly").cast("string"), F.lit("none"))
     return t.tidy(
         told.select("query_id", verdict.alias("verdict"), "explanation_confidence", "explanation")
@@ -270,13 +263,13 @@ verdicts AS (
   SELECT *, CASE WHEN answer IS NOT NULL THEN said AND coherence >= 0.6 END AS exp_anomaly,
          CASE WHEN coherence >= 0.6 THEN conf ELSE conf * coherence END AS exp_confidence, {_CONTEXTUAL} AS ctx
   FROM explained)"""
-EXPLANATION_VERDICT = f"""WITH {t.VECTORS}, {_VERDICT_CTE}
+EXPLANATION_VERDICT = f"""WITH {t.VECTORS}, {t.EVENT_ANSWERS}, {_VERDICT_CTE}
 SELECT query_id, coalesce(exp_anomaly::varchar, 'none') AS verdict, {r('exp_confidence')} AS explanation_confidence,
        full_text AS explanation FROM verdicts"""
 
 
 def explanation_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
-    told = detect.explanation_verdict(_asked(spark, sf_dir))
+    told = detect.explanation_verdict(_half(spark, sf_dir, "explanation"))
     cut_up = detect.explanation_sections(told)
     return cut_up.select(
         "query_id", "user_friendly_message",
@@ -285,7 +278,7 @@ def explanation_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-EXPLANATION_SECTIONS = f"""WITH {t.VECTORS}, {_PARSED_CTE}
+EXPLANATION_SECTIONS = f"""WITH {t.VECTORS}, {t.EVENT_ANSWERS}, {_PARSED_CTE}
 SELECT query_id, coalesce(json_extract_string(j, '$.user_friendly_message'), '') AS user_friendly_message,
        CASE json_type(j, '$.notable_deviations') WHEN 'ARRAY' THEN array_to_string(json_extract_string(j, '$.notable_deviations[*]'), '|')
          WHEN 'VARCHAR' THEN json_extract_string(j, '$.notable_deviations') ELSE '' END AS deviations,
@@ -304,7 +297,7 @@ def ensemble(spark: SparkSession, sf_dir: str) -> DataFrame:
     return t.tidy(both.select("query_id", "anomaly_score", verdict.alias("verdict"), "confidence", "anomaly_type"))
 
 
-_ENSEMBLE_CTE = f"""{SEMANTIC_CTE}, {_VERDICT_CTE},
+_ENSEMBLE_CTE = f"""{SEMANTIC_CTE}, {t.ANSWERS}, {_VERDICT_CTE},
 scored AS (
   SELECT s.*, v.ctx, v.exp_anomaly, v.exp_confidence, v.coherence, v.full_text, v.j,
          round(semantic_anomaly::int * 0.4::double + (ctx > 0.5)::int * 0.3::double
@@ -366,12 +359,12 @@ SELECT query_id, hits, normal_hits, anomaly_hits, {r('min_normal')} AS min_norma
 
 
 def parse_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    told = prompts.parse_answers(_half(spark, sf_dir, "explanation").filter("answer is not null"))
+    told = prompts.parse_answers(_half(spark, sf_dir, "explanation").select("query_id", "answer").filter("answer is not null"))
     return t.tidy(told)
 
 
 _COMPLETE = "json_exists(j, '$.is_anomaly') AND json_exists(j, '$.confidence') AND json_exists(j, '$.explanation')"
-PARSE_ANSWERS = f"""WITH {t.VECTORS}, {t.ANSWERS},
+PARSE_ANSWERS = f"""WITH {t.VECTORS}, {t.EVENT_ANSWERS},
 j AS (SELECT *, try_cast(answer AS json) AS j FROM answers WHERE answer IS NOT NULL),
 c AS (SELECT *, coalesce({_COMPLETE}, false) AS complete FROM j)
 SELECT query_id, CASE WHEN complete THEN json_extract_string(j, '$.is_anomaly')::boolean WHEN j IS NOT NULL THEN false
