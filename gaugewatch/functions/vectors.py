@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from typing import NamedTuple
 
 import numpy as np
@@ -11,6 +12,7 @@ import pyarrow.compute as pc
 CHUNK_CELLS = 1 << 22
 SMALL_PAIRS = 1 << 14
 DIRECT_PAIRS = 1 << 18
+LEAF_ROWS = 256
 
 
 def matrix(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
@@ -102,6 +104,84 @@ def nearest(
     return joined(out)
 
 
+def leaves(vectors: np.ndarray, size: int = LEAF_ROWS) -> list[np.ndarray]:
+    """Places of the rows in groups of at most ``size``: halved at the middle of their widest dimension, again and again."""
+    done, waiting = [], [np.arange(len(vectors))]
+    while waiting:
+        rows = waiting.pop()
+        if len(rows) <= size:
+            done.append(rows)
+            continue
+        part = vectors[rows]
+        widest = part[:, int((part.max(0) - part.min(0)).argmax())]
+        order = np.argpartition(widest, len(rows) // 2)
+        waiting += [rows[order[: len(rows) // 2]], rows[order[len(rows) // 2 :]]]
+    return done
+
+
+def nearest_in_leaves(
+    query_ids: np.ndarray, queries: np.ndarray, kth: np.ndarray, ids: np.ndarray, vectors: np.ndarray, k: int,
+    exclude_self: bool, barred: Callable[[np.ndarray, np.ndarray], np.ndarray] | None = None, at_once: int = 1 << 13,
+) -> Found:
+    """Exact top ``k`` of distances up to ``kth``, a number for each query; pairs that ``barred`` marks do not count.
+
+    Queries and patterns lie in small boxes. A box of queries meets the boxes of
+    patterns in the order of their distance, until that exceeds what its
+    queries have found. ``at_once`` patterns are compared in one product, which
+    narrows down as in ``nearest``.
+    """
+    if not len(ids) or not len(query_ids):
+        return joined([])
+    if queries.shape[1] != vectors.shape[1]:
+        raise ValueError(f"query size {queries.shape[1]} differs from pattern size {vectors.shape[1]}")
+    parts = leaves(vectors)
+    order = np.concatenate(parts)
+    ends = np.cumsum([len(part) for part in parts])
+    starts = np.r_[0, ends[:-1]]
+    v, vid = vectors[order], ids[order]
+    low, high = np.minimum.reduceat(v, starts, 0), np.maximum.reduceat(v, starts, 0)
+    norms = (v * v).sum(1)
+    most, out = max(1, at_once // LEAF_ROWS), []
+    for rows in leaves(queries):
+        q, qid, limit = queries[rows], query_ids[rows], kth[rows].astype(np.float64)
+        own = (q * q).sum(1)
+        slack = 8.0 * (q.shape[1] + 8) * np.finfo(float).eps * (own + norms.max())
+        gap = np.maximum(np.maximum(low - q.max(0), q.min(0) - high), 0.0)
+        gap = (gap * gap).sum(1) * (1 - 1e-9)
+        turn = np.argsort(gap, kind="stable")
+        row, col, far = joined([])
+        place, take = 0, min(2, most)
+        while place < len(turn) and gap[turn[place]] <= limit.max():
+            some = turn[place : place + take]
+            some = some[gap[some] <= limit.max()]
+            place, take = place + take, min(4 * take, most)
+            cols = np.concatenate([np.arange(starts[leaf], ends[leaf]) for leaf in some])
+            score = q @ v[cols].T
+            score -= 0.5 * norms[cols]
+            r, c = np.nonzero(score >= (0.5 * (own - limit - slack))[:, None])
+            c = cols[c]
+            if exclude_self:
+                other = qid[r] != vid[c]
+                r, c = r[other], c[other]
+            if barred is not None:
+                free = ~barred(rows[r], order[c])
+                r, c = r[free], c[free]
+            if not len(r):
+                continue
+            exact = np.empty(len(r))
+            for p in range(0, len(r), DIRECT_PAIRS):
+                exact[p : p + DIRECT_PAIRS] = squared_rows(q[r[p : p + DIRECT_PAIRS]], v[c[p : p + DIRECT_PAIRS]])
+            near = exact <= limit[r]
+            row, col, far = joined([(row, col, far), (r[near], c[near], exact[near])])
+            keep = best_places(row, vid[col], far, k)
+            row, col, far = row[keep], col[keep], far[keep]
+            counts = np.bincount(row, minlength=len(rows))
+            full = counts >= k
+            limit[full] = np.minimum(limit[full], far[np.cumsum(counts)[full] - 1])
+        out.append((rows[row], order[col], far))
+    return joined(out)
+
+
 def hit_table(query_ids: np.ndarray, pattern_ids: np.ndarray, distances: np.ndarray) -> pa.Table:
     return pa.table(
         {

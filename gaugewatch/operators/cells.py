@@ -8,9 +8,12 @@ cell, then a few more, then all others that may still hold one of its ``k``
 nearest; the k-th distance so far rules cells out. Results are exact.
 
 Centres come from a bounded sample, so does their number; cells are bounded in
-number as well, so the table of bounds may be everywhere. A cell that holds very
-many patterns, or that very many queries probe, is cut into blocks on both sides
-(``pair_blocks``). The index lies on disk, sorted by cell, and can be added to.
+number as well, so the table of bounds may be everywhere. Cells lie together in
+areas, a fixed number of them as long as an area fits a task: a query goes once
+to each area that holds cells for it. An area that holds very many patterns, or
+that very many queries probe, is cut into blocks on both sides (``pair_blocks``).
+Inside a task small boxes of queries and patterns meet. The index lies on disk,
+sorted by cell, and can be added to.
 """
 
 from __future__ import annotations
@@ -22,11 +25,12 @@ from typing import NamedTuple
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from gaugewatch.functions.vectors import hit_table, matrix, nearest, usable_rows
+from gaugewatch.functions.vectors import best_places, hit_table, joined, matrix, nearest_in_leaves, usable_rows
 from gaugewatch.operators.scale import pair_blocks
 from gaugewatch.operators.vector_tables import HIT_SCHEMA, best_hits, store_shape, stored_vectors, usable_vectors
 from gaugewatch.session import fresh_path
@@ -35,10 +39,17 @@ ROWS_PER_CELL = 20_000
 MAX_CENTRES = 512
 MAX_CUTS = 256  # cells of one centre
 SAMPLE = 8192
+AREAS = 16  # parts of the index that meet queries; more where a part would exceed BLOCK_BYTES
+AREA_ROWS = 500
+BLOCK_BYTES = 32 << 20  # vectors of one side that a task holds
 ROUNDS = (1, 8)  # cells a query meets in the first rounds; the last one takes all that are left
 BOUND_SCHEMA = "cell int, rows bigint, low double, high double"
 CENTRE_SCHEMA = "centre int, vector array<double>, cuts array<double>"
-PLAN_SCHEMA = "query_id bigint, kth double, cells array<int>, open bigint"
+PLAN_SCHEMA = (
+    "query_id bigint, embedding array<double>, kth double, met array<int>, cells array<int>, areas array<int>,"
+    " n_cells bigint, compared bigint, open bigint"
+)
+PLAN_NAMES = [field.split()[0] for field in PLAN_SCHEMA.split(",")]
 
 
 class CellIndex(NamedTuple):
@@ -125,7 +136,8 @@ def _append(
     )
     more = [T.StructField("distance", T.DoubleType()), T.StructField("cell", T.IntegerType())]
     placed = slim.mapInArrow(_to_centre(centres, cuts, slim.columns), T.StructType([*slim.schema.fields, *more]))
-    files = max(1, math.ceil(count / (4 * rows_per_cell)))
+    # Small cells share a file.
+    files = max(1, math.ceil(count / max(4 * rows_per_cell, _block_rows(centres.shape[1]) // 4)))
     placed.repartitionByRange(files, "cell", "distance").sortWithinPartitions("cell", "distance").write.parquet(f"{path}/rows/{batch}")
     written = spark.read.parquet(f"{path}/rows/{batch}")
     bounds = written.groupBy("cell").agg(
@@ -180,20 +192,35 @@ def _to_centre(centres: np.ndarray, cuts: Sequence[np.ndarray], names: Sequence[
     return run
 
 
-def _plan(centres: np.ndarray, bounds: pd.DataFrame, met: Sequence[int], take: int | None):
-    """The cells of the next round for every query: the nearest ``take`` by their bounds that the k-th distance allows.
+def _areas(bounds: pd.DataFrame, dim: int) -> np.ndarray:
+    """The number of each cell's area: neighbours in the list of cells, as many as make up an area's rows."""
+    rows = bounds["rows"].to_numpy()
+    each = min(_block_rows(dim), max(AREA_ROWS, math.ceil(rows.sum() / AREAS)))
+    return ((np.cumsum(rows) - rows) // each).astype(np.int64)
 
-    ``met`` are the numbers of cells of the rounds before: cells are always
-    taken in the order of their bounds, so these were the first ones.
+
+def _block_rows(dim: int) -> int:
+    return max(1, BLOCK_BYTES // (8 * dim))
+
+
+def _plan(centres: np.ndarray, bounds: pd.DataFrame, area: np.ndarray, take: int | None):
+    """Where every query goes next: to the nearest ``take`` cells by their bounds that the k-th distance allows, or to all it allows.
+
+    ``met`` are the cells of the rounds before. The last round names no cells,
+    only their areas: there may be very many of them.
     """
-    cell, low, high = bounds["cell"].to_numpy(), bounds["low"].to_numpy(), bounds["high"].to_numpy()
+    cell, rows, low, high = (bounds[c].to_numpy() for c in ("cell", "rows", "low", "high"))
     owner = cell // MAX_CUTS
     longest = float(np.sqrt((centres * centres).sum(1)).max())
-    before = sum(met)
+    names, starts = np.unique(area, return_index=True)
+
+    def lists(chosen: np.ndarray, values: np.ndarray) -> pa.ListArray:
+        ends = np.r_[0, np.cumsum(chosen.sum(1))].astype(np.int32)
+        return pa.ListArray.from_arrays(pa.array(ends), pa.array(values[np.nonzero(chosen)[1]].astype(np.int32)))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
         for batch in batches:
-            step = max(1, (1 << 21) // len(cell))
+            step = max(1, (1 << 20) // len(cell))
             for at in range(0, batch.num_rows, step):
                 part = batch.slice(at, step)
                 q = matrix(part.column("embedding"))
@@ -202,89 +229,126 @@ def _plan(centres: np.ndarray, bounds: pd.DataFrame, met: Sequence[int], take: i
                 # Covers the rounding of distances.
                 slack = 2e-7 * (np.sqrt((q * q).sum(1)) + longest)[:, None]
                 gap = np.maximum(np.maximum(far - high, low - far) - slack, 0.0)
-                order = np.lexsort((far, gap), axis=1)
-                ranked = np.take_along_axis(gap, order, 1)
-                allowed = ranked * ranked <= (kth * (1 + 1e-9))[:, None]
-                allowed[:, :before] = False
-                left = allowed.sum(1)
-                if take is not None:
-                    allowed[:, before + take :] = False
-                counts = allowed.sum(1)
-                lists = pa.ListArray.from_arrays(
-                    pa.array(np.r_[0, np.cumsum(counts)].astype(np.int32)), pa.array(cell[order[allowed]].astype(np.int32))
-                )
+                allowed = gap * gap <= (kth * (1 + 1e-9))[:, None]
+                row, known = _flat(part.column("met"))
+                allowed[row, np.searchsorted(cell, known)] = False
+                chosen = allowed
+                if take is not None and take < len(cell):
+                    # Complex numbers are ordered by their real part, then by the other: by bound, then by distance.
+                    near = np.argpartition(np.where(allowed, gap + 1j * far, np.inf), take - 1, axis=1)[:, :take]
+                    chosen = np.zeros_like(allowed)
+                    np.put_along_axis(chosen, near, np.take_along_axis(allowed, near, 1), 1)
+                counts = chosen.sum(1)
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("query_id"), part.column("kth"), lists, pa.array((left - counts).astype(np.int64))],
-                    ["query_id", "kth", "cells", "open"],
+                    [
+                        part.column("query_id"), part.column("embedding"), part.column("kth"), part.column("met"),
+                        lists(chosen if take is not None else np.zeros_like(chosen), cell),
+                        lists(np.logical_or.reduceat(chosen, starts, axis=1), names), pa.array(counts.astype(np.int64)),
+                        pa.array((chosen @ rows).astype(np.int64)), pa.array((allowed.sum(1) - counts).astype(np.int64)),
+                    ],
+                    PLAN_NAMES,
                 )
 
     return run
 
 
+def _flat(column: pa.ChunkedArray | pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Row numbers and values of lists."""
+    if isinstance(column, pa.ChunkedArray):
+        column = column.combine_chunks()
+    return (
+        pc.list_parent_indices(column).to_numpy(zero_copy_only=False).astype(np.int64),
+        pc.list_flatten(column).to_numpy(zero_copy_only=False),
+    )
+
+
 def search_cells(
     queries: DataFrame, index: CellIndex, k: int = 5, exclude_self: bool = False, rows_per_block: int = 20_000,
     rounds: Sequence[int] = ROUNDS,
 ) -> CellHits:
-    """The exact ``k`` nearest patterns of every usable query: (query_id, rank, pattern_id, distance)."""
+    """The exact ``k`` nearest patterns of every usable query: (query_id, rank, pattern_id, distance).
+
+    A query travels to areas, not to cells, so that what moves does not grow
+    with the number of cells. ``rows_per_block`` patterns are compared at once.
+    """
     spark = queries.sparkSession
     dim = index.centres.shape[1]
     asked = stored_vectors(queries.select(F.col("query_id").cast("bigint").alias("query_id"), "embedding"), ["query_id"], dim)
     path = fresh_path(spark, "rounds")
     bounds = index.bounds.orderBy("cell").toPandas()  # at most MAX_CENTRES * MAX_CUTS rows
-    found, plans, kth = [], [], None
+    area = _areas(bounds, dim)
+    size, most = pd.Series(bounds["rows"].to_numpy()).groupby(area).sum(), _block_rows(dim)
+    place = spark.createDataFrame(pd.DataFrame({"cell": bounds["cell"].astype("int32"), "area": area.astype("int32")}), "cell int, area int")
+    found, plans = [], []
+    state = asked.withColumns({"kth": F.lit(math.inf), "met": F.array().cast("array<int>")})
     for number, take in enumerate([*rounds, None]):
-        state = asked.withColumn("kth", F.lit(math.inf)) if kth is None else (
-            asked.join(kth, "query_id", "left").withColumn("kth", F.coalesce("kth", F.lit(math.inf)))
-        )
-        state.mapInArrow(_plan(index.centres, bounds, rounds[:number], take), PLAN_SCHEMA).write.parquet(f"{path}/plan-{number}")
+        state.select("query_id", "embedding", "kth", "met").mapInArrow(
+            _plan(index.centres, bounds, area, take), PLAN_SCHEMA
+        ).write.parquet(f"{path}/plan-{number}")
         plan = spark.read.schema(PLAN_SCHEMA).parquet(f"{path}/plan-{number}")
         plans.append(plan.withColumn("round", F.lit(number + 1)))
-        named = plan.select("query_id", "kth", F.explode("cells").alias("cell"))
-        probed = named.groupBy("cell").count().toPandas()  # at most as many rows as there are cells
+        probed = plan.select(F.explode("areas").alias("area")).groupBy("area").count().toPandas()  # a row per area
         if probed.empty:
             break
-        # Only the probed cells move.
-        known = spark.createDataFrame([(int(c),) for c in probed["cell"]], "cell int")
-        rows = index.rows.select("cell", "pattern_id", "embedding").join(F.broadcast(known), "cell", "left_semi")
-        size = bounds.set_index("cell")["rows"]
+        named = plan.select("query_id", "embedding", "kth", "met", "cells", F.explode("areas").alias("area"))
+        # Only the probed areas move.
+        known = place.filter(F.col("area").isin([int(a) for a in probed["area"]]))
+        rows = index.rows.select("cell", "pattern_id", "embedding").join(F.broadcast(known), "cell")
         blocks = [
-            (int(c), math.ceil(n / rows_per_block), math.ceil(size[c] / rows_per_block))
-            for c, n in zip(probed["cell"], probed["count"], strict=True) if max(n, size[c]) > rows_per_block
+            (int(a), math.ceil(n / most), math.ceil(size[a] / most))
+            for a, n in zip(probed["area"], probed["count"], strict=True) if max(n, size[a]) > most
         ]
-        hits = pair_blocks(
-            named.join(asked, "query_id"), rows, ["cell"], "query_id", "pattern_id", _meet(k, exclude_self), HIT_SCHEMA, blocks=blocks
-        )
+        meet = _meet(k, exclude_self, take is not None, rows_per_block)
+        hits = pair_blocks(named, rows, ["area"], "query_id", "pattern_id", meet, HIT_SCHEMA, blocks=blocks)
         best = best_hits(hits if not found else hits.unionByName(found[-1]), k).drop("rank")
         best.write.parquet(f"{path}/hits-{number}")
         found.append(spark.read.schema(HIT_SCHEMA).parquet(f"{path}/hits-{number}"))
+        if take is not None and not plan.filter("open > 0").limit(1).count():
+            break  # a cell that the k-th distance has ruled out stays so
         kth = found[-1].groupBy("query_id").agg(
             F.when(F.count(F.lit(1)) >= k, F.max("distance")).otherwise(F.lit(math.inf)).alias("kth")
         )
-        if take is not None and not plan.filter("open > 0").limit(1).count():
-            break  # a cell that the k-th distance has ruled out stays so
+        going = plan.filter("open > 0").select("query_id", "embedding", F.concat("met", "cells").alias("met"))
+        state = going.join(kth, "query_id", "left").withColumn("kth", F.coalesce("kth", F.lit(math.inf)))
     every = plans[0]
     for plan in plans[1:]:
         every = every.unionByName(plan)
-    met = every.select("round", "query_id", F.explode_outer("cells").alias("cell")).join(
-        F.broadcast(index.bounds.select("cell", "rows")), "cell", "left"
-    )
-    report = met.groupBy("round").agg(
-        F.count_distinct(F.when(F.col("cell").isNotNull(), F.col("query_id"))).alias("queries"), F.count("cell").alias("cells"),
-        F.coalesce(F.sum("rows"), F.lit(0)).alias("compared"),
-        (F.count_distinct("query_id") * F.lit(int(bounds["rows"].sum()))).alias("possible"),
+    report = every.groupBy("round").agg(
+        F.count_if(F.col("n_cells") > 0).alias("queries"), F.sum("n_cells").alias("cells"),
+        F.sum("compared").alias("compared"), (F.count(F.lit(1)) * F.lit(int(bounds["rows"].sum()))).alias("possible"),
     )
     if not found:
         found = [spark.createDataFrame([], HIT_SCHEMA)]
     return CellHits(best_hits(found[-1], k).select("query_id", "rank", "pattern_id", "distance"), report)
 
 
-def _meet(k: int, exclude_self: bool):
+def _meet(k: int, exclude_self: bool, by_cell: bool, at_once: int):
     def run(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
         if not left.num_rows or not right.num_rows:
             return hit_table([], [], [])
-        qid, ids = left["query_id"].to_numpy(), right["pattern_id"].to_numpy()
-        row, col, far = nearest(qid, matrix(left["embedding"]), ids, matrix(right["embedding"]), k, exclude_self)
-        keep = far <= left["kth"].to_numpy()[row]
+        qid, q, kth = left["query_id"].to_numpy(), matrix(left["embedding"]), left["kth"].to_numpy()
+        ids, v, cell = right["pattern_id"].to_numpy(), matrix(right["embedding"]), right["cell"].to_numpy()
+        if not by_cell:
+            row, known = _flat(left["met"])
+            counts = np.bincount(row, minlength=len(qid))
+            met = np.full((len(qid), max(1, int(counts.max()))), -1)
+            met[row, np.arange(len(row)) - np.repeat(np.cumsum(counts) - counts, counts)] = known
+
+            def barred(rows: np.ndarray, cols: np.ndarray) -> np.ndarray:
+                return (met[rows] == cell[cols][:, None]).any(1)
+
+            row, col, far = nearest_in_leaves(qid, q, kth, ids, v, k, exclude_self, barred, at_once)
+            return hit_table(qid[row], ids[col], far)
+        row, wanted = _flat(left["cells"])
+        asks, holds = np.argsort(wanted, kind="stable"), np.argsort(cell, kind="stable")
+        parts = []
+        for c in np.intersect1d(wanted, cell):
+            rows = row[asks[slice(*np.searchsorted(wanted, [c, c + 1], sorter=asks))]]
+            mine = holds[slice(*np.searchsorted(cell, [c, c + 1], sorter=holds))]
+            r, m, far = nearest_in_leaves(qid[rows], q[rows], kth[rows], ids[mine], v[mine], k, exclude_self, None, at_once)
+            parts.append((rows[r], mine[m], far))
+        row, col, far = joined(parts)
+        keep = best_places(row, ids[col], far, k)
         return hit_table(qid[row[keep]], ids[col[keep]], far[keep])
 
     return run

@@ -47,6 +47,32 @@ def test_cells_are_exact_and_prune(spark, spread):
         assert compared < 80 * 600 / 3
 
 
+def test_queries_travel_to_areas_however_many_cells_there_are(spark, monkeypatch):
+    vectors = np.random.default_rng(3).normal(size=(400, 24))  # far apart: the bounds rule out hardly a cell
+    index = cells.build_cells(table(spark, vectors), rows_per_cell=4)
+    assert index.bounds.count() > 80
+    moved, pair_blocks = [], cells.pair_blocks
+
+    def counted(left, *args, **options):
+        moved.append(left.count())
+        return pair_blocks(left, *args, **options)
+
+    monkeypatch.setattr(cells, "pair_blocks", counted)
+    monkeypatch.setattr(cells, "AREA_ROWS", 10, raising=False)
+    got = cells.search_cells(table(spark, vectors, "query_id"), index, 3, exclude_self=True)
+    assert found(got.hits) == exact(vectors, vectors, 3, True)
+    assert max(moved) <= 20 * len(vectors)
+
+
+def test_cells_in_blocks_on_both_sides(spark, monkeypatch):
+    """An area beyond a task's bound is cut; whole groups of copies keep their ties by id."""
+    vectors = np.random.default_rng(4).integers(0, 3, (300, 4)).astype(float)
+    monkeypatch.setattr(cells, "BLOCK_BYTES", 8 * 4 * 60, raising=False)
+    index = cells.build_cells(table(spark, vectors), rows_per_cell=7)
+    got = cells.search_cells(table(spark, vectors, "query_id"), index, 6, exclude_self=True, rows_per_block=5)
+    assert found(got.hits) == exact(vectors, vectors, 6, True)
+
+
 def test_cells_grow_and_ignore_unfinished_batches(spark):
     patterns = clusters(300)
     known = table(spark, patterns)
