@@ -222,7 +222,12 @@ class Store(NamedTuple):
             if mine is None:
                 continue
             if len(rows) * len(mine) > SMALL_PAIRS:
-                row, col, far = nearest(qid[rows], q[rows], self.ids[mine], self.vectors[mine], k, exclude_self)
+                ids, vectors = self.ids[mine], self.vectors[mine]
+                if len(mine) > 4 * LEAF_ROWS:
+                    open_ = np.full(len(rows), np.inf)
+                    row, col, far = nearest_in_leaves(qid[rows], q[rows], open_, ids, vectors, k, exclude_self)
+                else:
+                    row, col, far = nearest(qid[rows], q[rows], ids, vectors, k, exclude_self)
                 parts.append((rows[row], mine[col], far))
                 continue
             row_parts.append(np.repeat(rows, len(mine)))

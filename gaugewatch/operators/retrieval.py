@@ -9,6 +9,7 @@ query and block; query-pattern pairs never become rows.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterable, Sequence
 
 import numpy as np
@@ -23,7 +24,6 @@ from gaugewatch.functions.vectors import (
     Store,
     hit_table,
     matrix,
-    nearest,
     ranks,
     rows_by_key,
     usable_rows,
@@ -111,16 +111,26 @@ def _search_key(
     p = stored_vectors(patterns.withColumn("pattern_id", F.col("pattern_id").cast("bigint")), ["pattern_id", by], dim)
     q, p = q.filter(F.col(by).isNotNull()), p.filter(F.col(by).isNotNull())
 
+    # Keys meet by buckets: a task gets many small ones at once, and a hot one makes its bucket several blocks.
+    buckets = max(1, math.ceil(2 * max(q.count(), p.count()) / rows_per_block))
+    q = q.withColumn(by, F.col(by).cast(p.schema[by].dataType))
+    q, p = (side.withColumn("_bucket", F.pmod(F.xxhash64(by), F.lit(buckets)).cast("int")) for side in (q, p))
+    lefts, rights = ({r["_bucket"]: r["count"] for r in side.groupBy("_bucket").count().collect()} for side in (q, p))
+    blocks = [
+        (b, max(1, math.ceil(n / rows_per_block)), max(1, math.ceil(rights[b] / rows_per_block)))
+        for b, n in lefts.items() if max(n, rights.get(b, 0)) > rows_per_block and b in rights
+    ]
+
     def search(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
         if not left.num_rows or not right.num_rows:
             return hit_table([], [], [])
         qid, ids = left["query_id"].to_numpy(), right["pattern_id"].to_numpy()
-        row, col, far = nearest(
-            qid, matrix(left["embedding"]), ids, matrix(right["embedding"]), k, exclude_self
-        )
+        groups = rows_by_key(right[by].to_pylist())
+        store = Store(ids, matrix(right["embedding"]), {}, np.empty(0, "int64"), groups, right.select([]))
+        row, col, far = store.within_key(qid, matrix(left["embedding"]), left[by].to_pylist(), k, exclude_self)
         return hit_table(qid[row], ids[col], far)
 
-    return pair_blocks(q, p, [by], "query_id", "pattern_id", search, HIT_SCHEMA, rows_per_block, rows_per_block)
+    return pair_blocks(q, p, ["_bucket"], "query_id", "pattern_id", search, HIT_SCHEMA, blocks=blocks)
 
 
 def _search_all(
@@ -256,8 +266,9 @@ def retrieve(
     """
     shared = _shared_store(patterns, "host_id", True, max_broadcast_bytes)
     if shared is None:
+        slim = cut(queries.select("query_id", "host_id", "embedding"))  # read several times
         return attach_hits(
-            queries, _host_first_blocks(queries, patterns, k, mode, exclude_self, rows_per_block, index, nprobe)
+            queries, _host_first_blocks(slim, patterns, k, mode, exclude_self, rows_per_block, index, nprobe)
         )
     return _host_first_shared(queries, shared, k, mode, exclude_self)
 

@@ -189,3 +189,26 @@ def test_ivfpq_with_a_hot_cell(spark, vectors):
     limit = exact.groupBy("query_id").agg(F.max("distance").alias("worst"))
     close = got.join(limit, "query_id").filter(F.col("distance") <= F.col("worst") + 0.5).count()
     assert close / 750 > 0.9
+
+
+def test_small_keys_meet_in_few_groups(spark, monkeypatch):
+    """One group per host would be 1,500 of them."""
+    rng = np.random.default_rng(8)
+    v = rng.integers(0, 9, (3000, 4)).astype(float)
+    rows = [(i, x.tolist(), "hot" if i % 5 == 0 else None if i % 97 == 0 else f"h{i // 2}") for i, x in enumerate(v)]
+    p = spark.createDataFrame(rows, "pattern_id long, embedding array<double>, host_id string")
+    q = p.withColumnRenamed("pattern_id", "query_id")
+    groups, pair_blocks = [], retrieval.pair_blocks
+
+    def counted(left, right, by, *args, **options):
+        groups.append(left.select(*by).distinct().count())
+        return pair_blocks(left, right, by, *args, **options)
+
+    monkeypatch.setattr(retrieval, "pair_blocks", counted)
+    hits = retrieval.knn(q, p, 3, by="host_id", exclude_self=True, max_broadcast_bytes=0, rows_per_block=400).toPandas()
+    got = sorted((r.query_id, r.rank, r.pattern_id, round(r.distance, 6)) for r in hits.itertuples())
+    frame = pd.DataFrame(rows, columns=["pattern_id", "embedding", "host_id"])
+    known = frame[frame.host_id.notna()]
+    some = known[known.pattern_id < 200].rename(columns={"pattern_id": "query_id"})
+    assert [x for x in got if x[0] < 200] == _brute(some, known, 3, "host_id", True)
+    assert max(groups) <= 20
