@@ -47,7 +47,7 @@ RUN = 64
 HOT = 1000
 BLOCK_BYTES = 4 << 20
 BUCKET_ANCHORS = 1 << 19
-CHUNK = 1 << 20
+CHUNK = 1 << 17  # bytes whose arrays of numbers stay in a core's cache
 LAST = np.iinfo(np.int64).max
 PARTS = 16  # of a bucket, sorted one after the other
 SEPARATOR = 0xFF  # no byte of UTF-8
@@ -70,6 +70,13 @@ def _mix(a: np.ndarray, b: np.ndarray | int) -> np.ndarray:
 
 def _runs(text: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(first start, number of starts, 48-bit anchor key) of the runs in concatenated documents."""
+    ends = np.cumsum(lengths)
+    starts = ends - lengths
+    count = np.maximum(lengths - LENGTH + 1, 0)
+    some = np.flatnonzero(count)
+    if not len(some):
+        empty = np.zeros(0, np.int64)
+        return empty, empty, np.zeros(0, np.uint64)
     view = words(text)
     n = len(text)
     word = view[: n + WORD].astype(np.uint64)
@@ -78,34 +85,25 @@ def _runs(text: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray
     least, span, need = gram, 1, LENGTH - GRAM + 1
     while span < need:
         step = min(span, need - span)
-        moved = np.full(n, np.uint64(2**64 - 1))
-        moved[: n - step] = least[step:]
-        least = np.minimum(least, moved)
+        least = np.minimum(least[:-step], least[step:])
         span += step
-    ends = np.cumsum(lengths)
-    starts = ends - lengths
-    count = np.maximum(lengths - LENGTH + 1, 0)
-    some = np.flatnonzero(count)
-    if not len(some):
-        empty = np.zeros(0, np.int64)
-        return empty, empty, np.zeros(0, np.uint64)
-    valid = np.zeros(n + 1, np.int8)
-    np.add.at(valid, starts[some], 1)
-    np.add.at(valid, starts[some] + count[some], -1)
-    position = np.flatnonzero(np.cumsum(valid[:n]))
+    # A run begins where a document does or the anchor changes, and ends at the next one or with its document's strings.
+    new = np.zeros(len(least), bool)
+    np.not_equal(least[1:], least[:-1], out=new[1:])
+    new[starts[some]] = True
+    position = np.flatnonzero(new)
+    stop = (starts + count)[np.searchsorted(ends, position, "right")]
+    inside = position < stop
+    size = np.minimum(np.r_[position[1:], len(least)], stop)[inside] - position[inside]
+    position = position[inside]
     value = least[position]
-    new = np.ones(len(position), bool)
-    new[1:] = (value[1:] != value[:-1]) | (position[1:] != position[:-1] + 1)
-    new[np.searchsorted(position, starts[some])] = True
-    first = np.flatnonzero(new)
-    size = np.diff(np.r_[first, len(position)])
     # Runs are cut to a bounded number of strings (texts of one byte repeated).
     parts = -(-size // RUN)
-    which = np.repeat(np.arange(len(first)), parts)
+    which = np.repeat(np.arange(len(position)), parts)
     nth = np.arange(len(which)) - np.repeat(np.cumsum(parts) - parts, parts)
-    begin = position[first[which]] + nth * RUN
+    begin = position[which] + nth * RUN
     size = np.minimum(size[which] - nth * RUN, RUN)
-    return begin, size, _mix(value[first[which]], np.uint64(0x51)) >> np.uint64(16)
+    return begin, size, _mix(value[which], np.uint64(0x51)) >> np.uint64(16)
 
 
 class Block:
@@ -133,22 +131,26 @@ class Block:
 
     def anchors(self) -> tuple[np.ndarray, np.ndarray]:
         """Distinct keys, ascending, and how many runs have them; 1 means: in one document only."""
-        order = np.argsort(self.key, kind="stable")
+        order = np.argsort(self.key)
         key, doc = self.key[order], self.ids[self.row[order]]
-        first = np.flatnonzero(np.r_[True, key[1:] != key[:-1]]) if len(key) else np.zeros(0, np.int64)
+        new = np.r_[True, key[1:] != key[:-1]][: len(key)]
+        self.anchor = np.empty(len(key), np.int64)
+        self.anchor[order] = np.cumsum(new) - 1  # of each run, its place among the distinct keys
+        first = np.flatnonzero(new)
         if not len(first):
             return key, np.zeros(0, np.uint16)
         count = np.diff(np.r_[first, len(key)])
         single = np.minimum.reduceat(doc, first) == np.maximum.reduceat(doc, first)
         return key[first], np.where(single, 1, np.clip(count, 2, 60_000)).astype(np.uint16)
 
-    def fragments(self, repeated: np.ndarray, hot: np.ndarray, keys: np.ndarray):
+    def fragments(self, repeated: np.ndarray, hot: np.ndarray):
         """Pieces of repeated runs: (begin, size, key, doc) and the distinct fragments among them.
 
-        Returns pieces, the fragment of each piece, and for the fragments in
-        the order of their keys: key, size, smallest document, bytes.
+        The masks go by distinct keys, as ``anchors`` gives them. Returns pieces,
+        the fragment of each piece, and for the fragments in the order of their
+        keys: key, size, smallest document, and where one of them begins.
         """
-        at = np.searchsorted(keys, self.key)
+        at = self.anchor
         pick = repeated[at] & ~hot[at]
         begin, size, key, row = self.begin[pick], self.size[pick], self.key[pick], self.row[pick]
         pick = repeated[at] & hot[at]
@@ -163,18 +165,60 @@ class Block:
             begin, row = np.r_[begin, single], np.r_[row, self.row[which]]
             size = np.r_[size, np.ones(len(single), np.int64)]
             key = np.r_[key, value >> np.uint64(16)]
-        order = np.lexsort((begin, key))
+        view = words(self.text)
+        order = np.argsort(key)
+        # The order among equal keys has to be the same in every run of this: by the bytes, then by place.
         begin, size, key, row = begin[order], size[order], key[order], row[order]
-        text = self.text.tobytes()
-        seen: dict[bytes, int] = {}
-        which = np.empty(len(begin), np.int64)
-        for i, (a, n) in enumerate(zip(begin.tolist(), size.tolist(), strict=True)):
-            which[i] = seen.setdefault(text[a : a + n + LENGTH - 1], len(seen))
+        tied = np.r_[False, key[1:] == key[:-1]][: len(key)]
+        tied[:-1] |= tied[1:]
+        at = np.flatnonzero(tied)
+        mark = np.zeros(len(key), np.uint64)
+        mark[at] = _marks(view, begin[at], size[at])
+        moved = at[np.lexsort((begin[at], mark[at], key[at]))]
+        for x in (begin, size, key, row, mark):
+            x[at] = x[moved]
+        same = np.r_[False, (key[1:] == key[:-1]) & (mark[1:] == mark[:-1])][: len(key)]
+        doubt = np.flatnonzero(same)
+        equal = _equal(view, begin[doubt], size[doubt], begin[doubt - 1], size[doubt - 1])
+        if equal.all():
+            which = np.cumsum(~same) - 1
+        else:  # two texts of one mark
+            text = self.text.tobytes()
+            seen: dict[tuple, int] = {}
+            told = [seen.setdefault((k, text[a : a + n + LENGTH - 1]), len(seen)) for k, a, n in zip(key.tolist(), begin.tolist(), size.tolist())]
+            which = np.array(told, np.int64)
         doc = self.ids[row]
-        least = np.full(len(seen), LAST, np.int64)
-        np.minimum.at(least, which, doc)
         first = np.unique(which, return_index=True)[1] if len(which) else which
-        return (begin, size, doc), which, (key[first], size[first], least, list(seen))
+        least = np.full(len(first), LAST, np.int64)
+        np.minimum.at(least, which, doc)
+        return (begin, size, doc), which, (key[first], size[first], least, begin[first])
+
+
+def _marks(view: np.ndarray, begin: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """A hash of the bytes of every piece, a word at a time."""
+    mark = size.astype(np.uint64)
+    for depth in (0, 8, 16, 24, 32, 40, LENGTH - WORD):
+        mark = _mix(mark, view[begin + depth].astype(np.uint64))
+    for depth in range(LENGTH, RUN + LENGTH - 1, WORD):
+        # The last word of a piece ends with it.
+        more = np.flatnonzero(size + LENGTH - 1 > depth)
+        if not len(more):
+            break
+        last = np.minimum(depth, size[more] + LENGTH - 1 - WORD)
+        mark[more] = _mix(mark[more], view[begin[more] + last].astype(np.uint64))
+    return mark
+
+
+def _equal(view: np.ndarray, a: np.ndarray, m: np.ndarray, b: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """Whether pieces are equal, byte by byte."""
+    equal = m == n
+    for depth in range(0, RUN + LENGTH - 1, WORD):
+        more = np.flatnonzero(equal & (m + LENGTH - 1 > depth))
+        if not len(more):
+            break
+        last = np.minimum(depth, m[more] + LENGTH - 1 - WORD)
+        equal[more] = view[a[more] + last] == view[b[more] + last]
+    return equal
 
 
 def _bucket(key: np.ndarray, buckets: int) -> np.ndarray:
@@ -240,8 +284,8 @@ def _count(hot: int):
     return run
 
 
-def _masks(block: Block, answers: pa.Table, buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """For the block's distinct anchors: repeated, hot, key."""
+def _masks(block: Block, answers: pa.Table, buckets: int) -> tuple[np.ndarray, np.ndarray]:
+    """For the block's distinct anchors: repeated, hot."""
     keys, _ = block.anchors()
     repeated, hot = np.zeros(len(keys), bool), np.zeros(len(keys), bool)
     place = {b: (a, e) for b, a, e in _slices(_bucket(keys, buckets))}
@@ -250,7 +294,7 @@ def _masks(block: Block, answers: pa.Table, buckets: int) -> tuple[np.ndarray, n
             a, e = place[row["bucket_"]]
             repeated[a:e] = np.unpackbits(np.frombuffer(row["a_"], np.uint8), count=e - a)
             hot[a:e] = np.unpackbits(np.frombuffer(row["b_"], np.uint8), count=e - a)
-    return repeated, hot, keys
+    return repeated, hot
 
 
 def _cut(buckets: int):
@@ -259,17 +303,24 @@ def _cut(buckets: int):
             return _rows([], FRAGMENTS)
         number = docs.column("block_")[0].as_py()
         block = Block(docs)
-        _, _, (key, size, least, texts) = block.fragments(*_masks(block, answers, buckets))
+        _, _, (key, size, least, begin) = block.fragments(*_masks(block, answers, buckets))
+        width = size + LENGTH - 1
         part = _bucket(key, buckets * PARTS)
         rows = []
         for b, a, e in _slices(part // PARTS):
             counts = np.bincount(part[a:e] - b * PARTS, minlength=PARTS).astype(np.uint32)
-            rows.append((number, b, counts.tobytes(), size[a:e].astype(np.uint8).tobytes(), least[a:e].tobytes(), b"".join(texts[a:e])))
+            rows.append((number, b, counts.tobytes(), size[a:e].astype(np.uint8).tobytes(), least[a:e].tobytes(), _pick(block.text, begin[a:e], width[a:e])))
         return _rows(rows, FRAGMENTS)
 
     return run
 
 
+def _pick(text: np.ndarray, begin: np.ndarray, width: np.ndarray) -> bytes:
+    """The bytes of pieces, one after the other."""
+    shift = begin - (np.cumsum(width) - width)
+    return text[np.arange(int(width.sum())) + np.repeat(shift, width)].tobytes()
+
+
 def earliest(texts: list[bytes], docs: np.ndarray) -> np.ndarray:
     """Smallest document of each 50-byte string, over all strings of all fragments in order."""
     sizes = np.array([len(t) for t in texts], np.int64)

@@ -4,6 +4,7 @@ import hashlib
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from gaugewatch.llm import suffix_dedup
@@ -98,3 +99,36 @@ def test_cleaned_keeps_rows_and_columns(spark):
 
 def test_empty_table(spark):
     assert suffix_dedup.digest(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def _block(texts):
+    ids = list(range(len(texts)))
+    return suffix_dedup.Block(pa.table({"id_": pa.array(ids, pa.int64()), "text_": texts}))
+
+
+def test_pieces_of_a_block_are_grouped_by_their_bytes(monkeypatch):
+    rng = np.random.default_rng(3)
+    passages = ["".join(rng.choice(list("abcdefgh "), 300)) for _ in range(12)]
+    texts = ["".join(passages[i] for i in rng.integers(0, 12, 5)) + "x" * 90 for _ in range(40)]
+    block = _block(texts)
+    keys, counts = block.anchors()
+    found = [block.fragments(counts > 1, counts > 30)]
+    # Two texts of one mark: the bytes decide.
+    monkeypatch.setattr(suffix_dedup, "_marks", lambda view, begin, size: np.zeros(len(begin), np.uint64))
+    found.append(block.fragments(counts > 1, counts > 30))
+    text = block.text.tobytes()
+    for (begin, size, doc), which, (key, width, least, first) in found:
+        pieces = [text[a : a + n + 49] for a, n in zip(begin, size)]
+        kept = [text[a : a + n + 49] for a, n in zip(first, width)]
+        assert len(set(kept)) == len(kept) == len(set(pieces)) and [kept[w] for w in which] == pieces
+        assert (np.diff(key.astype(np.int64)) >= 0).all()
+        assert all(least[w] == min(d for x, d in zip(which, doc) if x == w) for w in range(len(kept)))
+
+
+def test_runs_do_not_depend_on_the_chunk(monkeypatch):
+    texts = ["ab" * 60, "", "q" * 49, "r" * 50, "some words of a text that is long enough to hold runs " * 9, "é" * 200]
+    wide = _block(texts)
+    monkeypatch.setattr(suffix_dedup, "CHUNK", 64)
+    narrow = _block(texts)
+    assert all((getattr(wide, x) == getattr(narrow, x)).all() for x in ("begin", "size", "key", "row"))
+    assert wide.size.sum() == np.maximum(wide.lengths - 49, 0).sum()
