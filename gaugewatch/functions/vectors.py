@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from typing import NamedTuple
 
 import numpy as np
@@ -13,6 +13,10 @@ CHUNK_CELLS = 1 << 22
 SMALL_PAIRS = 1 << 14
 DIRECT_PAIRS = 1 << 18
 LEAF_ROWS = 256
+BOX_ROWS = 16
+TILE = 1024  # patterns of one product: it stays in a core's cache
+# Squares that single precision holds.
+THIN_LEAST, THIN_MOST = 1e-20, 1e30
 
 
 def matrix(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
@@ -47,9 +51,11 @@ def usable_rows(column: pa.ChunkedArray | pa.Array, size: int | None = None) ->
 def squared_rows(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Row-wise squared distance, summed from the first dimension to the last."""
     total = np.zeros(len(a))
-    for d in range(a.shape[1]):
-        diff = a[:, d] - b[:, d]
-        total += diff * diff
+    for at in range(0, len(a), TILE):
+        diff = np.ascontiguousarray((a[at : at + TILE] - b[at : at + TILE]).T)
+        diff *= diff
+        for one in diff:
+            total[at : at + TILE] += one
     return total
 
 
@@ -70,37 +76,123 @@ def joined(parts: list[Found]) -> Found:
     return tuple(np.concatenate(part) for part in zip(*parts))
 
 
+class Arena(NamedTuple):
+    """Patterns that queries meet: vectors, halves of their squares, and both again in single precision where that can hold them."""
+
+    vectors: np.ndarray
+    half: np.ndarray
+    thin: np.ndarray | None
+    top: float
+
+
+def _arena(vectors: np.ndarray) -> Arena:
+    half = 0.5 * (vectors * vectors).sum(1)
+    top = 2.0 * float(half.max())
+    return Arena(vectors, half, vectors.astype(np.float32) if top < THIN_MOST else None, top)
+
+
+def _true_places(mask: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """As ``np.nonzero`` of a matrix with few true places: eight are looked at together."""
+    flat = mask.ravel()
+    whole = len(flat) // 8 * 8
+    some = np.flatnonzero(flat[:whole].view(np.uint64))
+    at, nth = np.nonzero(flat[:whole].reshape(-1, 8)[some])
+    return np.divmod(np.r_[some[at] * 8 + nth, whole + np.flatnonzero(flat[whole:])], mask.shape[1])
+
+
+def _passing(q: np.ndarray, own: np.ndarray, limit: np.ndarray, arena: Arena, cols: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(query place, pattern place) of all pairs within ``limit``, and of some that are a little farther.
+
+    A product in single precision is off by less than an eighth of ``slack``; where
+    that is much against the limits, doubles are used.
+    """
+    scale = 8.0 * (q.shape[1] + 8) * (own.max() + arena.top)
+    middle = np.median(limit)
+    thin = arena.thin is not None and own.max() < THIN_MOST and THIN_LEAST < middle < np.inf
+    thin = thin and scale * np.finfo(np.float32).eps <= 0.02 * middle
+    kind, known = (np.float32, arena.thin) if thin else (np.float64, arena.vectors)
+    slack = scale * np.finfo(kind).eps
+    with np.errstate(over="ignore"):
+        left, floor = q.astype(kind, copy=False), (0.5 * (own - limit - slack)).astype(kind)[:, None]
+    rows, places = [], []
+    for at in range(0, len(cols), TILE):
+        some = cols[at : at + TILE]
+        score = left @ known[some].T
+        score -= arena.half[some].astype(kind, copy=False)
+        r, c = _true_places(score >= floor)
+        rows.append(r)
+        places.append(some[c])
+    return np.concatenate(rows), np.concatenate(places)
+
+
+def _first_limits(
+    qid: np.ndarray, q: np.ndarray, own: np.ndarray, limit: np.ndarray, arena: Arena, vid: np.ndarray, cols: np.ndarray, k: int,
+    exclude_self: bool,
+) -> np.ndarray:
+    """Limits that the ``k`` nearest of the first patterns surely keep, for queries that have none yet."""
+    some = cols[: 4 * LEAF_ROWS]
+    if len(some) <= k:
+        return limit
+    score = q @ arena.vectors[some].T - arena.half[some]
+    if exclude_self:
+        score[qid[:, None] == vid[some][None, :]] = -np.inf
+    kth = np.partition(score, len(some) - k, axis=1)[:, len(some) - k]
+    slack = 8.0 * (q.shape[1] + 8) * (own.max() + arena.top) * np.finfo(float).eps
+    # Not a number where squares overflow.
+    return np.fmin(limit, own - 2.0 * kth + slack)
+
+
+def _meet(
+    qid: np.ndarray, q: np.ndarray, own: np.ndarray, limit: np.ndarray, arena: Arena, vid: np.ndarray, cols: np.ndarray, k: int,
+    exclude_self: bool, free: Callable[[np.ndarray, np.ndarray], np.ndarray] | None, held: Found,
+) -> Found:
+    """The best of ``held`` and of the patterns at ``cols``; ``limit`` falls to each query's k-th distance."""
+    near = limit if free is not None or np.isfinite(limit).all() else _first_limits(qid, q, own, limit, arena, vid, cols, k, exclude_self)
+    r, c = _passing(q, own, near, arena, cols)
+    if exclude_self:
+        other = qid[r] != vid[c]
+        r, c = r[other], c[other]
+    if free is not None:
+        kept = free(r, c)
+        r, c = r[kept], c[kept]
+    if not len(r):
+        return held
+    exact = np.empty(len(r))
+    for p in range(0, len(r), DIRECT_PAIRS):
+        exact[p : p + DIRECT_PAIRS] = squared_rows(q[r[p : p + DIRECT_PAIRS]], arena.vectors[c[p : p + DIRECT_PAIRS]])
+    near = (exact <= limit[r]) & np.isfinite(exact)
+    row, col, far = joined([held, (r[near], c[near], exact[near])])
+    keep = best_places(row, vid[col], far, k)
+    row, col, far = row[keep], col[keep], far[keep]
+    counts = np.bincount(row, minlength=len(q))
+    full = counts >= k
+    limit[full] = np.minimum(limit[full], far[np.cumsum(counts)[full] - 1])
+    return row, col, far
+
+
 def nearest(
     query_ids: np.ndarray, queries: np.ndarray, ids: np.ndarray, vectors: np.ndarray, k: int, exclude_self: bool
 ) -> Found:
     """Exact top ``k`` as (query place, pattern place, squared distance).
 
-    A matrix product narrows down, the difference form decides: the product is
-    off by at most ``slack``, so every true hit lies within twice that of its
-    k-th smallest value.
+    A matrix product narrows down, the difference form decides. Only tiles of
+    products are held at once, whatever the number of patterns.
     """
     if not len(ids) or not len(query_ids):
         return joined([])
     if queries.shape[1] != vectors.shape[1]:
         raise ValueError(f"query size {queries.shape[1]} differs from pattern size {vectors.shape[1]}")
     out = []
-    norms = (vectors * vectors).sum(1)
-    step = max(1, CHUNK_CELLS // len(ids))
-    for at in range(0, len(query_ids), step):
-        q, qid = queries[at : at + step], query_ids[at : at + step]
-        own = (q * q).sum(1)
-        rough = own[:, None] + norms[None, :] - 2.0 * (q @ vectors.T)
-        if exclude_self:
-            rough[qid[:, None] == ids[None, :]] = np.inf
-        slack = 4.0 * (q.shape[1] + 8) * np.finfo(float).eps * (own + norms.max())
-        kth = np.partition(rough, k - 1, axis=1)[:, k - 1] if k < len(ids) else np.full(len(q), np.inf)
-        rows, cols = np.nonzero((rough <= (kth + 2.0 * slack)[:, None]) & np.isfinite(rough))
-        exact = np.empty(len(rows))
-        for p in range(0, len(rows), 1 << 18):
-            r, c = rows[p : p + (1 << 18)], cols[p : p + (1 << 18)]
-            exact[p : p + (1 << 18)] = squared_rows(q[r], vectors[c])
-        keep = best_places(rows, ids[cols], exact, k)
-        out.append((at + rows[keep], cols[keep], exact[keep]))
+    arena = _arena(vectors)
+    for at in range(0, len(query_ids), LEAF_ROWS):
+        q, qid = queries[at : at + LEAF_ROWS], query_ids[at : at + LEAF_ROWS]
+        own, limit, held = (q * q).sum(1), np.full(len(q), np.inf), joined([])
+        place, take = 0, 2 * LEAF_ROWS
+        while place < len(ids):
+            cols = np.arange(place, min(place + take, len(ids)))
+            held = _meet(qid, q, own, limit, arena, ids, cols, k, exclude_self, None, held)
+            place, take = place + take, 4 * take
+        out.append((at + held[0], held[1], held[2]))
     return joined(out)
 
 
@@ -127,8 +219,8 @@ def nearest_in_leaves(
 
     Queries and patterns lie in small boxes. A box of queries meets the boxes of
     patterns in the order of their distance, until that exceeds what its
-    queries have found. ``at_once`` patterns are compared in one product, which
-    narrows down as in ``nearest``.
+    queries have found. ``at_once`` patterns are met before that is looked at
+    again; products narrow down as in ``nearest``.
     """
     if not len(ids) or not len(query_ids):
         return joined([])
@@ -140,48 +232,55 @@ def nearest_in_leaves(
     starts = np.r_[0, ends[:-1]]
     v, vid = vectors[order], ids[order]
     low, high = np.minimum.reduceat(v, starts, 0), np.maximum.reduceat(v, starts, 0)
-    norms = (v * v).sum(1)
+    arena = _arena(v)
     most, out = max(1, at_once // LEAF_ROWS), []
-    for rows in leaves(queries):
+    for rows, gap in _boxes(queries, kth, low, high):
         q, qid, limit = queries[rows], query_ids[rows], kth[rows].astype(np.float64)
         own = (q * q).sum(1)
-        slack = 8.0 * (q.shape[1] + 8) * np.finfo(float).eps * (own + norms.max())
-        gap = np.maximum(np.maximum(low - q.max(0), q.min(0) - high), 0.0)
-        gap = (gap * gap).sum(1) * (1 - 1e-9)
         turn = np.argsort(gap, kind="stable")
-        row, col, far = joined([])
+        held = joined([])
         place, take = 0, min(2, most)
+
+        def free(r: np.ndarray, c: np.ndarray) -> np.ndarray:
+            return ~barred(rows[r], order[c])
+
         while place < len(turn) and gap[turn[place]] <= limit.max():
             some = turn[place : place + take]
             some = some[gap[some] <= limit.max()]
             place, take = place + take, min(4 * take, most)
             cols = np.concatenate([np.arange(starts[leaf], ends[leaf]) for leaf in some])
-            score = q @ v[cols].T
-            score -= 0.5 * norms[cols]
-            r, c = np.nonzero(score >= (0.5 * (own - limit - slack))[:, None])
-            c = cols[c]
-            if exclude_self:
-                other = qid[r] != vid[c]
-                r, c = r[other], c[other]
-            if barred is not None:
-                free = ~barred(rows[r], order[c])
-                r, c = r[free], c[free]
-            if not len(r):
-                continue
-            exact = np.empty(len(r))
-            for p in range(0, len(r), DIRECT_PAIRS):
-                exact[p : p + DIRECT_PAIRS] = squared_rows(q[r[p : p + DIRECT_PAIRS]], v[c[p : p + DIRECT_PAIRS]])
-            near = exact <= limit[r]
-            row, col, far = joined([(row, col, far), (r[near], c[near], exact[near])])
-            keep = best_places(row, vid[col], far, k)
-            row, col, far = row[keep], col[keep], far[keep]
-            counts = np.bincount(row, minlength=len(rows))
-            full = counts >= k
-            limit[full] = np.minimum(limit[full], far[np.cumsum(counts)[full] - 1])
-        out.append((rows[row], order[col], far))
+            held = _meet(qid, q, own, limit, arena, vid, cols, k, exclude_self, free if barred is not None else None, held)
+        out.append((rows[held[0]], order[held[1]], held[2]))
     return joined(out)
 
 
+def _boxes(queries: np.ndarray, kth: np.ndarray, low: np.ndarray, high: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Groups of queries with the least distance of each box of patterns to them.
+
+    A group is halved as long as that spares a good part of what it has to meet:
+    few queries among many patterns lie in large boxes.
+    """
+
+    def gaps(rows: np.ndarray) -> np.ndarray:
+        q = queries[rows]
+        gap = np.maximum(np.maximum(low - q.max(0), q.min(0) - high), 0.0)
+        return (gap * gap).sum(1) * (1 - 1e-9)
+
+    def work(rows: np.ndarray, gap: np.ndarray) -> int:
+        # A group costs as much as some queries more, whatever its size.
+        return (len(rows) + BOX_ROWS) * int((gap <= kth[rows].max()).sum())
+
+    waiting = [(rows, gaps(rows)) for rows in leaves(queries)]
+    while waiting:
+        rows, gap = waiting.pop()
+        if len(rows) > 2 * BOX_ROWS and (cost := work(rows, gap)) > 4 * len(rows):
+            halves = [(rows[part], gaps(rows[part])) for part in leaves(queries[rows], -(-len(rows) // 2))]
+            if sum(work(*half) for half in halves) < 0.8 * cost:
+                waiting += halves
+                continue
+        yield rows, gap
+
+
 def hit_table(query_ids: np.ndarray, pattern_ids: np.ndarray, distances: np.ndarray) -> pa.Table:
     return pa.table(
         {

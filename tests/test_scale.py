@@ -1,10 +1,13 @@
 """The helpers for skewed data give the plain results on both sides of their bounds."""
 
+import tracemalloc
+
 import numpy as np
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from gaugewatch.functions import vectors as kernel
 from gaugewatch.operators import ivfpq, retrieval, scale
 
 
@@ -212,3 +215,55 @@ def test_small_keys_meet_in_few_groups(spark, monkeypatch):
     some = known[known.pattern_id < 200].rename(columns={"pattern_id": "query_id"})
     assert [x for x in got if x[0] < 200] == _brute(some, known, 3, "host_id", True)
     assert max(groups) <= 20
+
+
+def _plain_nearest(qid, q, ids, v, k):
+    """(query place, pattern place, distance) of the ``k`` nearest other patterns, by plain sums."""
+    out = set()
+    for i in range(len(q)):
+        far = np.zeros(len(v))
+        for d in range(v.shape[1]):
+            far += (q[i, d] - v[:, d]) * (q[i, d] - v[:, d])
+        order = [j for j in np.lexsort((ids, far)) if ids[j] != qid[i]][:k]
+        out |= {(i, int(j), float(far[j])) for j in order}
+    return out
+
+
+@pytest.mark.parametrize("scale", [1.0, 1e-25, 1e12])
+def test_products_in_single_precision_only_narrow_down(scale):
+    rng = np.random.default_rng(5)
+    v = rng.normal(size=(1500, 16)) * scale
+    v[700:1400] = v[:700] * (1 + 1e-9)  # nearly equal: far below what single precision tells apart
+    v[1400:] = v[:100]
+    ids, qid, q = rng.permutation(1500), np.arange(300), v[:300] * (1 + 1e-8)
+    want = _plain_nearest(qid, q, ids, v, 4)
+    for found in (
+        kernel.nearest(qid, q, ids, v, 4, True),
+        kernel.nearest_in_leaves(qid, q, np.full(300, np.inf), ids, v, 4, True),
+    ):
+        assert set(zip(*[part.tolist() for part in found])) == want
+
+
+def _held_by(work):
+    tracemalloc.start()
+    work()
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    return most
+
+
+def test_a_search_holds_tiles_of_products_whatever_the_store():
+    rng = np.random.default_rng(6)
+    ids, v = np.arange(40_000), rng.normal(size=(40_000, 16))
+    store = kernel.Store(ids, v, {}, np.empty(0, "int64"), {}, None)
+    held = _held_by(lambda: store.everywhere(ids[:600], v[:600], np.arange(600), 5, True))
+    assert held < 3 * v.nbytes + (16 << 20)
+
+
+def test_a_search_measures_few_pairs_exactly(monkeypatch):
+    rng = np.random.default_rng(7)
+    ids, v = np.arange(20_000), rng.normal(size=(20_000, 64))
+    pairs, plain = [], kernel.squared_rows
+    monkeypatch.setattr(kernel, "squared_rows", lambda a, b: pairs.append(len(a)) or plain(a, b))
+    row, _, _ = kernel.nearest_in_leaves(ids[:500], v[:500], np.full(500, np.inf), ids, v, 5, True)
+    assert len(row) == 2500 and sum(pairs) < 200 * 500
