@@ -20,6 +20,7 @@ from gaugewatch.session import cut
 
 RAW_COLUMNS = ["timestamp", "node_id", "subsystem", "sensor", "parameter", "value_raw", "value_hrf"]
 NODE_COLUMNS = ["node_id", "lat", "lon"]
+TASK_BYTES = 128 << 20  # of small files that one task writes
 SENSOR_COLUMNS = ["subsystem", "sensor", "parameter", "hrf_unit", "hrf_minval", "hrf_maxval", "datasheet"]
 
 
@@ -290,7 +291,11 @@ def compact_by_bytes(
         F.broadcast(offsets.select("_range", "_offset")), "_range"
     )
     number = F.least(F.floor((F.col("_offset") + F.col("_run")) / F.lit(total) * F.lit(files)), F.lit(files - 1)).cast("int")
-    out = placed.withColumn("file", number).repartition(files, "file").sortWithinPartitions("file", *ties)
+    # Small files share a task, which writes them one after the other; a file lies in one task as a whole.
+    each = max(1, min(files // (4 * ranges), TASK_BYTES // max_bytes))
+    tasks = math.ceil(files / each)
+    dealt = placed.withColumn("file", number).withColumn("_task", F.floor(F.col("file") / F.lit(each)))
+    out = dealt.repartition(tasks, "_task").sortWithinPartitions("file", *ties)
     out.select(*df.columns, "file").write.mode("overwrite").partitionBy("file").parquet(path)
 
 

@@ -245,3 +245,17 @@ def test_compacted_files_are_even_in_bytes(spark, tmp_path):
     assert all(x.b <= y.a for x, y in zip(spans, spans[1:]))
     src.compact_by_bytes(spark, str(raw), out, 1, ranges=8)  # finished output stays
     assert len(src.list_files(spark, out + "/*/*.parquet").collect()) == len(sizes)
+
+
+def test_small_files_of_a_compaction_share_tasks(spark, tmp_path):
+    raw, out = tmp_path / "raw", str(tmp_path / "out")
+    rows = spark.range(6000).selectExpr("concat('2024/01/', lpad(cast(id % 28 as string), 2, '0')) as timestamp", "cast(id as string) as node_id")
+    rows.write.option("header", True).csv(str(raw))
+    src.compact_by_bytes(spark, str(raw), out, 600, ranges=4)
+    names = [f.rsplit("/", 1)[1] for f in spark.read.parquet(out).inputFiles()]
+    tasks = {n.split("-")[1] for n in names}
+    assert len(names) > 64 and len(tasks) <= 17
+    back = spark.read.parquet(out)
+    assert back.count() == 6000 and back.groupBy("file").agg(F.min("timestamp").alias("a"), F.max("timestamp").alias("b")).count() == len(names)
+    ends = back.groupBy("file").agg(F.min("timestamp").alias("a"), F.max("timestamp").alias("b")).orderBy("file").collect()
+    assert all(x["b"] <= y["a"] for x, y in zip(ends, ends[1:]))
