@@ -9,7 +9,6 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-CHUNK_CELLS = 1 << 22
 SMALL_PAIRS = 1 << 14
 DIRECT_PAIRS = 1 << 18
 LEAF_ROWS = 256

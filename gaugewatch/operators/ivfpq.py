@@ -25,12 +25,13 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from gaugewatch.functions.vectors import CHUNK_CELLS, best_places, hit_table, joined, matrix, squared_rows, usable_rows
+from gaugewatch.functions.vectors import best_places, hit_table, joined, matrix, squared_rows, usable_rows
 from gaugewatch.operators.scale import dimension_join, pair_blocks
 from gaugewatch.operators.vector_tables import HIT_SCHEMA, best_hits, store_dim, stored_vectors
 from gaugewatch.session import cut, fresh_path
 
 MODEL_SCHEMA = "version string, made int, part int, entry int, vector array<double>"
+HELD_CELLS = 1 << 18  # distances of queries to patterns that a task holds at once
 BATCH_SCHEMA = "batch string, version string, rows bigint"
 
 
@@ -256,14 +257,15 @@ def ivfpq_search(
         qid, ids = left["query_id"].to_numpy(), right["pattern_id"].to_numpy()
         rest = matrix(left["embedding"]) - centres[left["cell"][0].as_py()]
         code = np.frombuffer(b"".join(right["code"].to_pylist()), np.uint8).reshape(len(ids), -1)
+        code = np.ascontiguousarray(code.T)
         parts = []
         # Bounded by both: distances to all patterns, and differences to all entries.
-        step = max(1, CHUNK_CELLS // max(len(ids), books.shape[1] * width))
+        step = max(1, HELD_CELLS // max(len(ids), books.shape[1] * width))
         for at in range(0, len(qid), step):
             far = np.zeros((len(qid[at : at + step]), len(ids)))
             for j, book in enumerate(books):
                 diff = rest[at : at + step, None, j * width : (j + 1) * width] - book[None]
-                far += (diff * diff).sum(2)[:, code[:, j]]
+                far += np.take((diff * diff).sum(2), code[j], axis=1)
             if exclude_self:
                 far[qid[at : at + step, None] == ids[None, :]] = np.inf
             kth = np.partition(far, wanted - 1, axis=1)[:, wanted - 1] if wanted < len(ids) else np.full(len(far), np.inf)

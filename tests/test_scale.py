@@ -267,3 +267,8 @@ def test_a_search_measures_few_pairs_exactly(monkeypatch):
     monkeypatch.setattr(kernel, "squared_rows", lambda a, b: pairs.append(len(a)) or plain(a, b))
     row, _, _ = kernel.nearest_in_leaves(ids[:500], v[:500], np.full(500, np.inf), ids, v, 5, True)
     assert len(row) == 2500 and sum(pairs) < 200 * 500
+
+
+def test_a_meeting_of_codes_holds_few_distances():
+    # Several arrays of this many distances are held at once, by every worker.
+    assert 8 * ivfpq.HELD_CELLS <= 2 << 20
