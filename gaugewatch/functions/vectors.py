@@ -28,7 +28,7 @@ def matrix(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
     lengths = pc.list_value_length(column)
     if column.null_count or pc.min(lengths).as_py() != pc.max(lengths).as_py():
         raise ValueError("embeddings differ in size")
-    return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(rows, -1)
+    return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64, copy=False).reshape(rows, -1)
 
 
 def usable_rows(column: pa.ChunkedArray | pa.Array, size: int | None = None) -> tuple[np.ndarray, np.ndarray]:
@@ -44,7 +44,7 @@ def usable_rows(column: pa.ChunkedArray | pa.Array, size: int | None = None) ->
     fit = np.flatnonzero(lengths == size)
     values = matrix(column.take(pa.array(fit))) if len(fit) and size else np.empty((len(fit), size))
     finite = np.isfinite(values).all(1)
-    return fit[finite], values[finite]
+    return (fit, values) if finite.all() else (fit[finite], values[finite])
 
 
 def squared_rows(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -76,18 +76,42 @@ def joined(parts: list[Found]) -> Found:
 
 
 class Arena(NamedTuple):
-    """Patterns that queries meet: vectors, halves of their squares, and both again in single precision where that can hold them."""
+    """Patterns that queries meet.
 
-    vectors: np.ndarray
+    ``thin`` holds vectors in single precision, with minus half their square as
+    a last value, so that one product gives what queries are ranked by. ``wide``
+    holds doubles, and nothing where ``thin`` has the very same values.
+    """
+
+    wide: np.ndarray | None
     half: np.ndarray
     thin: np.ndarray | None
     top: float
+    size: int
+
+    def take(self, places: np.ndarray) -> np.ndarray:
+        return self.wide[places] if self.wide is not None else self.thin[places][:, :-1].astype(np.float64)
+
 
+def arena_of(vectors: np.ndarray | Arena) -> Arena:
+    if isinstance(vectors, Arena):
+        return vectors
+    half = 0.5 * np.einsum("ij,ij->i", vectors, vectors)
+    top = 2.0 * float(half.max(initial=0.0))
+    rows, size = vectors.shape
+    if not rows or not top < THIN_MOST:
+        return Arena(vectors, half, None, top, size)
+    thin = np.empty((rows, size + 1), np.float32)
+    thin[:, :-1], thin[:, -1] = vectors, -half
+    return Arena(None if (thin[:, :-1] == vectors).all() else vectors, half, thin, top, size)
 
-def _arena(vectors: np.ndarray) -> Arena:
-    half = 0.5 * (vectors * vectors).sum(1)
-    top = 2.0 * float(half.max())
-    return Arena(vectors, half, vectors.astype(np.float32) if top < THIN_MOST else None, top)
+
+def _pair_distances(q: np.ndarray, rows: np.ndarray, arena: Arena, cols: np.ndarray) -> np.ndarray:
+    """Squared distances of the pairs; only a tile of pairs is held as vectors at once."""
+    far = np.empty(len(rows))
+    for at in range(0, len(rows), TILE):
+        far[at : at + TILE] = squared_rows(q[rows[at : at + TILE]], arena.take(cols[at : at + TILE]))
+    return far
 
 
 def _true_places(mask: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -109,15 +133,22 @@ def _passing(q: np.ndarray, own: np.ndarray, limit: np.ndarray, arena: Arena, co
     middle = np.median(limit)
     thin = arena.thin is not None and own.max() < THIN_MOST and THIN_LEAST < middle < np.inf
     thin = thin and scale * np.finfo(np.float32).eps <= 0.02 * middle
-    kind, known = (np.float32, arena.thin) if thin else (np.float64, arena.vectors)
+    kind = np.float32 if thin else np.float64
     slack = scale * np.finfo(kind).eps
     with np.errstate(over="ignore"):
         left, floor = q.astype(kind, copy=False), (0.5 * (own - limit - slack)).astype(kind)[:, None]
+    if thin:
+        left = np.c_[left, np.ones(len(q), kind)]
     rows, places = [], []
     for at in range(0, len(cols), TILE):
         some = cols[at : at + TILE]
-        score = left @ known[some].T
-        score -= arena.half[some].astype(kind, copy=False)
+        if thin:
+            # Patterns that lie together need no copy.
+            whole = some[-1] - some[0] == len(some) - 1 and (np.diff(some) == 1).all()
+            score = left @ arena.thin[slice(some[0], some[-1] + 1) if whole else some].T
+        else:
+            score = left @ arena.take(some).T
+            score -= arena.half[some]
         r, c = _true_places(score >= floor)
         rows.append(r)
         places.append(some[c])
@@ -132,7 +163,7 @@ def _first_limits(
     some = cols[: 4 * LEAF_ROWS]
     if len(some) <= k:
         return limit
-    score = q @ arena.vectors[some].T - arena.half[some]
+    score = q @ arena.take(some).T - arena.half[some]
     if exclude_self:
         score[qid[:, None] == vid[some][None, :]] = -np.inf
     kth = np.partition(score, len(some) - k, axis=1)[:, len(some) - k]
@@ -156,9 +187,7 @@ def _meet(
         r, c = r[kept], c[kept]
     if not len(r):
         return held
-    exact = np.empty(len(r))
-    for p in range(0, len(r), DIRECT_PAIRS):
-        exact[p : p + DIRECT_PAIRS] = squared_rows(q[r[p : p + DIRECT_PAIRS]], arena.vectors[c[p : p + DIRECT_PAIRS]])
+    exact = _pair_distances(q, r, arena, c)
     near = (exact <= limit[r]) & np.isfinite(exact)
     row, col, far = joined([held, (r[near], c[near], exact[near])])
     keep = best_places(row, vid[col], far, k)
@@ -170,7 +199,7 @@ def _meet(
 
 
 def nearest(
-    query_ids: np.ndarray, queries: np.ndarray, ids: np.ndarray, vectors: np.ndarray, k: int, exclude_self: bool
+    query_ids: np.ndarray, queries: np.ndarray, ids: np.ndarray, vectors: np.ndarray | Arena, k: int, exclude_self: bool
 ) -> Found:
     """Exact top ``k`` as (query place, pattern place, squared distance).
 
@@ -179,10 +208,10 @@ def nearest(
     """
     if not len(ids) or not len(query_ids):
         return joined([])
-    if queries.shape[1] != vectors.shape[1]:
-        raise ValueError(f"query size {queries.shape[1]} differs from pattern size {vectors.shape[1]}")
+    arena = arena_of(vectors)
+    if queries.shape[1] != arena.size:
+        raise ValueError(f"query size {queries.shape[1]} differs from pattern size {arena.size}")
     out = []
-    arena = _arena(vectors)
     for at in range(0, len(query_ids), LEAF_ROWS):
         q, qid = queries[at : at + LEAF_ROWS], query_ids[at : at + LEAF_ROWS]
         own, limit, held = (q * q).sum(1), np.full(len(q), np.inf), joined([])
@@ -231,7 +260,8 @@ def nearest_in_leaves(
     starts = np.r_[0, ends[:-1]]
     v, vid = vectors[order], ids[order]
     low, high = np.minimum.reduceat(v, starts, 0), np.maximum.reduceat(v, starts, 0)
-    arena = _arena(v)
+    arena = arena_of(v)
+    del v
     most, out = max(1, at_once // LEAF_ROWS), []
     for rows, gap in _boxes(queries, kth, low, high):
         q, qid, limit = queries[rows], query_ids[rows], kth[rows].astype(np.float64)
@@ -302,7 +332,7 @@ class Store(NamedTuple):
     """A pattern table small enough to be everywhere."""
 
     ids: np.ndarray
-    vectors: np.ndarray
+    vectors: np.ndarray | Arena
     keys: dict
     key_of: np.ndarray
     groups: dict
@@ -314,13 +344,13 @@ class Store(NamedTuple):
 
     def within_key(self, qid: np.ndarray, q: np.ndarray, keys: list, k: int, exclude_self: bool) -> Found:
         """Small keys are compared together, large ones each on their own."""
-        parts, row_parts, col_parts, held = [], [], [], 0
+        arena, parts, row_parts, col_parts, held = arena_of(self.vectors), [], [], [], 0
         for key, rows in rows_by_key(keys).items():
             mine = self.groups.get(key)
             if mine is None:
                 continue
             if len(rows) * len(mine) > SMALL_PAIRS:
-                ids, vectors = self.ids[mine], self.vectors[mine]
+                ids, vectors = self.ids[mine], arena.take(mine)
                 if len(mine) > 4 * LEAF_ROWS:
                     open_ = np.full(len(rows), np.inf)
                     row, col, far = nearest_in_leaves(qid[rows], q[rows], open_, ids, vectors, k, exclude_self)
@@ -332,22 +362,22 @@ class Store(NamedTuple):
             col_parts.append(np.tile(mine, len(rows)))
             held += len(rows) * len(mine)
             if held > DIRECT_PAIRS:
-                parts.append(self._direct(qid, q, row_parts, col_parts, k, exclude_self))
+                parts.append(self._direct(qid, q, arena, row_parts, col_parts, k, exclude_self))
                 row_parts, col_parts, held = [], [], 0
         if held:
-            parts.append(self._direct(qid, q, row_parts, col_parts, k, exclude_self))
+            parts.append(self._direct(qid, q, arena, row_parts, col_parts, k, exclude_self))
         return joined(parts)
 
     def _direct(
-        self, qid: np.ndarray, q: np.ndarray, row_parts: list, col_parts: list, k: int, exclude_self: bool
+        self, qid: np.ndarray, q: np.ndarray, arena: Arena, row_parts: list, col_parts: list, k: int, exclude_self: bool
     ) -> Found:
-        if q.shape[1] != self.vectors.shape[1]:
-            raise ValueError(f"query size {q.shape[1]} differs from pattern size {self.vectors.shape[1]}")
+        if q.shape[1] != arena.size:
+            raise ValueError(f"query size {q.shape[1]} differs from pattern size {arena.size}")
         row, col = np.concatenate(row_parts), np.concatenate(col_parts)
         if exclude_self:
             other = qid[row] != self.ids[col]
             row, col = row[other], col[other]
-        far = squared_rows(q[row], self.vectors[col])
+        far = _pair_distances(q, row, arena, col)
         keep = best_places(row, self.ids[col], far, k)
         return row[keep], col[keep], far[keep]
 

@@ -22,6 +22,7 @@ from pyspark.sql import types as T
 from gaugewatch.functions.columns import is_usable, shuffled_number
 from gaugewatch.functions.vectors import (
     Store,
+    arena_of,
     hit_table,
     matrix,
     ranks,
@@ -93,7 +94,7 @@ def _shared_store(patterns: DataFrame, key: str | None, meta: bool, max_bytes: i
     for number, rows in enumerate(groups.values()):
         key_of[rows] = number
     store = Store(
-        table["pattern_id"].to_numpy(), matrix(table["embedding"]) if table.num_rows else np.empty((0, dim or 0)),
+        table["pattern_id"].to_numpy(), arena_of(matrix(table["embedding"]) if table.num_rows else np.empty((0, dim or 0))),
         {key: number for number, key in enumerate(groups)}, key_of, groups,
         table.select(HIT_COLUMNS).combine_chunks() if meta else table.select([]),
     )
@@ -213,7 +214,7 @@ def _knn_shared(queries: DataFrame, shared: Broadcast, k: int, by: str | None, e
         store = shared.value
         for batch in batches:
             # Checked here: a filter would repeat the expression that makes the embedding.
-            known, q = usable_rows(batch.column("embedding"), store.vectors.shape[1])
+            known, q = usable_rows(batch.column("embedding"), store.vectors.size)
             batch = batch.take(pa.array(known.astype(np.int64)))
             qid = batch.column("query_id").to_numpy(zero_copy_only=False)
             if by:
@@ -297,7 +298,7 @@ def _host_first_shared(
             n = batch.num_rows
             column = batch.column("embedding")
             ids = batch.column("query_id").to_numpy(zero_copy_only=False)
-            known, q = usable_rows(column.cast(dim_type), store.vectors.shape[1])
+            known, q = usable_rows(column.cast(dim_type), store.vectors.size)
             keys = batch.column("host_id").take(pa.array(known)).to_pylist()
             row, col, far = store.host_first(ids[known], q, keys, k, exclude_self, mode == "post")
             row = known[row] if len(row) else row

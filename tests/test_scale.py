@@ -1,5 +1,6 @@
 """The helpers for skewed data give the plain results on both sides of their bounds."""
 
+import pickle
 import tracemalloc
 
 import numpy as np
@@ -272,3 +273,26 @@ def test_a_search_measures_few_pairs_exactly(monkeypatch):
 def test_a_meeting_of_codes_holds_few_distances():
     # Several arrays of this many distances are held at once, by every worker.
     assert 8 * ivfpq.HELD_CELLS <= 2 << 20
+
+
+def test_a_store_of_single_precision_is_held_once_in_single_precision():
+    rng = np.random.default_rng(8)
+    ids, v = np.arange(40_000), rng.normal(size=(40_000, 64)).astype(np.float32).astype(np.float64)
+    store = kernel.Store(ids, kernel.arena_of(v), {}, np.empty(0, "int64"), {}, None)
+    assert len(pickle.dumps(store)) < 0.6 * v.nbytes
+    found = []
+    # A batch of queries adds no copy of the store.
+    assert _held_by(lambda: found.append(store.everywhere(ids[:300], v[:300], np.arange(300), 5, True))) < 8 << 20
+    assert set(zip(*[part.tolist() for part in found[0]])) == _plain_nearest(ids[:300], v[:300], ids, v, 5)
+
+
+def test_values_beyond_single_precision_stay_as_they_are():
+    v = np.array([[0.1, 0.2], [0.1, 0.2 + 1e-12], [3.0, 4.0]])
+    assert (kernel.arena_of(v).take(np.array([1, 2])) == v[1:]).all()
+
+
+def test_ties_of_a_common_vector_are_measured_in_tiles():
+    ids, v = np.arange(20_000), np.ones((20_000, 64))
+    found = []
+    assert _held_by(lambda: found.append(kernel.nearest(ids[:20], v[:20], ids, v, 5, True))) < 3 * v.nbytes + (32 << 20)
+    assert found[0][1][:10].tolist() == [1, 2, 3, 4, 5, 0, 2, 3, 4, 5]
