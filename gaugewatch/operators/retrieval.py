@@ -68,14 +68,15 @@ def _column_bytes(column: Column, kind: T.DataType) -> Column:
 
 
 def _store_size(patterns: DataFrame, carried: list[str]) -> tuple[int | None, int]:
-    """Length and bytes of the usable vectors with their carried columns, in one scan."""
+    """Length and bytes of the usable vectors, as a store holds them, with their carried columns, in one scan."""
     kinds = {f.name: f.dataType for f in patterns.schema.fields}
+    single = isinstance(kinds["embedding"], T.ArrayType) and isinstance(kinds["embedding"].elementType, T.FloatType)
     others = sum((_column_bytes(F.col(c), kinds[c]) for c in carried), F.lit(0)).cast("bigint")
     sizes = patterns.filter(is_usable("embedding")).groupBy(F.size("embedding").alias("size")).agg(
         F.count(F.lit(1)).alias("count"), F.sum(others).alias("others")
     )
     best = sizes.orderBy(F.desc("count"), "size").first()
-    return (best["size"], 8 * best["size"] * best["count"] + best["others"]) if best else (None, 0)
+    return (best["size"], (4 if single else 8) * best["size"] * best["count"] + best["others"]) if best else (None, 0)
 
 
 def _shared_store(patterns: DataFrame, key: str | None, meta: bool, max_bytes: int) -> Broadcast | None:

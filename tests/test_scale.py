@@ -296,3 +296,12 @@ def test_ties_of_a_common_vector_are_measured_in_tiles():
     found = []
     assert _held_by(lambda: found.append(kernel.nearest(ids[:20], v[:20], ids, v, 5, True))) < 3 * v.nbytes + (32 << 20)
     assert found[0][1][:10].tolist() == [1, 2, 3, 4, 5, 0, 2, 3, 4, 5]
+
+
+def test_single_precision_counts_half_towards_the_broadcast(spark):
+    rows = spark.range(100).select(
+        F.col("id").alias("pattern_id"), F.array(*[F.col("id") + i for i in range(16)]).cast("array<float>").alias("embedding")
+    )
+    whole = rows.withColumn("embedding", F.col("embedding").cast("array<double>"))
+    assert retrieval._shared_store(rows, None, False, 100 * 16 * 4) is not None
+    assert retrieval._shared_store(whole, None, False, 100 * 16 * 4) is None
