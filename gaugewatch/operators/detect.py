@@ -56,9 +56,12 @@ def _similar(n: int) -> Column:
 
 def _closest(is_anomaly: bool) -> Column:
     """The hit with the least (distance, pattern_id) among normal ones or anomalies."""
-    mine = F.filter("hits", lambda h: h["is_anomaly"] if is_anomaly else ~h["is_anomaly"])
-    least = F.array_min(F.transform(mine, lambda h: F.struct(h["distance"], h["pattern_id"])))
-    return F.get(F.filter("hits", lambda h: h["pattern_id"] == least["pattern_id"]), F.lit(0))
+
+    def placed(h: Column, place: Column) -> Column:
+        mine = h["is_anomaly"] if is_anomaly else ~h["is_anomaly"]
+        return F.when(mine, F.struct(h["distance"], h["pattern_id"], place.alias("place")))
+
+    return F.get("hits", F.array_min(F.transform("hits", placed))["place"])
 
 
 def _found(queries: DataFrame, hits: DataFrame | None) -> DataFrame:

@@ -405,18 +405,13 @@ def attach_hits(queries: DataFrame, hits: DataFrame) -> DataFrame:
         return queries
     rank = F.col("rank") if "rank" in hits.columns else F.lit(0)
     hit = F.struct(rank.cast("int").alias("rank"), "pattern_id", "distance", *_meta_columns(hits))
-
-    def earlier(a: Column, b: Column) -> Column:
-        def less(x: Column, y: Column) -> Column:
-            return (
-                (x["rank"] < y["rank"])
-                | ((x["rank"] == y["rank"]) & (x["distance"] < y["distance"]))
-                | ((x["rank"] == y["rank"]) & (x["distance"] == y["distance"]) & (x["pattern_id"] < y["pattern_id"]))
-            )
-
-        return F.when(less(a, b), -1).when(less(b, a), 1).otherwise(0)
-
-    nested = hits.groupBy("query_id").agg(F.array_sort(F.collect_list(hit), earlier).alias("hits"))
+    # Hits hold maps, which have no order: their places are sorted.
+    order = F.array_sort(
+        F.transform("_hits", lambda h, place: F.struct(h["rank"], h["distance"], h["pattern_id"], place.alias("place")))
+    )
+    nested = hits.groupBy("query_id").agg(F.collect_list(hit).alias("_hits")).select(
+        "query_id", F.transform(order, lambda o: F.get("_hits", o["place"])).alias("hits")
+    )
     joined = queries.join(nested, "query_id", "left")
     empty = F.array().cast(nested.schema["hits"].dataType)
     return joined.withColumn("hits", F.coalesce("hits", empty))

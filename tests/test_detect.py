@@ -236,3 +236,12 @@ def test_one_shot_answers(spark, answer, want):
     df = spark.createDataFrame([(1, answer)], "query_id bigint, answer string")
     row = prompts.parse_answers(df).first()
     assert (row.is_anomaly, row.confidence, row.anomaly_type, row.explanation) == want
+
+
+def test_the_closest_hit_of_a_kind_is_of_that_kind(spark, samples):
+    # One id for a normal pattern and an anomaly: both lie equally near.
+    rows = hit_rows(spark, (0.5, False), (0.5, True), (0.4, True)).withColumn("pattern_id", F.lit(7).cast("bigint"))
+    row = detect.closest_hits(samples.limit(1), rows).first()
+    assert [hit["rank"] for hit in row.hits] == [1, 2, 3]
+    assert not row.closest_normal.is_anomaly and row.min_normal_distance == 0.5
+    assert row.closest_anomaly.is_anomaly and row.min_anomaly_distance == 0.4
