@@ -14,7 +14,8 @@ share an anchor, about one run per 18 bytes.
 3. A bucket joins its distinct fragments to one text, builds the suffix array
    by two-stage sorting, computes adjacent common prefixes, and takes the
    smallest document of each group of strings that agree in 50 bytes. These
-   numbers go back to the blocks.
+   numbers go back to the blocks. Where all blocks sent one and the same
+   fragment for an anchor, its strings are nowhere else: there is nothing to sort.
 4. A block removes what an earlier document has.
 
 A group of copies, however large, sends one fragment per block. The block's
@@ -33,6 +34,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -47,7 +49,7 @@ RUN = 64
 HOT = 1000
 BLOCK_BYTES = 4 << 20
 BUCKET_ANCHORS = 1 << 19
-CHUNK = 1 << 17  # bytes whose arrays of numbers stay in a core's cache
+CHUNK = 1 << 16  # bytes whose arrays of numbers stay in a core's cache
 LAST = np.iinfo(np.int64).max
 PARTS = 16  # of a bucket, sorted one after the other
 SEPARATOR = 0xFF  # no byte of UTF-8
@@ -59,13 +61,20 @@ KINDS = {
 }
 SKETCH = "block_ long, bucket_ long, n_ long, keys_ binary, counts_ binary"
 ANSWER = "block_ long, bucket_ long, kind_ int, a_ binary, b_ binary"
-FRAGMENTS = "block_ long, bucket_ long, parts_ binary, sizes_ binary, docs_ binary, bytes_ binary"
+FRAGMENTS = "block_ long, bucket_ long, parts_ binary, keys_ binary, sizes_ binary, docs_ binary, bytes_ binary"
 
 
 def _mix(a: np.ndarray, b: np.ndarray | int) -> np.ndarray:
-    h = (a ^ (a >> np.uint64(32))) * np.uint64(0x9E3779B97F4A7C15)
-    h = (h ^ (h >> np.uint64(29)) ^ b) * np.uint64(0xBF58476D1CE4E5B9)
-    return h ^ (h >> np.uint64(32))
+    h = a >> np.uint64(32)
+    h ^= a
+    h *= np.uint64(0x9E3779B97F4A7C15)
+    low = h >> np.uint64(29)
+    h ^= low
+    h ^= b
+    h *= np.uint64(0xBF58476D1CE4E5B9)
+    np.right_shift(h, np.uint64(32), out=low)
+    h ^= low
+    return h
 
 
 def _runs(text: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -80,7 +89,9 @@ def _runs(text: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray
     view = words(text)
     n = len(text)
     word = view[: n + WORD].astype(np.uint64)
-    gram = _mix(word[:n], word[WORD : n + WORD])
+    # High bits depend on all sixteen bytes. What is equal here is one anchor, whatever the bytes.
+    gram = word[:n] * np.uint64(0x9E3779B97F4A7C15)
+    gram += word[WORD : n + WORD] * np.uint64(0xBF58476D1CE4E5B9)
     # The smallest hash among the grams of each string, by doubling spans.
     least, span, need = gram, 1, LENGTH - GRAM + 1
     while span < need:
@@ -110,13 +121,21 @@ class Block:
     """The documents of one block in a fixed order, with their runs."""
 
     def __init__(self, docs: pa.Table):
-        ids, texts = docs.column("id_").to_pylist(), docs.column("text_").to_pylist()
-        raw = [t.encode() if isinstance(t, str) else t or b"" for t in texts]
-        ids = [LAST if i is None else i for i in ids]
-        self.order = sorted(range(len(ids)), key=lambda i: (ids[i], raw[i]))
-        self.ids = np.array([ids[i] for i in self.order], np.int64)
-        self.lengths = np.array([len(raw[i]) for i in self.order], np.int64)
-        self.text = np.frombuffer(b"".join(raw[i] for i in self.order), np.uint8)
+        ids = pc.fill_null(docs.column("id_"), LAST).to_numpy()
+        texts = docs.column("text_").cast(pa.large_string()).cast(pa.large_binary()).combine_chunks()
+        self.order = np.argsort(ids, kind="stable")
+        self.ids = ids[self.order]
+        # Rows of one id go by their bytes.
+        same = np.flatnonzero(self.ids[1:] == self.ids[:-1])
+        if len(same):
+            firsts = same[np.r_[True, np.diff(same) > 1]]
+            for a, e in zip(firsts, same[np.r_[np.diff(same) > 1, True]] + 2, strict=True):
+                rows = self.order[a:e].tolist()
+                self.order[a:e] = sorted(rows, key=lambda i: texts[i].as_py() or b"")
+        texts = texts.take(pa.array(self.order)).fill_null(b"")
+        offsets = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
+        self.lengths = np.diff(offsets)
+        self.text = np.frombuffer(texts.buffers()[2] or b"", np.uint8)[offsets[0] : offsets[-1]]
         self.ends = np.cumsum(self.lengths)
         found = []
         # Documents are taken in chunks, so that the arrays of numbers stay small.
@@ -131,7 +150,7 @@ class Block:
 
     def anchors(self) -> tuple[np.ndarray, np.ndarray]:
         """Distinct keys, ascending, and how many runs have them; 1 means: in one document only."""
-        order = np.argsort(self.key)
+        order = self.by_key = np.argsort(self.key)
         key, doc = self.key[order], self.ids[self.row[order]]
         new = np.r_[True, key[1:] != key[:-1]][: len(key)]
         self.anchor = np.empty(len(key), np.int64)
@@ -152,7 +171,8 @@ class Block:
         """
         at = self.anchor
         pick = repeated[at] & ~hot[at]
-        begin, size, key, row = self.begin[pick], self.size[pick], self.key[pick], self.row[pick]
+        order = self.by_key[pick[self.by_key]]
+        begin, size, key, row = self.begin[order], self.size[order], self.key[order], self.row[order]
         pick = repeated[at] & hot[at]
         if pick.any():
             which = np.repeat(np.flatnonzero(pick), self.size[pick])
@@ -165,10 +185,10 @@ class Block:
             begin, row = np.r_[begin, single], np.r_[row, self.row[which]]
             size = np.r_[size, np.ones(len(single), np.int64)]
             key = np.r_[key, value >> np.uint64(16)]
+            order = np.argsort(key)
+            begin, size, key, row = begin[order], size[order], key[order], row[order]
         view = words(self.text)
-        order = np.argsort(key)
         # The order among equal keys has to be the same in every run of this: by the bytes, then by place.
-        begin, size, key, row = begin[order], size[order], key[order], row[order]
         tied = np.r_[False, key[1:] == key[:-1]][: len(key)]
         tied[:-1] |= tied[1:]
         at = np.flatnonzero(tied)
@@ -180,13 +200,7 @@ class Block:
         same = np.r_[False, (key[1:] == key[:-1]) & (mark[1:] == mark[:-1])][: len(key)]
         doubt = np.flatnonzero(same)
         equal = _equal(view, begin[doubt], size[doubt], begin[doubt - 1], size[doubt - 1])
-        if equal.all():
-            which = np.cumsum(~same) - 1
-        else:  # two texts of one mark
-            text = self.text.tobytes()
-            seen: dict[tuple, int] = {}
-            told = [seen.setdefault((k, text[a : a + n + LENGTH - 1]), len(seen)) for k, a, n in zip(key.tolist(), begin.tolist(), size.tolist())]
-            which = np.array(told, np.int64)
+        which = np.cumsum(~same) - 1 if equal.all() else _numbered(self.text, begin, size, key)
         doc = self.ids[row]
         first = np.unique(which, return_index=True)[1] if len(which) else which
         least = np.full(len(first), LAST, np.int64)
@@ -194,6 +208,14 @@ class Block:
         return (begin, size, doc), which, (key[first], size[first], least, begin[first])
 
 
+def _numbered(text: np.ndarray, begin: np.ndarray, size: np.ndarray, key: np.ndarray) -> np.ndarray:
+    """The number of each piece's text, in the order in which they are met: where two texts have one mark."""
+    raw = text.tobytes()
+    seen: dict[tuple, int] = {}
+    told = [seen.setdefault((k, raw[a : a + n + LENGTH - 1]), len(seen)) for k, a, n in zip(key.tolist(), begin.tolist(), size.tolist())]
+    return np.array(told, np.int64)
+
+
 def _marks(view: np.ndarray, begin: np.ndarray, size: np.ndarray) -> np.ndarray:
     """A hash of the bytes of every piece, a word at a time."""
     mark = size.astype(np.uint64)
@@ -309,7 +331,7 @@ def _cut(buckets: int):
         rows = []
         for b, a, e in _slices(part // PARTS):
             counts = np.bincount(part[a:e] - b * PARTS, minlength=PARTS).astype(np.uint32)
-            rows.append((number, b, counts.tobytes(), size[a:e].astype(np.uint8).tobytes(), least[a:e].tobytes(), _pick(block.text, begin[a:e], width[a:e])))
+            rows.append((number, b, counts.tobytes(), key[a:e].astype(np.uint32).tobytes(), size[a:e].astype(np.uint8).tobytes(), least[a:e].tobytes(), _pick(block.text, begin[a:e], width[a:e])))
         return _rows(rows, FRAGMENTS)
 
     return run
@@ -332,8 +354,8 @@ def earliest(texts: list[bytes], docs: np.ndarray) -> np.ndarray:
     number = np.full(len(joined), -1, np.int64)
     number[start] = np.arange(len(start))
     view = words(joined)
-    order = suffix_order(joined, view)
-    order = order[number[order] >= 0]
+    # The ends of fragments begin no string: most suffixes need no place.
+    order = suffix_order(joined, view, number >= 0)
     first = np.flatnonzero(common_prefixes(order, view) < LENGTH)
     ranked = number[order]
     least = np.minimum.reduceat(docs[owner[ranked]], first)
@@ -346,53 +368,95 @@ def _suffixes(rows: pa.Table) -> pa.Table:
     """Parts of the bucket one after the other: strings of different parts have different anchors."""
     bucket = rows.column("bucket_")[0].as_py()
     blocks = rows.column("block_").to_pylist()
-    sent = [_Sent(*row) for row in zip(*(rows.column(c).to_pylist() for c in ("parts_", "sizes_", "docs_", "bytes_")), strict=True)]
-    answers: list[list[np.ndarray]] = [[] for _ in sent]
+    sent = [_Sent(*row) for row in zip(*(rows.column(c) for c in ("parts_", "keys_", "sizes_", "docs_", "bytes_")), strict=True)]
+    answers: list[list[tuple[np.ndarray, np.ndarray]]] = [[] for _ in sent]
     for part in range(PARTS):
-        seen: dict[bytes, int] = {}
-        least: list[int] = []
-        which = []
-        for block in sent:
-            own = []
-            for text, doc in block.fragments(part):
-                k = seen.setdefault(text, len(seen))
-                if k == len(least):
-                    least.append(doc)
-                elif doc < least[k]:
-                    least[k] = doc
-                own.append(k)
-            which.append(np.array(own, np.int64))
-        if not seen:
+        cuts = [block.fragments(part) for block in sent]
+        key, size, doc, raw = (np.concatenate(x) for x in zip(*cuts, strict=True))
+        if not len(key):
             continue
-        found = earliest(list(seen), np.array(least, np.int64))
-        count = np.array([len(t) - LENGTH + 1 for t in seen], np.int64)
-        base = np.cumsum(count) - count
-        for answer, own in zip(answers, which, strict=True):
-            size = count[own]
-            at = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size) + np.repeat(base[own], size)
-            answer.append(found[at])
+        which, (first, values, lengths) = _least_by_fragment(key, size, doc, raw)
+        at = 0
+        for answer, (own, *_) in zip(answers, cuts, strict=True):
+            chosen = which[at : at + len(own)]
+            at += len(own)
+            runs = _expanded(first[chosen], first[chosen + 1] - first[chosen])
+            answer.append((values[runs], lengths[runs]))
     out = []
     for block, answer in zip(blocks, answers, strict=True):
-        values = np.concatenate(answer)
-        first = np.flatnonzero(np.r_[True, values[1:] != values[:-1]])
-        runs = np.diff(np.r_[first, len(values)]).astype(np.uint32)
-        out.append((block, bucket, 1, values[first].tobytes(), runs.tobytes()))
+        values, lengths = (np.concatenate(x) for x in zip(*answer, strict=True))
+        out.append((block, bucket, 1, values.tobytes(), lengths.astype(np.uint8).tobytes()))
     return _rows(out, ANSWER)
 
 
+def _expanded(first: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """first, first + 1, ... of each, as many as its count."""
+    return np.arange(int(count.sum())) + np.repeat(first - (np.cumsum(count) - count), count)
+
+
+def _least_by_fragment(
+    key: np.ndarray, size: np.ndarray, doc: np.ndarray, raw: np.ndarray
+) -> tuple[np.ndarray, tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """The distinct fragment of each one sent; and of the distinct ones runs of (smallest document, strings).
+
+    ``key`` holds some bits of the anchor: two anchors that agree in them are sorted together.
+    """
+    width = size + LENGTH - 1
+    begin = np.cumsum(width) - width
+    view = words(raw)
+    mark = key.astype(np.uint64) << np.uint64(32) | _marks(view, begin, size) >> np.uint64(32)
+    order = np.argsort(mark)
+    mark, begin, size = mark[order], begin[order], size[order]
+    same = np.r_[False, mark[1:] == mark[:-1]]
+    doubt = np.flatnonzero(same)
+    if _equal(view, begin[doubt], size[doubt], begin[doubt - 1], size[doubt - 1]).all():
+        number = np.cumsum(~same) - 1
+    else:
+        number = _numbered(raw, begin, size, key[order])
+    which = np.empty(len(key), np.int64)
+    which[order] = number
+    one = np.unique(number, return_index=True)[1]
+    least = np.full(len(one), LAST, np.int64)
+    np.minimum.at(least, which, doc)
+    anchor, begin, size = mark[one] >> np.uint64(32), begin[one], size[one]
+    lone = np.ones(len(one), bool)
+    lone[1:] &= anchor[1:] != anchor[:-1]
+    lone[:-1] &= anchor[1:] != anchor[:-1]
+    if lone.all():
+        return which, (np.arange(len(one) + 1), least, size)
+    met = np.flatnonzero(~lone)
+    text = raw.tobytes()
+    found = earliest([text[a : a + n + LENGTH - 1] for a, n in zip(begin[met].tolist(), size[met].tolist())], least[met])
+    new = np.r_[True, found[1:] != found[:-1]]
+    starts = np.cumsum(size[met]) - size[met]
+    new[starts] = True
+    at = np.flatnonzero(new)
+    runs = np.ones(len(one), np.int64)
+    runs[met] = np.add.reduceat(new, starts, dtype=np.int64)
+    first = np.r_[0, np.cumsum(runs)]
+    values, lengths = np.empty(first[-1], np.int64), np.empty(first[-1], np.int64)
+    values[first[:-1][lone]], lengths[first[:-1][lone]] = least[lone], size[lone]
+    place = _expanded(first[met], runs[met])
+    values[place], lengths[place] = found[at], np.diff(np.r_[at, len(found)])
+    return which, (first, values, lengths)
+
+
 class _Sent:
     """What one block sent to a bucket."""
 
-    def __init__(self, parts: bytes, sizes: bytes, docs: bytes, raw: bytes):
-        size = np.frombuffer(sizes, np.uint8).astype(np.int64) + LENGTH - 1
-        self.ends, self.size = np.cumsum(size), size
-        self.docs, self.raw = np.frombuffer(docs, np.int64), raw
-        self.part = np.r_[0, np.cumsum(np.frombuffer(parts, np.uint32))]
+    def __init__(self, parts: pa.Scalar, keys: pa.Scalar, sizes: pa.Scalar, docs: pa.Scalar, raw: pa.Scalar):
+        def numbers(value: pa.Scalar, kind: type) -> np.ndarray:
+            return np.frombuffer(value.as_buffer(), kind)
+
+        self.size = numbers(sizes, np.uint8).astype(np.int64)
+        self.ends = np.r_[0, np.cumsum(self.size + LENGTH - 1)]
+        self.keys, self.docs, self.raw = numbers(keys, np.uint32), numbers(docs, np.int64), numbers(raw, np.uint8)
+        self.part = np.r_[0, np.cumsum(numbers(parts, np.uint32))]
 
-    def fragments(self, part: int) -> Iterator[tuple[bytes, int]]:
+    def fragments(self, part: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Bits of the anchors, numbers of strings, documents, and the bytes in a row."""
         a, e = self.part[part], self.part[part + 1]
-        for end, n, doc in zip(self.ends[a:e].tolist(), self.size[a:e].tolist(), self.docs[a:e].tolist(), strict=True):
-            yield self.raw[end - n : end], doc
+        return self.keys[a:e], self.size[a:e], self.docs[a:e], self.raw[self.ends[a] : self.ends[e]]
 
 
 def _remove(buckets: int, names: list[str], schema: pa.Schema):
@@ -401,27 +465,29 @@ def _remove(buckets: int, names: list[str], schema: pa.Schema):
             return schema.empty_table()
         block = Block(docs)
         (begin, size, doc), which, (key, width, _, _) = block.fragments(*_masks(block, answers, buckets))
-        place = {b: (a, e) for b, a, e in _slices(_bucket(key, buckets))}
+        told = {row["bucket_"]: (row["a_"], row["b_"]) for row in answers.to_pylist() if row["kind_"] == 1}
+        got = [told[b] for b, _, _ in _slices(_bucket(key, buckets))]
+        least = np.frombuffer(b"".join(a for a, _ in got), np.int64)
+        ends = np.cumsum(np.frombuffer(b"".join(b for _, b in got), np.uint8), dtype=np.int64)
+        starts = np.r_[0, ends]
+        # Every fragment begins with a run of its own.
         base = np.cumsum(width) - width
-        least = np.full(int(width.sum()), LAST, np.int64)
-        for row in answers.to_pylist():
-            if row["kind_"] == 1:
-                a, e = place[row["bucket_"]]
-                values = np.repeat(np.frombuffer(row["a_"], np.int64), np.frombuffer(row["b_"], np.uint32))
-                least[base[a] : base[e - 1] + width[e - 1]] = values
+        first = np.r_[np.searchsorted(starts, base), len(ends)]
+        count = np.diff(first)[which]
+        run, piece = _expanded(first[which], count), np.repeat(np.arange(len(begin)), count)
+        hit = least[run] < doc[piece]
+        run, piece = run[hit], piece[hit]
+        shift = begin[piece] - base[which[piece]]
+        # A byte goes if one of the 50 strings that cover it goes. No two runs begin or end in one place.
         total = len(block.text)
-        owner = np.repeat(np.arange(len(begin)), size)
-        nth = np.arange(len(owner)) - np.repeat(np.cumsum(size) - size, size)
-        hit = least[base[which[owner]] + nth] < doc[owner]
-        # A byte goes if one of the 50 strings that cover it goes.
-        started = np.zeros(total + 1, np.int32)
-        started[begin[owner[hit]] + nth[hit] + 1] = 1
-        started = np.cumsum(started, dtype=np.int32)
-        gone = started[1:] > np.r_[np.zeros(min(LENGTH, total), np.int32), started[1 : max(total - LENGTH + 1, 1)]][:total]
+        change = np.zeros(total + 1, np.int32)
+        change[starts[run] + shift] += 1
+        change[ends[run] + shift + LENGTH - 1] -= 1
+        gone = np.cumsum(change[:total], dtype=np.int32) > 0
         raw = block.text.tobytes()
         results = [None] * docs.num_rows
         sums, texts = "kept_sha256" in names, "text_" in names
-        for k, row in enumerate(block.order):
+        for k, row in enumerate(block.order.tolist()):
             low, high = int(block.ends[k] - block.lengths[k]), int(block.ends[k])
             mask = gone[low:high]
             if mask.any():

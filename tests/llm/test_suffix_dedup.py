@@ -7,7 +7,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from gaugewatch.llm import suffix_dedup
+from gaugewatch.llm import suffix_array, suffix_dedup
 from gaugewatch.llm.suffix_array import DEPTH, common_prefixes, suffix_order, words
 
 
@@ -132,3 +132,42 @@ def test_runs_do_not_depend_on_the_chunk(monkeypatch):
     narrow = _block(texts)
     assert all((getattr(wide, x) == getattr(narrow, x)).all() for x in ("begin", "size", "key", "row"))
     assert wide.size.sum() == np.maximum(wide.lengths - 49, 0).sum()
+
+
+@pytest.mark.parametrize("alphabet", ["a", "ab", "abcdefgh"])
+def test_wanted_suffixes_only(alphabet, monkeypatch):
+    rng = random.Random(3)
+    text = np.frombuffer("".join(rng.choice(alphabet) for _ in range(900)).encode(), np.uint8)
+    wanted = np.zeros(900, bool)
+    wanted[np.arange(0, 900, 45)[:, None] + np.arange(10)] = True
+    held = []
+    directly = suffix_array._sort_directly
+    monkeypatch.setattr(suffix_array, "_sort_directly", lambda positions, view: held.append(len(positions)) or directly(positions, view))
+    order = suffix_order(text, None, wanted)
+    assert sorted(order.tolist()) == np.flatnonzero(wanted).tolist()
+    raw = text.tobytes() + bytes(DEPTH)
+    keys = [raw[i : i + 50] for i in order]
+    assert keys == sorted(keys)
+    suffix_order(text)
+    assert held[0] <= max(held[1] // 2, 0)
+
+
+def test_one_fragment_of_an_anchor_is_not_sorted(monkeypatch):
+    rng = np.random.default_rng(5)
+    same = ["".join(rng.choice(list("abcdefgh "), 80)).encode() for _ in range(40)]
+    other = ["".join(rng.choice(list("abcdefgh "), 70)).encode() for _ in range(30)]
+    texts = same * 3 + [t + b"x" for t in other] + [t + b"y" for t in other]
+    key = np.array([i % 40 for i in range(120)] + [100 + i % 30 for i in range(60)], np.uint32)
+    doc = rng.integers(0, 1000, len(texts))
+    size = np.array([len(t) - 49 for t in texts])
+    met, earliest = [], suffix_dedup.earliest
+    monkeypatch.setattr(suffix_dedup, "earliest", lambda some, docs: met.extend(some) or earliest(some, docs))
+    which, (first, values, lengths) = suffix_dedup._least_by_fragment(key, size, doc, np.frombuffer(b"".join(texts), np.uint8))
+    assert sorted(met) == sorted(texts[120:])
+    least = {}
+    for text, d in zip(texts, doc):
+        for p in range(len(text) - 49):
+            least[text[p : p + 50]] = min(d, least.get(text[p : p + 50], d))
+    for text, w in zip(texts, which):
+        runs = slice(first[w], first[w + 1])
+        assert np.repeat(values[runs], lengths[runs]).tolist() == [least[text[p : p + 50]] for p in range(len(text) - 49)]
