@@ -172,11 +172,11 @@ def _first_limits(
     return np.fmin(limit, own - 2.0 * kth + slack)
 
 
-def _meet(
+def _near_pairs(
     qid: np.ndarray, q: np.ndarray, own: np.ndarray, limit: np.ndarray, arena: Arena, vid: np.ndarray, cols: np.ndarray, k: int,
-    exclude_self: bool, free: Callable[[np.ndarray, np.ndarray], np.ndarray] | None, held: Found,
+    exclude_self: bool, free: Callable[[np.ndarray, np.ndarray], np.ndarray] | None = None,
 ) -> Found:
-    """The best of ``held`` and of the patterns at ``cols``; ``limit`` falls to each query's k-th distance."""
+    """All that may be among the best ``k`` of the patterns at ``cols`` and lies within ``limit``."""
     near = limit if free is not None or np.isfinite(limit).all() else _first_limits(qid, q, own, limit, arena, vid, cols, k, exclude_self)
     r, c = _passing(q, own, near, arena, cols)
     if exclude_self:
@@ -185,19 +185,32 @@ def _meet(
     if free is not None:
         kept = free(r, c)
         r, c = r[kept], c[kept]
-    if not len(r):
-        return held
     exact = _pair_distances(q, r, arena, c)
     near = (exact <= limit[r]) & np.isfinite(exact)
-    row, col, far = joined([held, (r[near], c[near], exact[near])])
-    keep = best_places(row, vid[col], far, k)
+    return r[near], c[near], exact[near]
+
+
+def _best_of(held: Found, more: Found, ids: np.ndarray, limit: np.ndarray, k: int) -> Found:
+    """The best ``k`` of both for every query; ``limit`` falls to each query's k-th distance."""
+    if not len(more[0]):
+        return held
+    row, col, far = joined([held, more])
+    keep = best_places(row, ids[col], far, k)
     row, col, far = row[keep], col[keep], far[keep]
-    counts = np.bincount(row, minlength=len(q))
+    counts = np.bincount(row, minlength=len(limit))
     full = counts >= k
     limit[full] = np.minimum(limit[full], far[np.cumsum(counts)[full] - 1])
     return row, col, far
 
 
+def _meet(
+    qid: np.ndarray, q: np.ndarray, own: np.ndarray, limit: np.ndarray, arena: Arena, vid: np.ndarray, cols: np.ndarray, k: int,
+    exclude_self: bool, free: Callable[[np.ndarray, np.ndarray], np.ndarray] | None, held: Found,
+) -> Found:
+    """The best of ``held`` and of the patterns at ``cols``; ``limit`` falls to each query's k-th distance."""
+    return _best_of(held, _near_pairs(qid, q, own, limit, arena, vid, cols, k, exclude_self, free), vid, limit, k)
+
+
 def nearest(
     query_ids: np.ndarray, queries: np.ndarray, ids: np.ndarray, vectors: np.ndarray | Arena, k: int, exclude_self: bool
 ) -> Found:
@@ -224,6 +237,53 @@ def nearest(
     return joined(out)
 
 
+class Codes(NamedTuple):
+    """Coded patterns in the order of their cells: the places of cell ``c`` begin at ``starts[c]``."""
+
+    ids: np.ndarray
+    codes: np.ndarray
+    starts: np.ndarray
+
+
+def nearest_codes(
+    query_ids: np.ndarray, queries: np.ndarray, probed: np.ndarray, first: np.ndarray, store: Codes, centres: np.ndarray,
+    codebooks: np.ndarray, k: int, exclude_self: bool, at_once: int = LEAF_ROWS, held_bytes: int = 8 << 20,
+) -> Found:
+    """Top ``k`` by the distance to what the codes stand for, among the cells that ``probed`` marks for each query.
+
+    The distance to a code's entries, added up over the sub-spaces, is that to
+    the vector they make up. Some of these are made at once, and queries meet
+    them as in ``nearest``: ``at_once`` queries together, those of one ``first``
+    cell side by side, and that cell before the others.
+    """
+    turn = np.argsort(first, kind="stable")
+    groups = [turn[at : at + at_once] for at in range(0, len(turn), at_once)]
+    limits, held = [np.full(len(rows), np.inf) for rows in groups], [joined([])] * len(groups)
+    size = centres.shape[1]
+    most = max(TILE, held_bytes // (8 * size))
+    for nearest_ones in (True, False):
+        for cell in np.flatnonzero(np.diff(store.starts)):
+            asks = []
+            for g, rows in enumerate(groups):
+                some = np.flatnonzero(probed[rows, cell] & ((first[rows] == cell) == nearest_ones))
+                if len(some):
+                    asks.append((g, some, queries[rows[some]] - centres[cell]))
+            if not asks:
+                continue
+            place, end, take = store.starts[cell], store.starts[cell + 1], TILE if nearest_ones else most
+            while place < end:
+                upto = min(place + take, end)
+                made = np.concatenate([book[code] for book, code in zip(codebooks, store.codes[place:upto].T)], axis=1)
+                arena, ids, cols = arena_of(made), store.ids[place:upto], np.arange(upto - place)
+                for g, some, rest in asks:
+                    limit = limits[g][some]
+                    own = (rest * rest).sum(1)
+                    r, c, far = _near_pairs(query_ids[groups[g][some]], rest, own, limit, arena, ids, cols, k, exclude_self)
+                    held[g] = _best_of(held[g], (some[r], place + c, far), store.ids, limits[g], k)
+                place, take = upto, min(4 * take, most)
+    return joined([(rows[r], c, far) for rows, (r, c, far) in zip(groups, held)])
+
+
 def leaves(vectors: np.ndarray, size: int = LEAF_ROWS) -> list[np.ndarray]:
     """Places of the rows in groups of at most ``size``: halved at the middle of their widest dimension, again and again."""
     done, waiting = [], [np.arange(len(vectors))]

@@ -8,30 +8,40 @@ behind, and codes of one model are never read with another.
 
 A search meets the ``nprobe`` nearest cells of each query. With a filter, the
 counts of matching patterns per cell decide how many more are probed, until
-``k`` hits can exist.
+``k`` hits can exist. Codes below a measured size are broadcast, and a query is
+searched where it lies; others meet the queries in blocks of cells.
 """
 
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterable, Sequence
 from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from gaugewatch.functions.vectors import best_places, hit_table, joined, matrix, squared_rows, usable_rows
+from gaugewatch.functions.vectors import (
+    TILE, Codes, best_places, hit_table, joined, matrix, nearest_codes, squared_rows, usable_rows,
+)
 from gaugewatch.operators.scale import dimension_join, pair_blocks
 from gaugewatch.operators.vector_tables import HIT_SCHEMA, best_hits, store_dim, stored_vectors
 from gaugewatch.session import cut, fresh_path
 
 MODEL_SCHEMA = "version string, made int, part int, entry int, vector array<double>"
 HELD_CELLS = 1 << 18  # distances of queries to patterns that a task holds at once
+BROADCAST_CODE_BYTES = 64 << 20
+TASK_PAIRS = 1 << 30  # queries times codes of a task
+BLOCK_BYTES = 32 << 20  # vectors of one side that a task holds to rank candidates
+CANDIDATE_SCHEMA = "query_id bigint, embedding array<double>, ids array<bigint>"
+CANDIDATES = [field.split()[0] for field in CANDIDATE_SCHEMA.split(", ")]
 BATCH_SCHEMA = "batch string, version string, rows bigint"
 
 
@@ -192,22 +202,16 @@ def _probes(model: IvfPqModel, nprobe: int, need: int, by: str | None, everywher
         for batch in batches:
             if not batch.num_rows:
                 continue
-            v = matrix(batch.column("embedding"))
-            order = np.argsort(_far(v, centres), axis=1, kind="stable")
             if by is None:
                 counts = np.zeros(len(centres), np.int64)
                 for cell, n in everywhere.items():
                     counts[cell] = n
-                held = counts[order]
             else:
-                held = np.zeros(order.shape, np.int64)
+                counts = np.zeros((batch.num_rows, len(centres)), np.int64)
                 for i, found in enumerate(batch.column("held_").to_pylist()):
-                    own = np.zeros(len(centres), np.int64)
                     for cell in found or ():
-                        own[cell["cell"]] = cell["n"]
-                    held[i] = own[order[i]]
-            before = np.cumsum(held, axis=1) - held
-            probed = ((np.arange(len(centres)) < nprobe)[None, :] | (before < need)) & (held > 0)
+                        counts[i, cell["cell"]] = cell["n"]
+            order, probed = _probed(matrix(batch.column("embedding")), centres, counts, nprobe, need)
             row, place = np.nonzero(probed)
             out = [batch.column("query_id").take(pa.array(row)), pa.array(order[row, place].astype(np.int32))]
             names = ["query_id", "cell"]
@@ -219,6 +223,14 @@ def _probes(model: IvfPqModel, nprobe: int, need: int, by: str | None, everywher
     return run
 
 
+def _probed(v: np.ndarray, centres: np.ndarray, counts: np.ndarray, nprobe: int, need: int) -> tuple[np.ndarray, np.ndarray]:
+    """Every query's cells by distance, and which of them it probes; ``counts`` are the patterns that count, by cell."""
+    order = np.argsort(_far(v, centres), axis=1, kind="stable")
+    held = np.take_along_axis(np.broadcast_to(counts, order.shape), order, 1)
+    before = np.cumsum(held, axis=1) - held
+    return order, ((np.arange(len(centres)) < nprobe)[None, :] | (before < need)) & (held > 0)
+
+
 def ivfpq_search(
     queries: DataFrame, index: IvfPqIndex, k: int = 5, nprobe: int = 10, where: Column | str | None = None, by: str | None = None,
     exclude_self: bool = False, refine: int = 0, patterns: DataFrame | None = None, rows_per_block: int = 20_000,
@@ -232,7 +244,7 @@ def ivfpq_search(
     """
     model = index.model
     books, centres = model.codebooks, model.centres
-    width, wanted = books.shape[2], k * max(refine, 1)
+    wanted = k * max(refine, 1)
     need = wanted + int(exclude_self)
     keys = [by] if by else []
     codes = index.codes if where is None else index.codes.filter(where)
@@ -246,6 +258,11 @@ def ivfpq_search(
         told, everywhere = dimension_join(asked, held, [by]), None
     else:
         told, everywhere = asked, {r["cell"]: r["count"] for r in codes.groupBy("cell").count().collect()}
+        if sum(everywhere.values()) * (len(books) + 8) <= BROADCAST_CODE_BYTES:
+            found = _search_shared(asked, codes, model, wanted, nprobe, need, exclude_self, refine > 0)
+            if refine:
+                return _refined(found, asked.count(), patterns, centres.shape[1], k)
+            return best_hits(found, k).select("query_id", "rank", "pattern_id", "distance")
     kind = f", `{by}` {dict(asked.dtypes)[by]}" if by else ""
     probes = cut(told.mapInArrow(
         _probes(model, nprobe, need, by, everywhere), f"query_id bigint, cell int{kind}, embedding array<double>"
@@ -254,53 +271,146 @@ def ivfpq_search(
     def meet(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
         if not left.num_rows or not right.num_rows:
             return hit_table([], [], [])
-        qid, ids = left["query_id"].to_numpy(), right["pattern_id"].to_numpy()
-        rest = matrix(left["embedding"]) - centres[left["cell"][0].as_py()]
-        code = np.frombuffer(b"".join(right["code"].to_pylist()), np.uint8).reshape(len(ids), -1)
-        code = np.ascontiguousarray(code.T)
-        parts = []
-        # Bounded by both: distances to all patterns, and differences to all entries.
-        step = max(1, HELD_CELLS // max(len(ids), books.shape[1] * width))
-        for at in range(0, len(qid), step):
-            far = np.zeros((len(qid[at : at + step]), len(ids)))
-            for j, book in enumerate(books):
-                diff = rest[at : at + step, None, j * width : (j + 1) * width] - book[None]
-                far += np.take((diff * diff).sum(2), code[j], axis=1)
-            if exclude_self:
-                far[qid[at : at + step, None] == ids[None, :]] = np.inf
-            kth = np.partition(far, wanted - 1, axis=1)[:, wanted - 1] if wanted < len(ids) else np.full(len(far), np.inf)
-            rows, cols = np.nonzero((far <= kth[:, None]) & np.isfinite(far))
-            keep = best_places(rows, ids[cols], far[rows, cols], wanted)
-            parts.append((qid[at + rows[keep]], ids[cols[keep]], far[rows[keep], cols[keep]]))
-        return hit_table(*joined(parts))
+        qid, cell = left["query_id"].to_numpy(), left["cell"][0].as_py()
+        store = _code_store(right, 0)
+        everyone = np.ones((len(qid), 1), bool)
+        row, col, far = nearest_codes(
+            qid, matrix(left["embedding"]), everyone, np.zeros(len(qid), np.int64), store, centres[cell : cell + 1], books, wanted,
+            exclude_self, HELD_CELLS // TILE,
+        )
+        return hit_table(qid[row], store.ids[col], far)
 
     met = codes.select("cell", *keys, "pattern_id", "code")
     hits = pair_blocks(probes, met, ["cell", *keys], "query_id", "pattern_id", meet, HIT_SCHEMA, rows_per_block, rows_per_block)
     best = best_hits(hits, wanted)
     if refine:
-        best = best_hits(_exact(best.select("query_id", "pattern_id"), asked, patterns, centres.shape[1]), k)
+        listed = best.groupBy("query_id").agg(F.collect_list("pattern_id").alias("ids"))
+        found = asked.select("query_id", "embedding").join(listed, "query_id").select(*CANDIDATES)
+        return _refined(found, asked.count(), patterns, centres.shape[1], k)
     return best.select("query_id", "rank", "pattern_id", "distance")
 
 
-def _exact(pairs: DataFrame, asked: DataFrame, patterns: DataFrame, dim: int) -> DataFrame:
-    """Exact distances of candidate pairs, of which every query has a fixed number."""
+def _code_store(table: pa.Table, cells: int) -> Codes:
+    """Codes by cell; without cells, as those of one."""
+    cell = table["cell"].to_numpy() if cells else np.zeros(table.num_rows, np.int32)
+    order = np.argsort(cell, kind="stable")
+    raw = np.frombuffer(b"".join(table["code"].to_pylist()), np.uint8).reshape(table.num_rows, -1)
+    return Codes(table["pattern_id"].to_numpy()[order], raw[order], np.searchsorted(cell[order], np.arange(max(cells, 1) + 1)))
+
+
+def _search_shared(
+    asked: DataFrame, codes: DataFrame, model: IvfPqModel, wanted: int, nprobe: int, need: int, exclude_self: bool, listed: bool
+) -> DataFrame:
+    """Every task meets its own queries with all codes: only the queries are dealt out, once.
+
+    Hits, or, ``listed``, the queries with a list of the patterns found.
+    """
+    spark = asked.sparkSession
+    table = codes.select("cell", "pattern_id", "code").toArrow()  # at most BROADCAST_CODE_BYTES
+    shared = spark.sparkContext.broadcast((_code_store(table, len(model.centres)), model))
+    parts = max(spark.sparkContext.defaultParallelism, math.ceil(asked.count() * table.num_rows / TASK_PAIRS))
+
+    def search(batches: Iterable[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
+        (store, model), centres = shared.value, shared.value[1].centres
+        for batch in batches:
+            if not batch.num_rows or not len(store.ids):
+                continue
+            qid, q = batch.column("query_id").to_numpy(), matrix(batch.column("embedding"))
+            order, chosen = _probed(q, centres, np.diff(store.starts), nprobe, need)
+            probed = np.zeros_like(chosen)
+            np.put_along_axis(probed, order, chosen, 1)
+            first = order[np.arange(len(q)), chosen.argmax(1)]
+            row, col, far = nearest_codes(
+                qid, q, probed, first, store, centres, model.codebooks, wanted, exclude_self, HELD_CELLS // TILE
+            )
+            if not listed:
+                yield from hit_table(qid[row], store.ids[col], far).to_batches()
+                continue
+            order = np.argsort(row, kind="stable")
+            ends = np.r_[0, np.cumsum(np.bincount(row, minlength=len(q)))].astype(np.int32)
+            ids = pa.ListArray.from_arrays(pa.array(ends), pa.array(store.ids[col[order]]))
+            yield pa.RecordBatch.from_arrays([batch.column("query_id"), batch.column("embedding"), ids], CANDIDATES)
+
+    return asked.repartition(parts, "query_id").mapInArrow(search, CANDIDATE_SCHEMA if listed else HIT_SCHEMA)
+
+
+def _block_of(ids: np.ndarray, blocks: int) -> np.ndarray:
+    """A block for every id, whatever ids have in common."""
+    mixed = ids.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    return ((mixed ^ (mixed >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9) >> np.uint64(32)).astype(np.int64) % blocks
+
+
+def _refined(found: DataFrame, asked: int, patterns: DataFrame | None, dim: int, k: int) -> DataFrame:
+    """The ``k`` candidates of each of the ``asked`` queries that are nearest by their exact distances.
+
+    Patterns lie in hashed blocks. A query travels once to each block that has
+    candidates of it, with their ids, so that no vector moves once per pair.
+    """
     if patterns is None:
         raise ValueError("refine needs the patterns with their vectors")
     known = stored_vectors(
         patterns.select(F.col("pattern_id").cast("bigint").alias("pattern_id"), "embedding"), ["pattern_id"], dim
     )
-    both = dimension_join(pairs, known.withColumnRenamed("embedding", "other_"), ["pattern_id"], "inner")
-    both = both.join(asked.select("query_id", "embedding"), "query_id")
+    rows = max(1, BLOCK_BYTES // (8 * dim))
+    rights, lefts = (max(1, math.ceil(count / rows)) for count in (known.count(), asked))
 
-    def measure(batches: Iterable[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
+    def deal(batches: Iterable[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
         for batch in batches:
-            if batch.num_rows:
-                far = squared_rows(matrix(batch.column("embedding")), matrix(batch.column("other_")))
+            lists = batch.column("ids")
+            row = pc.list_parent_indices(lists).to_numpy(zero_copy_only=False).astype(np.int64)
+            ids = pc.list_flatten(lists).to_numpy(zero_copy_only=False)
+            block = _block_of(ids, rights)
+            # Some queries at a time: each goes out as often as there are blocks for it.
+            step = max(1, rows // (4 * rights))
+            for at in range(0, batch.num_rows, step):
+                a, e = np.searchsorted(row, [at, at + step])
+                if a == e:
+                    continue
+                order = a + np.lexsort((block[a:e], row[a:e]))
+                key = row[order] * rights + block[order]
+                cuts = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+                ends = pa.array(np.r_[cuts, len(key)].astype(np.int32))
+                taken = batch.take(pa.array(row[order[cuts]]))
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("query_id"), batch.column("pattern_id"), pa.array(far)], ["query_id", "pattern_id", "distance"]
+                    [
+                        taken.column("query_id"), taken.column("embedding"), pa.ListArray.from_arrays(ends, pa.array(ids[order])),
+                        pa.array(block[order[cuts]].astype(np.int32)),
+                    ],
+                    [*CANDIDATES, "block"],
                 )
 
-    return both.mapInArrow(measure, HIT_SCHEMA)
+    def place(batches: Iterable[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
+        for batch in batches:
+            block = _block_of(batch.column("pattern_id").to_numpy(zero_copy_only=False), rights)
+            yield batch.append_column("block", pa.array(block.astype(np.int32)))
+
+    part = F.pmod(F.xxhash64("query_id"), F.lit(lefts)).cast("int").alias("part")
+    left = found.mapInArrow(deal, f"{CANDIDATE_SCHEMA}, block int").select("*", part)
+    every = F.explode(F.sequence(F.lit(0), F.lit(lefts - 1))).alias("part")
+    right = known.filter("pattern_id IS NOT NULL").mapInArrow(place, "pattern_id bigint, embedding array<double>, block int").select("*", every)
+
+    def measure(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
+        if not left.num_rows or not right.num_rows:
+            return hit_table([], [], [])
+        ids, v = right["pattern_id"].to_numpy(), matrix(right["embedding"])
+        order = np.argsort(ids, kind="stable")
+        qid, q, lists = left["query_id"].to_numpy(), matrix(left["embedding"]), left["ids"].combine_chunks()
+        row = pc.list_parent_indices(lists).to_numpy(zero_copy_only=False).astype(np.int64)
+        chosen = pc.list_flatten(lists).to_numpy(zero_copy_only=False)
+        # Rows that repeat an id all count, as in a join.
+        low, high = (np.searchsorted(ids, chosen, side, sorter=order) for side in ("left", "right"))
+        row, count = np.repeat(row, high - low), high - low
+        col = order[np.arange(len(row)) + np.repeat(low - (np.cumsum(count) - count), count)]
+        far = joined([
+            (row[at : at + TILE], col[at : at + TILE], squared_rows(q[row[at : at + TILE]], v[col[at : at + TILE]]))
+            for at in range(0, len(row), TILE)
+        ])[2]
+        keep = best_places(row, ids[col], far, k)
+        return hit_table(qid[row[keep]], ids[col[keep]], far[keep])
+
+    left, right = (side.groupBy(side["block"], side["part"]) for side in (left, right))
+    hits = left.cogroup(right).applyInArrow(measure, HIT_SCHEMA)
+    return best_hits(hits, k).select("query_id", "rank", "pattern_id", "distance")
 
 
 def ivfpq_recall(found: DataFrame, exact: DataFrame) -> DataFrame:

@@ -305,3 +305,41 @@ def test_single_precision_counts_half_towards_the_broadcast(spark):
     whole = rows.withColumn("embedding", F.col("embedding").cast("array<double>"))
     assert retrieval._shared_store(rows, None, False, 100 * 16 * 4) is not None
     assert retrieval._shared_store(whole, None, False, 100 * 16 * 4) is None
+
+
+def test_codes_are_searched_by_products_and_few_pairs_are_measured(monkeypatch):
+    rng = np.random.default_rng(9)
+    centres, books = rng.normal(size=(3, 16)), rng.normal(size=(4, 8, 4))
+    cell, codes, ids = np.sort(rng.integers(0, 3, 4000)), rng.integers(0, 8, (4000, 4)).astype(np.uint8), rng.permutation(4000)
+    store = kernel.Codes(ids, codes, np.searchsorted(cell, np.arange(4)))
+    q, probed, first = rng.normal(size=(300, 16)), rng.random((300, 3)) < 0.7, rng.integers(0, 3, 300)
+    probed[np.arange(300), first] = True
+    pairs, plain = [], kernel.squared_rows
+    monkeypatch.setattr(kernel, "squared_rows", lambda a, b: pairs.append(len(a)) or plain(a, b))
+    row, col, far = kernel.nearest_codes(ids[:300], q, probed, first, store, centres, books, 6, True, 50, 1)
+    assert sum(pairs) < 300 * 600
+    made = np.concatenate([book[code] for book, code in zip(books, codes.T)], axis=1)
+    want = set()
+    for i in range(300):
+        rest = q[i] - centres[cell]
+        apart = plain(rest, made)
+        apart[~probed[i, cell] | (ids == ids[i])] = np.inf
+        want |= {(i, int(j), round(float(apart[j]), 9)) for j in np.lexsort((ids, apart))[:6]}
+    assert set(zip(row.tolist(), col.tolist(), np.round(far, 9).tolist())) == want
+
+
+def test_candidates_meet_vectors_in_blocks(spark, vectors, monkeypatch):
+    """Broadcast or in blocks, the same hits; a query travels once to a block, whatever the number of its candidates."""
+    q, p = vectors
+    index = ivfpq.ivfpq_create(p, ivfpq.ivfpq_train(p, nlist=4, m=3, bits=3, rounds=2))
+
+    def found(**options):
+        hits = ivfpq.ivfpq_search(q, index, 4, nprobe=2, exclude_self=True, **options)
+        return sorted((r.query_id, r.rank, r.pattern_id, round(r.distance, 9)) for r in hits.collect())
+
+    plain, refined = found(), found(refine=5, patterns=p)
+    dim = len(p.first().embedding)
+    monkeypatch.setattr(ivfpq, "BLOCK_BYTES", 8 * dim * 90)
+    assert found(refine=5, patterns=p) == refined
+    monkeypatch.setattr(ivfpq, "BROADCAST_CODE_BYTES", 0)
+    assert found() == plain and found(refine=5, patterns=p) == refined
