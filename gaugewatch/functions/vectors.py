@@ -60,10 +60,21 @@ def squared_rows(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 def best_places(rows: np.ndarray, ids: np.ndarray, distances: np.ndarray, k: int) -> np.ndarray:
     """Places of the ``k`` smallest (distance, id) within each row number."""
-    order = np.lexsort((ids, distances, rows))
-    sorted_rows = rows[order]
-    starts = np.searchsorted(sorted_rows, sorted_rows, side="left")
-    return order[np.arange(len(order)) - starts < k]
+    if not len(rows):
+        return np.empty(0, np.int64)
+    order = np.argsort(distances)
+    least = int(rows.min())
+    # A stable sort of 16 bits takes time in proportion.
+    for shift in range(0, max(1, int(rows.max() - least).bit_length()), 16):
+        order = order[np.argsort(((rows[order] - least) >> shift).astype(np.uint16), kind="stable")]
+    row, far = rows[order], distances[order]
+    new = row[1:] != row[:-1]
+    tied = ~new & (far[1:] == far[:-1])
+    if tied.any():
+        at = np.flatnonzero(np.r_[tied, False] | np.r_[False, tied])
+        order[at] = order[at][np.lexsort((ids[order[at]], far[at], row[at]))]
+    place = np.arange(len(order))
+    return order[place - np.maximum.accumulate(np.where(np.r_[True, new], place, 0)) < k]
 
 
 Found = tuple[np.ndarray, np.ndarray, np.ndarray]

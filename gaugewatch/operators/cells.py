@@ -10,8 +10,11 @@ nearest; the k-th distance so far rules cells out. Results are exact.
 Centres come from a bounded sample, so does their number; cells are bounded in
 number as well, so the table of bounds may be everywhere. Cells lie together in
 areas, a fixed number of them as long as an area fits a task: a query goes once
-to each area that holds cells for it. An area that holds very many patterns, or
-that very many queries probe, is cut into blocks on both sides (``pair_blocks``).
+to each area that holds cells for it. An area of many rows is cut into boxes by
+the values of a sample; then a query first meets the box it lies in, and later
+goes only to boxes that its k-th distance so far reaches. A box that still holds
+very many patterns, or that very many queries probe, is cut into blocks on both
+sides (``pair_blocks``).
 Inside a task small boxes of queries and patterns meet. The index lies on disk,
 sorted by cell, and can be added to.
 """
@@ -42,13 +45,16 @@ SAMPLE = 8192
 AREAS = 16  # parts of the index that meet queries; more where a part would exceed BLOCK_BYTES
 AREA_ROWS = 500
 BLOCK_BYTES = 32 << 20  # vectors of one side that a task holds
+PARTS, PART_ROWS = 512, 1 << 12  # boxes that areas are cut into, about; and the least rows that make one
 ROUNDS = (1, 8)  # cells a query meets in the first rounds; the last one takes all that are left
 BOUND_SCHEMA = "cell int, rows bigint, low double, high double"
 CENTRE_SCHEMA = "centre int, vector array<double>, cuts array<double>"
 PLAN_SCHEMA = (
-    "query_id bigint, embedding array<double>, kth double, met array<int>, cells array<int>, areas array<int>,"
+    "query_id bigint, embedding array<double>, kth double, met array<int>, seen int, cells array<int>, parts array<int>,"
     " n_cells bigint, compared bigint, open bigint"
 )
+BOX_SCHEMA = "part int, rows bigint, low array<double>, high array<double>"
+SEED_SCHEMA = "query_id bigint, embedding array<double>, seen int"
 PLAN_NAMES = [field.split()[0] for field in PLAN_SCHEMA.split(",")]
 
 
@@ -62,6 +68,45 @@ class CellIndex(NamedTuple):
     bounds: DataFrame
 
 
+class Tree(NamedTuple):
+    """Where an area is cut: at a node, rows with less than ``value`` in dimension ``dim`` go left. Leaves name a part."""
+
+    dim: np.ndarray
+    value: np.ndarray
+    children: np.ndarray
+    part: np.ndarray
+
+    def parts(self, vectors: np.ndarray) -> np.ndarray:
+        node = np.zeros(len(vectors), np.int64)
+        while (inner := np.flatnonzero(self.part[node] < 0)).size:
+            at = node[inner]
+            node[inner] = self.children[at, (vectors[inner, self.dim[at]] >= self.value[at]).astype(np.int64)]
+        return self.part[node]
+
+
+class Parts(NamedTuple):
+    """The parts of all areas: each one's area, rows and box, and the trees of areas that were cut."""
+
+    area: np.ndarray
+    rows: np.ndarray
+    low: np.ndarray | None
+    high: np.ndarray | None
+    trees: dict[int, Tree]
+
+    def gaps(self, q: np.ndarray) -> np.ndarray:
+        """Bounds from below of the squared distances of queries to the rows of every part."""
+        gap = np.zeros((len(q), len(self.area)))
+        if self.low is None:
+            return gap
+        for d, value in enumerate(q.T):
+            apart = np.maximum(self.low[:, d] - value[:, None], value[:, None] - self.high[:, d])
+            np.maximum(apart, 0.0, out=apart)
+            apart *= apart
+            gap += apart
+        gap *= 1 - 1e-9
+        return gap
+
+
 class CellHits(NamedTuple):
     """Hits by rank; and per round: queries, cells met, patterns compared, and patterns there were for them."""
 
@@ -196,23 +241,127 @@ def _areas(bounds: pd.DataFrame, dim: int) -> np.ndarray:
     """The number of each cell's area: neighbours in the list of cells, as many as make up an area's rows."""
     rows = bounds["rows"].to_numpy()
     each = min(_block_rows(dim), max(AREA_ROWS, math.ceil(rows.sum() / AREAS)))
-    return ((np.cumsum(rows) - rows) // each).astype(np.int64)
+    return np.unique((np.cumsum(rows) - rows) // each, return_inverse=True)[1].astype(np.int64)
+
+
+def _tree(vectors: np.ndarray, count: int, part: int) -> Tree:
+    """At most ``count`` parts, numbered from ``part``: the fullest is halved in its widest dimension, again and again."""
+    dim, value, children, rows = [0], [0.0], [[0, 0]], {0: np.arange(len(vectors))}
+    whole = set()
+    while len(rows) < count and len(rows) > len(whole):
+        node = max((n for n in rows if n not in whole), key=lambda n: len(rows[n]))
+        mine = vectors[rows[node]]
+        widest = int((mine.max(0) - mine.min(0)).argmax()) if len(mine) else 0
+        line = np.sort(mine[:, widest])
+        cut = line[len(line) // 2] if len(line) else 0.0
+        if len(line) and cut == line[0]:
+            cut = line[min(np.searchsorted(line, cut, "right"), len(line) - 1)]
+        if not len(line) or cut == line[0]:
+            whole.add(node)  # nothing to tell its rows apart by
+            continue
+        right = mine[:, widest] >= cut
+        dim[node], value[node], children[node] = widest, cut, [len(dim), len(dim) + 1]
+        mine = rows.pop(node)
+        for side in (mine[~right], mine[right]):
+            rows[len(dim)] = side
+            dim.append(0), value.append(0.0), children.append([0, 0])
+    names = np.full(len(dim), -1)
+    names[sorted(rows)] = part + np.arange(len(rows))
+    return Tree(np.array(dim), np.array(value), np.array(children), names)
+
+
+def _parts(index: CellIndex, bounds: pd.DataFrame, area: np.ndarray, k: int) -> Parts:
+    """Areas of many rows are cut by the values of a bounded sample; the parts' boxes come from all rows.
+
+    Where boxes would spare little, as with unrelated vectors of many values, areas stay whole.
+    """
+    size, dim = pd.Series(bounds["rows"].to_numpy()).groupby(area).sum().to_numpy(), index.centres.shape[1]
+    each = min(_block_rows(dim), max(PART_ROWS, math.ceil(size.sum() / PARTS)))
+    names = np.unique(area)
+    if size.max() <= each:
+        return Parts(names, size, None, None, {})
+    first = index.rows.select("cell", "pattern_id", "embedding").orderBy(F.xxhash64("pattern_id"), "pattern_id").limit(SAMPLE).toArrow()
+    vectors, cell = matrix(first["embedding"]), bounds["cell"].to_numpy()
+    own = area[np.searchsorted(cell, first["cell"].to_numpy())]
+    trees, owner = {}, []
+    for a, n in zip(names.tolist(), size.tolist(), strict=True):
+        trees[a] = _tree(vectors[own == a], math.ceil(n / each), len(owner))
+        owner += [a] * int((trees[a].part >= 0).sum())
+    owner = np.array(owner)
+    if _reached(vectors, _part_of(first["cell"], vectors, cell, area, trees), k) > 0.5:
+        return Parts(names, size, None, None, {})
+
+    def boxes(batches: Iterable[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
+        rows = np.zeros(len(owner), np.int64)
+        low, high = np.full((len(owner), dim), np.inf), np.full((len(owner), dim), -np.inf)
+        for batch in batches:
+            if batch.num_rows:
+                v = matrix(batch.column("embedding"))
+                part = _part_of(batch.column("cell"), v, cell, area, trees)
+                order = np.argsort(part, kind="stable")
+                cuts = np.flatnonzero(np.r_[True, np.diff(part[order]) > 0])
+                met = part[order[cuts]]
+                rows += np.bincount(part, minlength=len(owner))
+                low[met] = np.minimum(low[met], np.minimum.reduceat(v[order], cuts, 0))
+                high[met] = np.maximum(high[met], np.maximum.reduceat(v[order], cuts, 0))
+        some = np.flatnonzero(rows)
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(some.astype(np.int32)), pa.array(rows[some]), *(pa.array(list(x[some]), pa.list_(pa.float64())) for x in (low, high))],
+            ["part", "rows", "low", "high"],
+        )
+
+    def united(table: pa.Table) -> pa.Table:
+        low, high = matrix(table["low"]).min(0), matrix(table["high"]).max(0)
+        return pa.table({
+            "part": table["part"][:1].combine_chunks(), "rows": pa.array([pc.sum(table["rows"]).as_py()]),
+            "low": pa.array([low], pa.list_(pa.float64())), "high": pa.array([high], pa.list_(pa.float64())),
+        })
+
+    told = index.rows.select("cell", "embedding").mapInArrow(boxes, BOX_SCHEMA).groupBy("part").applyInArrow(united, BOX_SCHEMA)
+    rows = np.zeros(len(owner), np.int64)
+    low, high = np.full((len(owner), dim), np.inf), np.full((len(owner), dim), -np.inf)
+    for row in told.collect():  # a row per part
+        rows[row["part"]], low[row["part"]], high[row["part"]] = row["rows"], row["low"], row["high"]
+    return Parts(owner, rows, low, high, trees)
+
+
+def _reached(vectors: np.ndarray, part: np.ndarray, k: int, asked: int = 256) -> float:
+    """The share of a sample's boxes that are as near to some of its vectors as their ``k`` nearest in it."""
+    order = np.argsort(part, kind="stable")
+    cuts = np.flatnonzero(np.r_[True, np.diff(part[order]) > 0])
+    low, high = (f.reduceat(vectors[order], cuts, 0) for f in (np.minimum, np.maximum))
+    q = vectors[:asked]
+    far = _distances(q, vectors) ** 2
+    kth = np.partition(far, k, axis=1)[:, k] if k < len(vectors) else np.full(len(q), np.inf)
+    return float((Parts(cuts, cuts, low, high, {}).gaps(q) <= kth[:, None]).mean())
+
+
+def _part_of(column: pa.Array, vectors: np.ndarray, cell: np.ndarray, area: np.ndarray, trees: dict[int, Tree]) -> np.ndarray:
+    """The part of each row: its area, or what the area's tree says."""
+    own = area[np.searchsorted(cell, np.asarray(column))]
+    if not trees:
+        return own
+    part = np.empty(len(own), np.int64)
+    for a in np.unique(own):
+        mine = np.flatnonzero(own == a)
+        part[mine] = trees[a].parts(vectors[mine])
+    return part
 
 
 def _block_rows(dim: int) -> int:
     return max(1, BLOCK_BYTES // (8 * dim))
 
 
-def _plan(centres: np.ndarray, bounds: pd.DataFrame, area: np.ndarray, take: int | None):
+def _plan(centres: np.ndarray, bounds: pd.DataFrame, area: np.ndarray, parts: Parts, take: int | None):
     """Where every query goes next: to the nearest ``take`` cells by their bounds that the k-th distance allows, or to all it allows.
 
     ``met`` are the cells of the rounds before. The last round names no cells,
-    only their areas: there may be very many of them.
+    only their areas' parts: there may be very many of them.
     """
     cell, rows, low, high = (bounds[c].to_numpy() for c in ("cell", "rows", "low", "high"))
     owner = cell // MAX_CUTS
     longest = float(np.sqrt((centres * centres).sum(1)).max())
-    names, starts = np.unique(area, return_index=True)
+    starts = np.unique(area, return_index=True)[1]
 
     def lists(chosen: np.ndarray, values: np.ndarray) -> pa.ListArray:
         ends = np.r_[0, np.cumsum(chosen.sum(1))].astype(np.int32)
@@ -220,7 +369,7 @@ def _plan(centres: np.ndarray, bounds: pd.DataFrame, area: np.ndarray, take: int
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
         for batch in batches:
-            step = max(1, (1 << 20) // len(cell))
+            step = max(1, (1 << 20) // max(len(cell), len(parts.area)))
             for at in range(0, batch.num_rows, step):
                 part = batch.slice(at, step)
                 q = matrix(part.column("embedding"))
@@ -239,11 +388,16 @@ def _plan(centres: np.ndarray, bounds: pd.DataFrame, area: np.ndarray, take: int
                     chosen = np.zeros_like(allowed)
                     np.put_along_axis(chosen, near, np.take_along_axis(allowed, near, 1), 1)
                 counts = chosen.sum(1)
+                travels = np.logical_or.reduceat(chosen, starts, axis=1)[:, parts.area]
+                if parts.trees:
+                    travels &= parts.gaps(q) <= (kth * (1 + 1e-9))[:, None]
+                    seen = part.column("seen").to_numpy(zero_copy_only=False)
+                    travels[np.arange(len(q)), seen] = False
                 yield pa.RecordBatch.from_arrays(
                     [
                         part.column("query_id"), part.column("embedding"), part.column("kth"), part.column("met"),
-                        lists(chosen if take is not None else np.zeros_like(chosen), cell),
-                        lists(np.logical_or.reduceat(chosen, starts, axis=1), names), pa.array(counts.astype(np.int64)),
+                        part.column("seen"), lists(chosen if take is not None else np.zeros_like(chosen), cell),
+                        lists(travels, np.arange(len(parts.area))), pa.array(counts.astype(np.int64)),
                         pa.array((chosen @ rows).astype(np.int64)), pa.array((allowed.sum(1) - counts).astype(np.int64)),
                     ],
                     PLAN_NAMES,
@@ -268,48 +422,81 @@ def search_cells(
 ) -> CellHits:
     """The exact ``k`` nearest patterns of every usable query: (query_id, rank, pattern_id, distance).
 
-    A query travels to areas, not to cells, so that what moves does not grow
-    with the number of cells. ``rows_per_block`` patterns are compared at once.
+    A query travels to areas and their boxes, not to cells, so that what moves does
+    not grow with the number of cells. ``rows_per_block`` patterns are compared at once.
     """
     spark = queries.sparkSession
     dim = index.centres.shape[1]
-    asked = stored_vectors(queries.select(F.col("query_id").cast("bigint").alias("query_id"), "embedding"), ["query_id"], dim)
+    asked = queries.select(F.col("query_id").cast("bigint").alias("query_id"), "embedding")
     path = fresh_path(spark, "rounds")
     bounds = index.bounds.orderBy("cell").toPandas()  # at most MAX_CENTRES * MAX_CUTS rows
     area = _areas(bounds, dim)
-    size, most = pd.Series(bounds["rows"].to_numpy()).groupby(area).sum(), _block_rows(dim)
-    place = spark.createDataFrame(pd.DataFrame({"cell": bounds["cell"].astype("int32"), "area": area.astype("int32")}), "cell int, area int")
+    parts, most = _parts(index, bounds, area, k), _block_rows(dim)
+    cell = bounds["cell"].to_numpy()
+
+    def meet(named: DataFrame, mode: str) -> DataFrame | None:
+        """Hits of queries, each with the part where it goes; None if they go nowhere."""
+        probed = named.groupBy("part").count().toPandas()  # a row per part
+        if probed.empty:
+            return None
+        wanted = np.zeros(len(parts.area), bool)
+        wanted[probed["part"]] = True
+
+        def placed(batches: Iterable[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
+            for batch in batches:
+                if batch.num_rows:
+                    own = _part_of(batch.column("cell"), matrix(batch.column("embedding")), cell, area, parts.trees)
+                    # Only the probed parts move.
+                    yield batch.append_column("part", pa.array(own.astype(np.int32))).filter(pa.array(wanted[own]))
+
+        rows = index.rows.select(F.col("cell").cast("int"), F.col("pattern_id").cast("bigint"), F.col("embedding").cast("array<double>"))
+        rows = rows.mapInArrow(placed, "cell int, pattern_id bigint, embedding array<double>, part int")
+        blocks = [
+            (int(a), math.ceil(n / most), math.ceil(parts.rows[a] / most))
+            for a, n in zip(probed["part"], probed["count"], strict=True) if max(n, parts.rows[a]) > most
+        ]
+        work = _meet(k, exclude_self, mode, rows_per_block)
+        return pair_blocks(named, rows, ["part"], "query_id", "pattern_id", work, HIT_SCHEMA, blocks=blocks)
+
+    def best_written(hits: DataFrame, name: str) -> None:
+        best_hits(hits if not found else hits.unionByName(found[-1]), k).drop("rank").write.parquet(f"{path}/hits-{name}")
+        found.append(spark.read.schema(HIT_SCHEMA).parquet(f"{path}/hits-{name}"))
+
+    def with_kth(going: DataFrame) -> DataFrame:
+        kth = found[-1].groupBy("query_id").agg(
+            F.when(F.count(F.lit(1)) >= k, F.max("distance")).otherwise(F.lit(math.inf)).alias("kth")
+        )
+        return going.join(kth, "query_id", "left").withColumn("kth", F.coalesce("kth", F.lit(math.inf)))
+
     found, plans = [], []
-    state = asked.withColumns({"kth": F.lit(math.inf), "met": F.array().cast("array<int>")})
+    none = F.array().cast("array<int>")
+    if parts.trees:
+        # The same task checks and seeds: the vectors are written once.
+        rows = asked.select("query_id", F.col("embedding").cast("array<double>").alias("embedding"))
+        rows.mapInArrow(_seed(parts, dim), SEED_SCHEMA).write.parquet(f"{path}/seeds")
+        seeds = spark.read.schema(SEED_SCHEMA).parquet(f"{path}/seeds")
+        hits = meet(seeds.select("query_id", "embedding", F.lit(math.inf).alias("kth"), F.col("seen").alias("part")), "all")
+        if hits is not None:
+            best_written(hits, "seeds")
+        state = (with_kth(seeds) if found else seeds.withColumn("kth", F.lit(math.inf))).withColumn("met", none)
+    else:
+        state = stored_vectors(asked, ["query_id"], dim).withColumns({"kth": F.lit(math.inf), "met": none, "seen": F.lit(-1)})
     for number, take in enumerate([*rounds, None]):
-        state.select("query_id", "embedding", "kth", "met").mapInArrow(
-            _plan(index.centres, bounds, area, take), PLAN_SCHEMA
+        state.select("query_id", "embedding", "kth", "met", "seen").mapInArrow(
+            _plan(index.centres, bounds, area, parts, take), PLAN_SCHEMA
         ).write.parquet(f"{path}/plan-{number}")
         plan = spark.read.schema(PLAN_SCHEMA).parquet(f"{path}/plan-{number}")
         plans.append(plan.withColumn("round", F.lit(number + 1)))
-        probed = plan.select(F.explode("areas").alias("area")).groupBy("area").count().toPandas()  # a row per area
-        if probed.empty:
-            break
-        named = plan.select("query_id", "embedding", "kth", "met", "cells", F.explode("areas").alias("area"))
-        # Only the probed areas move.
-        known = place.filter(F.col("area").isin([int(a) for a in probed["area"]]))
-        rows = index.rows.select("cell", "pattern_id", "embedding").join(F.broadcast(known), "cell")
-        blocks = [
-            (int(a), math.ceil(n / most), math.ceil(size[a] / most))
-            for a, n in zip(probed["area"], probed["count"], strict=True) if max(n, size[a]) > most
-        ]
-        meet = _meet(k, exclude_self, take is not None, rows_per_block)
-        hits = pair_blocks(named, rows, ["area"], "query_id", "pattern_id", meet, HIT_SCHEMA, blocks=blocks)
-        best = best_hits(hits if not found else hits.unionByName(found[-1]), k).drop("rank")
-        best.write.parquet(f"{path}/hits-{number}")
-        found.append(spark.read.schema(HIT_SCHEMA).parquet(f"{path}/hits-{number}"))
+        hits = meet(
+            plan.select("query_id", "embedding", "kth", "met", "cells", F.explode("parts").alias("part")),
+            "cells" if take is not None else "rest",
+        )
+        if hits is not None:
+            best_written(hits, str(number))
         if take is not None and not plan.filter("open > 0").limit(1).count():
             break  # a cell that the k-th distance has ruled out stays so
-        kth = found[-1].groupBy("query_id").agg(
-            F.when(F.count(F.lit(1)) >= k, F.max("distance")).otherwise(F.lit(math.inf)).alias("kth")
-        )
-        going = plan.filter("open > 0").select("query_id", "embedding", F.concat("met", "cells").alias("met"))
-        state = going.join(kth, "query_id", "left").withColumn("kth", F.coalesce("kth", F.lit(math.inf)))
+        going = plan.filter("open > 0").select("query_id", "embedding", "seen", F.concat("met", "cells").alias("met"))
+        state = with_kth(going) if found else going.withColumn("kth", F.lit(math.inf))
     every = plans[0]
     for plan in plans[1:]:
         every = every.unionByName(plan)
@@ -322,13 +509,38 @@ def search_cells(
     return CellHits(best_hits(found[-1], k).select("query_id", "rank", "pattern_id", "distance"), report)
 
 
-def _meet(k: int, exclude_self: bool, by_cell: bool, at_once: int):
+def _seed(parts: Parts, dim: int):
+    """Usable queries with the part that each one meets first: it lies in it, or near it, and not far from its middle."""
+    some = np.flatnonzero(parts.rows)
+    box = Parts(some, parts.rows[some], parts.low[some], parts.high[some], {})
+    middle = 0.5 * (box.low + box.high)
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
+        for batch in batches:
+            known, q = usable_rows(batch.column("embedding"), dim)
+            seen = [np.zeros(0, np.int64)]
+            step = max(1, (1 << 20) // len(some))
+            for at in range(0, len(q), step):
+                part = q[at : at + step]
+                seen.append(some[(box.gaps(part) + 0.1 * _distances(part, middle) ** 2).argmin(1)])
+            batch = batch.take(pa.array(known.astype(np.int64)))
+            yield batch.append_column("seen", pa.array(np.concatenate(seen).astype(np.int32)))
+
+    return run
+
+
+def _meet(k: int, exclude_self: bool, mode: str, at_once: int):
+    """Queries with all patterns, with those of the cells they name, or with the rest, of cells not met before."""
+
     def run(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
         if not left.num_rows or not right.num_rows:
             return hit_table([], [], [])
         qid, q, kth = left["query_id"].to_numpy(), matrix(left["embedding"]), left["kth"].to_numpy()
         ids, v, cell = right["pattern_id"].to_numpy(), matrix(right["embedding"]), right["cell"].to_numpy()
-        if not by_cell:
+        if mode == "all":
+            row, col, far = nearest_in_leaves(qid, q, kth, ids, v, k, exclude_self, None, at_once)
+            return hit_table(qid[row], ids[col], far)
+        if mode == "rest":
             row, known = _flat(left["met"])
             counts = np.bincount(row, minlength=len(qid))
             met = np.full((len(qid), max(1, int(counts.max()))), -1)

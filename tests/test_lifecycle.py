@@ -273,3 +273,33 @@ def test_bottom_k_is_the_sample_per_node(spark, monkeypatch, lanes):
     assert sorted(map(str, got.collect())) == sorted(map(str, sampling.sample_per_node(df, 12).collect()))
     assert got.columns == df.columns and "Window" not in got._jdf.queryExecution().toString()
     assert sampling.sample_bottom_k(df.limit(0), 12).count() == 0
+
+
+@pytest.mark.parametrize("copies", [1, 300])
+def test_queries_travel_to_the_boxes_that_their_distances_reach(spark, monkeypatch, copies):
+    """Cells of many rows: a query meets a few boxes of them, not all blocks of a hash."""
+    vectors = np.random.default_rng(8).uniform(size=(3000, 3)).round(2)
+    vectors[:copies] = vectors[0]  # a box of them cannot be cut
+    monkeypatch.setattr(cells, "BLOCK_BYTES", 8 * 3 * 150)
+    monkeypatch.setattr(cells, "PART_ROWS", 150, raising=False)
+    index = cells.build_cells(table(spark, vectors), rows_per_cell=1500)
+    moved, pair_blocks = [], cells.pair_blocks
+
+    def counted(left, right, by, *args, blocks=None, **options):
+        rights = {b[0]: b[2] for b in blocks}
+        moved.extend(r["count"] * rights.get(r[by[0]], 1) for r in left.groupBy(*by).count().collect())
+        return pair_blocks(left, right, by, *args, blocks=blocks, **options)
+
+    monkeypatch.setattr(cells, "pair_blocks", counted)
+    got = cells.search_cells(table(spark, vectors, "query_id"), index, 5, exclude_self=True)
+    assert found(got.hits) == exact(vectors, vectors, 5, True)
+    assert sum(moved) < 8 * len(vectors)
+    report = {r["round"]: r for r in got.report.collect()}
+    assert report[1].queries == report[1].cells == 3000 and report[1].possible == 3000 * 3000
+
+
+def test_boxes_are_left_out_where_they_spare_nothing():
+    rng = np.random.default_rng(12)
+    for vectors, spares in ((rng.normal(size=(2000, 64)), False), (rng.uniform(size=(2000, 3)), True)):
+        part = cells._tree(vectors, 30, 0).parts(vectors)
+        assert len(np.unique(part)) == 30 and (cells._reached(vectors, part, 5) < 0.5) == spares

@@ -343,3 +343,13 @@ def test_candidates_meet_vectors_in_blocks(spark, vectors, monkeypatch):
     assert found(refine=5, patterns=p) == refined
     monkeypatch.setattr(ivfpq, "BROADCAST_CODE_BYTES", 0)
     assert found() == plain and found(refine=5, patterns=p) == refined
+
+
+@pytest.mark.parametrize("most", [1, 300, 1 << 40])
+def test_best_places_are_those_of_a_full_sort(most):
+    rng = np.random.default_rng(10)
+    rows, far, ids = rng.integers(-2, most, 5000), rng.integers(0, 50, 5000) / 7.0, rng.permutation(5000)
+    order = np.lexsort((ids, far, rows))
+    turn = np.arange(5000) - np.searchsorted(rows[order], rows[order], side="left")
+    assert kernel.best_places(rows, ids, far, 4).tolist() == order[turn < 4].tolist()
+    assert not len(kernel.best_places(rows[:0], ids[:0], far[:0], 4))
